@@ -11,7 +11,9 @@ exported row index, local-regression bandwidths). A plain
 2. ``sortWithinPartitions`` orders each partition;
 3. ``monotonically_increasing_id`` encodes (partition id << 33) + position,
    so the position inside the partition is read back without a UDF;
-4. a per-(partition, group) count table — at most partitions + groups rows,
+4. the tagged frame is checkpointed (reliable storage) so partition ids
+   and positions are fixed once;
+5. a per-(partition, group) count table — at most partitions + groups rows,
    independent of the data size — gives each partition's offset through a
    small window, and is broadcast back.
 
@@ -28,6 +30,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strata.session import checkpoint_dir
+
 _POS_BITS = 33  # monotonically_increasing_id keeps the record number in the low 33 bits
 
 
@@ -41,10 +45,20 @@ def with_row_number(
     partition_by: Sequence[str] = (),
     out: str = "rn",
     num_partitions: int | None = None,
+    split_ties: bool = False,
 ) -> DataFrame:
-    """Add a 1-based ``out`` column = row_number within ``partition_by`` in ``order_by`` order."""
+    """Add a 1-based ``out`` column = row_number within ``partition_by`` in ``order_by`` order.
+
+    ``split_ties`` appends the input record id to the sort key, so one value
+    held by a third of all rows is spread over several range partitions
+    instead of landing in one task. Use it when only the *value* at a rank
+    matters (medians, bandwidths), not which of the tied rows gets it.
+    """
     parts = list(partition_by)
     keys = [F.col(p) for p in parts] + [_as_col(c) for c in order_by]
+    if split_ties:
+        df = df.withColumn("_tie", F.monotonically_increasing_id())
+        keys.append(F.col("_tie"))
     n = num_partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ranged = (
         df.repartitionByRange(n, *keys)
@@ -55,6 +69,14 @@ def with_row_number(
             F.monotonically_increasing_id() - F.shiftleft(F.col("_pid").cast("long"), _POS_BITS),
         )
     )
+    # Both branches below (counts and rows) must see the same partition
+    # assignment. Range bounds come from sampling the input, and an input
+    # produced by a shuffle has no fixed row order, so two evaluations can
+    # disagree. A reliable checkpoint pins partition ids and positions once
+    # (and cuts the lineage, so a lost executor re-reads files instead of
+    # re-running the sort).
+    checkpoint_dir(df.sparkSession)
+    ranged = ranged.checkpoint(eager=True)
     # One row per (partition, group): bounded by partitions + groups, not by rows.
     counts = ranged.groupBy("_pid", *parts).agg(
         F.count(F.lit(1)).alias("_cnt"), F.min("_pos").alias("_first")
@@ -65,7 +87,7 @@ def with_row_number(
     )
     joined = ranged.join(F.broadcast(offsets), on=["_pid", *parts], how="inner")
     return joined.withColumn(out, F.col("_off") + F.col("_pos") - F.col("_first") + F.lit(1)).drop(
-        "_pid", "_pos", "_first", "_off"
+        "_pid", "_pos", "_first", "_off", "_tie"
     )
 
 

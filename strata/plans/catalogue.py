@@ -9,13 +9,24 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, FloatType
 
+from strata.functions import scalar as S
+from strata.operators import clean as CL
+from strata.operators import categorical as C
+from strata.operators import evaluate as EV
+from strata.operators import joins as J
+from strata.operators import ml as ML
 from strata.operators import profile as P
+from strata.operators import setops as SO
+from strata.operators import stats as ST
+from strata.operators import window as W
 from strata.plans import frames as FR
+from strata.schema import Roles, numeric_columns
 from strata.sources.readers import read_table
+from strata.sources.sinks import with_row_index
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -47,3 +58,447 @@ def group_mean_profile(spark: SparkSession, d: str) -> DataFrame:
     o = read_table(spark, d, "orders")
     j = a.join(o, a.custkey == o.o_custkey, "inner")
     return _round(P.profile(j, ["Metro"], ["c_acctbal", "o_totalprice"], how="mean"))
+
+
+TOPICS = {
+    "pricing": ["l_extendedprice", "l_discount", "l_tax"],
+    "volume": ["l_quantity"],
+}
+LINE_KEYS = ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber")
+
+
+@query
+def topic_profile(spark: SparkSession, d: str) -> DataFrame:
+    """O-28/O-81: named metric topic, selected before the aggregate, means by return flag."""
+    li = read_table(spark, d, "lineitem")
+    return _round(P.topic_profile(li, ["l_returnflag"], TOPICS, "pricing"))
+
+
+@query
+def group_sum_profile(spark: SparkSession, d: str) -> DataFrame:
+    """O-41/O-9: sums of every numeric non-key lineitem column by line status (wide)."""
+    li = read_table(spark, d, "lineitem")
+    roles = Roles(keys=LINE_KEYS, groups=("l_linestatus",))
+    return _round(P.aggregate_metrics(li, ["l_linestatus"], how="sum", roles=roles))
+
+
+def _qty_scores(spark: SparkSession, d: str) -> DataFrame:
+    return FR.score(spark, d, ("qty",))
+
+
+@query
+def composite_profile_mean(spark: SparkSession, d: str) -> DataFrame:
+    """O-84/O-85/O-18: mean measures by predicted class x line status, key ``class-status``, long."""
+    s = _qty_scores(spark, d).withColumn("pred", F.col("prediction").cast("int"))
+    return _round(P.profile(s, ["pred", "l_linestatus"], FR.LINE_MEASURES, how="mean", key="class"))
+
+
+@query
+def composite_profile_sum(spark: SparkSession, d: str) -> DataFrame:
+    """O-84: as ``composite_profile_mean`` with sums."""
+    s = _qty_scores(spark, d).withColumn("pred", F.col("prediction").cast("int"))
+    return _round(P.profile(s, ["pred", "l_linestatus"], FR.LINE_MEASURES, how="sum", key="class"))
+
+
+@query
+def class_counts(spark: SparkSession, d: str) -> DataFrame:
+    """O-43/O-83: count by predicted class x line status."""
+    return P.class_counts(_qty_scores(spark, d), ["prediction", "l_linestatus"])
+
+
+@query
+def flag_counts(spark: SparkSession, d: str) -> DataFrame:
+    """O-43a: negative- and high-balance counts by Metro, long."""
+    return P.flag_counts(FR.area(spark, d), "Metro", ["flag", "flag2"])
+
+
+@query
+def flag_counts_legacy(spark: SparkSession, d: str) -> DataFrame:
+    """O-43a quirk: summing factor level codes (1/2) gives group size + flag count."""
+    return P.flag_counts(FR.area(spark, d), "Metro", ["flag", "flag2"], legacy_codes=True)
+
+
+@query
+def area_probability(spark: SparkSession, d: str) -> DataFrame:
+    """O-86/O-43b/O-27: ATTR of a per-area probability at (State, segment) grain, Rural/Urban only."""
+    a = FR.area(spark, d).filter(F.col("Metro").isin("Rural", "Urban"))
+    a = a.withColumn("p", F.col("flag").cast("double"))
+    return P.attr_by(a, ["State", "segment"], "p")
+
+
+@query
+def rollup_state(spark: SparkSession, d: str) -> DataFrame:
+    """O-43c/O-22: State -> Metro drill path totals with record counts and grouping level."""
+    return _round(P.rollup_totals(FR.area(spark, d), ["State", "Metro"], ["c_acctbal"]))
+
+
+@query
+def year_totals(spark: SparkSession, d: str) -> DataFrame:
+    """O-79/O-55/O-42/O-19/O-12/O-10: yearly order totals (millions) by Metro."""
+    a = FR.area(spark, d).select("custkey", "Metro")
+    y = FR.years(spark, d)
+    j = a.join(y, "custkey", "inner")
+    return _round(P.year_series(j, ["Metro"], "pop", unit=1e6))
+
+
+@query
+def density_by_group(spark: SparkSession, d: str) -> DataFrame:
+    """O-44 (aggregate form): area = sum(size), pop = sum(price), density = pop / area."""
+    part = read_table(spark, d, "part")
+    out = P.group_totals(
+        part, ["p_brand", "p_type"], {"area": "p_size", "pop": "p_retailprice"}, ratio=("density", "pop", "area")
+    )
+    return _round(out)
+
+
+@query
+def density_window(spark: SparkSession, d: str) -> DataFrame:
+    """O-44 literal window form incl. the reference quirk (density summed over the group's rows)."""
+    part = read_table(spark, d, "part")
+    w = Window.partitionBy("p_brand", "p_type")
+    t = part.select(
+        "p_brand",
+        "p_type",
+        F.sum("p_size").over(w).alias("area"),
+        F.sum("p_retailprice").over(w).alias("pop"),
+    )
+    t = t.withColumn("density", F.sum(F.col("pop") / F.col("area")).over(w))
+    return _round(t.distinct())
+
+
+@query
+def density_detail(spark: SparkSession, d: str) -> DataFrame:
+    """O-11/O-59/O-82: per-part price per size unit (safe ratio) with a class key."""
+    part = read_table(spark, d, "part")
+    return _round(
+        part.select(
+            "p_partkey",
+            S.paste("p_type", "p_brand").alias("class"),
+            S.safe_ratio("p_retailprice", "p_size").alias("density"),
+        )
+    )
+
+
+@query
+def recode_class(spark: SparkSession, d: str) -> DataFrame:
+    """O-13: recode status codes to labels, unmatched codes unchanged."""
+    o = read_table(spark, d, "orders")
+    return o.select("o_orderkey", S.recode("o_orderstatus", {"F": "Filled", "O": "Open"}).alias("status"))
+
+
+@query
+def level_codes(spark: SparkSession, d: str) -> DataFrame:
+    """O-17: factor level codes (1-based, levels sorted) of the market segment."""
+    c = read_table(spark, d, "customer")
+    return C.level_codes(c.select("c_custkey", "c_mktsegment"), "c_mktsegment", "level")
+
+
+@query
+def safe_casts(spark: SparkSession, d: str) -> DataFrame:
+    """O-16: identifier to text, text to number with bad values -> null."""
+    part = read_table(spark, d, "part")
+    return part.select(
+        "p_partkey",
+        S.to_text("p_partkey").alias("key_text"),
+        S.to_number(F.substring_index("p_brand", "#", -1), "int").alias("brand_no"),
+        S.to_number("p_name", "double").alias("name_num"),
+    )
+
+
+@query
+def composite_key(spark: SparkSession, d: str) -> DataFrame:
+    """O-18: ``paste`` key where a missing part prints as NA."""
+    a = FR.area(spark, d)
+    return a.select("custkey", S.paste("Metro", F.nullif(F.col("segment"), F.lit("HOUSEHOLD"))).alias("key"))
+
+
+@query
+def type_split(spark: SparkSession, d: str) -> DataFrame:
+    """O-9: the numeric side of a table (key kept, key role not scaled)."""
+    part = read_table(spark, d, "part")
+    num = numeric_columns(part, Roles(keys=("p_partkey",)))
+    return part.select("p_partkey", *num)
+
+
+@query
+def outlier_labels(spark: SparkSession, d: str) -> DataFrame:
+    """O-15: label a nation only where its mean balance is above a threshold."""
+    a = FR.area(spark, d)
+    g = a.groupBy("State").agg(F.avg("c_acctbal").alias("mean_balance"))
+    return _round(g.withColumn("label", S.label_if(F.col("mean_balance") > 4500.0, "State")))
+
+
+@query
+def cohort_filter(spark: SparkSession, d: str) -> DataFrame:
+    """O-24: compound equality filter on the scored rows."""
+    s = FR.score(spark, d)
+    f = s.filter((F.col("model") == "qty") & (F.col("y") == 1) & (F.col("l_linestatus") == "F"))
+    return _round(f.select(*FR.LKEY, "p1"))
+
+
+@query
+def key_length_filter(spark: SparkSession, d: str) -> DataFrame:
+    """O-25/O-20: keep rows whose source code has at most 4 characters."""
+    docs = read_table(spark, d, "documents").select("doc_id", "source", "lang")
+    return CL.key_length_filter(docs, "source", 4)
+
+
+@query
+def probability_bins(spark: SparkSession, d: str) -> DataFrame:
+    """O-23: fixed 0.1-wide probability bins (closed top folded into bin 9), counts per model."""
+    s = FR.score(spark, d).withColumn("bin", S.fixed_bin("p1", 0.1, 0.0, top_bin=9))
+    return s.groupBy("model", "bin").agg(F.count(F.lit(1)).alias("n"))
+
+
+# ---------------------------------------------------------------- missing data on the indicator merge
+
+
+def _merged(spark: SparkSession, d: str) -> DataFrame:
+    return J.merge_all(FR.indicators(spark, d), how="full")
+
+
+IND_NUMERIC = [c for t in FR.EVENT_TYPES for c in (f"n_{t}", f"v_{t}")]
+
+
+@query
+def fill_missing(spark: SparkSession, d: str) -> DataFrame:
+    """O-29: fill numerics with 0 and text with "0"."""
+    return _round(CL.fill_missing(_merged(spark, d)))
+
+
+@query
+def drop_incomplete(spark: SparkSession, d: str) -> DataFrame:
+    """O-30: ``na.omit``."""
+    return _round(CL.drop_incomplete(_merged(spark, d)))
+
+
+@query
+def missing_profile(spark: SparkSession, d: str) -> DataFrame:
+    """O-34: share missing per column and overall."""
+    return _round(CL.missing_profile(_merged(spark, d)))
+
+
+@query
+def roughfix_impute(spark: SparkSession, d: str) -> DataFrame:
+    """O-33: median for numerics (as R numeric), most frequent value for text."""
+    m = _merged(spark, d)
+    m = m.select("user_id", *[F.col(c).cast("double").alias(c) for c in IND_NUMERIC], "tier")
+    return _round(CL.roughfix_impute(m, IND_NUMERIC, ["tier"]))
+
+
+@query
+def null_policy_sum(spark: SparkSession, d: str) -> DataFrame:
+    """O-32: sums with NA skipped vs NA propagated."""
+    return _round(CL.null_policy_sum(_merged(spark, d), IND_NUMERIC))
+
+
+# ---------------------------------------------------------------- joins
+
+
+@query
+def label_backfill(spark: SparkSession, d: str) -> DataFrame:
+    """O-3/O-31/O-37: positive-only list (toxic docs) backfilled to 0/1, counts by language."""
+    docs = read_table(spark, d, "documents").select("doc_id", "lang")
+    pos = read_table(spark, d, "labels").filter(F.col("toxic") == 1)
+    labelled = J.label_backfill(docs, pos, ["doc_id"], "toxic")
+    return labelled.groupBy("lang", "toxic").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def natural_inner(spark: SparkSession, d: str) -> DataFrame:
+    """O-35: natural inner join on all common columns (custkey)."""
+    return _round(J.merge(FR.area(spark, d), FR.years(spark, d), how="inner"))
+
+
+@query
+def composite_join(spark: SparkSession, d: str) -> DataFrame:
+    """O-36: join two aggregates on a two-column key; both sides share the
+    aggregate's hash partitioning, so the join adds no exchange."""
+    li = read_table(spark, d, "lineitem")
+    keys = ["l_orderkey", "l_returnflag"]
+    qty = li.groupBy(*keys).agg(F.sum("l_quantity").alias("qty"))
+    price = li.groupBy(*keys).agg(F.max("l_extendedprice").alias("max_price"))
+    return _round(J.merge(qty, price, on=keys, how="inner"))
+
+
+@query
+def outer_merge_n(spark: SparkSession, d: str) -> DataFrame:
+    """O-38: five indicator tables, full outer fold on the common key."""
+    return _round(J.merge_all(FR.indicators(spark, d), how="full"))
+
+
+@query
+def outer_merge_union(spark: SparkSession, d: str) -> DataFrame:
+    """O-38: the same result from one union + one aggregate (keys unique per table)."""
+    return _round(J.merge_all_union(FR.indicators(spark, d), ["user_id"]))
+
+
+@query
+def prepare_indicators(spark: SparkSession, d: str) -> DataFrame:
+    """O-78: merge -> valid keys -> casts -> fill -> omit -> z-score, one lazy plan."""
+    m = J.merge_all_union(FR.indicators(spark, d), ["user_id"])
+    m = m.filter(F.col("user_id").isNotNull())
+    m = m.select(
+        S.to_text("user_id").alias("user_id"),
+        *[F.col(c).cast("double").alias(c) for c in IND_NUMERIC],
+        F.col("tier").cast("string").alias("tier"),
+    )
+    m = CL.drop_incomplete(CL.fill_missing(m))
+    return _round(ST.zscore(m, IND_NUMERIC))
+
+
+# ---------------------------------------------------------------- statistics
+
+
+@query
+def zscore(spark: SparkSession, d: str) -> DataFrame:
+    """O-58/O-39: z-score measures in place (sample sd), keys untouched."""
+    li = read_table(spark, d, "lineitem").select(*FR.LKEY, "l_quantity", "l_discount", "l_tax")
+    return _round(ST.zscore(li, ["l_quantity", "l_discount", "l_tax"]))
+
+
+@query
+def zscore_two_period(spark: SparkSession, d: str) -> DataFrame:
+    """O-58: early and late periods each standardised on their own statistics."""
+    cols = ["l_quantity", "l_discount", "l_tax"]
+    out = []
+    for period in ("early", "late"):
+        li = FR.lineitem_period(spark, d, period).select(*FR.LKEY, *cols)
+        out.append(ST.zscore(li, cols).withColumn("period", F.lit(period)))
+    return _round(out[0].unionByName(out[1]))
+
+
+@query
+def trend_smooth(spark: SparkSession, d: str) -> DataFrame:
+    """O-57/O-26: loess trend of price on size, 80 grid points, span 0.75."""
+    part = read_table(spark, d, "part")
+    return _round(ST.loess_trend(part, "p_size", "p_retailprice", span=0.75, points=80))
+
+
+# ---------------------------------------------------------------- windows, ranking, evaluation
+
+
+@query
+def decile_assign(spark: SparkSession, d: str) -> DataFrame:
+    """O-45: ntile(10) by descending score per model, unique five-column tie key."""
+    s = FR.score(spark, d).select("model", *FR.LKEY, "p1")
+    return EV.decile_assign(s, "p1", FR.LKEY).select("model", *FR.LKEY, "bin")
+
+
+@query
+def running_share(spark: SparkSession, d: str) -> DataFrame:
+    """O-46/O-47: share of positives per probability bin and its running total."""
+    s = FR.score(spark, d).withColumn("bin", S.fixed_bin("p1", 0.1, 0.0, top_bin=9))
+    per_bin = s.groupBy("model", "bin").agg(F.sum("y").cast("long").alias("positives"))
+    shared = W.share_of_total(per_bin, "positives", "share", ["model"])
+    return _round(W.running_sum(shared, "share", "bin", "cum_share", ["model"]))
+
+
+@query
+def lift_deciles(spark: SparkSession, d: str) -> DataFrame:
+    """O-75/O-56: cumulative gain per model plus the base line."""
+    return _round(EV.lift_table(FR.score(spark, d), "y", "p1", FR.LKEY))
+
+
+@query
+def top_scored(spark: SparkSession, d: str) -> DataFrame:
+    """O-48: top 100 scored rows (limit is the feature), unique tie order."""
+    s = FR.score(spark, d).select("model", *FR.LKEY, "p1")
+    order = [F.col("p1").desc(), *[F.col(k).asc() for k in FR.LKEY], F.col("model").asc()]
+    return _round(SO.top_k(s, order, 100))
+
+
+@query
+def distinct_rows(spark: SparkSession, d: str) -> DataFrame:
+    """O-52: distinct (model, class, status) keys."""
+    return SO.distinct_rows(FR.score(spark, d), ["model", "prediction", "l_linestatus"])
+
+
+@query
+def reorder_by_mean(spark: SparkSession, d: str) -> DataFrame:
+    """O-50: order priorities by mean order value."""
+    o = read_table(spark, d, "orders")
+    return _round(SO.reorder_by_mean(o, "o_orderpriority", "o_totalprice"))
+
+
+@query
+def melt_default(spark: SparkSession, d: str) -> DataFrame:
+    """O-53: wide aggregate to long; ids default to the non-numeric columns."""
+    li = read_table(spark, d, "lineitem")
+    wide = li.groupBy("l_returnflag", "l_linestatus").agg(
+        F.sum("l_quantity").alias("sum_qty"),
+        F.avg("l_discount").alias("avg_disc"),
+        F.count(F.lit(1)).alias("n"),
+    )
+    return _round(P.to_long(wide))
+
+
+@query
+def melt_ids(spark: SparkSession, d: str) -> DataFrame:
+    """O-54: wide aggregate to long with explicit ids."""
+    a = FR.area(spark, d)
+    wide = a.groupBy("Metro").agg(
+        F.avg("c_acctbal").alias("mean_balance"),
+        F.sum("flag").cast("long").alias("negatives"),
+        F.count(F.lit(1)).alias("customers"),
+    )
+    return _round(P.to_long(wide, ids=["Metro"]))
+
+
+def _cohort_input(spark: SparkSession, d: str) -> DataFrame:
+    return FR.years(spark, d).join(FR.area(spark, d).select("custkey", "flag"), "custkey", "inner")
+
+
+@query
+def cohort_change(spark: SparkSession, d: str) -> DataFrame:
+    """O-60/O-51: cohorts by sign of pop2000 - pop1996 x flag, tallied."""
+    return SO.cohort_change(_cohort_input(spark, d), "pop2000", "pop1996", "flag")
+
+
+@query
+def cohort_change_legacy(spark: SparkSession, d: str) -> DataFrame:
+    """O-60 quirk: the no-flag loss cohort filters ``net > 0`` as in the reference."""
+    return SO.cohort_change(_cohort_input(spark, d), "pop2000", "pop1996", "flag", legacy_labels=True)
+
+
+@query
+def auc_hard(spark: SparkSession, d: str) -> DataFrame:
+    """O-73: AUC of hard predictions, x100."""
+    return _round(EV.auc_hard(FR.score(spark, d), "y", "prediction"))
+
+
+@query
+def auc_ranked(spark: SparkSession, d: str) -> DataFrame:
+    """O-73: exact AUC of the scores with tie-averaged ranks, x100."""
+    return _round(EV.auc_ranked(FR.score(spark, d), "y", "p1"))
+
+
+@query
+def accuracy_cutpoint(spark: SparkSession, d: str) -> DataFrame:
+    """O-74/O-14: accuracy at cutpoint 0.5, x100."""
+    return _round(EV.accuracy(FR.score(spark, d), "y", "p1", 0.5))
+
+
+@query
+def metrics_long(spark: SparkSession, d: str) -> DataFrame:
+    """O-76: model x (AUC, Accuracy), long."""
+    return _round(EV.metrics_long(FR.score(spark, d), "y", "prediction"))
+
+
+@query
+def hash_split(spark: SparkSession, d: str) -> DataFrame:
+    """O-62: deterministic 75/25 split from the line key, counts per part."""
+    li = read_table(spark, d, "lineitem")
+    split = ML.hash_split(li, FR.LKEY, 0.25)
+    return split.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def scored_export(spark: SparkSession, d: str) -> DataFrame:
+    """O-6: scored rows joined with their order, with a global row index F1."""
+    s = _qty_scores(spark, d)
+    o = read_table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderpriority")
+    j = s.join(o, s.l_orderkey == o.o_orderkey, "inner").select(
+        *FR.LKEY, "o_custkey", "o_orderpriority", "y", "p1", "prediction"
+    )
+    return _round(with_row_index(j, FR.LKEY, "F1"))

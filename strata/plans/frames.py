@@ -56,12 +56,17 @@ def years(spark: SparkSession, d: str, first: int = FIRST_YEAR, last: int = LAST
     )
 
 
-def score(spark: SparkSession, d: str) -> DataFrame:
-    """Two rule scores from one scan: ``inline`` of a two-element array, not a union of two scans."""
+RULE_SCORES = {
+    "qty": lambda: F.col("l_quantity") / F.lit(50.0),
+    "price": lambda: F.least(F.col("l_extendedprice") / F.lit(105000.0), F.lit(1.0)),
+}
+
+
+def score(spark: SparkSession, d: str, models: tuple[str, ...] = ("qty", "price")) -> DataFrame:
+    """Rule scores stacked by model from one scan: ``inline`` of an array of
+    (model, p1) structs, not a union of one scan per model."""
     li = read_table(spark, d, "lineitem")
-    qty = F.col("l_quantity") / F.lit(50.0)
-    price = F.least(F.col("l_extendedprice") / F.lit(105000.0), F.lit(1.0))
-    scored = li.select(
+    base = [
         *LKEY,
         "l_quantity",
         "l_discount",
@@ -69,13 +74,13 @@ def score(spark: SparkSession, d: str) -> DataFrame:
         "l_returnflag",
         "l_linestatus",
         (F.col("l_returnflag") == "R").cast("int").alias("y"),
-        F.inline(
-            F.array(
-                F.struct(F.lit("qty").alias("model"), qty.alias("p1")),
-                F.struct(F.lit("price").alias("model"), price.alias("p1")),
-            )
-        ),
-    )
+    ]
+    if len(models) == 1:
+        m = models[0]
+        scored = li.select(*base, F.lit(m).alias("model"), RULE_SCORES[m]().alias("p1"))
+    else:
+        pairs = [F.struct(F.lit(m).alias("model"), RULE_SCORES[m]().alias("p1")) for m in models]
+        scored = li.select(*base, F.inline(F.array(*pairs)))
     return scored.withColumn("prediction", binarise("p1", 0.5))
 
 
