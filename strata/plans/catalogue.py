@@ -502,3 +502,102 @@ def scored_export(spark: SparkSession, d: str) -> DataFrame:
         *FR.LKEY, "o_custkey", "o_orderpriority", "y", "p1", "prediction"
     )
     return _round(with_row_index(j, FR.LKEY, "F1"))
+
+
+# ---------------------------------------------------------------- machine learning (rows-only checks)
+
+ML_SPEC = ML.FeatureSpec(
+    label="y",
+    numeric=["l_quantity", "l_extendedprice", "l_discount", "l_tax"],
+    categorical=["l_linestatus"],
+)
+
+
+def _ml_table(spark: SparkSession, d: str) -> DataFrame:
+    li = read_table(spark, d, "lineitem")
+    return li.select(*FR.LKEY, *[c for c in ML_SPEC.columns if c not in FR.LKEY], (F.col("l_returnflag") == "R").cast("int").alias("y"))
+
+
+def _ml_split(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Hash split of the model table; the training side is checkpointed because
+    every estimator passes over it many times."""
+    t = ML.hash_split(_ml_table(spark, d), FR.LKEY, 0.25)
+    train = ML.materialize(t.filter(F.col("part") == "training").drop("part"))
+    test = t.filter(F.col("part") == "test").drop("part")
+    return train, test
+
+
+def _one_model(name: str) -> Query:
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        train, test = _ml_split(spark, d)
+        model = ML.fit(ML.estimators()[name], train, ML_SPEC)
+        return _round(ML.score(model, test, ML_SPEC, FR.LKEY, name))
+
+    return run
+
+
+QUERIES["model_logistic"] = _one_model("Logistic")
+QUERIES["model_tree"] = _one_model("Decision Tree")
+QUERIES["model_forest"] = _one_model("Random Forest")
+QUERIES["model_gbt"] = _one_model("Gradient Boosted Trees")
+
+
+@query
+def score_table(spark: SparkSession, d: str) -> DataFrame:
+    """O-67/O-48: logistic scores of the hold-out rows, most likely positives first."""
+    train, test = _ml_split(spark, d)
+    model = ML.fit(ML.estimators()["Logistic"], train, ML_SPEC)
+    scored = ML.score(model, test, ML_SPEC, [*FR.LKEY, "l_linestatus"], "Logistic")
+    return _round(scored.orderBy(F.col("probability_1").desc(), *FR.LKEY))
+
+
+@query
+def model_scores_long(spark: SparkSession, d: str) -> DataFrame:
+    """O-68/O-88: all four models scored on the hold-out rows, one long table."""
+    train, test = _ml_split(spark, d)
+    models = ML.fit_all(train, ML_SPEC)
+    return _round(ML.score_all(models, test, ML_SPEC, FR.LKEY))
+
+
+@query
+def feature_importance(spark: SparkSession, d: str) -> DataFrame:
+    """O-69/O-49/O-21: decision-tree importances per source column, ranked, with cumulative share."""
+    train, _ = _ml_split(spark, d)
+    model = ML.fit(ML.estimators()["Decision Tree"], train, ML_SPEC)
+    return _round(ML.importance_frame(spark, ML.feature_importance(model, train, ML_SPEC)))
+
+
+@query
+def permutation_importance(spark: SparkSession, d: str) -> DataFrame:
+    """O-70: forest hold-out accuracy drop per permuted feature."""
+    train, test = _ml_split(spark, d)
+    model = ML.fit(ML.estimators()["Random Forest"], train, ML_SPEC)
+    return _round(ML.permutation_importance(model, test, ML_SPEC, FR.LKEY))
+
+
+@query
+def forest_error_curve(spark: SparkSession, d: str) -> DataFrame:
+    """O-71: hold-out error for 1 … 100 trees."""
+    train, test = _ml_split(spark, d)
+    return _round(ML.forest_error_curve(train, test, ML_SPEC))
+
+
+@query
+def refit_top_features(spark: SparkSession, d: str) -> DataFrame:
+    """O-72/O-76: keep the top-3 tree features, refit all four models, metrics long."""
+    train, test = _ml_split(spark, d)
+    tree = ML.fit(ML.estimators()["Decision Tree"], train, ML_SPEC)
+    top = ML.select_features(ML.feature_importance(tree, train, ML_SPEC), 3)
+    spec = ML_SPEC.only(top)
+    scored = ML.score_all(ML.fit_all(train, spec), test, spec, FR.LKEY)
+    return _round(EV.metrics_long(scored, "y", "prediction"))
+
+
+@query
+def two_period_score(spark: SparkSession, d: str) -> DataFrame:
+    """O-77: fit on the whole early period, score the late period."""
+    cols = [*FR.LKEY, *[c for c in ML_SPEC.columns if c not in FR.LKEY]]
+    early = FR.lineitem_period(spark, d, "early").select(*cols, (F.col("l_returnflag") == "R").cast("int").alias("y"))
+    late = FR.lineitem_period(spark, d, "late").select(*cols, (F.col("l_returnflag") == "R").cast("int").alias("y"))
+    model = ML.fit(ML.estimators()["Logistic"], ML.materialize(early), ML_SPEC)
+    return _round(ML.score(model, late, ML_SPEC, FR.LKEY, "Logistic"))
