@@ -38,6 +38,7 @@ from strata.session import checkpoint_dir
 SEED = 123
 _MOD = 2147483647  # 2^31 - 1
 _MUL = 1000003
+_MIX = 1103515245
 
 
 def key_hash(cols: Sequence[str]):
@@ -51,7 +52,8 @@ def key_hash(cols: Sequence[str]):
         v = F.col(c)
         v = F.round(v * 100).cast("long") if c.endswith("price") else v.cast("long")
         h = (h * F.lit(_MUL) + F.pmod(v, F.lit(_MOD))) % F.lit(_MOD)
-    return h
+    # Final multiplicative mix: without it a single small key hashes to itself.
+    return ((h + F.lit(1)) * F.lit(_MIX)) % F.lit(_MOD)
 
 
 def hash_split(df: DataFrame, key_cols: Sequence[str], test_fraction: float = 0.25, out: str = "part") -> DataFrame:

@@ -390,7 +390,7 @@ def _key_hash_sql() -> str:
     for c in ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_extendedprice"]:
         v = f"CAST(ROUND({c} * 100) AS BIGINT)" if c.endswith("price") else f"CAST({c} AS BIGINT)"
         h = f"(({h}) * 1000003 + ((({v}) % 2147483647) + 2147483647) % 2147483647) % 2147483647"
-    return h
+    return f"((({h}) + 1) * 1103515245) % 2147483647"
 
 
 ORACLE["hash_split"] = f"""
