@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, FloatType, NumericType, StringType
@@ -109,9 +110,8 @@ def exact_medians(df: DataFrame, columns: Sequence[str]) -> DataFrame:
             F.array(*[F.struct(F.lit(c).alias("variable"), F.col(c).cast("double").alias("value")) for c in columns])
         )
     ).filter(F.col("value").isNotNull() & ~F.isnan("value"))
-    ranked = with_row_number(long, ["value"], ["variable"], out="rn", split_ties=True)
-    sizes = long.groupBy("variable").agg(F.count(F.lit(1)).alias("n"))
-    mid = ranked.join(F.broadcast(sizes), "variable").filter(
+    ranked = with_row_number(long, ["value"], ["variable"], out="rn", split_ties=True, size_col="n")
+    mid = ranked.filter(
         (F.col("rn") == F.floor((F.col("n") + 1) / 2)) | (F.col("rn") == F.ceil((F.col("n") + 1) / 2))
     )
     return mid.groupBy("variable").agg(F.avg("value").alias("median"))
@@ -141,12 +141,18 @@ def fit_roughfix(df: DataFrame, numeric: Sequence[str], categorical: Sequence[st
     """Fit the imputer: one small job for medians, one for modes; the fitted
     values (one per column) come back to the driver, like any Spark ML model."""
     fill: dict = {c: None for c in [*numeric, *categorical]}
-    if numeric:
-        for row in exact_medians(df, numeric).collect():
-            fill[row["variable"]] = row["median"]
-    if categorical:
-        for row in modes(df, categorical).collect():
-            fill[row["variable"]] = row["mode"]
+    # The fit runs a few jobs over the same input: keep it (memory, spilling
+    # to disk) for their duration only.
+    cached = df.select(*numeric, *categorical).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        if numeric:
+            for row in exact_medians(cached, numeric).collect():
+                fill[row["variable"]] = row["median"]
+        if categorical:
+            for row in modes(cached, categorical).collect():
+                fill[row["variable"]] = row["mode"]
+    finally:
+        cached.unpersist()
     return RoughFix(fill)
 
 

@@ -46,9 +46,13 @@ def with_row_number(
     out: str = "rn",
     num_partitions: int | None = None,
     split_ties: bool = False,
+    size_col: str | None = None,
 ) -> DataFrame:
     """Add a 1-based ``out`` column = row_number within ``partition_by`` in ``order_by`` order.
 
+    ``size_col`` also adds the group's row count, read from the same small
+    count table (no second pass over the data).
+
     ``split_ties`` appends the input record id to the sort key, so one value
     held by a third of all rows is spread over several range partitions
     instead of landing in one task. Use it when only the *value* at a rank
@@ -82,8 +86,9 @@ def with_row_number(
         F.count(F.lit(1)).alias("_cnt"), F.min("_pos").alias("_first")
     )
     before = Window.partitionBy(*parts).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    extra = [F.sum("_cnt").over(Window.partitionBy(*parts)).alias(size_col)] if size_col else []
     offsets = counts.select(
-        "_pid", *parts, "_first", F.coalesce(F.sum("_cnt").over(before), F.lit(0)).alias("_off")
+        "_pid", *parts, "_first", F.coalesce(F.sum("_cnt").over(before), F.lit(0)).alias("_off"), *extra
     )
     joined = ranged.join(F.broadcast(offsets), on=["_pid", *parts], how="inner")
     return joined.withColumn(out, F.col("_off") + F.col("_pos") - F.col("_first") + F.lit(1)).drop(
@@ -115,10 +120,7 @@ def ntile_by(
     parts = list(partition_by)
     if not parts:
         df, parts = df.withColumn("_all", F.lit(0)), ["_all"]
-    numbered = with_row_number(df, order_by, parts, out="_rn")
-    # One row per group; the helper is documented for a few large groups.
-    sizes = df.groupBy(*parts).agg(F.count(F.lit(1)).alias("_n"))
-    numbered = numbered.join(F.broadcast(sizes), on=parts, how="inner")
+    numbered = with_row_number(df, order_by, parts, out="_rn", size_col="_n")
     out_df = numbered.withColumn(out, ntile_from_row_number(F.col("_rn"), F.col("_n"), buckets))
     return out_df.drop("_rn", "_n", "_all")
 

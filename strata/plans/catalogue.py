@@ -254,7 +254,8 @@ def probability_bins(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _merged(spark: SparkSession, d: str) -> DataFrame:
-    return J.merge_all(FR.indicators(spark, d), how="full")
+    """The indicator merge; keys are unique per table, so the one-shuffle union form applies."""
+    return J.merge_all_union(FR.indicators(spark, d), ["user_id"])
 
 
 IND_NUMERIC = [c for t in FR.EVENT_TYPES for c in (f"n_{t}", f"v_{t}")]
