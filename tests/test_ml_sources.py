@@ -105,3 +105,17 @@ def test_export_scored_writes_index(spark):
     assert [(r.F1, r.k) for r in out.orderBy("F1").collect()] == [(1, 1), (2, 2), (3, 3)]
     back = spark.read.option("header", True).csv(os.path.join(d, "preds"))
     assert back.count() == 3 and back.columns[0] == "F1"
+
+
+def test_error_curve_last_point_equals_forest_error(spark):
+    df = ML.hash_split(_planted(spark, 1500), ["k"])
+    train = df.filter("part = 'training'")
+    test = df.filter("part = 'test'")
+    curve = {r.trees: r.error for r in ML.forest_error_curve(train, test, SPEC, grid=(1, 3, 7)).collect()}
+    assert set(curve) == {1, 3, 7}
+    from pyspark.ml.classification import RandomForestClassifier
+
+    forest = ML.fit(RandomForestClassifier(numTrees=7, seed=ML.SEED, featuresCol="features", labelCol="label"), train, SPEC)
+    scored = forest.transform(ML.with_label(test, SPEC))
+    err = scored.agg(F.avg((F.col("prediction") != F.col("label")).cast("double"))).first()[0]
+    assert abs(curve[7] - err) < 1e-12
