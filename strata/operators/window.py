@@ -138,14 +138,20 @@ def running_sum(df: DataFrame, value: str, order_by: str, out: str, partition_by
 
 
 def group_totals_window(
-    df: DataFrame, groups: Sequence[str], sums: dict[str, str]
+    df: DataFrame, groups: Sequence[str], sums: dict[str, str], count_name: str | None = None
 ) -> DataFrame:
-    """Literal O-44: attach group totals to each row with a window, then de-duplicate.
-
-    Kept for parity with ``mutate`` under ``group_by`` + ``unique``; the
-    aggregate form in ``operators.profile.group_totals`` is the efficient one
-    (one partial/final hash aggregate instead of a sort-based window).
+    """O-44 literal form: group totals attached to each row (``mutate`` under
+    ``group_by``), then de-duplicated (``unique``).
+
+    Not written as ``sum().over(partitionBy(g))``: a window puts every row of
+    a group into one task, so a group holding a third of the data would be
+    one task. The same rows come from a partial/final aggregate joined back on
+    the group keys (one row per group, broadcast by AQE when small; the skew
+    join split applies otherwise) followed by a map-side-combined distinct.
     """
-    w = Window.partitionBy(*groups)
-    attached = df.select(*groups, *[F.sum(src).over(w).alias(name) for name, src in sums.items()])
+    aggs = [F.sum(src).alias(name) for name, src in sums.items()]
+    if count_name:
+        aggs.append(F.count(F.lit(1)).alias(count_name))
+    totals = df.groupBy(*groups).agg(*aggs)
+    attached = df.select(*groups).join(totals, on=list(groups), how="inner")
     return attached.distinct()

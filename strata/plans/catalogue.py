@@ -56,8 +56,18 @@ def group_mean_profile(spark: SparkSession, d: str) -> DataFrame:
     """O-40/O-80: AREA joined to orders, mean balance and order value by Metro, long."""
     a = FR.area(spark, d)
     o = read_table(spark, d, "orders")
-    j = a.join(o, a.custkey == o.o_custkey, "inner")
-    return _round(P.profile(j, ["Metro"], ["c_acctbal", "o_totalprice"], how="mean"))
+    # Pre-aggregate orders per customer (map-side combined) so the join moves
+    # one row per customer, not one per order; the means over order rows are
+    # then weighted by each customer's order count.
+    per_cust = o.groupBy(F.col("o_custkey").alias("custkey")).agg(
+        F.count(F.lit(1)).alias("_n"), F.sum("o_totalprice").alias("_s")
+    )
+    j = a.join(per_cust, "custkey", "inner")
+    wide = j.groupBy("Metro").agg(
+        (F.sum(F.col("c_acctbal") * F.col("_n")) / F.sum("_n")).alias("c_acctbal"),
+        (F.sum("_s") / F.sum("_n")).alias("o_totalprice"),
+    )
+    return _round(P.to_long(wide, ids=["Metro"]))
 
 
 TOPICS = {
@@ -155,15 +165,10 @@ def density_by_group(spark: SparkSession, d: str) -> DataFrame:
 def density_window(spark: SparkSession, d: str) -> DataFrame:
     """O-44 literal window form incl. the reference quirk (density summed over the group's rows)."""
     part = read_table(spark, d, "part")
-    w = Window.partitionBy("p_brand", "p_type")
-    t = part.select(
-        "p_brand",
-        "p_type",
-        F.sum("p_size").over(w).alias("area"),
-        F.sum("p_retailprice").over(w).alias("pop"),
-    )
-    t = t.withColumn("density", F.sum(F.col("pop") / F.col("area")).over(w))
-    return _round(t.distinct())
+    t = W.group_totals_window(part, ["p_brand", "p_type"], {"area": "p_size", "pop": "p_retailprice"}, "_rows")
+    # Quirk: the reference sums the (already constant) ratio over the group's rows.
+    t = t.withColumn("density", F.col("_rows") * F.try_divide(F.col("pop"), F.col("area"))).drop("_rows")
+    return _round(t)
 
 
 @query
@@ -373,7 +378,7 @@ def zscore_two_period(spark: SparkSession, d: str) -> DataFrame:
 def trend_smooth(spark: SparkSession, d: str) -> DataFrame:
     """O-57/O-26: loess trend of price on size, 80 grid points, span 0.75."""
     part = read_table(spark, d, "part")
-    return _round(ST.loess_trend(part, "p_size", "p_retailprice", span=0.75, points=80))
+    return _round(ST.loess_trend(part, "p_size", "p_retailprice", span=0.75, points=80, xlim=(5, 45)))
 
 
 # ---------------------------------------------------------------- windows, ranking, evaluation
@@ -524,7 +529,8 @@ def _ml_split(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     every estimator passes over it many times."""
     t = ML.hash_split(_ml_table(spark, d), FR.LKEY, 0.25)
     train = ML.materialize(t.filter(F.col("part") == "training").drop("part"))
-    test = t.filter(F.col("part") == "test").drop("part")
+    # The hold-out rows are scored by several models (and permuted copies).
+    test = ML.materialize(t.filter(F.col("part") == "test").drop("part"))
     return train, test
 
 
@@ -570,10 +576,13 @@ def feature_importance(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def permutation_importance(spark: SparkSession, d: str) -> DataFrame:
-    """O-70: forest hold-out accuracy drop per permuted feature."""
+    """O-70: forest importances — mean decrease in impurity (Gini) next to the
+    hold-out accuracy drop when the feature is permuted."""
     train, test = _ml_split(spark, d)
     model = ML.fit(ML.estimators()["Random Forest"], train, ML_SPEC)
-    return _round(ML.permutation_importance(model, test, ML_SPEC, FR.LKEY))
+    gini = spark.createDataFrame(ML.feature_importance(model, train, ML_SPEC), "feature string, gini double")
+    perm = ML.permutation_importance(model, test, ML_SPEC, FR.LKEY)
+    return _round(gini.join(perm, "feature", "inner"))
 
 
 @query

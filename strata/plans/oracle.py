@@ -289,7 +289,7 @@ ORACLE["zscore_two_period"] = "\nUNION ALL\n".join(
 
 ORACLE["trend_smooth"] = f"""
 WITH pts AS (SELECT CAST(p_size AS DOUBLE) AS x, CAST(p_retailprice AS DOUBLE) AS y FROM part
-             WHERE p_size IS NOT NULL AND p_retailprice IS NOT NULL),
+             WHERE p_size IS NOT NULL AND p_retailprice IS NOT NULL AND CAST(p_size AS DOUBLE) BETWEEN 5 AND 45),
 st AS (SELECT MIN(x) AS lo, MAX(x) AS hi, COUNT(*) AS n FROM pts),
 grid AS (SELECT g, lo + CAST(g AS DOUBLE) * ((hi - lo) / 79.0) AS gx,
                 GREATEST(CAST(FLOOR(0.75 * n) AS BIGINT), 1) AS q
