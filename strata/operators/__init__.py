@@ -1,0 +1 @@
+"""DataFrame -> DataFrame operators (see README for the operator map)."""

@@ -1,0 +1 @@
+"""Query catalogue on the test tables and its SQL oracles."""

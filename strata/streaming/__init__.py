@@ -1,0 +1,9 @@
+"""Streaming: intentionally empty.
+
+The reference workload has no stream source, watermark, event-time window,
+state or late-data handling; every input is a finished table. All operators
+in ``strata.operators`` are plain DataFrame transformations, so the
+stateless ones (projections, filters, recodes, scoring with a fitted
+``PipelineModel``) also apply unchanged to a streaming DataFrame; nothing
+here adds stream-only operators the reference does not have.
+"""
