@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strata.operators.window import with_row_number
@@ -57,6 +57,11 @@ def zscore(df: DataFrame, columns: Sequence[str], fit_on: DataFrame | None = Non
     return fit_standardizer(fit_on if fit_on is not None else df, columns, constant).transform(df)
 
 
+# Above this many distinct x values the per-grid-point window would hold too
+# many rows in one task; the row-level range-partitioned path is used instead.
+MAX_DISTINCT_X_FOR_WINDOW = 1_000_000
+
+
 def loess_trend(
     df: DataFrame,
     x: str,
@@ -73,11 +78,15 @@ def loess_trend(
     d < h; the weighted least-squares quadratic in (x - g) is solved in closed
     form from nine weighted moments, and its intercept is the fitted value.
 
-    Distribution: rows outside ``xlim``/``ylim`` are dropped first (O-26). Each
-    row is paired with the fixed ``points`` grid values by generating them in
-    the row (work is points x n, linear in the data, no join); h_g comes from
-    the range-partitioned row-number helper per grid point; the moments are
-    one partial/final hash aggregate with ``points`` groups.
+    Distribution: rows outside ``xlim``/``ylim`` are dropped first (O-26).
+    Weights depend on x only, so the data is first reduced to one row per
+    distinct x (count, sum of y) by a partial/final hash aggregate. When the
+    number of distinct x is bounded (checked), each grid point's bandwidth
+    comes from a running count over its <= MAX_DISTINCT_X_FOR_WINDOW rows;
+    otherwise every row is paired with the grid and ranked with the
+    range-partitioned row-number helper. Pairing generates the fixed
+    ``points`` grid values inside each row (linear work, no join); the
+    moments are one aggregate with ``points`` groups.
     """
     data = df.select(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
     data = data.filter(F.col("x").isNotNull() & F.col("y").isNotNull())
@@ -85,32 +94,51 @@ def loess_trend(
         data = data.filter(F.col("x").between(xlim[0], xlim[1]))
     if ylim:
         data = data.filter(F.col("y").between(ylim[0], ylim[1]))
-    stats = data.agg(F.min("x").alias("lo"), F.max("x").alias("hi"), F.count(F.lit(1)).alias("n")).first()
-    lo, hi, n = stats["lo"], stats["hi"], stats["n"]
+    by_x = data.groupBy("x").agg(F.count(F.lit(1)).alias("c"), F.sum("y").alias("sy"))
+    stats = by_x.agg(
+        F.min("x").alias("lo"), F.max("x").alias("hi"), F.sum("c").alias("n"), F.count(F.lit(1)).alias("m")
+    ).first()
+    lo, hi, n, m = stats["lo"], stats["hi"], stats["n"], stats["m"]
     if not n:
         return df.sparkSession.createDataFrame([], "g int, x double, fit double")
     q = max(int(span * n), 1)
     step = (hi - lo) / (points - 1) if points > 1 else 0.0
     grid_x = F.lit(lo) + F.col("g").cast("double") * F.lit(step)
-    pairs = data.select(
-        F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("g"), "x", "y"
-    ).withColumn("dx", F.col("x") - grid_x).withColumn("d", F.abs(F.col("dx")))
-    ranked = with_row_number(pairs.select("g", "d"), ["d"], ["g"], out="rn", split_ties=True)
-    bandwidth = ranked.filter(F.col("rn") == q).select("g", F.col("d").alias("h"))
+
+    def paired(frame: DataFrame) -> DataFrame:
+        return (
+            frame.select(F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("g"), *frame.columns)
+            .withColumn("dx", F.col("x") - grid_x)
+            .withColumn("d", F.abs(F.col("dx")))
+        )
+
+    if m <= MAX_DISTINCT_X_FOR_WINDOW:
+        pairs = paired(by_x)
+        upto = Window.partitionBy("g").orderBy("d").rowsBetween(Window.unboundedPreceding, 0)
+        bandwidth = (
+            pairs.withColumn("cum", F.sum("c").over(upto))
+            .filter(F.col("cum") >= q)
+            .groupBy("g")
+            .agg(F.min("d").alias("h"))
+        )
+    else:
+        pairs = paired(data.select("x", F.lit(1).cast("long").alias("c"), F.col("y").alias("sy")))
+        ranked = with_row_number(pairs.select("g", "d"), ["d"], ["g"], out="rn", split_ties=True)
+        bandwidth = ranked.filter(F.col("rn") == q).select("g", F.col("d").alias("h"))
     # ``points`` rows by construction: safe to broadcast.
     w = pairs.join(F.broadcast(bandwidth), "g").withColumn(
         "w",
         F.when(F.col("d") < F.col("h"), F.pow(1 - F.pow(F.col("d") / F.col("h"), 3), 3)).otherwise(F.lit(0.0)),
     )
-    m = w.groupBy("g").agg(
-        *[F.sum(F.col("w") * F.pow(F.col("dx"), k)).alias(f"s{k}") for k in range(5)],
-        *[F.sum(F.col("w") * F.pow(F.col("dx"), k) * F.col("y")).alias(f"t{k}") for k in range(3)],
+    mom = w.groupBy("g").agg(
+        *[F.sum(F.col("c") * F.col("w") * F.pow(F.col("dx"), k)).alias(f"s{k}") for k in range(5)],
+        *[F.sum(F.col("w") * F.pow(F.col("dx"), k) * F.col("sy")).alias(f"t{k}") for k in range(3)],
     )
     s0, s1, s2, s3, s4 = (F.col(f"s{k}") for k in range(5))
     t0, t1, t2 = (F.col(f"t{k}") for k in range(3))
     det = s0 * (s2 * s4 - s3 * s3) - s1 * (s1 * s4 - s3 * s2) + s2 * (s1 * s3 - s2 * s2)
     num = t0 * (s2 * s4 - s3 * s3) - s1 * (t1 * s4 - s3 * t2) + s2 * (t1 * s3 - s2 * t2)
-    return m.select(
+    return mom.select(
         F.col("g").cast("int").alias("g"),
         grid_x.alias("x"),
         F.try_divide(num, det).alias("fit"),

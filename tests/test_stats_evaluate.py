@@ -107,3 +107,16 @@ def test_deciles_handle_n_not_divisible(spark):
     assert sizes == [3, 3, 3, 2, 2, 2, 2, 2, 2, 2]
     assert bins[22] == 1 and bins[0] == 10
     assert F is not None
+
+
+def test_loess_row_level_path_equals_distinct_path(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    x = rng.integers(1, 30, 200).astype(float)
+    y = np.sin(x / 5) + rng.normal(0, 0.1, 200)
+    df = spark.createDataFrame([(float(a), float(b)) for a, b in zip(x, y)], "x double, y double")
+    fast = {r.g: r.fit for r in ST.loess_trend(df, "x", "y", points=7).collect()}
+    monkeypatch.setattr(ST, "MAX_DISTINCT_X_FOR_WINDOW", 0)
+    slow = {r.g: r.fit for r in ST.loess_trend(df, "x", "y", points=7).collect()}
+    assert set(fast) == set(slow)
+    for g in fast:
+        assert abs(fast[g] - slow[g]) < 1e-9
