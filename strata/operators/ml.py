@@ -34,7 +34,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strata.session import checkpoint_dir
+from strata.session import checkpoint_dir, default_parallelism
 
 SEED = 123
 _MOD = 2147483647  # 2^31 - 1
@@ -125,8 +125,13 @@ def materialize(df: DataFrame) -> DataFrame:
     checkpoint folder so a lost executor re-reads files instead of re-running
     the scan and filters.
     """
-    checkpoint_dir(df.sparkSession)
-    n = max(df.sparkSession.sparkContext.defaultParallelism, df.rdd.getNumPartitions())
+    spark = df.sparkSession
+    checkpoint_dir(spark)
+    try:
+        current = df.rdd.getNumPartitions()  # planning only, no job
+    except Exception:  # noqa: BLE001 — Spark Connect has no RDD view
+        current = 0
+    n = max(default_parallelism(spark), current)
     return df.repartition(n).checkpoint(eager=True)
 
 
@@ -188,7 +193,8 @@ def feature_importance(model: PipelineModel, sample: DataFrame, spec: FeatureSpe
     """
     tree = model.stages[-1]
     vec = tree.featureImportances
-    meta = model.transform(with_label(sample.limit(1), spec)).schema["features"].metadata
+    # Reading the schema runs no job: the assembler's metadata is planned, not computed.
+    meta = model.transform(with_label(sample, spec)).schema["features"].metadata
     attrs = []
     for group in meta.get("ml_attr", {}).get("attrs", {}).values():
         attrs.extend(group)
@@ -228,23 +234,28 @@ def permuted_copies(df: DataFrame, spec: FeatureSpec, keys: Sequence[str], rows_
     Each feature's values are rotated by one position in key-hash order
     inside hash buckets of about ``rows_per_bucket`` rows (a cyclic ``lead``),
     which breaks the link between feature and label while keeping the
-    marginal distribution. Buckets bound the window's group size; no row is
-    dropped.
+    marginal distribution. All features are rotated in one window pass (one
+    shuffle on the bucket; buckets bound each window group), then each row
+    emits its per-feature copies through one ``inline``. No row is dropped.
     """
     n = df.count()
     buckets = max(1, -(-n // rows_per_bucket))
-    h = key_hash(keys)
-    base = df.withColumn("_h", h).withColumn("_b", F.pmod(F.col("_h"), F.lit(buckets)))
+    base = df.withColumn("_h", key_hash(keys)).withColumn("_b", F.pmod(F.col("_h"), F.lit(buckets)))
     w = Window.partitionBy("_b").orderBy("_h", *keys)
     w_all = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    copies = []
-    for feat in spec.columns:
-        rotated = F.coalesce(F.lead(feat, 1).over(w), F.first(feat).over(w_all))
-        copies.append(base.withColumn(feat, rotated).withColumn("feature", F.lit(feat)))
-    out = copies[0]
-    for c in copies[1:]:
-        out = out.unionByName(c)
-    return out.drop("_h", "_b")
+    feats = spec.columns
+    rotated = base.select(
+        *df.columns,
+        *[F.coalesce(F.lead(f, 1).over(w), F.first(f).over(w_all)).alias(f"_rot_{f}") for f in feats],
+    )
+    copies = [
+        F.struct(
+            F.lit(f).alias("feature"),
+            *[(F.col(f"_rot_{c}") if c == f else F.col(c)).alias(c) for c in df.columns],
+        )
+        for f in feats
+    ]
+    return rotated.select(F.inline(F.array(*copies)))
 
 
 def permutation_importance(

@@ -20,6 +20,14 @@ _DEFAULTS = {
 }
 
 
+def default_parallelism(spark: SparkSession) -> int:
+    """Cores available to the session (falls back to the shuffle partition count)."""
+    try:
+        return spark.sparkContext.defaultParallelism
+    except Exception:  # noqa: BLE001 — Spark Connect has no SparkContext
+        return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+
+
 def get_session(
     master: str | None = None,
     shuffle_partitions: int | None = None,
@@ -52,7 +60,10 @@ def checkpoint_dir(spark: SparkSession) -> str:
     do we create a scratch folder, so a job never writes lineage-cutting
     checkpoints to a machine-local path on a real cluster.
     """
-    sc = spark.sparkContext
+    try:
+        sc = spark.sparkContext
+    except Exception:  # noqa: BLE001 — Spark Connect: the server owns the checkpoint folder
+        return spark.conf.get("spark.checkpoint.dir", "") or ""
     current = sc.getCheckpointDir()
     if current:
         return current
