@@ -86,7 +86,7 @@ def score(spark: SparkSession, d: str, models: tuple[str, ...] = ("qty", "price"
 
 def lineitem_period(spark: SparkSession, d: str, period: str) -> DataFrame:
     li = read_table(spark, d, "lineitem")
-    cut = F.lit(PERIOD_CUT).cast("timestamp")
+    cut = F.lit(PERIOD_CUT).cast("timestamp_ntz")
     cond = F.col("l_shipdate") < cut if period == "early" else F.col("l_shipdate") >= cut
     return li.filter(cond)
 
