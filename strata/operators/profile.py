@@ -61,10 +61,13 @@ def aggregate_metrics(
     if len(metrics) <= MAX_AGGS_PER_STAGE:
         return df.groupBy(*groups).agg(*[_agg_expr(m, how, na_rm) for m in metrics])
     chunks = [metrics[i : i + MAX_AGGS_PER_STAGE] for i in range(0, len(metrics), MAX_AGGS_PER_STAGE)]
+    from strata.operators.joins import merge
+
     out = None
     for chunk in chunks:
         part = df.groupBy(*groups).agg(*[_agg_expr(m, how, na_rm) for m in chunk])
-        out = part if out is None else out.join(part, on=list(groups), how="full")
+        # Group keys are unique per chunk; a null group must meet its own chunks.
+        out = part if out is None else merge(out, part, on=list(groups), how="full", null_keys="match")
     return out
 
 

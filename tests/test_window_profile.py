@@ -106,3 +106,12 @@ def test_reorder_by_mean_and_top_k(spark):
     assert got == [("b", 1), ("c", 2), ("a", 3)]
     top = [r.v for r in SO.top_k(df, [F.col("v").desc()], 2).collect()]
     assert top == [5.0, 3.0]
+
+
+def test_wide_aggregate_in_chunks_keeps_null_group(spark, monkeypatch):
+    df = spark.createDataFrame([("a", 1.0, 2.0, 3.0), (None, 4.0, 5.0, 6.0), ("a", 1.0, 0.0, 1.0)], "g string, x double, y double, z double")
+    whole = {r.g: (r.x, r.y, r.z) for r in P.aggregate_metrics(df, ["g"], ["x", "y", "z"], "sum").collect()}
+    monkeypatch.setattr(P, "MAX_AGGS_PER_STAGE", 1)
+    rows = P.aggregate_metrics(df, ["g"], ["x", "y", "z"], "sum").collect()
+    assert len(rows) == 2
+    assert {r.g: (r.x, r.y, r.z) for r in rows} == whole == {"a": (2.0, 2.0, 4.0), None: (4.0, 5.0, 6.0)}
