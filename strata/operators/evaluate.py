@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strata.functions.scalar import binarise
-from strata.operators.window import ntile_by, with_row_number
+from strata.operators.window import ntile_by, running_sum, share_of_total, with_row_number
 
 
 def auc_hard(df: DataFrame, label: str, prediction: str, by: Sequence[str] = ("model",), scale: float = 100.0) -> DataFrame:
@@ -110,10 +110,10 @@ def lift_table(
     The base line is ``prop = (bin - 1) / (buckets - 1)`` — the reference's
     ``seq(0, 1, len = 10)`` — not ``bin / buckets``.
     """
-    bins = decile_assign(df, score, tie_key, [by], buckets)
+    # The helper checkpoints what it is given; prune first (no pruning through a checkpoint).
+    needed = list(dict.fromkeys([by, score, label, *tie_key]))
+    bins = decile_assign(df.select(*needed), score, tie_key, [by], buckets)
     per_bin = bins.groupBy(by, "bin").agg(F.sum(F.col(label).cast("long")).alias("count"))
-    from strata.operators.window import running_sum, share_of_total
-
     shared = share_of_total(per_bin, "count", "share", [by])
     gains = running_sum(shared, "share", "bin", "prop", [by]).select(by, "bin", "prop")
     if base_name is None:

@@ -184,6 +184,13 @@ def density_detail(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+@query
+def density_bins(spark: SparkSession, d: str) -> DataFrame:
+    """O-59/O-82 bounded form: price vs size scatter reduced to a 10 x 10 grid per part type."""
+    part = read_table(spark, d, "part")
+    return _round(ST.bin2d(part, "p_size", "p_retailprice", (10, 10), ["p_type"]))
+
+
 @query
 def recode_class(spark: SparkSession, d: str) -> DataFrame:
     """O-13: recode status codes to labels, unmatched codes unchanged."""

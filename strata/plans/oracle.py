@@ -159,6 +159,15 @@ SELECT p_partkey, COALESCE(p_type, 'NA') || '-' || COALESCE(p_brand, 'NA') AS cl
        {r('CASE WHEN p_size = 0 THEN NULL ELSE p_retailprice / p_size END')} AS density
 FROM part"""
 
+ORACLE["density_bins"] = f"""
+WITH st AS (SELECT MIN(p_size) AS x0, MAX(p_size) AS x1, MIN(p_retailprice) AS y0, MAX(p_retailprice) AS y1 FROM part)
+SELECT p_type,
+       CAST(LEAST(FLOOR((CAST(p_size AS DOUBLE) - CAST(x0 AS DOUBLE)) / CAST(x1 - x0 AS DOUBLE) * 10.0), 9) AS INTEGER) AS x_bin,
+       CAST(LEAST(FLOOR((p_retailprice - y0) / (y1 - y0) * 10.0), 9) AS INTEGER) AS y_bin,
+       COUNT(*) AS n, {r('AVG(p_size)')} AS x_mean, {r('AVG(p_retailprice)')} AS y_mean
+FROM part, st WHERE p_size IS NOT NULL AND p_retailprice IS NOT NULL
+GROUP BY ALL"""
+
 ORACLE["recode_class"] = """
 SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN 'Filled' WHEN o_orderstatus = 'O' THEN 'Open'
                         ELSE o_orderstatus END AS status

@@ -43,5 +43,9 @@ def test_union_merge_adds_no_exchange(spark):
 def test_sql_queries_run_small(spark):
     # Every SQL-checked query plans and runs on sf0.001 (the oracle comparison
     # itself is tools/oracle_check.py at sf0.01).
+    red_flags = ["BatchEvalPython", "ArrowEvalPython", "BroadcastNestedLoopJoin", "CartesianProduct"]
     for name in E.oracle_sql():
-        E.queries()[name](spark, SF_SMALL).collect()
+        df = E.queries()[name](spark, SF_SMALL)
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert not [f for f in red_flags if f in plan], name
+        df.collect()

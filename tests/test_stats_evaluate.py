@@ -120,3 +120,11 @@ def test_loess_row_level_path_equals_distinct_path(spark, monkeypatch):
     assert set(fast) == set(slow)
     for g in fast:
         assert abs(fast[g] - slow[g]) < 1e-9
+
+
+def test_bin2d_counts_every_row_once(spark):
+    rows = [(float(i % 10), float(i)) for i in range(100)]
+    df = spark.createDataFrame(rows, "x double, y double")
+    cells = ST.bin2d(df, "x", "y", (5, 4)).collect()
+    assert sum(r.n for r in cells) == 100
+    assert max(r.x_bin for r in cells) == 4 and max(r.y_bin for r in cells) == 3
