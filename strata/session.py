@@ -7,7 +7,7 @@ import tempfile
 
 from pyspark.sql import SparkSession
 
-# Settings every session gets unless the caller (or the cluster) already set them.
+# Settings every session built by get_session gets; ``extra`` overrides them.
 _DEFAULTS = {
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
