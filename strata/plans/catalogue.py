@@ -618,3 +618,18 @@ def two_period_score(spark: SparkSession, d: str) -> DataFrame:
     late = FR.lineitem_period(spark, d, "late").select(*cols, (F.col("l_returnflag") == "R").cast("int").alias("y"))
     model = ML.fit(ML.estimators()["Logistic"], ML.materialize(early), ML_SPEC)
     return _round(ML.score(model, late, ML_SPEC, FR.LKEY, "Logistic"))
+
+
+@query
+def predicted_class_profile(spark: SparkSession, d: str) -> DataFrame:
+    """O-77 -> O-84/O-85 end to end: fit on the early period, score the late
+    period, then publish mean measures by predicted class x line status
+    (composite ``class-status`` key, long form) — the results-chart dataset."""
+    cols = [*FR.LKEY, *[c for c in ML_SPEC.columns if c not in FR.LKEY]]
+    label = (F.col("l_returnflag") == "R").cast("int").alias("y")
+    early = FR.lineitem_period(spark, d, "early").select(*cols, label)
+    late = FR.lineitem_period(spark, d, "late").select(*cols, label)
+    model = ML.fit(ML.estimators()["Logistic"], ML.materialize(early), ML_SPEC)
+    scored = ML.score(model, late, ML_SPEC, [*FR.LKEY, "l_quantity", "l_discount", "l_tax", "l_linestatus"], "Logistic")
+    scored = scored.withColumn("pred", F.col("prediction").cast("int"))
+    return _round(P.profile(scored, ["pred", "l_linestatus"], FR.LINE_MEASURES, how="mean", key="class"))

@@ -119,3 +119,13 @@ def test_error_curve_last_point_equals_forest_error(spark):
     scored = forest.transform(ML.with_label(test, SPEC))
     err = scored.agg(F.avg((F.col("prediction") != F.col("label")).cast("double"))).first()[0]
     assert abs(curve[7] - err) < 1e-12
+
+
+def test_register_view_and_parquet_copy(spark):
+    from strata.sources import register_view, to_parquet_once
+
+    df = spark.createDataFrame([(1, "AL"), (2, "Total")], "k int, State string")
+    register_view(df, "areas_view")
+    assert spark.sql("SELECT count(*) AS n FROM areas_view WHERE length(State) <= 2").first().n == 1
+    out = to_parquet_once(df, os.path.join(tempfile.mkdtemp(prefix="strata-pq-"), "areas"))
+    assert sorted(r.k for r in spark.read.parquet(out).collect()) == [1, 2]
