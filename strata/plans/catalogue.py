@@ -266,8 +266,9 @@ def probability_bins(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _merged(spark: SparkSession, d: str) -> DataFrame:
-    """The indicator merge; keys are unique per table, so the one-shuffle union form applies."""
-    return J.merge_all_union(FR.indicators(spark, d), ["user_id"])
+    """The merged indicator table (one scan, one shuffle); equal to the outer
+    merge of the five indicator tables, which ``outer_merge_*`` exercise."""
+    return FR.indicators_wide(spark, d)
 
 
 IND_NUMERIC = [c for t in FR.EVENT_TYPES for c in (f"n_{t}", f"v_{t}")]

@@ -49,3 +49,18 @@ def test_sql_queries_run_small(spark):
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert not [f for f in red_flags if f in plan], name
         df.collect()
+
+
+def test_one_pass_indicator_table_equals_outer_merge(spark):
+    from strata.operators import joins as J
+    from strata.plans import frames as FR
+
+    merged = J.merge_all(FR.indicators(spark, SF_SMALL), how="full")
+    wide = FR.indicators_wide(spark, SF_SMALL)
+    cols = sorted(merged.columns)
+    assert sorted(wide.columns) == cols
+
+    def rows(df):
+        return {r.user_id: tuple(round(v, 6) if isinstance(v, float) else v for v in r) for r in df.select(*cols).collect()}
+
+    assert rows(wide) == rows(merged)
