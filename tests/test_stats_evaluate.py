@@ -128,3 +128,16 @@ def test_bin2d_counts_every_row_once(spark):
     cells = ST.bin2d(df, "x", "y", (5, 4)).collect()
     assert sum(r.n for r in cells) == 100
     assert max(r.x_bin for r in cells) == 4 and max(r.y_bin for r in cells) == 3
+
+
+def test_zscore_by_equals_separate_fits(spark):
+    rows = [("a", float(i), 5.0) for i in range(5)] + [("b", float(i * i), 1.0) for i in range(4)]
+    df = spark.createDataFrame(rows, "p string, x double, c double")
+    grouped = {(r.p, r.x is not None and round(r.x, 12)) for r in ST.zscore_by(df, ["x"], ["p"]).select("p", "x").collect()}
+    separate = set()
+    for p in ("a", "b"):
+        part = df.filter(F.col("p") == p)
+        separate |= {(r.p, round(r.x, 12)) for r in ST.zscore(part, ["x"]).select("p", "x").collect()}
+    assert grouped == separate
+    consts = [r.c for r in ST.zscore_by(df, ["c"], ["p"]).collect()]
+    assert all(math.isnan(v) for v in consts)
