@@ -293,11 +293,14 @@ def forest_error_curve(
     model = fit(RandomForestClassifier(numTrees=ntree, seed=seed, featuresCol="features", labelCol="label"), train, spec)
     encoding = PipelineModel(stages=model.stages[:-1])
     df = encoding.transform(with_label(test, spec)).select("features", "label")
-    for i, tree in enumerate(model.stages[-1].trees):
-        tree.setProbabilityCol(f"_prob{i}").setRawPredictionCol(f"_raw{i}").setPredictionCol(f"_pred{i}")
-        df = tree.transform(df).select(
-            *[c for c in df.columns], vector_to_array(f"_prob{i}")[1].alias(f"_q{i}")
-        )
+    trees = model.stages[-1].trees
+    # Each tree adds only its probability column (raw score and prediction
+    # outputs switched off), and one final projection reads them all: the plan
+    # grows by one node per tree instead of three, which keeps planning cheap.
+    for i, tree in enumerate(trees):
+        tree.setProbabilityCol(f"_prob{i}").setRawPredictionCol("").setPredictionCol("")
+        df = tree.transform(df)
+    df = df.select("label", *[vector_to_array(f"_prob{i}")[1].alias(f"_q{i}") for i in range(len(trees))])
     aggs = []
     for k in grid:
         votes = sum((F.col(f"_q{i}") for i in range(k)), F.lit(0.0))

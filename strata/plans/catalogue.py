@@ -536,12 +536,13 @@ def _ml_table(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _ml_split(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """Hash split of the model table; the training side is checkpointed because
-    every estimator passes over it many times."""
-    t = ML.hash_split(_ml_table(spark, d), FR.LKEY, 0.25)
-    train = ML.materialize(t.filter(F.col("part") == "training").drop("part"))
-    # The hold-out rows are scored by several models (and permuted copies).
-    test = ML.materialize(t.filter(F.col("part") == "test").drop("part"))
+    """Hash split of the model table, checkpointed once for both sides."""
+    # One scan, one rebalancing shuffle, one checkpoint for both sides: the
+    # training rows feed many passes and the hold-out rows are scored by
+    # several models (and permuted copies).
+    t = ML.materialize(ML.hash_split(_ml_table(spark, d), FR.LKEY, 0.25))
+    train = t.filter(F.col("part") == "training").drop("part")
+    test = t.filter(F.col("part") == "test").drop("part")
     return train, test
 
 
