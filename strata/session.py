@@ -73,7 +73,11 @@ def checkpoint_dir(spark: SparkSession) -> str:
         "spark.checkpoint.dir", None
     )
     if not configured:
-        # Unset: we are in a local test run, so a scratch folder is acceptable.
+        if not sc.master.startswith("local"):
+            # Executors cannot share a machine-local folder: refuse rather than
+            # write checkpoints nobody else can read back.
+            raise RuntimeError("set spark.checkpoint.dir to a folder shared by the cluster (HDFS, S3, …)")
+        # Unset in local mode (tests): a scratch folder on this machine is enough.
         configured = tempfile.mkdtemp(prefix="strata-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured
