@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strata.operators.window import with_row_number
+from strata.operators.window import bounded_broadcast, with_row_number
 
 
 @dataclass
@@ -93,9 +93,9 @@ def bin2d(
 def zscore_by(df: DataFrame, columns: Sequence[str], by: Sequence[str], constant: str = "nan") -> DataFrame:
     """Standardise each group (period, dataset) on its own mean and sample sd (O-58).
 
-    One aggregate gives one row of statistics per group; it is broadcast —
-    its size is the number of groups (periods), not the data — and every row
-    is scaled in one pass. The reference fits 2011 and 2015 separately; this
+    One aggregate gives one row of statistics per group; it is materialized,
+    measured and broadcast when small (its size is the number of groups, not
+    the data), and every row is scaled in one pass. The reference fits 2011 and 2015 separately; this
     does any number of periods without a scan per period.
     """
     aggs = []
@@ -103,7 +103,7 @@ def zscore_by(df: DataFrame, columns: Sequence[str], by: Sequence[str], constant
         aggs.append(F.avg(c).alias(f"_m_{c}"))
         aggs.append(F.stddev_samp(c).alias(f"_s_{c}"))
     stats = df.groupBy(*by).agg(*aggs)
-    joined = df.join(F.broadcast(stats), on=list(by), how="inner")
+    joined = df.join(bounded_broadcast(stats), on=list(by), how="inner")
     const = F.lit(float("nan") if constant == "nan" else 0.0)
     out = []
     for name in df.columns:

@@ -15,7 +15,8 @@ exported row index, local-regression bandwidths). A plain
    and positions are fixed once;
 5. a per-(partition, group) count table — at most partitions + groups rows,
    independent of the data size — gives each partition's offset through a
-   small window, and is broadcast back.
+   small window; it is materialized, measured, and broadcast back when
+   within ``MAX_BROADCAST_ROWS`` (else joined with a shuffle).
 
 The result equals ``row_number()`` over the same order (ties are broken
 arbitrarily, as ``row_number`` does; pass a unique tie key for a stable
@@ -90,12 +91,26 @@ def with_row_number(
     offsets = counts.select(
         "_pid", *parts, "_first", F.coalesce(F.sum("_cnt").over(before), F.lit(0)).alias("_off"), *extra
     )
-    joined = ranged.join(F.broadcast(offsets), on=["_pid", *parts], how="inner")
+    joined = ranged.join(bounded_broadcast(offsets), on=["_pid", *parts], how="inner")
     return joined.withColumn(out, F.col("_off") + F.col("_pos") - F.col("_first") + F.lit(1)).drop(
         "_pid", "_pos", "_first", "_off", "_tie"
     )
 
 
+# Largest side we broadcast after measuring it; beyond it a shuffle join is used.
+MAX_BROADCAST_ROWS = 1_000_000
+
+
+def bounded_broadcast(small: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
+    """Materialize a side expected to be small, measure it, and hint a broadcast
+    only when it has at most ``max_rows`` rows (else return it unhinted, so
+    the planner uses a shuffle join). The checkpoint makes the measured rows
+    exactly the rows that are joined."""
+    checkpoint_dir(small.sparkSession)
+    fixed = small.checkpoint(eager=True)
+    return F.broadcast(fixed) if fixed.limit(max_rows + 1).count() <= max_rows else fixed
+
+
 def ntile_from_row_number(rn: Column, n: Column, buckets: int) -> Column:
     """SQL ``ntile`` from a 1-based row number and the group size.
 

@@ -115,3 +115,12 @@ def test_wide_aggregate_in_chunks_keeps_null_group(spark, monkeypatch):
     rows = P.aggregate_metrics(df, ["g"], ["x", "y", "z"], "sum").collect()
     assert len(rows) == 2
     assert {r.g: (r.x, r.y, r.z) for r in rows} == whole == {"a": (2.0, 2.0, 4.0), None: (4.0, 5.0, 6.0)}
+
+
+def test_bounded_broadcast_falls_back_to_shuffle(spark):
+    big = spark.range(0, 50).withColumnRenamed("id", "k")
+    small = spark.range(0, 5).withColumnRenamed("id", "k")
+    hinted = big.join(W.bounded_broadcast(small, max_rows=10), "k")
+    plain = big.join(W.bounded_broadcast(big, max_rows=10), "k")
+    assert "BroadcastHashJoin" in hinted._jdf.queryExecution().executedPlan().toString()
+    assert hinted.count() == 5 and plain.count() == 50
