@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, FloatType, NumericType, StringType
 
-from strata.operators.window import with_row_number
+from strata.operators.window import bounded_broadcast, with_row_number
 
 
 def _is_missing(df: DataFrame, name: str) -> Column:
@@ -97,24 +97,74 @@ class RoughFix:
         return df.select(*cols)
 
 
-def exact_medians(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Exact median per column (R ``median``: mean of the two middle values), distributed.
-
-    Values are unpivoted to (variable, value), globally ranked per variable
-    with the range-partitioned row-number helper (ties split across
-    partitions, so a hot value does not pile into one task), and only the
-    one or two middle ranks are kept. No percentile buffer holds a column.
-    """
-    long = df.select(
+def _long_values(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    return df.select(
         F.inline(
             F.array(*[F.struct(F.lit(c).alias("variable"), F.col(c).cast("double").alias("value")) for c in columns])
         )
     ).filter(F.col("value").isNotNull() & ~F.isnan("value"))
-    ranked = with_row_number(long, ["value"], ["variable"], out="rn", split_ties=True, size_col="n")
-    mid = ranked.filter(
-        (F.col("rn") == F.floor((F.col("n") + 1) / 2)) | (F.col("rn") == F.ceil((F.col("n") + 1) / 2))
+
+
+def _middle(ranked: DataFrame, rank_col: str, offset: Column | None = None) -> DataFrame:
+    """Mean of the values at ranks floor((n+1)/2) and ceil((n+1)/2)."""
+    r = F.col(rank_col) + (offset if offset is not None else F.lit(0))
+    k1, k2 = F.floor((F.col("n") + 1) / 2), F.ceil((F.col("n") + 1) / 2)
+    return ranked.filter((r == k1) | (r == k2)).groupBy("variable").agg(F.avg("value").alias("median"))
+
+
+def exact_medians(
+    df: DataFrame, columns: Sequence[str], accuracy: int = 10_000, force_full: bool = False
+) -> DataFrame:
+    """Exact median per column (R ``median``: mean of the two middle values), distributed.
+
+    Exact selection without sorting whole columns:
+
+    1. one aggregate per column gives its count and, from the
+       ``percentile_approx`` sketch (rank error at most n / ``accuracy``), a
+       value band [lo, hi] around the middle ranks;
+    2. one aggregate counts the values below and inside the band;
+    3. only values inside the band (about 4 n / ``accuracy`` per column) are
+       ranked, with the range-partitioned row-number helper (ties split
+       across partitions, so a hot value does not pile into one task).
+
+    If the count check shows a band misses the middle ranks, that column falls
+    back to ranking all its values, so the answer is always exact
+    (``force_full`` takes that path for every column).
+    """
+    long = _long_values(df, columns)
+    eps = 2.0 / accuracy
+    sketch = long.groupBy("variable").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.percentile_approx("value", [max(0.0, 0.5 - eps), min(1.0, 0.5 + eps)], accuracy).alias("band"),
     )
-    return mid.groupBy("variable").agg(F.avg("value").alias("median"))
+    # One row per column: measured, then broadcast.
+    bands = bounded_broadcast(sketch.select("variable", "n", F.col("band")[0].alias("lo"), F.col("band")[1].alias("hi")))
+    tagged = long.join(bands, "variable")
+    in_band = F.col("value").between(F.col("lo"), F.col("hi"))
+    checks = tagged.groupBy("variable", "n").agg(
+        F.sum((F.col("value") < F.col("lo")).cast("long")).alias("below"),
+        F.sum(in_band.cast("long")).alias("inside"),
+    )
+    ok, fallback = [], []
+    for row in checks.collect():  # one row per column
+        k1, k2 = (row["n"] + 1) // 2, (row["n"] + 2) // 2
+        holds = row["below"] < k1 and row["below"] + row["inside"] >= k2
+        (ok if holds and not force_full else fallback).append(row["variable"])
+    parts = []
+    if ok:
+        band_rows = tagged.filter(F.col("variable").isin(ok) & in_band).select("variable", "value", "n")
+        ranked = with_row_number(band_rows, ["value"], ["variable"], out="rn", split_ties=True)
+        below = checks.filter(F.col("variable").isin(ok)).select("variable", "below")
+        ranked = ranked.join(F.broadcast(below), "variable")  # one row per column
+        parts.append(_middle(ranked, "rn", F.col("below")))
+    if fallback:
+        rows = long.filter(F.col("variable").isin(fallback))
+        ranked = with_row_number(rows, ["value"], ["variable"], out="rn", split_ties=True, size_col="n")
+        parts.append(_middle(ranked, "rn"))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
 
 
 def modes(df: DataFrame, columns: Sequence[str]) -> DataFrame:

@@ -100,3 +100,16 @@ def test_label_backfill_dedupes_list(spark):
     got = {r.County: r.Desert for r in J.label_backfill(areas, pos, ["State", "County"], "Desert").collect()}
     assert got == {"Autauga": 0, "St. Francis": 1, "Prince George's": 0}
     assert not math.isnan(0.0)
+
+
+def test_exact_median_band_and_fallback_agree(spark):
+    rows = [(float(i % 97), float((i * 7) % 13)) for i in range(2001)]
+    df = spark.createDataFrame(rows, "a double, b double").repartition(5)
+    band = {r.variable: r.median for r in CL.exact_medians(df, ["a", "b"]).collect()}
+    # The full-ranking fallback must give the same answers as the band path.
+    coarse = {r.variable: r.median for r in CL.exact_medians(df, ["a", "b"], force_full=True).collect()}
+    for c, idx in (("a", 0), ("b", 1)):
+        vals = sorted(r[idx] for r in rows)
+        n = len(vals)
+        want = (vals[(n - 1) // 2] + vals[n // 2]) / 2
+        assert band[c] == want and coarse[c] == want
