@@ -129,3 +129,13 @@ def test_register_view_and_parquet_copy(spark):
     assert spark.sql("SELECT count(*) AS n FROM areas_view WHERE length(State) <= 2").first().n == 1
     out = to_parquet_once(df, os.path.join(tempfile.mkdtemp(prefix="strata-pq-"), "areas"))
     assert sorted(r.k for r in spark.read.parquet(out).collect()) == [1, 2]
+
+
+def test_label_unrelated_to_features_gives_auc_near_half(spark):
+    # Label from a key hash only: no feature carries signal.
+    df = _planted(spark, 4000).withColumn("y", (F.pmod(ML.key_hash(["k"]), F.lit(2)) == 1).cast("int"))
+    split = ML.hash_split(df, ["k"])
+    model = ML.fit(ML.estimators()["Logistic"], split.filter("part = 'training'"), SPEC)
+    scored = ML.score(model, split.filter("part = 'test'"), SPEC, ["k"], "Logistic")
+    auc = EV.auc_ranked(scored, "y", "probability_1").collect()[0].auc
+    assert 40 < auc < 60
