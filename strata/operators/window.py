@@ -64,9 +64,13 @@ def with_row_number(
     if split_ties:
         df = df.withColumn("_tie", F.monotonically_increasing_id())
         keys.append(F.col("_tie"))
-    n = num_partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # Without an explicit count the range exchange starts from
+    # spark.sql.shuffle.partitions and AQE may merge adjacent ranges (order is
+    # kept) to its advisory partition size: few tasks for small inputs, many
+    # for large ones.
+    repart = df.repartitionByRange(num_partitions, *keys) if num_partitions else df.repartitionByRange(*keys)
     ranged = (
-        df.repartitionByRange(n, *keys)
+        repart
         .sortWithinPartitions(*keys)
         .withColumn("_pid", F.spark_partition_id())
         .withColumn(
