@@ -113,3 +113,19 @@ def test_exact_median_band_and_fallback_agree(spark):
         n = len(vals)
         want = (vals[(n - 1) // 2] + vals[n // 2]) / 2
         assert band[c] == want and coarse[c] == want
+
+
+def test_outer_fold_with_null_keys_matching(spark):
+    t1 = spark.createDataFrame([(1, 1.0), (None, 9.0)], "user_id int, a double")
+    t2 = spark.createDataFrame([(None, "n"), (2, "p")], "user_id int, b string")
+    t3 = spark.createDataFrame([(None, 7), (1, 3)], "user_id int, c int")
+    fold = J.merge_all([t1, t2, t3], how="full", null_keys="match").select("user_id", "a", "b", "c").collect()
+    union = J.merge_all_union([t1, t2, t3], ["user_id"]).select("user_id", "a", "b", "c").collect()
+    as_map = lambda rows: {r.user_id: (r.a, r.b, r.c) for r in rows}
+    assert len(fold) == 3 and as_map(fold) == as_map(union) == {
+        1: (1.0, None, 3),
+        2: (None, "p", None),
+        None: (9.0, "n", 7),
+    }
+    sql = J.merge_all([t1, t2, t3], how="full").collect()
+    assert len(sql) == 5  # SQL semantics: each null key stays its own row
