@@ -64,3 +64,10 @@ def test_one_pass_indicator_table_equals_outer_merge(spark):
         return {r.user_id: tuple(round(v, 6) if isinstance(v, float) else v for v in r) for r in df.select(*cols).collect()}
 
     assert rows(wide) == rows(merged)
+
+
+def test_missing_data_queries_scan_events_once(spark):
+    for name in ("fill_missing", "drop_incomplete", "roughfix_impute"):
+        plan = E.queries()[name](spark, SF_SMALL)._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Scan parquet") == 1, name
+        assert plan.count("Exchange hashpartitioning") == 1, name
