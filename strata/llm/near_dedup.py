@@ -10,10 +10,14 @@
 4. Surviving pairs are confirmed on the full sets, and components follow.
 
 A bucket is never expanded into all its pairs. First each class meets only
-the bucket pivot it resembles most. After that, a bucket whose members all
-carry one component is finished; in the others only members outside the
-bucket's main component meet members of other components, at first the most
-similar one of each, then every remaining pair that the estimate leaves.
+the bucket pivot (least or greatest member) it resembles most. After that, a
+bucket whose members all carry one component is finished. In the others,
+members outside the bucket's main component meet four pivots of that
+component, twice with new components; only what is still outside then meets
+every member of another component that the estimate leaves and that an exact
+bound allows: of n shingles, u occur in no other open document, so two sets
+share at most min(n - u, m - v). A document with many edits of its own is
+so ruled out against a whole group of near copies at once.
 """
 
 from __future__ import annotations
@@ -97,8 +101,8 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at in range(0, batch.num_rows, 2000):
             part = batch.slice(at, 2000)
-            sets = [shingle_set(t).tobytes() for t in part.column(1).cast(pa.binary()).to_pylist()]
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.binary())], names=["node", "shingles"])
+            sets = [shingle_set(t).view(np.int64) for t in part.column(1).cast(pa.binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["node", "shingles"])
 
 
 def _confirm(percent: int):
@@ -107,8 +111,7 @@ def _confirm(percent: int):
             a, b = batch.column("sa"), batch.column("sb")
             keep = []
             for i in range(batch.num_rows):
-                x = np.frombuffer(a[i].as_buffer(), dtype=np.uint64)
-                y = np.frombuffer(b[i].as_buffer(), dtype=np.uint64)
+                x, y = (c[i].values.to_numpy().view(np.uint64) for c in (a, b))
                 if len(x) > len(y):
                     x, y = y, x
                 at = np.searchsorted(y, x)
@@ -119,6 +122,10 @@ def _confirm(percent: int):
     return run
 
 
+def _floor(percent: int) -> float:
+    return percent / 100.0 - ESTIMATE_SLACK
+
+
 def estimate(a: str, b: str) -> Column:
     """Similarity of two packed signatures: equal nibbles, less chance equality."""
     differing = F.lit(0)
@@ -150,7 +157,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     spark = docs.sparkSession
     ship(spark)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    floor = percent / 100.0 - ESTIMATE_SLACK
+    floor = _floor(percent)
     signed = materialize(docs.mapInArrow(_sign, SIGNATURE_SCHEMA), "signatures")
     usable = signed.filter("set_key is not null and doc_id is not null")
     # One node per distinct set, named by its least document.
@@ -159,23 +166,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
     rows = classes.select("node", F.explode("bands").alias("key"))
     shared = rows.groupBy("key").agg(F.min("node").alias("pivot"), F.max("node").alias("last")).filter("pivot != last")
-    members = materialize(rows.join(shared.select("key", "pivot"), "key"), "members")
-    sigs = classes.select("node", "sig")
+    members = materialize(rows.join(shared, "key"), "members")
+    sigs = classes.select("node", "sig", "bands")
 
     def with_sig(df: DataFrame, node: str, name: str) -> DataFrame:
         return df.join(sigs.select(F.col("node").alias(node), F.col("sig").alias(name)), node)
 
-    candidates = members.filter("node != pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct()
+    candidates = members.select(F.col("node").alias("a"), F.explode(F.array("pivot", "last")).alias("b")).filter("a != b").distinct()
     scored = with_sig(with_sig(candidates, "a", "ga"), "b", "gb").select("a", "b", estimate("ga", "gb").alias("e")).filter(F.col("e") >= floor)
     first = scored.groupBy("a").agg(F.max_by("b", F.struct("e", "b")).alias("b"))
-    sets = materialize(keep_keys(docs, members.select(F.col("node").alias("doc_id")), "doc_id").mapInArrow(_sets, "node long, shingles binary"), "sets")
+    sets = materialize(keep_keys(docs, members.select(F.col("node").alias("doc_id")), "doc_id").mapInArrow(_sets, "node long, shingles array<long>"), "sets")
     links = materialize(_verified(first, sets, percent), "links")
     found = connected_components(links)
-    for last_round in (False, True):
-        open_pairs = _across(members, found, sigs, floor)
-        if not last_round:
-            open_pairs = open_pairs.groupBy("a", "cb").agg(F.max_by("b", F.struct("e", "b")).alias("b"))
-        new = materialize(_verified(open_pairs, sets, percent), "links")
+    for every in (False, False, True):
+        new = materialize(_across(members, found, sigs, sets, percent, every), "links")
+        if new.isEmpty():
+            continue
         links = found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(new)
         found = connected_components(links)
     of_class = classes.select("set_key", "node").join(found, "node", "left").select(
@@ -191,23 +197,53 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
 
 
-def _across(members: DataFrame, found: DataFrame, sigs: DataFrame, floor: float) -> DataFrame:
-    """Pairs of one bucket but two components that the estimate leaves: (a, b, cb, e).
+def _across(members: DataFrame, found: DataFrame, sigs: DataFrame, sets: DataFrame, percent: int, every: bool) -> DataFrame:
+    """Confirmed links (a, b) between two components that meet in a bucket.
 
-    ``a`` is outside the bucket's main (largest) component.
+    ``a`` is outside the bucket's main (largest) component. Without ``every``,
+    it meets four pivots of that component in each bucket, and the one most
+    like it in each component is confirmed. With ``every``, it meets all
+    members of other components, and the join itself holds the estimate and
+    the full sets against each other, so that only links leave it.
     """
-    at = materialize(
-        members.select("key", "node")
-        .join(found, "node", "left")
-        .select("key", "node", F.coalesce("component", "node").alias("c")),
-        "labelled",
-    )
+    at = members.select("key", "node").join(found, "node", "left").select("key", "node", F.coalesce("component", "node").alias("c"))
+    at = materialize(at, "labelled")
     parts = at.groupBy("key", "c").agg(F.count("*").alias("n"))
     main = parts.groupBy("key").agg(F.max_by("c", F.struct("n", "c")).alias("main"), F.count("*").alias("parts")).filter("parts > 1")
-    rest = at.join(main.select("key", "main"), "key").join(sigs, "node")
-    rest = materialize(rest.select("key", "node", "c", "main", "sig"), "open")
-    outside = rest.filter("c != main").select("key", F.col("node").alias("a"), F.col("c").alias("ca"), F.col("sig").alias("ga"))
-    others = rest.select(F.col("key").alias("kb"), F.col("node").alias("b"), F.col("c").alias("cb"), F.col("main").alias("mb"), F.col("sig").alias("gb"))
-    # Pairs of two outsiders would come twice: the larger id asks.
-    on = (F.col("key") == F.col("kb")) & (F.col("ca") != F.col("cb")) & ((F.col("cb") == F.col("mb")) | (F.col("a") > F.col("b"))) & (estimate("ga", "gb") >= floor)
-    return outside.join(others, on).select("a", "b", "cb", estimate("ga", "gb").alias("e")).distinct()
+    rest = materialize(at.join(main.select("key", "main"), "key").join(sigs, "node").select("key", "node", "c", "main", "sig", "bands"), "open")
+    floor = _floor(percent)
+    if every:
+        full = rest.join(_able(rest, sets, percent), "node")
+        outside = full.filter("c != main").select("key", F.col("node").alias("a"), F.col("c").alias("ca"), F.col("sig").alias("ga"), F.col("bands").alias("ba"), F.col("shingles").alias("sa"), F.col("common").alias("xa"))
+        others = full.select(F.col("key").alias("kb"), F.col("node").alias("b"), F.col("c").alias("cb"), F.col("main").alias("mb"), F.col("sig").alias("gb"), F.col("bands").alias("bb"), F.col("shingles").alias("sb"), F.col("common").alias("xb"))
+        # Two outsiders would meet twice: the larger id asks.
+        asks = (F.col("ca") != F.col("cb")) & ((F.col("cb") == F.col("mb")) | (F.col("a") > F.col("b")))
+
+        def enough(both: Column) -> Column:
+            return 100 * both >= percent * (F.size("sa") + F.size("sb") - both)
+
+        # A pair that shares several buckets is looked at in one of them.
+        once = F.array_min(F.array_intersect("ba", "bb")) == F.col("key")
+        linked = enough(F.least("xa", "xb")) & (estimate("ga", "gb") >= floor) & once & enough(F.size(F.array_intersect("sa", "sb")))
+        return outside.join(others, (F.col("key") == F.col("kb")) & asks & linked).select("a", "b").distinct()
+    outside = rest.filter("c != main").select("key", F.col("node").alias("a"), F.col("sig").alias("ga"))
+    order = F.xxhash64("key", "node")
+    pivots = rest.filter("c = main").groupBy("key", F.col("main").alias("cb")).agg(
+        F.array_distinct(F.array(F.min("node"), F.max("node"), F.min_by("node", order), F.max_by("node", order))).alias("pivots")
+    )
+    pairs = outside.join(pivots, "key").select("a", "ga", "cb", F.explode("pivots").alias("b")).distinct()
+    scored = pairs.join(sigs.select(F.col("node").alias("b"), F.col("sig").alias("gb")), "b").select("a", "b", "cb", estimate("ga", "gb").alias("e"))
+    best = scored.filter(F.col("e") >= floor).groupBy("a", "cb").agg(F.max_by("b", F.struct("e", "b")).alias("b"))
+    return _verified(best, sets, percent)
+
+
+def _able(rest: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(node, shingles, common) of the open nodes that can still link with another one.
+
+    ``common``: how many of its shingles some other open node has too.
+    """
+    own = materialize(sets.join(rest.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"]), "opensets")
+    holders = own.select("node", F.explode("shingles").alias("shingle")).groupBy("shingle").agg(F.min("node").alias("node"), F.max("node").alias("last"))
+    alone = holders.filter("node = last").groupBy("node").agg(F.count("*").alias("alone"))
+    common = (F.size("shingles") - F.coalesce("alone", F.lit(0))).alias("common")
+    return own.join(alone, "node", "left").select("node", "shingles", common).filter(100 * F.col("common") >= percent * F.size("shingles"))
