@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strata.llm import near_dedup
+from strata.llm import decontaminate, line_templates, near_dedup, packing, pii, quality, token_files, toxicity, url_reputation, vector_search
 from strata.sources.readers import read_table
 
 
@@ -14,8 +14,126 @@ def op1_near_dedup(spark: SparkSession, d: str) -> DataFrame:
     return near_dedup.near_duplicates(read_table(spark, d, "documents"))
 
 
+def op2_token_files(spark: SparkSession, d: str) -> DataFrame:
+    return token_files.round_trip(read_table(spark, d, "documents"))
+
+
+def op3_personal_data(spark: SparkSession, d: str) -> DataFrame:
+    return pii.find_personal_data(read_table(spark, d, "documents"))
+
+
+def op4_toxicity(spark: SparkSession, d: str) -> DataFrame:
+    return toxicity.classify(read_table(spark, d, "documents"), read_table(spark, d, "labels"))
+
+
+def op5_quality(spark: SparkSession, d: str) -> DataFrame:
+    return quality.rate_quality(read_table(spark, d, "documents"), read_table(spark, d, "labels"))
+
+
+def op6_packing(spark: SparkSession, d: str) -> DataFrame:
+    return packing.pack(read_table(spark, d, "documents"))
+
+
+def op7_decontamination(spark: SparkSession, d: str) -> DataFrame:
+    leaks = decontaminate.find_leaks(read_table(spark, d, "documents"), read_table(spark, d, "benchmark"))
+    return leaks.select("doc_id", "item_id", "score", "question_percent", "answer_percent")
+
+
+def op8_url_reputation(spark: SparkSession, d: str) -> DataFrame:
+    pages = read_table(spark, d, "pages").select("page_id", "url")
+    outcomes = url_reputation.outcomes_from_labels(pages, read_table(spark, d, "labels"))
+    return url_reputation.judge(pages, outcomes).select("page_id", "host", "path", "rule", "verdict")
+
+
+def op9_line_templates(spark: SparkSession, d: str) -> DataFrame:
+    docs = read_table(spark, d, "documents")
+    return line_templates.drop_recurring_lines(docs.select("doc_id", "text"))
+
+
+def op10_vector_search(spark: SparkSession, d: str) -> DataFrame:
+    rows = read_table(spark, d, "embeddings")
+    return vector_search.nearest(rows, rows.filter("vec_id % 100 = 0"))
+
+
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op1_near_dedup": op1_near_dedup,
-}
+    f.__name__: f
+    for f in (
+        op1_near_dedup, op2_token_files, op3_personal_data, op4_toxicity, op5_quality,
+        op6_packing, op7_decontamination, op8_url_reputation, op9_line_templates, op10_vector_search,
+    )
+}
 
-LLM_ORACLE: dict[str, str] = {}
+_URL_PARTS = """
+raw AS (
+  SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages
+),
+cut AS (SELECT page_id, rest, regexp_extract(rest, '^([^/?#]*)', 1) AS h FROM raw),
+part AS (
+  SELECT page_id, translate(h, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(substr(rest, length(h) + 1), '^([^?#]*)', 1) AS path
+  FROM cut
+)"""
+
+LLM_ORACLE: dict[str, str] = {
+    "op8_url_reputation": f"""
+WITH {_URL_PARTS},
+shown AS (
+  SELECT DISTINCT page_id, CAST(regexp_extract(path, '^/[a-z]+/([0-9]{{1,18}})', 1) AS BIGINT) AS doc_id
+  FROM part WHERE regexp_extract(path, '^/[a-z]+/([0-9]{{1,18}})', 1) <> ''
+),
+good AS (SELECT doc_id, min(quality) AS good FROM labels GROUP BY doc_id),
+outcome AS (SELECT page_id, min(good) AS good FROM shown JOIN good USING (doc_id) GROUP BY page_id),
+counted AS (
+  SELECT host, count(*) AS n, sum(good) AS good FROM part JOIN outcome USING (page_id) WHERE good IS NOT NULL GROUP BY host
+),
+tree AS (
+  SELECT host, array_to_string(list_slice(string_split(host, '.'), greatest(len(string_split(host, '.')) - 1, 1), len(string_split(host, '.'))), '.') AS domain,
+         string_split(host, '.')[len(string_split(host, '.'))] AS suffix, coalesce(n, 0) AS n, coalesce(good, 0) AS good
+  FROM (SELECT DISTINCT host FROM part) LEFT JOIN counted USING (host)
+),
+total AS (SELECT coalesce(sum(good) / nullif(sum(n), 0), 0.5) AS overall FROM tree),
+members AS (
+  SELECT 'h' AS lvl, sum(n) AS n, sum(good) AS good FROM tree WHERE n > 0 GROUP BY host
+  UNION ALL SELECT 'd', sum(n), sum(good) FROM tree WHERE n > 0 GROUP BY domain
+  UNION ALL SELECT 's', sum(n), sum(good) FROM tree WHERE n > 0 GROUP BY suffix
+),
+moments AS (
+  SELECT lvl, (sum(good) / sum(n)) * (1 - sum(good) / sum(n)) AS noise,
+         sum(n * (good / n - overall) * (good / n - overall)) / sum(n) AS spread, count(*) / sum(n) AS share
+  FROM members, total GROUP BY lvl
+),
+strength AS (
+  SELECT lvl, CASE WHEN spread > noise * share
+    THEN least(greatest((noise - spread) / (spread - noise * share), {url_reputation.MIN_STRENGTH}), {url_reputation.MAX_STRENGTH})
+    ELSE {url_reputation.MAX_STRENGTH} END AS k
+  FROM moments
+),
+fixed AS (
+  SELECT overall, coalesce((SELECT k FROM strength WHERE lvl = 's'), {url_reputation.MIN_STRENGTH}) AS ks,
+         coalesce((SELECT k FROM strength WHERE lvl = 'd'), {url_reputation.MIN_STRENGTH}) AS kd,
+         coalesce((SELECT k FROM strength WHERE lvl = 'h'), {url_reputation.MIN_STRENGTH}) AS kh FROM total
+),
+suffixes AS (SELECT suffix, (sum(good) + ks * overall) / (sum(n) + ks) AS ps FROM tree, fixed GROUP BY suffix, ks, overall),
+domains AS (
+  SELECT domain, suffix, (sum(good) + kd * ps) / (sum(n) + kd) AS pd
+  FROM tree JOIN suffixes USING (suffix), fixed GROUP BY domain, suffix, kd, ps
+),
+hosts AS (
+  SELECT host, (good + kh * pd) / (n + kh) AS mean, n + kh AS size FROM tree JOIN domains USING (domain, suffix), fixed
+),
+judged AS (
+  SELECT page_id, host, path, mean - {url_reputation.Z} * sqrt(greatest(mean * (1 - mean), 0.0) / (size + 1)) AS bound,
+    CASE WHEN (host = 'example.org' OR host LIKE '%.example.org') AND path LIKE '/en/1%' THEN 'example.org/en/1'
+         WHEN (host = 'example.org' OR host LIKE '%.example.org') AND path LIKE '/es/%' THEN 'example.org/es/'
+         WHEN (host = 'com' OR host LIKE '%.com') AND path LIKE '/de/%' THEN 'com/de/'
+         WHEN (host = 'com' OR host LIKE '%.com') AND path LIKE '/fr/%' THEN 'com/fr/'
+         WHEN (host = 'org' OR host LIKE '%.org') AND path LIKE '/%' THEN 'org/' END AS rule
+  FROM part JOIN hosts USING (host)
+)
+SELECT page_id, host, path, rule,
+  CASE rule WHEN 'org/' THEN 'allow' WHEN 'com/fr/' THEN 'allow' WHEN 'example.org/es/' THEN 'block'
+    WHEN 'example.org/en/1' THEN 'block' WHEN 'com/de/' THEN 'block'
+    ELSE CASE WHEN bound >= {url_reputation.FLOOR} THEN 'allow' ELSE 'block' END END AS verdict
+FROM judged
+""",
+}
