@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strata.llm.store import materialize
+from strata.llm.store import keep_keys, materialize
 
 MIN_DOCS, MIN_TOKENS, LEAD = 10, 3, 3
 FIXED_SHARE, SIMILARITY = 0.8, 0.75
@@ -26,13 +26,17 @@ WILD = "<*>"
 
 
 def _masked(line: Column) -> Column:
-    line = F.btrim(F.regexp_replace(line, r"\s++", " "))
+    # Plain searches first: most lines need neither replacement.
+    odd = F.lit(False)
+    for c in ("  ", "\t", "\r", "\f", "\x0b"):
+        odd = odd | F.contains(line, F.lit(c))
+    line = F.btrim(F.when(odd, F.regexp_replace(line, r"\s++", " ")).otherwise(line))
     # Anchored at token starts, so that the time stays linear in the text.
     return F.when(line.rlike("[0-9]"), F.regexp_replace(line, r"(?<!\S)[^\s0-9]*+[0-9]\S*+", WILD)).otherwise(line)
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, text_key, at, line, tokens, n) of every line long enough."""
+    """(doc_id, text_key, at, line, n) of every line with enough tokens, masked."""
     rows = docs.select("doc_id", F.xxhash64("text").alias("text_key"), F.posexplode(F.split("text", "\n", -1)).alias("at", "line"))
     rows = rows.withColumn("line", _masked(F.col("line")))
     return rows.withColumn("n", F.length("line") - F.length(F.replace("line", F.lit(" "))) + 1).filter(F.col("n") >= MIN_TOKENS)
@@ -49,15 +53,17 @@ def recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     lines = materialize(lines, "lines")
     # Distinct texts per masked line; partial aggregation takes the hot ones.
     keys = materialize(
-        lines.select("leaf", "key", "n", "text_key").distinct().groupBy("leaf", "key", "n").agg(F.count("*").alias("docs")), "keys"
+        lines.groupBy("leaf", "key", "text_key").agg(F.min("at").alias("at")).groupBy("leaf", "key").agg(F.count("*").alias("docs"), F.min(F.struct("text_key", "at")).alias("where")), "keys"
     )
     exact = keys.filter(F.col("docs") >= min_docs).select("key", F.col("key").alias("template"))
     # Leaves whose lines could only together reach the count.
     open_ = keys.groupBy("leaf").agg(F.sum("docs").alias("docs"), F.count("*").alias("members")).filter((F.col("docs") >= min_docs) & (F.col("members") > 1))
-    inside = keys.join(open_.select("leaf", "members"), "leaf").select("leaf", "key", "members", "docs")
-    texts = _lines(docs).select("line", F.xxhash64("n", "line").alias("key"))
-    texts = texts.join(inside.select("key"), "key", "left_semi").groupBy("key").agg(F.first("line").alias("line"))
-    tokens = materialize(inside.join(texts, "key").select("leaf", "key", "members", "docs", F.posexplode(F.split("line", " ")).alias("at", "token")), "tokens")
+    inside = materialize(keys.join(open_.select("leaf", "members"), "leaf").select("leaf", "key", "members", "docs", "where.*"), "inside")
+    # Each of their lines is read again in one place, without masking all the others.
+    texts = docs.withColumn("text_key", F.xxhash64("text"))
+    texts = keep_keys(texts, inside.select("text_key"), "text_key").groupBy("text_key").agg(F.first("text").alias("text"))
+    texts = inside.join(texts, "text_key").select("leaf", "key", "members", "docs", _masked(F.get(F.split("text", "\n", -1), F.col("at"))).alias("line"))
+    tokens = materialize(texts.select("leaf", "key", "members", "docs", F.posexplode(F.split("line", " ")).alias("at", "token")), "tokens")
     counted = tokens.groupBy("leaf", "at", "token", "members").agg(F.count("*").alias("lines"))
     best = counted.groupBy("leaf", "at", "members").agg(F.max_by("token", F.struct("lines", "token")).alias("token"), F.max("lines").alias("lines"))
     shape = best.groupBy("leaf").agg(F.count("*").alias("n"), F.count_if(F.col("lines") >= FIXED_SHARE * F.col("members")).alias("fixed"))

@@ -10,11 +10,10 @@ from __future__ import annotations
 
 import os
 import re
-
-import numpy as np
+import struct
 
 # Chunks kept in a worker's memo; the older half of the traffic is forgotten beyond it.
-MEMO_CHUNKS = 400_000
+MEMO_CHUNKS = 700_000
 # Longer chunks are encoded each time, so that the memo stays small.
 MEMO_CHUNK_CHARS = 40
 
@@ -38,12 +37,14 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.vocabulary = self.tokenizer.get_vocab_size()
+        # Letters and a closing mark after them are always different pieces.
+        self.marks = {c: self._plain([c])[0] for c in ",."}
         self.new: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
     def _plain(self, texts: list[str]) -> list[bytes]:
         encoded = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in encoded]
+        return [struct.pack(f"<{len(e)}I", *e.ids) for e in encoded]
 
     def encode(self, text: str | None) -> bytes:
         if not text:
@@ -55,16 +56,26 @@ class Encoder:
         if len(chunks) > 1:
             chunks = [chunks[0], *[" " + c for c in chunks[1:]]]
         new, old = self.new, self.old
-        missing = []
+        missing, marked = [], []
         for c in set(chunks):
             if c not in new:
                 if c in old:
                     new[c] = old[c]
+                elif len(c) > 1 and c[-1] in self.marks and c[-2].isalpha() and len(c) <= MEMO_CHUNK_CHARS:
+                    marked.append(c)
+                    word = c[:-1]
+                    if word not in new:
+                        if word in old:
+                            new[word] = old[word]
+                        else:
+                            missing.append(word)
                 else:
                     missing.append(c)
         long = {}
         for c, ids in zip(missing, self._plain(missing) if missing else [], strict=True):
             (new if len(c) <= MEMO_CHUNK_CHARS else long)[c] = ids
+        for c in marked:
+            new[c] = new[c[:-1]] + self.marks[c[-1]]
         if long:
             out = b"".join([long[c] if c in long else new[c] for c in chunks])
         else:
