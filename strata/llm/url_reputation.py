@@ -13,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strata.llm.store import materialize
+
 # Host and path pairs of the query's contract.
 RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
 Z, FLOOR = 1.64, 0.75
@@ -75,21 +77,22 @@ def host_reputation(hosts: DataFrame, outcomes: DataFrame) -> DataFrame:
     known = hosts.select("host").distinct().join(counts, "host", "left").fillna(0, ["n", "good"])
     h, d, s = _levels(F.col("host"))
     tree = known.select("host", d.alias("domain"), s.alias("suffix"), "n", "good")
-    tree = tree.withColumn("one", F.lit(1))
-    # One row each, joined by the constant: the overall mean and the three strengths.
-    total = tree.groupBy("one").agg(F.coalesce(F.sum("good") / F.nullif(F.sum("n"), F.lit(0)), F.lit(0.5)).alias("overall"))
-    fixed = total
-    for keys, name in ((["suffix"], "ks"), (["domain"], "kd"), (["host"], "kh")):
-        level = tree.filter("n > 0").groupBy("one", *keys).agg(F.sum("n").alias("n"), F.sum("good").alias("good"))
-        strength = level.join(F.broadcast(total), "one").groupBy("one").agg(_strength().alias(name))
-        fixed = fixed.join(F.broadcast(strength), "one", "left").fillna(MIN_STRENGTH, [name])
+    tree = materialize(tree, "hosts")
+    # Four numbers are fitted: the overall rate and a prior strength per level.
+    overall = tree.agg(F.coalesce(F.sum("good") / F.nullif(F.sum("n"), F.lit(0)), F.lit(0.5)).alias("overall")).first()["overall"]
+
+    def strength(level: str) -> Column:
+        members = tree.filter("n > 0").groupBy(level).agg(F.sum("n").alias("n"), F.sum("good").alias("good")).withColumn("overall", F.lit(overall))
+        return F.lit(members.agg(F.coalesce(_strength(), F.lit(MIN_STRENGTH)).alias("k")).first()["k"])
+
+    ks, kd, kh = strength("suffix"), strength("domain"), strength("host")
     suffix = tree.groupBy("suffix").agg(F.sum("n").alias("ns"), F.sum("good").alias("gs"))
     domain = tree.groupBy("domain").agg(F.sum("n").alias("nd"), F.sum("good").alias("gd"))
-    all_ = tree.join(suffix, "suffix").join(domain, "domain").join(F.broadcast(fixed), "one")
-    ps = (F.col("gs") + F.col("ks") * F.col("overall")) / (F.col("ns") + F.col("ks"))
-    pd = (F.col("gd") + F.col("kd") * ps) / (F.col("nd") + F.col("kd"))
-    a = F.col("good") + F.col("kh") * pd
-    size = F.col("n") + F.col("kh")
+    all_ = tree.join(suffix, "suffix").join(domain, "domain")
+    ps = (F.col("gs") + ks * F.lit(overall)) / (F.col("ns") + ks)
+    pd = (F.col("gd") + kd * ps) / (F.col("nd") + kd)
+    a = F.col("good") + kh * pd
+    size = F.col("n") + kh
     mean = a / size
     bound = mean - F.lit(Z) * F.sqrt(F.greatest(mean * (1 - mean), F.lit(0.0)) / (size + 1))
     return all_.select("host", "n", "good", mean.alias("posterior"), bound.alias("bound"))
