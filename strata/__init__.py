@@ -7,7 +7,6 @@ Everything is DataFrame / Spark SQL / Spark ML code. Sub-packages:
 * ``operators`` — DataFrame -> DataFrame operators (clean, joins, profiles,
   windows, set operations, statistics, evaluation, ML)
 * ``plans``     — the query catalogue on the test tables and its SQL oracles
-* ``streaming`` — intentionally empty (see its docstring)
 """
 
 from strata.session import get_session, checkpoint_dir

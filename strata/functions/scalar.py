@@ -35,8 +35,9 @@ def recode(col: str | Column, mapping: Mapping, otherwise_keep: bool = True) ->
 
 
 def binarise(col: str | Column, cutpoint: float = 0.5) -> Column:
-    """Strict ``x > cutpoint`` -> 1.0 else 0.0 (O-14)."""
-    return F.when(_c(col) > F.lit(cutpoint), F.lit(1.0)).otherwise(F.lit(0.0))
+    """Strict ``x > cutpoint`` -> 1.0 else 0.0 (O-14); null and NaN stay missing."""
+    known = nan_to_null(_c(col).cast("double"))
+    return F.when(known > F.lit(cutpoint), F.lit(1.0)).when(known.isNotNull(), F.lit(0.0))
 
 
 def label_if(cond: Column, label: str | Column, otherwise: str = "") -> Column:

@@ -7,35 +7,25 @@ from itertools import chain
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# A column with more distinct values than this is not a factor; refuse rather
-# than ship an unbounded level table to every task.
-MAX_LEVELS = 10_000
-
-
-def factor_levels(df: DataFrame, column: str, max_levels: int = MAX_LEVELS) -> list:
-    """Sorted distinct non-null values of a factor column.
-
-    The distinct runs as a partial/final hash aggregate; at most
-    ``max_levels + 1`` values come back to the driver (like ``StringIndexer``
-    fitting its label list), and more than ``max_levels`` is an error.
-    """
-    rows = df.select(column).where(F.col(column).isNotNull()).distinct().limit(max_levels + 1).collect()
-    if len(rows) > max_levels:
-        raise ValueError(f"{column} has more than {max_levels} levels; it is not a factor")
-    return sorted(r[0] for r in rows)
-
+from strata.operators.window import with_row_number
 
 def level_codes(df: DataFrame, column: str, out: str = "level", levels: list | None = None) -> DataFrame:
     """1-based level code in sorted level order (O-17); null stays null.
 
-    Not ``StringIndexer`` (0-based, frequency order). The fitted level list
-    becomes a literal map, so applying it is a per-row lookup with no join.
+    Not ``StringIndexer`` (0-based, frequency order). The distinct levels are
+    numbered in one global order and joined back, whatever their number; the
+    planner broadcasts them when they are small. A given level list becomes
+    a literal map instead.
     """
-    levels = levels if levels is not None else factor_levels(df, column)
-    mapping = F.create_map(*chain.from_iterable((F.lit(v), F.lit(i + 1)) for i, v in enumerate(levels)))
-    return df.withColumn(out, F.try_element_at(mapping, F.col(column)).cast("int")) if levels else df.withColumn(
-        out, F.lit(None).cast("int")
-    )
+    if levels is not None:
+        if not levels:
+            return df.withColumn(out, F.lit(None).cast("int"))
+        mapping = F.create_map(*chain.from_iterable((F.lit(v), F.lit(i + 1)) for i, v in enumerate(levels)))
+        return df.withColumn(out, F.try_element_at(mapping, F.col(column)).cast("int"))
+    known = df.select(F.col(column).alias("_level")).where(F.col("_level").isNotNull()).distinct()
+    numbered = with_row_number(known, ["_level"], out="_code").select("_level", F.col("_code").cast("int").alias("_code"))
+    joined = df.join(numbered, F.col(column) == F.col("_level"), "left")
+    return joined.withColumn(out, F.col("_code")).drop("_level", "_code")
 
 
 def level_labels(code_col: str, labels: list[str]) -> "F.Column":

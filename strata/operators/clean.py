@@ -9,11 +9,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, FloatType, NumericType, StringType
 
+from strata.session import checkpoint_dir
 from strata.operators.window import bounded_broadcast, with_row_number
 
 
@@ -157,7 +157,7 @@ def exact_medians(
         below = checks.filter(F.col("variable").isin(ok)).select("variable", "below")
         ranked = ranked.join(F.broadcast(below), "variable")  # one row per column
         parts.append(_middle(ranked, "rn", F.col("below")))
-    if fallback:
+    if fallback or not ok:  # nothing but missing values: an empty result of the same columns
         rows = long.filter(F.col("variable").isin(fallback))
         ranked = with_row_number(rows, ["value"], ["variable"], out="rn", split_ties=True, size_col="n")
         parts.append(_middle(ranked, "rn"))
@@ -191,18 +191,16 @@ def fit_roughfix(df: DataFrame, numeric: Sequence[str], categorical: Sequence[st
     """Fit the imputer: one small job for medians, one for modes; the fitted
     values (one per column) come back to the driver, like any Spark ML model."""
     fill: dict = {c: None for c in [*numeric, *categorical]}
-    # The fit runs a few jobs over the same input: keep it (memory, spilling
-    # to disk) for their duration only.
-    cached = df.select(*numeric, *categorical).persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        if numeric:
-            for row in exact_medians(cached, numeric).collect():
-                fill[row["variable"]] = row["median"]
-        if categorical:
-            for row in modes(cached, categorical).collect():
-                fill[row["variable"]] = row["mode"]
-    finally:
-        cached.unpersist()
+    # The fit runs a few jobs over the same input: a reliable checkpoint serves
+    # them all and survives a lost executor.
+    checkpoint_dir(df.sparkSession)
+    fixed = df.select(*numeric, *categorical).checkpoint(eager=True)
+    if numeric:
+        for row in exact_medians(fixed, numeric).collect():
+            fill[row["variable"]] = row["median"]
+    if categorical:
+        for row in modes(fixed, categorical).collect():
+            fill[row["variable"]] = row["mode"]
     return RoughFix(fill)
 
 

@@ -21,7 +21,6 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
-from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (
     DecisionTreeClassifier,
@@ -34,7 +33,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strata.session import checkpoint_dir, default_parallelism
+from strata.session import checkpoint_dir
 
 SEED = 123
 _MOD = 2147483647  # 2^31 - 1
@@ -42,16 +41,24 @@ _MUL = 1000003
 _MIX = 1103515245
 
 
-def key_hash(cols: Sequence[str]):
+def key_hash(cols: Sequence[str], df: DataFrame | None = None):
     """Integer hash of a row key by Horner's rule modulo 2^31-1.
 
     Only integer arithmetic (float keys enter as cents), so any engine
-    computes the same value; stays far below 2^63 at every step.
+    computes the same value; stays far below 2^63 at every step. With ``df``
+    the column types decide: text enters as the first 32 bits of its md5, a
+    null as -1.
     """
+    types = dict(df.dtypes) if df is not None else {}
     h = F.lit(0).cast("long")
     for c in cols:
         v = F.col(c)
-        v = F.round(v * 100).cast("long") if c.endswith("price") else v.cast("long")
+        kind = types.get(c, "double" if c.endswith("price") else "bigint")
+        if kind == "string":
+            v = F.conv(F.substring(F.md5(v.cast("binary")), 1, 8), 16, 10).cast("long")
+        else:
+            v = F.round(v * 100).cast("long") if kind in ("double", "float") or kind.startswith("decimal") else v.cast("long")
+        v = F.coalesce(v, F.lit(-1).cast("long"))
         h = (h * F.lit(_MUL) + F.pmod(v, F.lit(_MOD))) % F.lit(_MOD)
     # Final multiplicative mix: without it a single small key hashes to itself.
     return ((h + F.lit(1)) * F.lit(_MIX)) % F.lit(_MOD)
@@ -60,7 +67,7 @@ def key_hash(cols: Sequence[str]):
 def hash_split(df: DataFrame, key_cols: Sequence[str], test_fraction: float = 0.25, out: str = "part") -> DataFrame:
     """Deterministic 75/25 split (O-62): ``test`` where the key hash falls in the first
     ``test_fraction`` of 10,000 buckets."""
-    bucket = key_hash(key_cols) % F.lit(10000)
+    bucket = key_hash(key_cols, df) % F.lit(10000)
     return df.withColumn(out, F.when(bucket < F.lit(int(test_fraction * 10000)), "test").otherwise("training"))
 
 
@@ -116,37 +123,34 @@ def with_label(df: DataFrame, spec: FeatureSpec) -> DataFrame:
     return df.withColumn("label", F.col(spec.label).cast("double"))
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Rebalance and cut the lineage of a frame reused by many fits.
+# Partitions of a training or hold-out frame. Split candidates and forest
+# bagging follow the partitioning, so it is a parameter and never the number of
+# cores: the same data gives the same model on any cluster.
+TRAIN_PARTITIONS = 16
 
-    Iterative estimators make dozens of passes; partitions are spread over
-    at least every core of the cluster first (a filtered scan can leave a few
-    large partitions and many empty ones), then written to the reliable
-    checkpoint folder so a lost executor re-reads files instead of re-running
-    the scan and filters.
+
+def materialize(df: DataFrame, keys: Sequence[str] | None = None, partitions: int = TRAIN_PARTITIONS) -> DataFrame:
+    """Deal out by ``keys`` (default: all columns), sort, and cut the lineage
+    of a frame reused by many fits.
+
+    Rows land in the same partition and order whatever the input's
+    partitioning. The frame is written to the reliable checkpoint folder, so a
+    lost executor re-reads files instead of re-running the scan and filters.
+    Raise ``partitions`` with the size of the training data.
     """
-    spark = df.sparkSession
-    checkpoint_dir(spark)
-    try:
-        current = df.rdd.getNumPartitions()  # planning only, no job
-    except Exception:  # noqa: BLE001 — Spark Connect has no RDD view
-        current = 0
-    n = max(default_parallelism(spark), current)
-    return df.repartition(n).checkpoint(eager=True)
+    checkpoint_dir(df.sparkSession)
+    by = [F.col(c) for c in (keys or df.columns)]
+    return df.repartition(partitions, *by).sortWithinPartitions(*by).checkpoint(eager=True)
 
 
 def _fit_with_features(estimators_by_name: dict, train: DataFrame, spec: FeatureSpec) -> dict:
-    """Fit the encoding once, keep the assembled vectors for the duration of
-    the fits, and return one ``PipelineModel`` per estimator."""
+    """Fit the encoding once, checkpoint the assembled vectors for the fits, and
+    return one ``PipelineModel`` per estimator."""
     labelled = with_label(train, spec)
     encoding = Pipeline(stages=feature_stages(spec)).fit(labelled)
-    assembled = encoding.transform(labelled).select("features", "label").persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        return {
-            name: PipelineModel(stages=[*encoding.stages, est.fit(assembled)]) for name, est in estimators_by_name.items()
-        }
-    finally:
-        assembled.unpersist()
+    checkpoint_dir(train.sparkSession)
+    assembled = encoding.transform(labelled).select("features", "label").checkpoint(eager=True)
+    return {name: PipelineModel(stages=[*encoding.stages, est.fit(assembled)]) for name, est in estimators_by_name.items()}
 
 
 def fit(estimator, train: DataFrame, spec: FeatureSpec) -> PipelineModel:
@@ -228,19 +232,17 @@ def select_features(ranked: list[tuple[str, float]], k: int) -> list[str]:
     return out
 
 
-def permuted_copies(df: DataFrame, spec: FeatureSpec, keys: Sequence[str], rows_per_bucket: int = 10_000) -> DataFrame:
+def permuted_copies(df: DataFrame, spec: FeatureSpec, keys: Sequence[str], buckets: int = 256) -> DataFrame:
     """One permuted copy of ``df`` per feature, stacked with a ``feature`` column (O-70).
 
     Each feature's values are rotated by one position in key-hash order
-    inside hash buckets of about ``rows_per_bucket`` rows (a cyclic ``lead``),
+    inside ``buckets`` hash buckets (a cyclic ``lead``),
     which breaks the link between feature and label while keeping the
     marginal distribution. All features are rotated in one window pass (one
     shuffle on the bucket; buckets bound each window group), then each row
     emits its per-feature copies through one ``inline``. No row is dropped.
     """
-    n = df.count()
-    buckets = max(1, -(-n // rows_per_bucket))
-    base = df.withColumn("_h", key_hash(keys)).withColumn("_b", F.pmod(F.col("_h"), F.lit(buckets)))
+    base = df.withColumn("_h", key_hash(keys, df)).withColumn("_b", F.pmod(F.col("_h"), F.lit(buckets)))
     w = Window.partitionBy("_b").orderBy("_h", *keys)
     w_all = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     feats = spec.columns

@@ -18,11 +18,6 @@ from pyspark.sql.types import IntegralType, NumericType
 from strata.functions.scalar import nan_to_null, paste, strip_prefix, attr
 from strata.schema import Roles, numeric_columns
 
-# Above this many aggregate expressions per stage the generated code may get
-# too big for the JIT; wider profiles are aggregated in chunks and re-joined.
-MAX_AGGS_PER_STAGE = 100
-
-
 def _agg_expr(name: str, how: str, na_rm: bool = True) -> Column:
     c = nan_to_null(F.col(name))
     if how == "mean":
@@ -58,17 +53,7 @@ def aggregate_metrics(
     """
     roles = roles or Roles(groups=tuple(groups))
     metrics = list(metrics) if metrics is not None else numeric_columns(df, roles)
-    if len(metrics) <= MAX_AGGS_PER_STAGE:
-        return df.groupBy(*groups).agg(*[_agg_expr(m, how, na_rm) for m in metrics])
-    chunks = [metrics[i : i + MAX_AGGS_PER_STAGE] for i in range(0, len(metrics), MAX_AGGS_PER_STAGE)]
-    from strata.operators.joins import merge
-
-    out = None
-    for chunk in chunks:
-        part = df.groupBy(*groups).agg(*[_agg_expr(m, how, na_rm) for m in chunk])
-        # Group keys are unique per chunk; a null group must meet its own chunks.
-        out = part if out is None else merge(out, part, on=list(groups), how="full", null_keys="match")
-    return out
+    return df.groupBy(*groups).agg(*[_agg_expr(m, how, na_rm) for m in metrics])
 
 
 def to_long(
@@ -200,13 +185,14 @@ def year_series(
     groups: Sequence[str],
     prefix: str,
     unit: float = 1e6,
-    na_rm: bool = True,
+    na_rm: bool = False,
     year: str = "year",
     value: str = "total",
 ) -> DataFrame:
     """Annual series per group from year-named columns (O-55, O-79, O-10, O-12, O-19, O-42).
 
-    The three filtered repeats in the reference are subsets of one grouped
+    As in the reference study, one missing year value makes its group's total missing
+    unless ``na_rm``. The three filtered repeats in the reference are subsets of one grouped
     sum, so the sum is computed once; callers filter the long result.
     """
     cols = [c for c in df.columns if c.startswith(prefix)]

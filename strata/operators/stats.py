@@ -8,7 +8,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strata.operators.window import bounded_broadcast, with_row_number
+from strata.functions.scalar import nan_to_null
+from strata.operators.window import bounded_broadcast, join_on_groups, with_row_number
 
 
 @dataclass
@@ -43,8 +44,9 @@ def fit_standardizer(df: DataFrame, columns: Sequence[str], constant: str = "nan
     and are inlined as literals, so ``transform`` needs no join at all."""
     aggs = []
     for c in columns:
-        aggs.append(F.avg(c).alias(f"m__{c}"))
-        aggs.append(F.stddev_samp(c).alias(f"s__{c}"))
+        x = nan_to_null(F.col(c).cast("double"))
+        aggs.append(F.avg(x).alias(f"m__{c}"))
+        aggs.append(F.stddev_samp(x).alias(f"s__{c}"))
     row = df.agg(*aggs).first()
     return Standardizer(
         {c: row[f"m__{c}"] for c in columns}, {c: row[f"s__{c}"] for c in columns}, constant
@@ -72,6 +74,7 @@ def bin2d(
     the cell counts are a partial/final hash aggregate. The top edge folds
     into the last cell.
     """
+    df = df.withColumns({c: nan_to_null(F.col(c).cast("double")) for c in (x, y)})
     st = df.agg(F.min(x).alias("x0"), F.max(x).alias("x1"), F.min(y).alias("y0"), F.max(y).alias("y1")).first()
     nx, ny = bins
 
@@ -100,10 +103,11 @@ def zscore_by(df: DataFrame, columns: Sequence[str], by: Sequence[str], constant
     """
     aggs = []
     for c in columns:
-        aggs.append(F.avg(c).alias(f"_m_{c}"))
-        aggs.append(F.stddev_samp(c).alias(f"_s_{c}"))
+        x = nan_to_null(F.col(c).cast("double"))
+        aggs.append(F.avg(x).alias(f"_m_{c}"))
+        aggs.append(F.stddev_samp(x).alias(f"_s_{c}"))
     stats = df.groupBy(*by).agg(*aggs)
-    joined = df.join(bounded_broadcast(stats), on=list(by), how="inner")
+    joined = join_on_groups(df, bounded_broadcast(stats), list(by))
     const = F.lit(float("nan") if constant == "nan" else 0.0)
     out = []
     for name in df.columns:

@@ -16,7 +16,7 @@ exported row index, local-regression bandwidths). A plain
 5. a per-(partition, group) count table — at most partitions + groups rows,
    independent of the data size — gives each partition's offset through a
    small window; it is materialized, measured, and broadcast back when
-   within ``MAX_BROADCAST_ROWS`` (else joined with a shuffle).
+   within ``MAX_BROADCAST_BYTES`` (else joined with a shuffle).
 
 The result equals ``row_number()`` over the same order (ties are broken
 arbitrarily, as ``row_number`` does; pass a unique tie key for a stable
@@ -27,9 +27,11 @@ points); for many small groups a partitioned window is already parallel.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, MapType, StringType, StructType
 
 from strata.session import checkpoint_dir
 
@@ -95,26 +97,37 @@ def with_row_number(
     offsets = counts.select(
         "_pid", *parts, "_first", F.coalesce(F.sum("_cnt").over(before), F.lit(0)).alias("_off"), *extra
     )
-    joined = ranged.join(bounded_broadcast(offsets), on=["_pid", *parts], how="inner")
+    joined = join_on_groups(ranged, bounded_broadcast(offsets), ["_pid", *parts])
     return joined.withColumn(out, F.col("_off") + F.col("_pos") - F.col("_first") + F.lit(1)).drop(
         "_pid", "_pos", "_first", "_off", "_tie"
     )
 
 
-# Largest side we broadcast after measuring it; beyond it a shuffle join is used.
-MAX_BROADCAST_ROWS = 1_000_000
+# Largest side, in bytes, that is broadcast after measuring it; beyond it a
+# shuffle join is used.
+MAX_BROADCAST_BYTES = 32 << 20
 
 
-def bounded_broadcast(small: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
+def bounded_broadcast(small: DataFrame, max_bytes: int = MAX_BROADCAST_BYTES) -> DataFrame:
     """Materialize a side expected to be small, measure it, and hint a broadcast
-    only when it has at most ``max_rows`` rows (else return it unhinted, so
-    the planner uses a shuffle join). The checkpoint makes the measured rows
-    exactly the rows that are joined."""
+    only when rows times row width stay within ``max_bytes`` (else return it
+    unhinted, so the planner uses a shuffle join). The checkpoint makes the
+    measured rows exactly the rows that are joined. Text and nested columns
+    count 64 bytes each, all others 8."""
     checkpoint_dir(small.sparkSession)
     fixed = small.checkpoint(eager=True)
+    width = sum(64 if isinstance(f.dataType, (StringType, BinaryType, ArrayType, MapType, StructType)) else 8 for f in fixed.schema)
+    max_rows = max_bytes // width
     return F.broadcast(fixed) if fixed.limit(max_rows + 1).count() <= max_rows else fixed
 
 
+def join_on_groups(df: DataFrame, per_group: DataFrame, groups: Sequence[str]) -> DataFrame:
+    """Attach one row per group to the rows of ``df``; a null group meets its own row."""
+    side = per_group.withColumnsRenamed({g: f"_of_{g}" for g in groups})
+    on = reduce(lambda a, b: a & b, [F.col(g).eqNullSafe(F.col(f"_of_{g}")) for g in groups])
+    return df.join(side, on, "inner").drop(*[f"_of_{g}" for g in groups])
+
+
 def ntile_from_row_number(rn: Column, n: Column, buckets: int) -> Column:
     """SQL ``ntile`` from a 1-based row number and the group size.
 
@@ -172,5 +185,4 @@ def group_totals_window(
     if count_name:
         aggs.append(F.count(F.lit(1)).alias(count_name))
     totals = df.groupBy(*groups).agg(*aggs)
-    attached = df.select(*groups).join(totals, on=list(groups), how="inner")
-    return attached.distinct()
+    return join_on_groups(df.select(*groups), totals, list(groups)).distinct()

@@ -148,7 +148,7 @@ def year_totals(spark: SparkSession, d: str) -> DataFrame:
     a = FR.area(spark, d).select("custkey", "Metro")
     y = FR.years(spark, d)
     j = a.join(y, "custkey", "inner")
-    return _round(P.year_series(j, ["Metro"], "pop", unit=1e6))
+    return _round(P.year_series(j, ["Metro"], "pop", unit=1e6, na_rm=True))
 
 
 @query
@@ -540,7 +540,7 @@ def _ml_split(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     # One scan, one rebalancing shuffle, one checkpoint for both sides: the
     # training rows feed many passes and the hold-out rows are scored by
     # several models (and permuted copies).
-    t = ML.materialize(ML.hash_split(_ml_table(spark, d), FR.LKEY, 0.25))
+    t = ML.materialize(ML.hash_split(_ml_table(spark, d), FR.LKEY, 0.25), FR.LKEY)
     train = t.filter(F.col("part") == "training").drop("part")
     test = t.filter(F.col("part") == "test").drop("part")
     return train, test
@@ -621,7 +621,7 @@ def two_period_score(spark: SparkSession, d: str) -> DataFrame:
     cols = [*FR.LKEY, *[c for c in ML_SPEC.columns if c not in FR.LKEY]]
     early = FR.lineitem_period(spark, d, "early").select(*cols, (F.col("l_returnflag") == "R").cast("int").alias("y"))
     late = FR.lineitem_period(spark, d, "late").select(*cols, (F.col("l_returnflag") == "R").cast("int").alias("y"))
-    model = ML.fit(ML.estimators()["Logistic"], ML.materialize(early), ML_SPEC)
+    model = ML.fit(ML.estimators()["Logistic"], ML.materialize(early, FR.LKEY), ML_SPEC)
     return _round(ML.score(model, late, ML_SPEC, FR.LKEY, "Logistic"))
 
 
@@ -634,7 +634,7 @@ def predicted_class_profile(spark: SparkSession, d: str) -> DataFrame:
     label = (F.col("l_returnflag") == "R").cast("int").alias("y")
     early = FR.lineitem_period(spark, d, "early").select(*cols, label)
     late = FR.lineitem_period(spark, d, "late").select(*cols, label)
-    model = ML.fit(ML.estimators()["Logistic"], ML.materialize(early), ML_SPEC)
+    model = ML.fit(ML.estimators()["Logistic"], ML.materialize(early, FR.LKEY), ML_SPEC)
     scored = ML.score(model, late, ML_SPEC, [*FR.LKEY, "l_quantity", "l_discount", "l_tax", "l_linestatus"], "Logistic")
     scored = scored.withColumn("pred", F.col("prediction").cast("int"))
     return _round(P.profile(scored, ["pred", "l_linestatus"], FR.LINE_MEASURES, how="mean", key="class"))

@@ -50,7 +50,7 @@ def ind(t: str) -> str:
     extra = ", CASE WHEN SUM(value) >= 250 THEN 'high' END AS tier" if t == "purchase" else ""
     return (
         f"ind_{t} AS (SELECT user_id, COUNT(*) AS n_{t}, SUM(value) AS v_{t}{extra} "
-        f"FROM events WHERE event_type = '{t}' AND value > 100.0 GROUP BY user_id)"
+        f"FROM events WHERE event_type = '{t}' GROUP BY user_id HAVING MAX(value) > 100.0)"
     )
 
 

@@ -37,9 +37,12 @@ def normalise_name(name: str) -> str:
 
 def normalise_columns(df: DataFrame) -> DataFrame:
     """Rename every column to a safe identifier, keeping the original as metadata."""
-    cols = []
+    cols, taken = [], {}
     for f in df.schema.fields:
         new = normalise_name(f.name)
+        if new in taken:
+            raise ValueError(f"columns {taken[new]!r} and {f.name!r} would both become {new!r}; rename one first")
+        taken[new] = f.name
         meta = dict(f.metadata or {})
         meta.setdefault("source_name", f.name)
         cols.append(F.col(f"`{f.name}`").alias(new, metadata=meta))

@@ -73,8 +73,10 @@ def test_group_totals_legacy_density_pair(spark):
 
 def test_year_series_parses_years(spark):
     df = spark.createDataFrame([("R", 1e6, 2e6), ("R", None, 1e6)], "Metro string, pop2010 double, pop2011 double")
-    got = sorted((r.year, r.total) for r in P.year_series(df, ["Metro"], "pop").collect())
+    got = sorted((r.year, r.total) for r in P.year_series(df, ["Metro"], "pop", na_rm=True).collect())
     assert got == [(2010, 1.0), (2011, 3.0)]
+    missing = {r.year: r.total for r in P.year_series(df, ["Metro"], "pop").collect()}
+    assert missing == {2010: None, 2011: 3.0}
 
 
 def test_rollup_levels(spark):
@@ -108,19 +110,24 @@ def test_reorder_by_mean_and_top_k(spark):
     assert top == [5.0, 3.0]
 
 
-def test_wide_aggregate_in_chunks_keeps_null_group(spark, monkeypatch):
-    df = spark.createDataFrame([("a", 1.0, 2.0, 3.0), (None, 4.0, 5.0, 6.0), ("a", 1.0, 0.0, 1.0)], "g string, x double, y double, z double")
-    whole = {r.g: (r.x, r.y, r.z) for r in P.aggregate_metrics(df, ["g"], ["x", "y", "z"], "sum").collect()}
-    monkeypatch.setattr(P, "MAX_AGGS_PER_STAGE", 1)
-    rows = P.aggregate_metrics(df, ["g"], ["x", "y", "z"], "sum").collect()
-    assert len(rows) == 2
-    assert {r.g: (r.x, r.y, r.z) for r in rows} == whole == {"a": (2.0, 2.0, 4.0), None: (4.0, 5.0, 6.0)}
+def test_wide_aggregate_of_many_metrics_in_one_pass(spark):
+    wide = spark.createDataFrame([("a", 1.0), (None, 4.0), ("a", 2.0)], "g string, x double")
+    wide = wide.select("g", *[(F.col("x") * i).alias(f"x{i}") for i in range(130)])
+    rows = {r.g: r.x129 for r in P.aggregate_metrics(wide, ["g"], how="sum").collect()}
+    assert rows == {"a": 3.0 * 129, None: 4.0 * 129}
+    assert P.aggregate_metrics(wide, [], how="sum").first().x2 == 14.0
+
+
+def test_null_groups_stay(spark):
+    df = spark.createDataFrame([("a", 1.0), (None, 2.0), (None, 3.0), ("a", 4.0)], "g string, x double")
+    assert sorted((str(r.g), r.bin) for r in W.ntile_by(df, ["x"], 2, ["g"]).collect()) == [("None", 1), ("None", 2), ("a", 1), ("a", 2)]
+    assert {r.g: r.s for r in W.group_totals_window(df, ["g"], {"s": "x"}).collect()} == {"a": 5.0, None: 5.0}
 
 
 def test_bounded_broadcast_falls_back_to_shuffle(spark):
     big = spark.range(0, 50).withColumnRenamed("id", "k")
     small = spark.range(0, 5).withColumnRenamed("id", "k")
-    hinted = big.join(W.bounded_broadcast(small, max_rows=10), "k")
-    plain = big.join(W.bounded_broadcast(big, max_rows=10), "k")
+    hinted = big.join(W.bounded_broadcast(small, max_bytes=80), "k")
+    plain = big.join(W.bounded_broadcast(big, max_bytes=80), "k")
     assert "BroadcastHashJoin" in hinted._jdf.queryExecution().executedPlan().toString()
     assert hinted.count() == 5 and plain.count() == 50
