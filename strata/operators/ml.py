@@ -180,12 +180,37 @@ def score(model: PipelineModel, df: DataFrame, spec: FeatureSpec, keys: Sequence
 
 
 def score_all(models: dict, df: DataFrame, spec: FeatureSpec, keys: Sequence[str]) -> DataFrame:
-    """Score many named models into one long table (O-68, O-88)."""
-    frames = [score(m, df, spec, keys, name) for name, m in models.items()]
-    out = frames[0]
-    for f in frames[1:]:
-        out = out.unionByName(f)
-    return out
+    """Score many named models into one long table (O-68, O-88).
+
+    Models of one ``fit_all`` share their encoding: the rows are read and
+    encoded once, every model adds its own columns, and each row emits one
+    output row per model. Other models are scored one after the other.
+    """
+    encodings = [m.stages[:-1] for m in models.values()]
+    if any(len(e) != len(encodings[0]) or any(a is not b for a, b in zip(e, encodings[0])) for e in encodings):
+        frames = [score(m, df, spec, keys, name) for name, m in models.items()]
+        out = frames[0]
+        for f in frames[1:]:
+            out = out.unionByName(f)
+        return out
+    wide = PipelineModel(stages=encodings[0]).transform(with_label(df, spec))
+    rows = []
+    for i, (name, model) in enumerate(models.items()):
+        last = model.stages[-1].copy()
+        last.setProbabilityCol(f"_prob{i}").setRawPredictionCol(f"_raw{i}").setPredictionCol(f"_hard{i}")
+        wide = last.transform(wide)
+        prob = vector_to_array(f"_prob{i}")
+        rows.append(
+            F.struct(
+                F.lit(name).alias("model"),
+                F.col(f"_hard{i}").alias("prediction"),
+                prob[0].alias("probability_0"),
+                prob[1].alias("probability_1"),
+            )
+        )
+    label = F.col(spec.label).cast("int").alias(spec.label)
+    out = wide.select(*keys, label, F.inline(F.array(*rows)))
+    return out.select("model", *keys, spec.label, "prediction", "probability_0", "probability_1")
 
 
 def feature_importance(model: PipelineModel, sample: DataFrame, spec: FeatureSpec) -> list[tuple[str, float]]:

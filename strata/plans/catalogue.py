@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, FloatType
 
@@ -521,7 +521,7 @@ def scored_export(spark: SparkSession, d: str) -> DataFrame:
     return _round(with_row_index(j, FR.LKEY, "F1"))
 
 
-# ---------------------------------------------------------------- machine learning (rows-only checks)
+# ---------------------------------------------------------------- machine learning
 
 ML_SPEC = ML.FeatureSpec(
     label="y",
@@ -530,9 +530,24 @@ ML_SPEC = ML.FeatureSpec(
 )
 
 
+# The bar that a line's charge must pass to count as costly, by return flag.
+RETURNED_BAR, OTHER_BAR = 30000.0, 60000.0
+
+
+def _costly() -> Column:
+    """Model label: the charge (price less discount, plus tax) is above the bar.
+
+    The charge follows from the features, the return flag does not: the label
+    can be learned, but no model can separate it.
+    """
+    charge = F.col("l_extendedprice") * (F.lit(1.0) - F.col("l_discount")) * (F.lit(1.0) + F.col("l_tax"))
+    bar = F.when(F.col("l_returnflag") == "R", F.lit(RETURNED_BAR)).otherwise(F.lit(OTHER_BAR))
+    return F.coalesce(charge > bar, F.lit(False)).cast("int").alias("y")
+
+
 def _ml_table(spark: SparkSession, d: str) -> DataFrame:
     li = read_table(spark, d, "lineitem")
-    return li.select(*FR.LKEY, *[c for c in ML_SPEC.columns if c not in FR.LKEY], (F.col("l_returnflag") == "R").cast("int").alias("y"))
+    return li.select(*FR.LKEY, *[c for c in ML_SPEC.columns if c not in FR.LKEY], _costly())
 
 
 def _ml_split(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
@@ -578,6 +593,46 @@ def model_scores_long(spark: SparkSession, d: str) -> DataFrame:
     return _round(ML.score_all(models, test, ML_SPEC, FR.LKEY))
 
 
+@query
+def model_checks(spark: SparkSession, d: str) -> DataFrame:
+    """O-62…O-68: what holds for every classifier on the hold-out rows.
+
+    Each model scores every hold-out row; the two probabilities of a row sum
+    to 1; the prediction is the class above 0.5; the accuracy beats the more
+    frequent class.
+    """
+    train, test = _ml_split(spark, d)
+    s = ML.score_all(ML.fit_all(train, ML_SPEC), test, ML_SPEC, FR.LKEY)
+    p0, p1 = F.col("probability_0"), F.col("probability_1")
+    found = s.groupBy("model").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.sum("y").cast("long").alias("positives"),
+        F.count_if(F.abs(p0 + p1 - 1.0) > 1e-9).alias("bad_probability"),
+        F.count_if(F.col("prediction") != (p1 > 0.5).cast("double")).alias("bad_prediction"),
+        F.count_if(F.col("prediction") == F.col("y")).alias("_hits"),
+    )
+    base = F.greatest(F.col("positives"), F.col("n") - F.col("positives"))
+    return found.withColumn("beats_base", (F.col("_hits") > base).cast("int")).drop("_hits")
+
+
+@query
+def model_moments(spark: SparkSession, d: str) -> DataFrame:
+    """O-61/O-63/O-64: fitted shares on the training rows.
+
+    At its optimum the unregularised logistic model satisfies sum(x * p) =
+    sum(x * y) for the intercept and every feature; the leaves of a tree hold
+    the shares of their rows, so sum(p) = sum(y). Given as a share of sum(x).
+    """
+    train, _ = _ml_split(spark, d)
+    models = ML.fit_all(train, ML_SPEC, ["Logistic", "Decision Tree"])
+    keep = [*FR.LKEY, *[c for c in ML_SPEC.numeric if c not in FR.LKEY]]
+    s = ML.score_all(models, train, ML_SPEC, keep)
+    terms = {"intercept": F.lit(1.0), **{c: F.col(c) for c in ML_SPEC.numeric}}
+    wide = s.groupBy("model").agg(*[(F.sum(x * F.col("probability_1")) / F.sum(x)).alias(t) for t, x in terms.items()])
+    rows = [F.struct(F.lit(t).alias("term"), F.col(t).alias("share")) for t in terms]
+    return _round(wide.select("model", F.inline(F.array(*rows))).filter("model = 'Logistic' or term = 'intercept'"))
+
+
 @query
 def feature_importance(spark: SparkSession, d: str) -> DataFrame:
     """O-69/O-49/O-21: decision-tree importances per source column, ranked, with cumulative share."""
@@ -619,8 +674,8 @@ def refit_top_features(spark: SparkSession, d: str) -> DataFrame:
 def two_period_score(spark: SparkSession, d: str) -> DataFrame:
     """O-77: fit on the whole early period, score the late period."""
     cols = [*FR.LKEY, *[c for c in ML_SPEC.columns if c not in FR.LKEY]]
-    early = FR.lineitem_period(spark, d, "early").select(*cols, (F.col("l_returnflag") == "R").cast("int").alias("y"))
-    late = FR.lineitem_period(spark, d, "late").select(*cols, (F.col("l_returnflag") == "R").cast("int").alias("y"))
+    early = FR.lineitem_period(spark, d, "early").select(*cols, _costly())
+    late = FR.lineitem_period(spark, d, "late").select(*cols, _costly())
     model = ML.fit(ML.estimators()["Logistic"], ML.materialize(early, FR.LKEY), ML_SPEC)
     return _round(ML.score(model, late, ML_SPEC, FR.LKEY, "Logistic"))
 
@@ -631,9 +686,8 @@ def predicted_class_profile(spark: SparkSession, d: str) -> DataFrame:
     period, then publish mean measures by predicted class x line status
     (composite ``class-status`` key, long form) — the results-chart dataset."""
     cols = [*FR.LKEY, *[c for c in ML_SPEC.columns if c not in FR.LKEY]]
-    label = (F.col("l_returnflag") == "R").cast("int").alias("y")
-    early = FR.lineitem_period(spark, d, "early").select(*cols, label)
-    late = FR.lineitem_period(spark, d, "late").select(*cols, label)
+    early = FR.lineitem_period(spark, d, "early").select(*cols, _costly())
+    late = FR.lineitem_period(spark, d, "late").select(*cols, _costly())
     model = ML.fit(ML.estimators()["Logistic"], ML.materialize(early, FR.LKEY), ML_SPEC)
     scored = ML.score(model, late, ML_SPEC, [*FR.LKEY, "l_quantity", "l_discount", "l_tax", "l_linestatus"], "Logistic")
     scored = scored.withColumn("pred", F.col("prediction").cast("int"))

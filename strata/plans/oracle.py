@@ -406,6 +406,30 @@ ORACLE["hash_split"] = f"""
 SELECT CASE WHEN ({_key_hash_sql()}) % 10000 < 2500 THEN 'test' ELSE 'training' END AS part, COUNT(*) AS n
 FROM lineitem GROUP BY ALL"""
 
+_MODEL_ROWS = f"""
+WITH rows AS (
+  SELECT *, ({_key_hash_sql()}) % 10000 < 2500 AS test,
+         CASE WHEN l_extendedprice * (1.0::DOUBLE - l_discount) * (1.0::DOUBLE + l_tax)
+                   > CASE WHEN l_returnflag = 'R' THEN 30000.0::DOUBLE ELSE 60000.0::DOUBLE END THEN 1 ELSE 0 END AS y
+  FROM lineitem)"""
+
+# What the fitted models must satisfy, from the rows and labels alone.
+ORACLE["model_checks"] = _MODEL_ROWS + """
+SELECT model, COUNT(*) AS n, CAST(SUM(y) AS BIGINT) AS positives, CAST(0 AS BIGINT) AS bad_probability,
+       CAST(0 AS BIGINT) AS bad_prediction, CAST(1 AS INTEGER) AS beats_base
+FROM rows, (SELECT UNNEST(['Logistic', 'Decision Tree', 'Random Forest', 'Gradient Boosted Trees']) AS model)
+WHERE test GROUP BY model"""
+
+ORACLE["model_moments"] = _MODEL_ROWS + "\nUNION ALL\n".join(
+    f"""
+SELECT '{model}' AS model, '{term}' AS term, {r(f'SUM({x} * y) / SUM({x})')} AS share FROM rows WHERE NOT test"""
+    for model, term, x in [
+        ("Decision Tree", "intercept", "1.0::DOUBLE"),
+        ("Logistic", "intercept", "1.0::DOUBLE"),
+        *[("Logistic", c, c) for c in ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]],
+    ]
+)
+
 ORACLE["scored_export"] = _QTY + f"""
 SELECT ROW_NUMBER() OVER (ORDER BY l_orderkey, l_partkey, l_suppkey, l_linenumber, l_extendedprice) AS F1,
        {LKEY}, o.o_custkey, o.o_orderpriority, y, {r('p1')} AS p1, {r('prediction')} AS prediction

@@ -48,6 +48,28 @@ def test_models_score_planted_signal(spark):
     assert all(v > 80 for v in auc.values())
 
 
+def test_score_all_in_one_pass_equals_single_models(spark):
+    df = _planted(spark, 600)
+    models = ML.fit_all(df, SPEC, ["Logistic", "Decision Tree"])
+    together = ML.score_all(models, df, SPEC, ["k"])
+    alone = ML.score(models["Logistic"], df, SPEC, ["k"], "Logistic").unionByName(
+        ML.score(models["Decision Tree"], df, SPEC, ["k"], "Decision Tree")
+    )
+    assert together.columns == alone.columns
+    assert sorted(map(tuple, together.collect())) == sorted(map(tuple, alone.collect()))
+    # Models of different fits have encodings of their own.
+    other = {"a": models["Logistic"], "b": ML.fit(ML.estimators()["Logistic"], df, SPEC)}
+    assert ML.score_all(other, df, SPEC, ["k"]).count() == 1200
+
+
+def test_model_label_can_be_learned(spark):
+    from strata.plans.catalogue import QUERIES
+
+    rows = QUERIES["permutation_importance"](spark, "/root/testdata/sf0.001").collect()
+    drop = {r.feature: r.importance for r in rows}
+    assert max(drop, key=drop.get) == "l_extendedprice" and drop["l_extendedprice"] > 0.1
+
+
 def test_importance_ranks_planted_feature_first(spark):
     df = _planted(spark)
     tree = ML.fit(ML.estimators()["Decision Tree"], df, SPEC)
