@@ -28,10 +28,20 @@ def merge(
     how: str = "inner",
     null_keys: str = "sql",
 ) -> DataFrame:
-    """Natural (or named-key) join (O-35, O-36, O-37, O-38 step)."""
+    """Natural (or named-key) join (O-35, O-36, O-37, O-38 step).
+
+    A column that both sides have beside the keys comes out twice, as
+    ``<name>_x`` (left) and ``<name>_y`` (right).
+    """
     keys = list(on) if on else common_columns(a, b)
     if not keys:
         raise ValueError("no common columns to join on; refusing to build a cartesian product")
+    twice = [c for c in common_columns(a, b) if c not in keys]
+    taken = {f"{c}_{side}" for c in twice for side in "xy"} & {*a.columns, *b.columns}
+    if taken:
+        raise ValueError(f"suffixed names are taken: {sorted(taken)}")
+    a = a.withColumnsRenamed({c: f"{c}_x" for c in twice})
+    b = b.withColumnsRenamed({c: f"{c}_y" for c in twice})
     if null_keys == "sql":
         return a.join(b, on=keys, how=how)
     if null_keys != "match":
@@ -62,10 +72,21 @@ def merge_all_union(tables: Sequence[DataFrame], keys: Sequence[str]) -> DataFra
     shuffle on the key instead of one per table, and the per-table partial
     aggregate means a hot key ships one row per task. Null keys form one
     group, i.e. NA matches NA as in ``merge``.
+
+    A key that a table holds twice has no single row here: the job fails and
+    says so, in the same aggregate (up to 63 tables). Use ``merge_all`` then.
     """
-    stacked = reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), tables)
-    values = [c for c in stacked.columns if c not in set(keys)]
-    return stacked.groupBy(*keys).agg(*[F.max(c).alias(c) for c in values])
+    if len(tables) > 63:
+        raise ValueError("at most 63 tables")
+    marked = [t.withColumn("__table", F.lit(1 << i).cast("long")) for i, t in enumerate(tables)]
+    stacked = reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), marked)
+    values = [c for c in stacked.columns if c not in {*keys, "__table"}]
+    rows = stacked.groupBy(*keys).agg(
+        *[F.max(c).alias(c) for c in values], F.count(F.lit(1)).alias("__rows"), F.bit_or("__table").alias("__tables")
+    )
+    unique = F.col("__rows") == F.bit_count("__tables")
+    repeated = F.raise_error(F.lit("merge_all_union: a table repeats a key")).cast("boolean")
+    return rows.filter(F.when(unique, F.lit(True)).otherwise(repeated)).drop("__rows", "__tables")
 
 
 def label_backfill(

@@ -46,15 +46,20 @@ def cohort_change(
     names: tuple[str, str, str, str] = ("Loss|Flag", "Gain|Flag", "Loss|NoFlag", "Gain|NoFlag"),
     legacy_labels: bool = False,
     out: str = "cohort",
+    keys: Sequence[str] = (),
 ) -> DataFrame:
     """Change cohorts (O-60, O-51, O-52, O-43): net = later - earlier, four labelled
     cohorts by sign of net x label, stacked and tallied. net = 0 or null is in no cohort.
 
+    With ``keys``, rows that repeat an entity with the same values count once.
+
     The four filtered copies of the reference become one array of conditional
     labels per row (one scan, no union of four scans). ``legacy_labels=True``
     reproduces the reference filter of the no-flag loss cohort, which tests
     ``net > 0`` and therefore repeats the gain cohort.
     """
+    if keys:
+        df = distinct_rows(df, list(dict.fromkeys([*keys, later, earlier, label])))
     net = F.col(later) - F.col(earlier)
     flagged = F.col(label) == 1
     unflagged = F.col(label) == 0

@@ -129,3 +129,30 @@ def test_outer_fold_with_null_keys_matching(spark):
     }
     sql = J.merge_all([t1, t2, t3], how="full").collect()
     assert len(sql) == 5  # SQL semantics: each null key stays its own row
+
+
+def test_union_form_refuses_a_repeated_key(spark):
+    once = spark.createDataFrame([(1, 1.0), (2, 2.0)], "user_id int, a double")
+    twice = spark.createDataFrame([(1, "n"), (1, "m")], "user_id int, b string")
+    with pytest.raises(Exception, match="repeats a key"):
+        J.merge_all_union([once, twice], ["user_id"]).collect()
+    assert J.merge_all([once, twice]).count() == 3
+
+
+def test_merge_tells_shared_columns_apart(spark):
+    a = spark.createDataFrame([(1, 1.0, "l")], "k int, x double, only_a string")
+    b = spark.createDataFrame([(1, 2.0, "r")], "k int, x double, only_b string")
+    for null_keys in ("sql", "match"):
+        got = J.merge(a, b, on=["k"], null_keys=null_keys)
+        assert got.columns == ["k", "x_x", "only_a", "x_y", "only_b"]
+        assert tuple(got.first()) == (1, 1.0, "l", 2.0, "r")
+    with pytest.raises(ValueError, match="taken"):
+        J.merge(a.withColumn("x_y", F.lit(0)), b, on=["k"])
+
+
+def test_cohorts_count_a_repeated_entity_once(spark):
+    from strata.operators.setops import cohort_change
+
+    rows = spark.createDataFrame([(1, 2.0, 1.0, 1), (1, 2.0, 1.0, 1), (2, 3.0, 1.0, 1)], "k int, late double, early double, flag int")
+    assert cohort_change(rows, "late", "early", "flag", keys=["k"]).collect()[0].n == 2
+    assert cohort_change(rows, "late", "early", "flag").collect()[0].n == 3
