@@ -11,11 +11,16 @@ from __future__ import annotations
 import os
 import re
 import struct
+from itertools import filterfalse, pairwise
+
+import numpy as np
 
 # Chunks kept in a worker's memo; the older half of the traffic is forgotten beyond it.
 MEMO_CHUNKS = 700_000
 # Longer chunks are encoded each time, so that the memo stays small.
 MEMO_CHUNK_CHARS = 40
+# How byte-level vocabularies write a space.
+SPACE = "\u0120"
 
 # Python's \s holds all that the tokenizer takes for white space, and more.
 _ODD_SPACE = re.compile(r"\s\s|\A\s|\s\Z")
@@ -36,9 +41,14 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        vocabulary = self.tokenizer.get_vocab()
         self.vocabulary = self.tokenizer.get_vocab_size()
+        # Ids of the pieces that begin with a space.
+        self.spaced = np.zeros(max(vocabulary.values(), default=0) + 1, dtype=bool)
+        self.spaced[[i for piece, i in vocabulary.items() if piece.startswith(SPACE)]] = True
         # Letters and a closing mark after them are always different pieces.
         self.marks = {c: self._plain([c])[0] for c in ",."}
+        # Ids of " " + chunk by chunk.
         self.new: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
@@ -46,43 +56,68 @@ class Encoder:
         encoded = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [struct.pack(f"<{len(e)}I", *e.ids) for e in encoded]
 
+    def _spaced(self, chunks: list[str]) -> list[bytes]:
+        """Ids of " " + chunk for each: one call for all chunks that hold no space of their own.
+
+        Only their first pieces begin with a space, so the ids fall apart there.
+        """
+        joined = " " + " ".join(chunks)
+        if joined.count(" ") == len(chunks) and not _ODD_SPACE.search(joined, 1):
+            ids = np.array(self.tokenizer.encode_batch_fast([joined], add_special_tokens=False)[0].ids, dtype="<u4")
+            at = np.flatnonzero(self.spaced[ids])
+            if len(at) == len(chunks) and at[0] == 0:
+                raw, cuts = ids.tobytes(), [*(4 * at).tolist(), 4 * len(ids)]
+                return [raw[a:b] for a, b in pairwise(cuts)]
+        return self._plain([" " + c for c in chunks])
+
     def encode(self, text: str | None) -> bytes:
         if not text:
             return b""
-        if _ODD_SPACE.search(text):
-            chunks = _SAFE_CUT.split(text)
-        else:
-            chunks = text.split(" ")
-        if len(chunks) > 1:
-            chunks = [chunks[0], *[" " + c for c in chunks[1:]]]
-        new, old = self.new, self.old
-        missing, marked = [], []
-        for c in set(chunks):
-            if c not in new:
+        if "  " in text or text[0].isspace() or text[-1].isspace():
+            return self._joined(_SAFE_CUT.split(text))
+        # Every space stands alone here; what is flanked by other white space shows up as a new chunk.
+        out = self._joined(text.split(" "), flanked=True)
+        return self._joined(_SAFE_CUT.split(text)) if out is None else out
+
+    def _joined(self, chunks: list[str], flanked: bool = False) -> bytes | None:
+        """Ids of the chunks joined by spaces; None if ``flanked`` and a chunk begins or ends with white space."""
+        if flanked and chunks[0][-1].isspace():
+            return None
+        head = self._plain([chunks[0]])[0]
+        if len(chunks) == 1:
+            return head
+        del chunks[0]
+        new, old, long = self.new, self.old, {}
+        absent = set(filterfalse(new.__contains__, chunks))
+        if absent:
+            missing, marked = {}, []
+            for c in absent:
                 if c in old:
                     new[c] = old[c]
-                elif len(c) > 1 and c[-1] in self.marks and c[-2].isalpha() and len(c) <= MEMO_CHUNK_CHARS:
+                elif c[-1] in self.marks and len(c) <= MEMO_CHUNK_CHARS and c[-2:-1].isalpha():
                     marked.append(c)
                     word = c[:-1]
-                    if word not in new:
-                        if word in old:
-                            new[word] = old[word]
-                        else:
-                            missing.append(word)
+                    if word in old:
+                        new[word] = old[word]
+                    elif word not in new:
+                        missing[word] = None
                 else:
-                    missing.append(c)
-        long = {}
-        for c, ids in zip(missing, self._plain(missing) if missing else [], strict=True):
-            (new if len(c) <= MEMO_CHUNK_CHARS else long)[c] = ids
-        for c in marked:
-            new[c] = new[c[:-1]] + self.marks[c[-1]]
+                    missing[c] = None
+            if missing:
+                if flanked and any(c[0].isspace() or c[-1].isspace() for c in missing):
+                    return None
+                for c, ids in zip(missing, self._spaced(list(missing)), strict=True):
+                    # Only a text's last chunk can end with white space, and it isn't kept.
+                    (new if len(c) <= MEMO_CHUNK_CHARS and not c[-1].isspace() else long)[c] = ids
+            for c in marked:
+                new[c] = new[c[:-1]] + self.marks[c[-1]]
         if long:
             out = b"".join([long[c] if c in long else new[c] for c in chunks])
         else:
             out = b"".join(map(new.__getitem__, chunks))
         if len(new) > MEMO_CHUNKS:
             self.new, self.old = {}, new
-        return out
+        return head + out
 
 
 _encoders: dict[str, Encoder] = {}

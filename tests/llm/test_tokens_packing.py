@@ -39,6 +39,16 @@ def test_memo_equals_whole_texts(plain):
         assert np.frombuffer(e.encode(t), "<u4").tolist() == ids_of(plain, t, 0)[:-1]
 
 
+def test_memo_with_odd_white_space(plain):
+    e = Encoder(default_path())
+    texts = [
+        "a b", "a b\n", "a b\n c", "q b\n", "a\n b c", "a b c \n", "x b c \n d", "\na b", "a \tb c", "a b\t c", "a b\u00a0 c", "a \nb. c",
+        "a \n, b", "a  b", "b. ,", "a . b , c", "\u0120 \u0120a", "<|endoftext|> a", " ", "a" * 99 + " b " + "c" * 99 + " b", "\x1c x y",
+    ]
+    for t in texts * 2:
+        assert np.frombuffer(e.encode(t), "<u4").tolist() == ids_of(plain, t, 0)[:-1], t
+
+
 def test_elias_fano():
     rng = np.random.default_rng(0)
     for v in ([], [0], [5, 5, 5, 9], np.cumsum(rng.integers(0, 5000, 3000)).tolist(), [0] * 1000, [2**60]):
