@@ -56,13 +56,13 @@ class Encoder:
         encoded = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [struct.pack(f"<{len(e)}I", *e.ids) for e in encoded]
 
-    def _spaced(self, chunks: list[str]) -> list[bytes]:
-        """Ids of " " + chunk for each: one call for all chunks that hold no space of their own.
+    def _spaced(self, joined: str, chunks: list[str]) -> list[bytes]:
+        """Ids of " " + chunk for each, from one call on ``joined``, the chunks each after a space.
 
-        Only their first pieces begin with a space, so the ids fall apart there.
+        If no chunk holds a space of its own, only its first piece begins with
+        one, so the ids fall apart there.
         """
-        joined = " " + " ".join(chunks)
-        if joined.count(" ") == len(chunks) and not _ODD_SPACE.search(joined, 1):
+        if joined.count(" ") == len(chunks):
             ids = np.array(self.tokenizer.encode_batch_fast([joined], add_special_tokens=False)[0].ids, dtype="<u4")
             at = np.flatnonzero(self.spaced[ids])
             if len(at) == len(chunks) and at[0] == 0:
@@ -90,11 +90,11 @@ class Encoder:
         new, old, long = self.new, self.old, {}
         absent = set(filterfalse(new.__contains__, chunks))
         if absent:
-            missing, marked = {}, []
+            missing, marked, marks = {}, [], self.marks
             for c in absent:
                 if c in old:
                     new[c] = old[c]
-                elif c[-1] in self.marks and len(c) <= MEMO_CHUNK_CHARS and c[-2:-1].isalpha():
+                elif c[-1] in marks and len(c) <= MEMO_CHUNK_CHARS and c[-2:-1].isalpha():
                     marked.append(c)
                     word = c[:-1]
                     if word in old:
@@ -104,9 +104,14 @@ class Encoder:
                 else:
                     missing[c] = None
             if missing:
-                if flanked and any(c[0].isspace() or c[-1].isspace() for c in missing):
+                joined = " " + " ".join(missing)
+                if not _ODD_SPACE.search(joined, 1):
+                    encoded = self._spaced(joined, list(missing))
+                elif flanked and any(c[0].isspace() or c[-1].isspace() for c in missing):
                     return None
-                for c, ids in zip(missing, self._spaced(list(missing)), strict=True):
+                else:
+                    encoded = self._plain([" " + c for c in missing])
+                for c, ids in zip(missing, encoded, strict=True):
                     # Only a text's last chunk can end with white space, and it isn't kept.
                     (new if len(c) <= MEMO_CHUNK_CHARS and not c[-1].isspace() else long)[c] = ids
             for c in marked:
