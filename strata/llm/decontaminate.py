@@ -25,23 +25,65 @@ one) must each have PERCENT of their shingles in the passage.
 from __future__ import annotations
 
 import re
+import string
+import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strata.llm import text as T
 from strata.llm.store import materialize, ship
-from strata.llm.text import SHINGLE_WORDS, shingle_sequence, word_hashes, words
+from strata.llm.text import SHINGLE_WORDS, shingle_sequence, word_hashes
 
 PERCENT, K1, B = 75, 1.2, 0.75
 STOP_SHARE, STOP_ITEMS = 0.25, 20
 BLOCK = 8
 # Text bytes of test items held by a task at once; more items are scanned in several passes.
 INDEX_BYTES = 8 << 20
+# Raw words of the documents whose terms a task remembers.
+MEMO_WORDS = 200_000
 
 _SENTENCE = re.compile(r"[.!?](?=\s+\S)|\n(?=\s*\S)")
+_MARKS = string.punctuation.encode()
+
+
+@lru_cache(1 << 16)
+def _bare(word: bytes) -> bytes:
+    """``word`` in lower case without punctuation, symbols, blanks and controls at its edges."""
+    s = word.decode("utf-8", "replace").lower()
+    inside = [k for k, c in enumerate(s) if unicodedata.category(c)[0] not in "PSZC"]
+    return s[inside[0] : inside[-1] + 1].encode() if inside else b""
+
+
+def bare(word: bytes) -> bytes:
+    """``word`` (A-Z lower-cased) without the marks at its edges; empty if it is marks only."""
+    w = word.strip(_MARKS)
+    # Only words beyond ASCII need the Unicode categories and lower case.
+    return w if w.isascii() else _bare(w)
+
+
+def words(text: bytes) -> list[bytes]:
+    """Lower-cased words without the marks at their edges; words of marks only are left out."""
+    return [w for w in map(bare, T.words(text)) if w]
+
+
+class _TermIds(dict):
+    """Term of a raw word: -1 for words outside the index, -2 for marks only."""
+
+    def __init__(self, terms: dict[bytes, int]):
+        super().__init__()
+        self.terms = terms
+
+    def __missing__(self, raw: bytes) -> int:
+        w = bare(raw)
+        k = self.terms.get(w, -1) if w else -2
+        if len(self) < MEMO_WORDS:
+            self[raw] = k
+        return k
 
 
 def question_and_answer(text: str) -> tuple[list[bytes], list[bytes]]:
@@ -74,6 +116,7 @@ class Index:
                 df[w] = df.get(w, 0) + 1
         stop = STOP_SHARE * n if n >= STOP_ITEMS else n + 1
         self.terms = {w: k for k, w in enumerate(sorted(w for w, c in df.items() if c <= stop))}
+        self.term_ids = _TermIds(self.terms)
         postings: list[list[tuple[int, float]]] = [[] for _ in self.terms]
         self.always = []  # items that their indexed words cannot rule out
         for i, t in enumerate(texts):
@@ -125,15 +168,16 @@ class Index:
 
     def hits(self, text: bytes) -> dict[int, tuple[float, int, int]]:
         """item -> (score, question percent, answer percent) of the document's best passage."""
-        ws = words(text)
-        get = self.terms.get
-        ids = np.fromiter((get(w, -1) for w in ws), dtype=np.int64, count=len(ws))
+        raw = T.words(text)
+        ids = np.fromiter(map(self.term_ids.__getitem__, raw), dtype=np.int64, count=len(raw))
+        at = np.flatnonzero(ids != -2)  # words that are not marks only
+        ids = ids[at]
         size, stride = 2 * self.longest, self.longest
-        starts = np.arange(0, max(1, len(ws) - stride), stride)
+        starts = np.arange(0, max(1, len(ids) - stride), stride)
         total = np.r_[0.0, np.cumsum(self.list_max[ids])]
-        bound = total[np.minimum(starts + size, len(ws))] - total[starts]
+        bound = total[np.minimum(starts + size, len(ids))] - total[starts]
         out: dict[int, tuple[float, int, int]] = {}
-        if not len(ws):
+        if not len(ids):
             return out
         for s in starts[(bound >= 1 - 1e-6) | bool(self.always)]:
             u = np.unique(ids[s : s + size])
@@ -141,7 +185,7 @@ class Index:
             found += [(i, 1.0) for i in self.always]
             if not found:
                 continue
-            shingles = self._shingles(ws[s : s + size])
+            shingles = self._shingles([bare(raw[k]) for k in at[s : s + size]])
             for i, score in found:
                 shares = self.verify(i, shingles)
                 if shares is not None:

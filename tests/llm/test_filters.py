@@ -168,6 +168,17 @@ def test_leaks_odd_rows(spark):
     assert DC.find_leaks(docs.limit(0), bench).collect() == []
 
 
+def test_leaks_with_glued_marks(spark):
+    item = "Which river runs through the old town of the north and where does it end? It ends in the grey sea."
+    short = "Name the tall tree that stands behind the mill near the lake? An oak."
+    bench = spark.createDataFrame([(1, item), (2, short), (3, short.replace("oak", "\u00e9rable \u00e0 sucre"))], "item_id long, text string")
+    copies = [f"before {item}&&& %% after", f"before %%%{item} after", f"(\u00ab{item}\u00bb)", f"before --{short}\u2026 after", f"x \u201c{short}%%%", short.replace("oak", "\u00e9rable \u00e0 sucre").upper(), item.replace("grey", "blue"), "It ends in the grey sea.&&&"]
+    docs = spark.createDataFrame(list(enumerate(copies)), "doc_id long, text string")
+    got = {(r.doc_id, r.item_id): (r.question_percent, r.answer_percent) for r in DC.find_leaks(docs, bench).collect()}
+    assert got == {(k, i): (100, 100) for k, i in ((0, 1), (1, 1), (2, 1), (3, 2), (4, 2), (5, 3))}
+    assert DC.words("\u00c9t\u00e9, \u00bfqu\u00e9? A.b- &&& it's\u2026".encode()) == ["\u00e9t\u00e9".encode(), "qu\u00e9".encode(), b"a.b", b"it's"]
+
+
 def split_url(url):
     if url is None or "://" not in url:
         return "", ""
