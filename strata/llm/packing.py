@@ -3,11 +3,14 @@
 A configuration says how many pieces of each length share one sequence. The
 program asks for the fewest configurations that cover the histogram. It is
 solved by multiplicative weights: each round prices lengths, a knapsack
-dynamic program over the capacity finds the best configuration, and lengths
-that it covers lose weight. The fractional solution is rounded down, and what
-is left is packed best fit: the longest piece left and the knapsack for the
-rest of its sequence, repeated as often as the counts allow. Rounding to
-nothing is one of the choices; the one with the fewest sequences stands.
+dynamic program over the capacity finds the best configuration with the length
+of the greatest weight, and lengths that it covers lose weight, until all are
+covered. The fractional solution is rounded: whole uses first, then one more
+use where a fraction and pieces are left. The rest, REST of the pieces and what
+rounding leaves, is packed best fit: the longest piece left and the knapsack
+for the rest of its sequence, repeated as often as the counts allow. Only if
+that is not within NEAR of the volume bound, best fit alone is tried too, and
+the plan with the fewest sequences stands.
 
 Only the histogram, at most ``capacity`` numbers, comes to the driver, and
 only the configurations, at most about one per length and round, go back.
@@ -15,6 +18,7 @@ only the configurations, at most about one per length and round, go back.
 
 from __future__ import annotations
 
+import logging
 import zlib
 from collections.abc import Iterator
 
@@ -28,75 +32,139 @@ from strata.llm.store import materialize, ship
 from strata.llm.tokens import default_path, encoder
 
 CAPACITY, END_ID = 1024, 2
-ROUNDS, STEP, ETA = 200, 0.03, 4.0
+# A round covers at most this share of a length; finer steps for few lengths.
+MIN_STEP, MAX_STEP, STEP_LENGTHS, ETA = 1 / 64, 1 / 8, 8192, 0.02
+# A round prices this many of the least covered lengths first, then four times as many.
+WANTED = 32
+# Among fillings of equal worth longer pieces go first: short ones fill the last sequences.
+LONGER = 1e-5
+# Share of the pieces that the rounding leaves to best fit: those of the least full configurations.
+REST = 1 / 8
+# Beyond the volume bound by more than this share, best fit alone is tried as well.
+NEAR = 0.001
+
+_log = logging.getLogger(__name__)
 
 Config = tuple[tuple[int, int], ...]  # (length, how many), longest first
 
 
 def price(lengths: np.ndarray, value: np.ndarray, counts: np.ndarray, capacity: int) -> Config:
-    """Knapsack: the most valuable multiset of lengths that fits.
-
-    Unbounded dynamic program over the capacity; uses beyond ``counts`` are cut.
-    """
+    """Knapsack: the most valuable multiset of lengths that fits, none used beyond ``counts``."""
+    parts = []  # (room, value, length index, uses): counts split into 1, 2, 4, ... uses
+    for k, (length, v, n) in enumerate(zip(lengths.tolist(), value.tolist(), counts.tolist(), strict=True)):
+        n, uses = min(n, capacity // length), 1
+        while n > 0:
+            uses = min(uses, n)
+            parts.append((length * uses, v * uses, k, uses))
+            n, uses = n - uses, 2 * uses
     best = np.zeros(capacity + 1)
-    pick = np.full(capacity + 1, -1, dtype=np.int64)
-    order = np.argsort(lengths)
-    ls, vs = lengths[order], value[order]
-    upto = np.searchsorted(ls, np.arange(capacity + 1), "right")
-    for c in range(1, capacity + 1):
-        best[c], pick[c] = best[c - 1], -1
-        if upto[c]:
-            total = best[c - ls[: upto[c]]] + vs[: upto[c]]
-            k = int(total.argmax())
-            if total[k] > best[c]:
-                best[c], pick[c] = total[k], k
+    took = np.zeros((len(parts), capacity + 1), dtype=bool)
+    for i, (room, v, _, _) in enumerate(parts):
+        with_it = best[: capacity + 1 - room] + v
+        np.greater(with_it, best[room:], out=took[i, room:])
+        np.maximum(with_it, best[room:], out=best[room:])
     used: dict[int, int] = {}
     c = capacity
-    while c > 0:
-        if pick[c] < 0:
-            c -= 1
-            continue
-        used[int(pick[c])] = used.get(int(pick[c]), 0) + 1
-        c -= int(ls[pick[c]])
-    limit = counts[order]
-    return tuple(sorted(((int(ls[k]), min(n, int(limit[k]))) for k, n in used.items()), reverse=True))
+    for i in range(len(parts) - 1, -1, -1):
+        if took[i, c]:
+            room, _, k, uses = parts[i]
+            used[int(lengths[k])] = used.get(int(lengths[k]), 0) + uses
+            c -= room
+    return tuple(sorted(used.items(), reverse=True))
 
 
-def solve(histogram: dict[int, int], capacity: int = CAPACITY, rounds: int = ROUNDS, step: float = STEP) -> list[tuple[Config, int]]:
-    """Configurations and how often to use each; together they hold the histogram exactly."""
-    out: list[tuple[Config, int]] = []
-    if histogram.get(capacity):
-        out.append((((capacity, 1),), histogram[capacity]))
+def _weights(lengths: np.ndarray, need: np.ndarray, capacity: int, rounds: int | None, step: float) -> dict[Config, float]:
+    """Configurations and their fractional uses, which cover every length (unless ``rounds`` ends them).
+
+    Every round brings some length one ``step`` on or to its end, so there are
+    at most lengths * (1 + 1 / step) of them.
+    """
+    at = {int(k): i for i, k in enumerate(lengths)}
+    done, plan = np.zeros(len(need)), {}
+    while (done < 1 - 1e-9).any() and rounds != 0:
+        rounds = rounds and rounds - 1
+        # The weight of a length falls with the share of it that is covered; a token has its length's weight.
+        weight = np.where(done < 1 - 1e-9, np.exp(-ETA * done), 0.0)
+        first = int(np.flatnonzero(weight == weight.max())[-1])
+        room, counts, config = capacity - int(lengths[first]), need.copy(), {int(lengths[first]): 1}
+        counts[first] -= 1
+        fits = np.flatnonzero((weight > 0) & (lengths <= room) & (counts > 0))
+        for wanted in (WANTED, 4 * WANTED):
+            few = fits[np.argpartition(-weight[fits], wanted)[:wanted]] if len(fits) > wanted else fits
+            rest = price(lengths[few], lengths[few] * weight[few] + LONGER * lengths[few] ** 2, counts[few], room)
+            if sum(k * n for k, n in rest) == room or few is fits:
+                break
+        for k, n in rest:
+            config[k] = config.get(k, 0) + n
+        times = min(min(step, 1 - done[at[k]]) * need[at[k]] / n for k, n in config.items())
+        key = tuple(sorted(config.items(), reverse=True))
+        plan[key] = plan.get(key, 0.0) + times
+        for k, n in key:
+            done[at[k]] += times * n / need[at[k]]
+    return plan
+
+
+def solve_parts(histogram: dict[int, int], capacity: int = CAPACITY, rounds: int | None = None, step: float | None = None) -> tuple[list[tuple[Config, int]], list[tuple[Config, int]]]:
+    """What the rounded program packs and what best fit packs: configurations and how often to use each.
+
+    Pieces of a whole sequence's length come with the program's.
+    """
+    full = [(((capacity, 1),), histogram[capacity])] if histogram.get(capacity) else []
     lengths = np.array(sorted(k for k, n in histogram.items() if n and k < capacity), dtype=np.int64)
     if not len(lengths):
-        return out
+        return full, []
     need = np.array([histogram[int(k)] for k in lengths], dtype=np.int64)
-    at = {int(k): i for i, k in enumerate(lengths)}
-    left, done, plan = need.copy(), np.zeros(len(need)), {}
-    for _ in range(rounds):
-        open_ = done < 1
-        if not open_.any():
-            break
-        # The weight of a length falls with the share of it that is covered.
-        weight = np.where(open_, np.exp(-ETA * done) / need, 0.0)
-        config = price(lengths[open_], weight[open_], need[open_], capacity)
-        times = min(need[at[k]] / n for k, n in config) * step
-        plan[config] = plan.get(config, 0.0) + times
-        for k, n in config:
-            done[at[k]] += times * n / need[at[k]]
-    tries = [_rounded(plan, lengths, need, capacity), _rounded({}, lengths, need, capacity)]
-    return out + min(tries, key=lambda p: sum(times for _, times in p))
+    step = step or min(MAX_STEP, max(MIN_STEP, len(lengths) / STEP_LENGTHS))
+    program, left = _rounded(_weights(lengths, need, capacity, rounds, step), lengths, need, capacity)
+    rest = _best_fit(lengths, left, capacity)
+    if sum(times for _, times in program + rest) > (1 + NEAR) * -(-int(lengths @ need) // capacity):
+        alone = _best_fit(lengths, need, capacity)
+        if sum(times for _, times in alone) < sum(times for _, times in program + rest):
+            program, rest = [], alone
+    return full + program, rest
 
 
-def _rounded(plan: dict[Config, float], lengths: np.ndarray, need: np.ndarray, capacity: int) -> list[tuple[Config, int]]:
+def solve(histogram: dict[int, int], capacity: int = CAPACITY, rounds: int | None = None, step: float | None = None) -> list[tuple[Config, int]]:
+    """Configurations and how often to use each; together they hold the histogram exactly."""
+    program, rest = solve_parts(histogram, capacity, rounds, step)
+    pieces = [sum(times * sum(n for k, n in config if k < capacity) for config, times in p) for p in (program, rest)]
+    _log.info("packing: %d of %d pieces below the capacity placed by the rounded program, %d by best fit", pieces[0], sum(pieces), pieces[1])
+    return program + rest
+
+
+def _rounded(plan: dict[Config, float], lengths: np.ndarray, need: np.ndarray, capacity: int) -> tuple[list[tuple[Config, int]], np.ndarray]:
+    """Whole uses of the plan's configurations, and the counts that they leave.
+
+    The least full configurations, with REST of the pieces, are left out: best
+    fit fills them better together with what rounding leaves.
+    """
     at = {int(k): i for i, k in enumerate(lengths)}
-    left, out = need.copy(), []
-    for config, times in sorted(plan.items(), key=lambda x: (capacity - sum(k * n for k, n in x[0]), x[0])):
-        whole = min([int(times), *(int(left[at[k]]) // n for k, n in config)])
+    left, uses = need.tolist(), {}
+
+    def use(config: Config, times: int) -> None:
+        whole = min([times, *(left[at[k]] // n for k, n in config)])
         if whole:
-            out.append((config, whole))
+            uses[config] = uses.get(config, 0) + whole
             for k, n in config:
                 left[at[k]] -= whole * n
+
+    taken, pieces = [], 0.0
+    for config in sorted(plan, key=lambda c: capacity - sum(k * n for k, n in c)):
+        pieces += plan[config] * sum(n for _, n in config)
+        if pieces > (1 - REST) * need.sum():
+            break
+        taken.append(config)
+    for config in taken:
+        use(config, int(plan[config] + 1e-9))
+    for config in sorted(taken, key=lambda c: -(plan[c] % 1)):
+        if plan[config] % 1 > 1e-9:
+            use(config, 1)
+    return list(uses.items()), np.array(left, dtype=np.int64)
+
+
+def _best_fit(lengths: np.ndarray, left: np.ndarray, capacity: int) -> list[tuple[Config, int]]:
+    left, out = left.copy(), []
+    at = {int(k): i for i, k in enumerate(lengths)}
     while (left > 0).any():
         first = int(lengths[left > 0].max())
         rest = left.copy()

@@ -119,3 +119,23 @@ def test_plan_holds_histogram_exactly():
         assert got == h
         assert sum(t for _, t in plan) <= slack * -(-int(sizes.sum()) // 1024) + 1
     assert PK.solve({}) == []
+
+
+def test_program_covers_every_length_and_places_most():
+    rng = np.random.default_rng(5)
+    h = dict(zip(*(x.tolist() for x in np.unique(rng.triangular(1, 300, 1023, 9000).astype(int), return_counts=True)), strict=True))
+    lengths, need = np.array(sorted(h)), np.array([h[k] for k in sorted(h)])
+    covered = dict.fromkeys(h, 0.0)
+    for config, times in PK._weights(lengths, need, 1024, None, 1 / 8).items():
+        for k, n in config:
+            covered[k] += times * n
+    assert all(abs(covered[k] - h[k]) < 1e-6 for k in h)
+    program, rest = PK.solve_parts(h)
+    placed = sum(times * sum(n for _, n in config) for config, times in program)
+    assert placed >= 0.8 * need.sum()
+    assert sum(t for _, t in program + rest) <= 1.002 * -(-int(lengths @ need) // 1024) + 1
+
+
+def test_price_uses_the_room_within_the_counts():
+    # Unbounded, ten pieces of 10 would win and be cut to two.
+    assert PK.price(np.array([10, 40]), np.array([11.0, 40.0]), np.array([2, 2]), 100) == ((40, 2), (10, 2))
