@@ -27,7 +27,8 @@ def op4_toxicity(spark: SparkSession, d: str) -> DataFrame:
 
 
 def op5_quality(spark: SparkSession, d: str) -> DataFrame:
-    return quality.rate_quality(read_table(spark, d, "documents"), read_table(spark, d, "labels"))
+    docs = quality.sites_of_pages(read_table(spark, d, "documents"), read_table(spark, d, "pages"))
+    return quality.rate_quality(docs, read_table(spark, d, "labels"))
 
 
 def op6_packing(spark: SparkSession, d: str) -> DataFrame:

@@ -5,8 +5,9 @@ text, fitted on a bounded sample of labelled documents) gives the evidence of
 the text. Labelled outcomes are summed by host and by host and path; a host's
 rate shrinks toward the global rate, a path's toward its host's, with prior
 strengths estimated by moments. The final log odds are the document's plus
-how far its path's posterior lies from the global rate. Sparse sites so say
-little, and unknown ones nothing.
+how far its path's posterior lies from the global rate. A path without a label
+takes its host's posterior. Sparse sites so say little, and unknown hosts
+nothing.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strata.llm.store import materialize, ship
+from strata.llm.url_reputation import url_parts
 
 SAMPLE_ROWS = 12_000
 MIN_STRENGTH, MAX_STRENGTH = 2.0, 10_000.0
@@ -94,6 +96,21 @@ def posteriors(marked: DataFrame) -> DataFrame:
     return both.select("host", "path", "host_posterior", path.alias("path_posterior"), "overall")
 
 
+def sites_of_pages(docs: DataFrame, pages: DataFrame, host_col: str = "source", path_col: str = "lang") -> DataFrame:
+    """``docs`` with host and path of the page that shows the document, if there is one.
+
+    The document is the number after the language in the page's path
+    (``/en/123``). Of several pages the least (host, path) counts; documents
+    without a page keep what they have.
+    """
+    host, path = url_parts(F.col("url"))
+    doc = F.regexp_extract(path, r"^/[a-z]+/([0-9]{1,18})", 1)
+    shown = pages.filter(doc != "").groupBy(doc.cast("long").alias("__doc")).agg(F.min(F.struct(host.alias("host"), path.alias("path"))).alias("__site"))
+    site = {host_col: "host", path_col: "path"}
+    taken = [F.when(F.col("__site").isNotNull(), F.col(f"__site.{site[c]}")).otherwise(docs[c].cast("string")).alias(c) if c in site else docs[c] for c in docs.columns]
+    return docs.join(shown, docs["doc_id"].cast("long") == F.col("__doc"), "left").select(*taken)
+
+
 def rate_quality(docs: DataFrame, labels: DataFrame, host_col: str = "source", path_col: str = "lang", sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """(doc_id, held_out, doc_score, site_posterior, score, kept), one row per input row.
 
@@ -121,10 +138,12 @@ def rate_quality(docs: DataFrame, labels: DataFrame, host_col: str = "source", p
         scored = model.transform(shaped.withColumn("features", array_to_vector("x"))).withColumn("doc_score", vector_to_array("probability")[1])
     else:
         scored = shaped.withColumn("doc_score", F.lit(float(classes.pop())))
-    sites = posteriors(marked.select("host", "path", "label")).withColumnsRenamed({"host": "h", "path": "p"})
+    sites = materialize(posteriors(marked.select("host", "path", "label")).withColumnsRenamed({"host": "h", "path": "p"}), "posteriors")
+    hosts = sites.groupBy(F.col("h").alias("hh")).agg(F.first("host_posterior").alias("of_host"))
     overall = marked.agg(F.avg("label")).first()[0]
     joined = scored.join(sites, F.col("host").eqNullSafe(F.col("h")) & F.col("path").eqNullSafe(F.col("p")), "left")
-    site = F.coalesce("path_posterior", F.lit(float(overall)))
+    joined = joined.join(hosts, F.col("host").eqNullSafe(F.col("hh")), "left")
+    site = F.coalesce("path_posterior", "of_host", F.lit(float(overall)))
     odds = _logit(F.col("doc_score")) + _logit(site) - _logit(F.lit(float(overall)))
     score = 1 / (1 + F.exp(-odds))
     return joined.select("doc_id", _fold().alias("held_out"), "doc_score", site.alias("site_posterior"), score.alias("score"), (score >= KEEP).alias("kept"))

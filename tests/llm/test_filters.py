@@ -123,6 +123,21 @@ def test_quality_held_out(spark):
     assert {r.kept for r in quality.rate_quality(odd, labels.limit(0)).collect()} == {True}
 
 
+def test_quality_unlabelled_path_takes_its_host(spark):
+    good = [i for i in range(400) if zlib.crc32(str(i).encode()) % 4 != 2]
+    docs = [(i, "same words here", "a.org" if i % 2 else "b.org", f"/en/{i}") for i in good]
+    labels = [(i, i % 2) for i in good]
+    docs += [(1000, "same words here", "a.org", "/en/1000"), (1001, "same words here", "b.org", "/en/1001"), (1002, "same words here", "c.org", "/en/1002")]
+    df = spark.createDataFrame(docs, "doc_id long, text string, source string, lang string")
+    got = {r.doc_id: r for r in quality.rate_quality(df, spark.createDataFrame(labels, "doc_id long, quality int")).collect()}
+    assert len(got) == len(docs)
+    assert got[1000].site_posterior > 0.95 and got[1001].site_posterior < 0.05 and abs(got[1002].site_posterior - 0.5) < 0.05
+    assert got[1000].kept and not got[1001].kept
+    pages = spark.createDataFrame([(1, "http://B.org/en/7?x"), (2, "http://a.org/en/7"), (3, "http://a.org/about"), (4, None)], "page_id long, url string")
+    rows = spark.createDataFrame([(7, "t", "s", "en"), (8, "t", "s", None), (None, "t", "s", "en")], "doc_id long, text string, source string, lang string")
+    assert sorted(map(tuple, quality.sites_of_pages(rows, pages).collect()), key=str) == [(7, "t", "a.org", "/en/7"), (8, "t", "s", None), (None, "t", "s", "en")]
+
+
 def plain_leaks(text, items):
     ws = DC.words(text.encode())
     found, longest = set(), max((len(DC.words(t.encode())) for _, t in items), default=1)
