@@ -7,6 +7,12 @@ if one token has FIXED_SHARE of its distinct lines there; where at least
 SIMILARITY of the positions are fixed, the rest generalise to ``<*>`` as well
 and the lines that agree in all fixed positions share that template.
 
+Leaves with several templates, or with a template among other lines, are split
+further: a token is frequent at its position if lines of enough texts have it
+there. Lines with the same frequent tokens at the same positions form a group,
+and a group with SIMILARITY of its positions frequent, one of them beyond the
+first LEAD, is a template of its own, however many other lines the leaf holds.
+
 A template recurs if lines of MIN_DOCS different texts have it. Its first
 line (least doc_id, then hash of the text, then position) stays, all others
 are dropped. Copies of one text count as one: whole-document copies are not
@@ -53,27 +59,35 @@ def recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     lines = materialize(lines, "lines")
     # Distinct texts per masked line; partial aggregation takes the hot ones.
     keys = materialize(
-        lines.groupBy("leaf", "key", "text_key").agg(F.min("at").alias("at")).groupBy("leaf", "key").agg(F.count("*").alias("docs"), F.min(F.struct("text_key", "at")).alias("where")), "keys"
+        lines.groupBy("leaf", "n", "key", "text_key").agg(F.min("at").alias("at")).groupBy("leaf", "n", "key").agg(F.count("*").alias("docs"), F.min(F.struct("text_key", "at")).alias("where")), "keys"
     )
-    exact = keys.filter(F.col("docs") >= min_docs).select("key", F.col("key").alias("template"))
+    enough = F.lit(min_docs)
+    exact = keys.filter(F.col("docs") >= enough).select("key", F.col("key").alias("template"))
     # Leaves whose lines could only together reach the count.
-    open_ = keys.groupBy("leaf").agg(F.sum("docs").alias("docs"), F.count("*").alias("members")).filter((F.col("docs") >= min_docs) & (F.col("members") > 1))
-    inside = materialize(keys.join(open_.select("leaf", "members"), "leaf").select("leaf", "key", "members", "docs", "where.*"), "inside")
+    open_ = keys.groupBy("leaf", "n").agg(F.sum("docs").alias("docs"), F.count("*").alias("members")).filter((F.col("docs") >= enough) & (F.col("members") > 1))
+    inside = materialize(keys.join(open_.select("leaf", "members"), "leaf").select("leaf", "n", "key", "members", "docs", "where.*"), "inside")
     # Each of their lines is read again in one place, without masking all the others.
     texts = docs.withColumn("text_key", F.xxhash64("text"))
     texts = keep_keys(texts, inside.select("text_key"), "text_key").groupBy("text_key").agg(F.first("text").alias("text"))
-    texts = inside.join(texts, "text_key").select("leaf", "key", "members", "docs", _masked(F.get(F.split("text", "\n", -1), F.col("at"))).alias("line"))
-    tokens = materialize(texts.select("leaf", "key", "members", "docs", F.posexplode(F.split("line", " ")).alias("at", "token")), "tokens")
-    counted = tokens.groupBy("leaf", "at", "token", "members").agg(F.count("*").alias("lines"))
+    texts = inside.join(texts, "text_key").select("leaf", "n", "key", "members", "docs", _masked(F.get(F.split("text", "\n", -1), F.col("at"))).alias("line"))
+    tokens = materialize(texts.select("leaf", "n", "key", "members", "docs", F.posexplode(F.split("line", " ")).alias("at", "token")), "tokens")
+    counted = materialize(tokens.groupBy("leaf", "n", "at", "token", "members").agg(F.count("*").alias("lines"), F.sum("docs").alias("docs")), "counted")
     best = counted.groupBy("leaf", "at", "members").agg(F.max_by("token", F.struct("lines", "token")).alias("token"), F.max("lines").alias("lines"))
     shape = best.groupBy("leaf").agg(F.count("*").alias("n"), F.count_if(F.col("lines") >= FIXED_SHARE * F.col("members")).alias("fixed"))
     shape = shape.filter((F.col("fixed") >= SIMILARITY * F.col("n")) & (F.col("fixed") < F.col("n")))
     fixed = best.filter(F.col("lines") >= FIXED_SHARE * F.col("members")).join(shape.select("leaf", "fixed"), "leaf").select("leaf", "at", "token", "fixed")
-    agrees = tokens.join(fixed, ["leaf", "at", "token"]).groupBy("leaf", "key", "docs", "fixed").agg(F.count("*").alias("hits")).filter("hits = fixed")
-    wide = agrees.groupBy("leaf").agg(F.sum("docs").alias("all_docs")).filter(F.col("all_docs") >= min_docs)
-    general = agrees.join(wide, "leaf").select("key", F.col("leaf").alias("template"))
-    # A line under both takes the general template.
-    chosen = general.select("key", "template", F.lit(1).alias("g")).unionByName(exact.select("key", "template", F.lit(0).alias("g")))
+    agrees = tokens.join(fixed, ["leaf", "at", "token"]).groupBy("leaf", "n", "key", "docs", "fixed").agg(F.count("*").alias("hits")).filter("hits = fixed")
+    wide = agrees.groupBy("leaf", "n").agg(F.sum("docs").alias("all_docs")).filter(F.col("all_docs") >= enough)
+    general = agrees.join(wide.select("leaf"), "leaf").select("key", F.col("leaf").alias("template"))
+    # Groups within a leaf: the frequent tokens of each line and their positions.
+    often = counted.filter(F.col("docs") >= enough).select("leaf", "at", "token")
+    signed = tokens.join(often, ["leaf", "at", "token"]).groupBy("leaf", "n", "key", "docs")
+    signed = signed.agg(F.bit_xor(F.xxhash64("at", "token")).alias("signature"), F.count("*").alias("fixed"), F.count_if(F.col("at") >= LEAD).alias("beyond"))
+    signed = materialize(signed.filter((F.col("fixed") >= SIMILARITY * F.col("n")) & (F.col("fixed") < F.col("n")) & (F.col("beyond") > 0)), "signed")
+    groups = signed.groupBy("leaf", "n", "signature").agg(F.sum("docs").alias("docs")).filter(F.col("docs") >= enough)
+    group = signed.join(groups.select("leaf", "signature"), ["leaf", "signature"]).select("key", F.xxhash64("leaf", "signature").alias("template"))
+    # A line under several takes the leaf's template, then its group's.
+    chosen = general.select("key", "template", F.lit(2).alias("g")).unionByName(group.select("key", "template", F.lit(1).alias("g"))).unionByName(exact.select("key", "template", F.lit(0).alias("g")))
     chosen = materialize(chosen.groupBy("key").agg(F.max_by("template", "g").alias("template")), "templates")
     hits = materialize(lines.select("doc_id", "text_key", "at", "key").join(chosen, "key").select("doc_id", "text_key", "at", "template"), "hits")
     first = hits.groupBy("template").agg(F.min(F.struct("doc_id", "text_key", "at")).alias("first"))

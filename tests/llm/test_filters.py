@@ -293,3 +293,20 @@ def test_lines_equal_plain_rule(spark):
     kept = lambda i, t: t if t is None else "\n".join(x for at, x in enumerate(t.split("\n")) if (i, at) not in lost)
     assert texts == Counter((i, kept(i, t)) for i, t in rows)
     assert LT.drop_recurring_lines(df.limit(0)).collect() == []
+
+
+def _words_of(rng, n):
+    return " ".join("".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 6)) for _ in range(n))
+
+
+def test_templates_share_a_leaf(spark):
+    rng = np.random.default_rng(9)
+    rows = []
+    for i in range(30):
+        w = _words_of(rng, 1)
+        # Two templates with one opening and length, and one among many unrelated lines.
+        first = f"from the desk of {w} please call back soon" if i % 2 else f"from the desk sent {w} to all our readers"
+        other = [f"it is now {_words_of(rng, 6)}" for _ in range(6)]
+        rows.append((i, "\n".join([first, f"it is now time to leave {w} for good", *other])))
+    got = Counter(r.at for r in LT.recurring_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == {0: 28, 1: 29}
