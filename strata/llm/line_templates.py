@@ -13,10 +13,13 @@ there. Lines with the same frequent tokens at the same positions form a group,
 and a group with SIMILARITY of its positions frequent, one of them beyond the
 first LEAD, is a template of its own, however many other lines the leaf holds.
 
-A template recurs if lines of MIN_DOCS different texts have it. Its first
-line (least doc_id, then hash of the text, then position) stays, all others
-are dropped. Copies of one text count as one: whole-document copies are not
-this operator's business. Lines with fewer than MIN_TOKENS tokens always stay.
+A template recurs if enough different texts have it: MIN_DOCS for short lines,
+which recur by chance, MID_DOCS from MID_TOKENS tokens and LONG_DOCS from
+LONG_TOKENS tokens on. Its first line (least doc_id, then hash of the text,
+then position) stays, all others are dropped. Copies of one text count as one:
+whole-document copies are not this operator's business. Lines with fewer than
+MIN_TOKENS tokens are judged by the masked line alone; such lines stay if they
+are empty or hold no token without a digit.
 """
 
 from __future__ import annotations
@@ -27,6 +30,7 @@ from pyspark.sql import functions as F
 from strata.llm.store import keep_keys, materialize
 
 MIN_DOCS, MIN_TOKENS, LEAD = 10, 3, 3
+MID_TOKENS, MID_DOCS, LONG_TOKENS, LONG_DOCS = 8, 5, 50, 3
 FIXED_SHARE, SIMILARITY = 0.8, 0.75
 WILD = "<*>"
 
@@ -42,16 +46,22 @@ def _masked(line: Column) -> Column:
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, text_key, at, line, n) of every line with enough tokens, masked."""
+    """(doc_id, text_key, at, line, n) of every line with a token to judge by, masked."""
     rows = docs.select("doc_id", F.xxhash64("text").alias("text_key"), F.posexplode(F.split("text", "\n", -1)).alias("at", "line"))
     rows = rows.withColumn("line", _masked(F.col("line")))
-    return rows.withColumn("n", F.length("line") - F.length(F.replace("line", F.lit(" "))) + 1).filter(F.col("n") >= MIN_TOKENS)
+    return rows.withColumn("n", F.length("line") - F.length(F.replace("line", F.lit(" "))) + 1).filter((F.col("n") >= MIN_TOKENS) | ~F.col("line").isin("", *(" ".join([WILD] * n) for n in range(1, MIN_TOKENS))))
 
 
 def _leaf() -> Column:
     return F.xxhash64("n", F.substring_index("line", " ", LEAD))
 
 
+def _enough(min_docs: int) -> Column:
+    """Different texts that a template of ``n`` tokens must stand in."""
+    n = F.col("n")
+    return F.when(n >= LONG_TOKENS, F.lit(min(min_docs, LONG_DOCS))).when(n >= MID_TOKENS, F.lit(min(min_docs, MID_DOCS))).otherwise(F.lit(min_docs))
+
+
 def recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = MIN_DOCS) -> DataFrame:
     """(doc_id, text_key, at, template): the lines to drop, by position in their document."""
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
@@ -61,7 +71,7 @@ def recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     keys = materialize(
         lines.groupBy("leaf", "n", "key", "text_key").agg(F.min("at").alias("at")).groupBy("leaf", "n", "key").agg(F.count("*").alias("docs"), F.min(F.struct("text_key", "at")).alias("where")), "keys"
     )
-    enough = F.lit(min_docs)
+    enough = _enough(min_docs)
     exact = keys.filter(F.col("docs") >= enough).select("key", F.col("key").alias("template"))
     # Leaves whose lines could only together reach the count.
     open_ = keys.groupBy("leaf", "n").agg(F.sum("docs").alias("docs"), F.count("*").alias("members")).filter((F.col("docs") >= enough) & (F.col("members") > 1))

@@ -310,3 +310,11 @@ def test_templates_share_a_leaf(spark):
         rows.append((i, "\n".join([first, f"it is now time to leave {w} for good", *other])))
     got = Counter(r.at for r in LT.recurring_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect())
     assert got == {0: 28, 1: 29}
+
+
+def test_count_depends_on_line_length(spark):
+    rng = np.random.default_rng(10)
+    passage = _words_of(rng, 60)
+    rows = [(i, "\n".join([_words_of(rng, 20), "Read more" if i < 200 else _words_of(rng, 2), "", str(i), *([passage] if i in (5, 50, 250) else [])])) for i in range(300)]
+    got = {(r.doc_id, r.at) for r in LT.recurring_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {(i, 1) for i in range(1, 200)} | {(50, 4), (250, 4)}
