@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strata.llm import decontaminate, line_templates, near_dedup, packing, pii, quality, token_files, toxicity, url_reputation, vector_search
+from strata.llm import alignment, decontaminate, line_templates, near_dedup, packing, pii, quality, token_files, toxicity, url_reputation, vector_search
 from strata.sources.readers import read_table
 
 
@@ -56,11 +56,16 @@ def op10_vector_search(spark: SparkSession, d: str) -> DataFrame:
     return vector_search.nearest(rows, rows.filter("vec_id % 100 = 0"))
 
 
+def op13_alignment(spark: SparkSession, d: str) -> DataFrame:
+    return alignment.align_documents(read_table(spark, d, "documents"))
+
+
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_near_dedup, op2_token_files, op3_personal_data, op4_toxicity, op5_quality,
         op6_packing, op7_decontamination, op8_url_reputation, op9_line_templates, op10_vector_search,
+        op13_alignment,
     )
 }
 
