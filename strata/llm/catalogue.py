@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strata.llm import alignment, decontaminate, line_templates, near_dedup, packing, pii, quality, token_files, toxicity, url_reputation, vector_search
+from strata.llm import alignment, decontaminate, embedding_dedup, lexical_search, line_templates, near_dedup, packing, pii, quality, token_files, toxicity, url_reputation, vector_search
 from strata.sources.readers import read_table
 
 
@@ -56,6 +56,14 @@ def op10_vector_search(spark: SparkSession, d: str) -> DataFrame:
     return vector_search.nearest(rows, rows.filter("vec_id % 100 = 0"))
 
 
+def op11_lexical_search(spark: SparkSession, d: str) -> DataFrame:
+    return lexical_search.search(read_table(spark, d, "documents"), read_table(spark, d, "benchmark"))
+
+
+def op12_embedding_dedup(spark: SparkSession, d: str) -> DataFrame:
+    return embedding_dedup.linked_vectors(read_table(spark, d, "embeddings"))
+
+
 def op13_alignment(spark: SparkSession, d: str) -> DataFrame:
     return alignment.align_documents(read_table(spark, d, "documents"))
 
@@ -65,7 +73,7 @@ LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         op1_near_dedup, op2_token_files, op3_personal_data, op4_toxicity, op5_quality,
         op6_packing, op7_decontamination, op8_url_reputation, op9_line_templates, op10_vector_search,
-        op13_alignment,
+        op11_lexical_search, op12_embedding_dedup, op13_alignment,
     )
 }
 
@@ -80,7 +88,37 @@ part AS (
   FROM cut
 )"""
 
+# The terms of a text, A-Z lower-cased.
+_TERMS = r"""regexp_extract_all(
+  translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+  '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"""
+
 LLM_ORACLE: dict[str, str] = {
+    "op11_lexical_search": f"""
+WITH doc AS (SELECT row_number() OVER () AS pos, doc_id, {_TERMS} AS t FROM documents),
+size AS (SELECT pos, doc_id, CAST(len(t) AS BIGINT) AS n FROM doc),
+total AS (SELECT count(*) FILTER (n > 0) AS docs, CAST(sum(n) AS BIGINT) AS len FROM size),
+held AS (SELECT pos, term, count(*) AS tf FROM (SELECT pos, unnest(t) AS term FROM doc) GROUP BY pos, term),
+asked AS (
+  SELECT item_id, term, count(*) AS times
+  FROM (SELECT item_id, unnest({_TERMS}) AS term FROM (SELECT DISTINCT item_id, text FROM benchmark WHERE item_id IS NOT NULL))
+  GROUP BY item_id, term
+),
+weight AS (
+  SELECT term, CAST(floor(1000 * ln(CAST(2 * any_value(docs) + 2 AS DOUBLE) / CAST(2 * count(*) + 1 AS DOUBLE))) AS BIGINT) AS w
+  FROM held, total WHERE term IN (SELECT term FROM asked) GROUP BY term
+),
+damped AS (SELECT pos, doc_id, 25 + (75 * n * docs) // len AS m FROM size, total WHERE n > 0 AND doc_id IS NOT NULL),
+scored AS (
+  SELECT item_id, doc_id, pos, CAST(sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * m))) AS BIGINT) AS score
+  FROM asked JOIN held USING (term) JOIN weight USING (term) JOIN damped USING (pos) GROUP BY item_id, doc_id, pos
+),
+ranked AS (
+  SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score
+  FROM scored WHERE score > 0
+)
+SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= {lexical_search.K}
+""",
     "op8_url_reputation": f"""
 WITH {_URL_PARTS},
 shown AS (
