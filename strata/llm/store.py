@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import os
 import tempfile
 import uuid
@@ -57,3 +58,20 @@ def keep_keys(df: DataFrame, keys: DataFrame, on: str, anti: bool = False) -> Da
     keys = materialize(keys.select(on).distinct(), "keys")
     side = F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys
     return df.join(side, on, "left_anti" if anti else "left_semi")
+
+
+def sample_keys(keys: DataFrame, on: str, n: int, salt: str) -> DataFrame:
+    """At most ``n`` distinct keys, the least by a hash: (``on``, order), written.
+
+    The choice follows from the keys alone. Before one task sorts them, the keys
+    are cut at the hash that ``n`` and six standard deviations of them pass, so
+    that task gets about ``n`` rows whatever the input. Where keys repeat, the
+    cut counts rows, and somewhat fewer keys may be chosen. Null keys never are.
+    """
+    order = F.shiftrightunsigned(F.xxhash64(F.col(on).cast("string"), F.lit(salt)), 1)
+    known = materialize(keys.select(on).filter(F.col(on).isNotNull()).withColumn("order", order), "keys")
+    total = known.count()
+    if total > n:
+        share = (n + 6 * math.sqrt(n) + 10) / total
+        known = known.filter(F.col("order") < F.lit(int(min(1.0, share) * (2**63 - 1))))
+    return materialize(known.distinct().orderBy("order", on).limit(n), "sample")

@@ -7,9 +7,10 @@ learning rate for each coordinate, and its L1 term leaves most weights at zero,
 model is a short list of (index, weight) that every task can hold.
 
 The model is fitted on at most ``sample_rows`` labelled documents (the least
-by a hash of the id, so the choice does not depend on partitioning). They are
-dealt into SHARDS fixed shards by that hash; each shard trains a model in one task,
-and a grouped mean of the weights joins them.
+by a hash of the id, so the choice does not depend on partitioning). Ids are
+chosen first, and only the chosen texts move. They are dealt into SHARDS fixed
+shards by that hash; each shard trains a model in one task, and a grouped mean
+of the weights joins them.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strata.llm.store import materialize, ship
+from strata.llm.store import materialize, sample_keys, ship
 from strata.llm.text import mix, word_hashes
 
 DIMENSIONS = 1 << 21
@@ -90,20 +91,29 @@ def _fit(pdf):
     return pd.DataFrame({"feature": np.r_[at, -1], "weight": np.r_[w[at], bias]})
 
 
-def fit(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "label") -> list[tuple[int, float]]:
+def fit(docs: DataFrame, marks: DataFrame, sample_rows: int = SAMPLE_ROWS, shards: int = SHARDS) -> list[tuple[int, float]]:
     """(feature, weight) of the non-zero weights, the bias at feature -1.
 
-    Rows without a label are left out; without any labelled row there is no
-    weight and the bias is zero.
+    ``docs``: (doc_id, text); ``marks``: one row (doc_id, label) per labelled id.
+    The ids to learn from are chosen before any text is moved: at most
+    ``sample_rows`` of those that have a document. Of texts under one id the
+    least is taken. Each shard of ids trains its own weights; their mean is
+    over the shards that have documents. Without any labelled document there is
+    no weight and the bias is zero.
     """
-    ship(labelled.sparkSession)
-    rows = labelled.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(label_col).cast("int").alias("label")).filter("label is not null")
-    order = F.xxhash64(F.col("doc_id").cast("string"), F.lit("toxicity"))
-    sample = materialize(rows.withColumn("order", order).orderBy("order", "doc_id").limit(sample_rows), "sample")
-    shards = sample.groupBy(F.pmod("order", F.lit(SHARDS)).alias("shard")).applyInPandas(_fit, "feature long, weight double")
-    mean = shards.groupBy("feature").agg((F.sum("weight") / F.lit(float(SHARDS))).alias("weight"))
-    # At most DIMENSIONS rows, in practice the few thousand that L1 leaves.
-    return [(r.feature, r.weight) for r in mean.collect()]
+    ship(docs.sparkSession)
+    marks = marks.select("doc_id", F.col("label").cast("int").alias("label")).filter("doc_id is not null and label is not null")
+    known = materialize(marks.join(docs.select("doc_id"), "doc_id", "left_semi"), "marks")
+    chosen = sample_keys(known, "doc_id", sample_rows, "toxicity")
+    # At most ``sample_rows`` rows of three numbers.
+    chosen = materialize(known.join(F.broadcast(chosen), "doc_id"), "chosen")
+    texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")
+    sample = materialize(texts.groupBy("doc_id", "label", "order").agg(F.min("text").alias("text")), "sample")
+    trained = sample.groupBy(F.pmod("order", F.lit(shards)).alias("shard")).applyInPandas(_fit, "feature long, weight double")
+    # At most DIMENSIONS rows, in practice the few thousand that L1 leaves; each shard has one bias.
+    sums = trained.groupBy("feature").agg(F.sum("weight").alias("weight"), F.count(F.lit(1)).alias("n")).collect()
+    used = max((r.n for r in sums if r.feature == -1), default=1)
+    return [(r.feature, r.weight / used) for r in sums]
 
 
 def _arrays(model: list[tuple[int, float]]) -> tuple[np.ndarray, np.ndarray, float]:
@@ -145,9 +155,8 @@ def fit_on_labels(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_
     Repeated labels of one document count as toxic if any says so; labels
     without a document, and documents without a label, are ignored.
     """
-    marks = labels.filter("doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("label"))
-    known = docs.select("doc_id", "text").filter(~held_out()).join(marks, "doc_id")
-    return fit(known, sample_rows)
+    marks = labels.filter("doc_id is not null").filter(~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("label"))
+    return fit(docs.select("doc_id", "text"), marks, sample_rows)
 
 
 def classify(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:

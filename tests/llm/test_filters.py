@@ -1,7 +1,9 @@
 """Personal data, toxicity, quality, decontamination, urls and lines."""
 
 import hashlib
+import math
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -10,12 +12,14 @@ import numpy as np
 import pandas as pd
 import pytest
 from conftest import SF_MID, SF_SMALL
+from pyspark.sql import functions as F
 
 from strata.llm import decontaminate as DC
 from strata.llm import line_templates as LT
 from strata.llm import pii, quality, toxicity
 from strata.llm import url_reputation as UR
 from strata.llm.catalogue import LLM_ORACLE, LLM_QUERIES
+from strata.llm.store import sample_keys
 
 PATTERNS = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
@@ -106,6 +110,75 @@ def test_toxicity_learns_and_keeps_fold_apart(spark):
     assert kept.columns == docs.columns and kept.count() == (got["predicted"] == 0).sum()
 
 
+def test_ftrl_equals_plain_coordinates():
+    """One coordinate at a time, in plain numbers."""
+    rng = np.random.default_rng(2)
+    rows = [(np.unique(rng.integers(0, 30, 6)), int(rng.random() < 0.3)) for _ in range(400)]
+    z, n, zb, nb, bias = {}, {}, 0.0, 0.0, 0.0
+
+    def weight(i):
+        if abs(z.get(i, 0.0)) <= toxicity.L1:
+            return 0.0
+        sign = 1.0 if z[i] > 0 else -1.0
+        return (sign * toxicity.L1 - z[i]) / ((toxicity.BETA + math.sqrt(n[i])) / toxicity.ALPHA + toxicity.L2)
+
+    for _ in range(toxicity.EPOCHS):
+        for x, y in rows:
+            w = {i: weight(i) for i in x.tolist()}
+            g = 1 / (1 + math.exp(-(sum(w.values()) + bias))) - y
+            for i in w:
+                old = n.get(i, 0.0)
+                z[i] = z.get(i, 0.0) + g - (math.sqrt(old + g * g) - math.sqrt(old)) / toxicity.ALPHA * w[i]
+                n[i] = old + g * g
+            zb += g - (math.sqrt(nb + g * g) - math.sqrt(nb)) / toxicity.ALPHA * bias
+            nb += g * g
+            bias = -zb * toxicity.ALPHA / (toxicity.BETA + math.sqrt(nb))
+    got, got_bias = toxicity.train(rows)
+    assert np.allclose(got[:30], [weight(i) if i in n else 0.0 for i in range(30)], atol=1e-9) and not got[30:].any()
+    assert abs(got_bias - bias) < 1e-9
+
+
+def test_toxicity_sample_follows_from_ids(spark):
+    """Repeated ids, several shards, any partitioning: the same model; one shard's weights are its own."""
+    rows = [(i, f"calm word{i % 7} text{i % 5}" + (" nasty foul" if i % 4 == 0 else "")) for i in range(400)]
+    rows += [(0, "zzz later"), (0, "zzz later"), (8, None), (12, "aaa")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(600)] + [(4, 0), (None, 1), (7, None)], "doc_id long, toxic int")
+    want = sorted(toxicity.fit_on_labels(docs, labels, 150))
+    assert sorted(toxicity.fit_on_labels(docs.repartition(7), labels.repartition(3), 150)) == want
+    one = labels.filter("doc_id = 1")
+    alone = dict(toxicity.fit(docs, one.select("doc_id", F.col("toxic").alias("label")), shards=2))
+    _, bias = toxicity.train([(np.unique(toxicity.feature_indices(rows[1][1].encode())), 0)])
+    assert abs(alone[-1] - bias) < 1e-12
+
+
+def test_sample_keys(spark):
+    keys = spark.range(5000).select(F.col("id").alias("k")).unionByName(spark.sql("SELECT CAST(NULL AS BIGINT) AS k"))
+    got = [r.k for r in sample_keys(keys, "k", 300, "s").collect()]
+    every = [r.k for r in keys.filter("k is not null").orderBy(F.shiftrightunsigned(F.xxhash64(F.col("k").cast("string"), F.lit("s")), 1), "k").limit(300).collect()]
+    assert sorted(got) == sorted(every) and len(got) == 300
+    assert sample_keys(keys, "k", 9000, "s").count() == 5000 and sample_keys(keys.limit(0), "k", 5, "s").count() == 0
+
+
+def test_many_overlapping_proposals_are_linear():
+    text = " x ".join(f"{i:010d}" for i in range(20000))
+    model = pii.Trees([], [], dict.fromkeys(range(4), 0.0))
+    began = time.time()
+    base, spans = pii.spans_of(text, model)
+    assert time.time() - began < 20 and len(spans) > 1000
+    added = sorted((a, b) for a, k, b in set(spans) - set(base))
+    assert all(x[1] <= y[0] for x, y in zip(added, added[1:]))
+
+
+def test_loosened_keeps_what_features_see():
+    text = "x" * 100 + " call card 4111 1111 1111 1111, mail me.you@example.org now 10.0.0.1"
+    for span in pii.base_spans(text):
+        a, kind, b = span
+        short, at = pii.loosened(text, span)
+        whole = text[:a] + short[at[0] : at[2]] + text[b:]
+        assert pii.features(short, at) == pii.features(whole, (a, kind, a + at[2] - at[0]))
+
+
 def test_quality_shrinks_sparse_sites(spark):
     marked = [("a", "x", 1)] * 300 + [("b", "x", 0)] * 300 + [("c", "x", 0)] + [("d", "x", 1)] * 100 + [(None, None, 1)] * 50
     p = {r.host: r for r in quality.posteriors(spark.createDataFrame(marked, "host string, path string, label int")).collect()}
