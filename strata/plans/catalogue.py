@@ -17,6 +17,7 @@ from strata.functions import scalar as S
 from strata.operators import clean as CL
 from strata.operators import categorical as C
 from strata.operators import evaluate as EV
+from strata.operators import forest as FO
 from strata.operators import joins as J
 from strata.operators import ml as ML
 from strata.operators import profile as P
@@ -663,6 +664,44 @@ def forest_error_curve(spark: SparkSession, d: str) -> DataFrame:
     return _round(ML.forest_error_curve(train, test, ML_SPEC))
 
 
+def _binned(spark: SparkSession, d: str) -> FO.Binned:
+    return FO.bin_features(_ml_table(spark, d), ML_SPEC, FR.LKEY)
+
+
+@query
+def feature_cuts(spark: SparkSession, d: str) -> DataFrame:
+    """O-64…O-66: the exact 1/32 quantiles at which trees may cut each numeric feature."""
+    cuts = FO.quantile_cuts(_ml_table(spark, d), ML_SPEC.numeric)
+    rows = [(c, float(v)) for c, values in cuts.items() for v in values]
+    return spark.createDataFrame(rows, "feature string, cut double")
+
+
+@query
+def root_gains(spark: SparkSession, d: str) -> DataFrame:
+    """O-64/O-69: what the best cut of all rows by each feature gains, the first split of a tree."""
+    return _round(FO.root_gains(_binned(spark, d)))
+
+
+@query
+def forest_bags(spark: SparkSession, d: str) -> DataFrame:
+    """O-65/O-71: rows inside and outside the bag of each of the forest's 100 trees."""
+    return FO.bags(_binned(spark, d).rows)
+
+
+@query
+def oob_error_curve(spark: SparkSession, d: str) -> DataFrame:
+    """O-71: out-of-bag error, overall and by class, of the first 1 … 100 trees of a forest on all rows."""
+    binned = _binned(spark, d)
+    return _round(FO.oob_error_curve(binned, FO.grow(binned)))
+
+
+@query
+def oob_importance(spark: SparkSession, d: str) -> DataFrame:
+    """O-70: mean decrease in out-of-bag accuracy with its standard error, and mean decrease in Gini."""
+    binned = _binned(spark, d)
+    return _round(FO.oob_importance(binned, FO.grow(binned)))
+
+
 @query
 def refit_top_features(spark: SparkSession, d: str) -> DataFrame:
     """O-72/O-76: keep the top-3 tree features, refit all four models, metrics long."""

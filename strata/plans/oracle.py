@@ -8,6 +8,8 @@ side; integer results are cast to BIGINT/INTEGER to match Spark types.
 
 from __future__ import annotations
 
+import math
+
 R = "ROUND({x}, 4) + 0.0"
 
 
@@ -434,3 +436,54 @@ ORACLE["scored_export"] = _QTY + f"""
 SELECT ROW_NUMBER() OVER (ORDER BY l_orderkey, l_partkey, l_suppkey, l_linenumber, l_extendedprice) AS F1,
        {LKEY}, o.o_custkey, o.o_orderpriority, y, {r('p1')} AS p1, {r('prediction')} AS prediction
 FROM q JOIN orders o ON q.l_orderkey = o.o_orderkey"""
+
+# ---------------------------------------------------------------- bagged trees
+
+# Fixed values shared with strata.operators.forest, from their own rule: the
+# bins, and the bag hash with the Poisson(1) shares over its modulus.
+_BINS, _MODULUS = 32, 2147483647
+_SHARES = ", ".join(f"{k}/{_BINS}.0" for k in range(1, _BINS))
+_FEATURES = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+
+
+def _poisson_steps() -> list[int]:
+    steps, total, part, k = [], 0.0, math.exp(-1), 0
+    while round((total + part) * _MODULUS) < _MODULUS:
+        total += part
+        steps.append(round(total * _MODULUS))
+        k += 1
+        part /= k
+    return steps
+
+
+ORACLE["feature_cuts"] = _MODEL_ROWS + f""", quantiles AS ({" UNION ALL ".join(
+    f"SELECT '{c}' AS feature, UNNEST(quantile_disc({c}, [{_SHARES}])) AS cut, min({c}) AS least FROM rows" for c in _FEATURES
+)})
+SELECT DISTINCT feature, CAST(cut AS DOUBLE) AS cut FROM quantiles WHERE cut > least"""
+
+ORACLE["root_gains"] = _MODEL_ROWS + f""", quantiles AS ({" UNION ALL ".join(
+    f"SELECT '{c}' AS feature, UNNEST(quantile_disc({c}, [{_SHARES}])) AS cut, min({c}) AS least FROM rows" for c in _FEATURES
+)}),
+cuts AS (SELECT feature, list(DISTINCT cut) AS cuts FROM quantiles WHERE cut > least GROUP BY feature),
+binned AS ({" UNION ALL ".join(
+    f"SELECT feature, len(list_filter(cuts, lambda v: v <= {c})) AS bin, y FROM rows, cuts WHERE feature = '{c}'" for c in _FEATURES
+)}
+  UNION ALL SELECT 'l_linestatus=' || v, CAST(l_linestatus = v AS INTEGER), y FROM rows, (SELECT DISTINCT l_linestatus AS v FROM rows)),
+counted AS (SELECT feature, bin, COUNT(*) AS n, SUM(y) AS s FROM binned GROUP BY feature, bin),
+summed AS (
+  SELECT feature, bin, CAST(SUM(n) OVER w AS BIGINT) AS n_left, CAST(SUM(s) OVER w AS BIGINT) AS s_left,
+         CAST(SUM(n) OVER (PARTITION BY feature) AS BIGINT) AS n, CAST(SUM(s) OVER (PARTITION BY feature) AS BIGINT) AS s
+  FROM counted WINDOW w AS (PARTITION BY feature ORDER BY bin ROWS UNBOUNDED PRECEDING)),
+gains AS (
+  SELECT *, 2.0 * (s_left::DOUBLE * s_left / n_left + (s - s_left)::DOUBLE * (s - s_left) / (n - n_left) - s::DOUBLE * s / n) AS gain
+  FROM summed WHERE n_left < n)
+SELECT feature, CAST(bin AS INTEGER) AS bin, {r('gain')} AS gain, n, s, n_left, s_left
+FROM gains WHERE gain > 1e-9 * n QUALIFY row_number() OVER (PARTITION BY feature ORDER BY gain DESC, bin) = 1"""
+
+ORACLE["forest_bags"] = f"""
+WITH hashed AS (SELECT {_key_hash_sql()} AS h FROM lineitem),
+trees(tree, a, c) AS (VALUES {", ".join(f"({t}, {pow(48271, t + 1, _MODULUS)}, {pow(16807, t + 1, _MODULUS)})" for t in range(100))}),
+drawn AS (SELECT tree, (CAST(h AS BIGINT) * a + c) % {_MODULUS} AS u FROM hashed, trees),
+weighed AS (SELECT tree, {" + ".join(f"CAST(u >= {s} AS INTEGER)" for s in _poisson_steps())} AS w FROM drawn)
+SELECT CAST(tree AS INTEGER) AS tree, COUNT(*) FILTER (w > 0) AS in_bag, COUNT(*) FILTER (w = 0) AS out_of_bag, CAST(SUM(w) AS BIGINT) AS weight
+FROM weighed GROUP BY tree"""
