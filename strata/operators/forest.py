@@ -27,10 +27,12 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+from pyspark.ml import Model
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strata.operators.ml import FeatureSpec, key_hash
+from strata.operators.ml import FeatureSpec, bin_sql, key_hash
 from strata.session import checkpoint_dir, ship
 
 # Fixed values of the bag hash: a prime modulus and two of its primitive roots.
@@ -178,6 +180,7 @@ class Binned:
     encoded: list[str]
     source: list[str]
     cuts: dict[str, list[float]]
+    levels: list[tuple[str, str]]
 
     @property
     def width(self) -> int:
@@ -220,10 +223,12 @@ def bin_features(df: DataFrame, spec: FeatureSpec, keys: Sequence[str], bins: in
     schema = ", ".join(["h long", "y int", *(f"{n} short" for n in names)])
     ship(df.sparkSession)
     checkpoint_dir(df.sparkSession)
-    rows = given.mapInArrow(_bin_rows(list(spec.numeric), pairs, cuts), schema).checkpoint(eager=True)
+    binned = given.mapInArrow(_bin_rows(list(spec.numeric), pairs, cuts), schema)
+    # Dealt out evenly, by bytes: the rows are read once per level.
+    rows = binned.repartition("h").checkpoint(eager=True)
     source = [*spec.numeric, *(c for c, _ in pairs)]
     encoded = [*spec.numeric, *(f"{c}={v}" for c, v in pairs)]
-    return Binned(rows, encoded, source, cuts)
+    return Binned(rows, encoded, source, cuts, pairs)
 
 
 # ---------------------------------------------------------------- growing
@@ -383,6 +388,84 @@ def root_gains(binned: Binned) -> DataFrame:
     return best.select(name.alias("feature"), F.col("bin").cast("int").alias("bin"), "gain", "n", "s", "n_left", "s_left")
 
 
+# ---------------------------------------------------------------- scoring
+
+
+class ForestModel(Model):
+    """A grown forest as the last stage of a pipeline model.
+
+    Adds the mean share of the leaves as ``probability`` and the class it is
+    over a half for as ``prediction``. The trees are a constant of the
+    expression; nothing leaves the JVM.
+    """
+
+    def __init__(self, spec: FeatureSpec, cuts: dict[str, list[float]], levels: list[tuple[str, str]], source: list[str], trees: list[Tree]):
+        super().__init__()
+        self.spec, self.cuts, self.levels, self.source, self.trees = spec, cuts, levels, source, trees
+        self.names = {"probability": "probability", "raw": "rawPrediction", "prediction": "prediction"}
+
+    def copy(self, extra=None) -> ForestModel:
+        other = ForestModel(self.spec, self.cuts, self.levels, self.source, self.trees)
+        other.names = dict(self.names)
+        return other
+
+    def _named(self, kind: str, name: str) -> ForestModel:
+        self.names[kind] = name
+        return self
+
+    def setProbabilityCol(self, name: str) -> ForestModel:  # noqa: N802 - as Spark ML's classifiers name it
+        return self._named("probability", name)
+
+    def setRawPredictionCol(self, name: str) -> ForestModel:  # noqa: N802
+        return self._named("raw", name)
+
+    def setPredictionCol(self, name: str) -> ForestModel:  # noqa: N802
+        return self._named("prediction", name)
+
+    def share(self) -> Column:
+        """Mean share of the leaves that a row falls into."""
+        bins = [F.expr(bin_sql(c, self.cuts[c])).cast("int") for c in self.spec.numeric]
+        marks = [F.coalesce((F.col(c).cast("string") == F.lit(v)).cast("int"), F.lit(0)) for c, v in self.levels]
+        x = F.array(*bins, *marks)
+        depth = len(self.trees[0].feature).bit_length() - 2
+        trees = F.array(*[F.struct(F.lit(t.feature.tolist()).alias("f"), F.lit(t.cut.tolist()).alias("c"), F.lit(t.value.tolist()).alias("v")) for t in self.trees])
+
+        def leaf(t: Column) -> Column:
+            def down(node: Column, _: Column) -> Column:
+                f = F.get(t["f"], node)
+                return F.when(f < 0, node).otherwise(node * 2 + (F.get(x, f) > F.get(t["c"], node)).cast("int"))
+
+            return F.get(t["v"], F.aggregate(F.sequence(F.lit(1), F.lit(max(depth, 1))), F.lit(1), down) if depth else F.lit(1))
+
+        return F.aggregate(trees, F.lit(0.0), lambda sum_, t: sum_ + leaf(t)) / F.lit(float(len(self.trees)))
+
+    def _transform(self, df: DataFrame) -> DataFrame:
+        out = df.withColumn("_share", self.share())
+        p = F.col("_share")
+        pair = F.array(F.lit(1.0) - p, p)
+        added = {
+            self.names["raw"]: array_to_vector(F.transform(pair, lambda v: v * F.lit(float(len(self.trees))))),
+            self.names["probability"]: array_to_vector(pair),
+            self.names["prediction"]: (p > 0.5).cast("double"),
+        }
+        return out.withColumns({name: c for name, c in added.items() if name}).drop("_share")
+
+    def gains(self) -> dict[str, float]:
+        """Share of the fall of impurity by source column, each tree counting alike."""
+        total: dict[str, float] = {}
+        for tree in self.trees:
+            whole = sum(tree.gain.values())
+            for node, gain in tree.gain.items():
+                name = self.source[int(tree.feature[node])]
+                total[name] = total.get(name, 0.0) + gain / whole
+        every = sum(total.values())
+        return {c: v / every for c, v in total.items()}
+
+
+def forest_model(binned: Binned, spec: FeatureSpec, trees: list[Tree]) -> ForestModel:
+    return ForestModel(spec, binned.cuts, binned.levels, binned.source, trees)
+
+
 # ---------------------------------------------------------------- out of bag
 
 

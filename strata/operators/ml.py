@@ -4,7 +4,10 @@
   -> ``OneHotEncoder`` -> ``VectorAssembler``, on normalised column names;
 * split: a hash of the row key, so the split does not change with the
   number or order of partitions (``randomSplit`` does);
-* four estimators with the Spark defaults the reference relied on;
+* four estimators with the Spark defaults the reference relied on; trees cut
+  features that are binned first at exact quantiles, so their candidates are the
+  same for any partitioning, and the forest's bags follow from the rows
+  (``operators.forest``); fits of one table run side by side;
 * scoring to one long table ``(model, keys…, label, prediction, probability_1)``
   that every evaluator consumes in one grouped job;
 * importances: impurity importances mapped back to source columns, and
@@ -18,9 +21,11 @@ scan, join and encoding.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (
     DecisionTreeClassifier,
@@ -28,7 +33,7 @@ from pyspark.ml.classification import (
     LogisticRegression,
     RandomForestClassifier,
 )
-from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
+from pyspark.ml.feature import OneHotEncoder, SQLTransformer, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -86,36 +91,73 @@ class FeatureSpec:
         return FeatureSpec(self.label, [c for c in self.numeric if c in keep], [c for c in self.categorical if c in keep])
 
 
-def feature_stages(spec: FeatureSpec) -> list:
-    """Formula ``label ~ features`` as pipeline stages (O-61)."""
+# Bins of a numeric feature that trees choose their cuts from.
+BINS = 32
+
+
+def bin_sql(column: str, cuts: Sequence[float]) -> str:
+    """SQL for the number of cut points that a value reaches, found by halving.
+
+    A missing value has a bin of its own above all others.
+    """
+
+    def search(lo: int, hi: int) -> str:
+        if lo == hi:
+            return f"{lo}D"
+        mid = (lo + hi) // 2
+        return f"CASE WHEN x < {float(cuts[mid])!r}D THEN {search(lo, mid)} ELSE {search(mid + 1, hi)} END"
+
+    x = f"CAST(`{column}` AS DOUBLE)"
+    return f"CASE WHEN {x} IS NULL OR isnan({x}) THEN {len(cuts) + 1}D ELSE {search(0, len(cuts)).replace('x <', x + ' <')} END"
+
+
+def feature_stages(spec: FeatureSpec, cuts: dict[str, list[float]] | None = None) -> list:
+    """Formula ``label ~ features`` as pipeline stages (O-61).
+
+    ``features`` holds the values and the one-hot levels. With ``cuts``,
+    ``binned`` holds the bins of the numeric columns beside the same levels.
+    """
     stages = []
-    vec_inputs = list(spec.numeric)
+    encoded = []
     if spec.categorical:
         idx = [f"{c}__idx" for c in spec.categorical]
-        ohe = [f"{c}__ohe" for c in spec.categorical]
+        encoded = [f"{c}__ohe" for c in spec.categorical]
         stages.append(
             StringIndexer(
                 inputCols=spec.categorical, outputCols=idx, handleInvalid="keep", stringOrderType="alphabetAsc"
             )
         )
-        stages.append(OneHotEncoder(inputCols=idx, outputCols=ohe, handleInvalid="keep", dropLast=True))
-        vec_inputs += ohe
-    stages.append(VectorAssembler(inputCols=vec_inputs, outputCol="features", handleInvalid="keep"))
+        stages.append(OneHotEncoder(inputCols=idx, outputCols=encoded, handleInvalid="keep", dropLast=True))
+    if cuts is not None:
+        bins = ", ".join(f"{bin_sql(c, cuts[c])} AS `{c}__bin`" for c in spec.numeric)
+        stages.append(SQLTransformer(statement=f"SELECT *{', ' + bins if bins else ''} FROM __THIS__"))
+        stages.append(VectorAssembler(inputCols=[*(f"{c}__bin" for c in spec.numeric), *encoded], outputCol="binned", handleInvalid="keep"))
+    stages.append(VectorAssembler(inputCols=[*spec.numeric, *encoded], outputCol="features", handleInvalid="keep"))
     return stages
 
 
+@dataclass
+class BaggedForest:
+    """Settings of a forest whose bags follow from the rows (``operators.forest``)."""
+
+    trees: int = 20
+    depth: int = 5
+    seed: int = SEED
+
+
 def estimators(seed: int = SEED) -> dict:
     """The four classifiers (O-63 … O-66) with the defaults the reference used.
 
     The reference's "probit" is a binomial logit; its extra ``maxit`` argument
     is ignored by the R wrapper, so Spark's default of 100 iterations applies.
     """
-    common = {"featuresCol": "features", "labelCol": "label"}
+    values, bins = ({"featuresCol": c, "labelCol": "label"} for c in ("features", "binned"))
     return {
-        "Logistic": LogisticRegression(family="binomial", maxIter=100, regParam=0.0, **common),
-        "Decision Tree": DecisionTreeClassifier(maxDepth=5, maxBins=32, seed=seed, **common),
-        "Random Forest": RandomForestClassifier(numTrees=20, seed=seed, **common),
-        "Gradient Boosted Trees": GBTClassifier(maxIter=20, stepSize=0.1, seed=seed, **common),
+        "Logistic": LogisticRegression(family="binomial", maxIter=100, regParam=0.0, **values),
+        # One bin more for missing values.
+        "Decision Tree": DecisionTreeClassifier(maxDepth=5, maxBins=BINS + 1, seed=seed, **bins),
+        "Random Forest": BaggedForest(20, 5, seed),
+        "Gradient Boosted Trees": GBTClassifier(maxIter=20, stepSize=0.1, maxBins=BINS + 1, seed=seed, **bins),
     }
 
 
@@ -123,34 +165,72 @@ def with_label(df: DataFrame, spec: FeatureSpec) -> DataFrame:
     return df.withColumn("label", F.col(spec.label).cast("double"))
 
 
-# Partitions of a training or hold-out frame. Split candidates and forest
-# bagging follow the partitioning, so it is a parameter and never the number of
-# cores: the same data gives the same model on any cluster.
-TRAIN_PARTITIONS = 16
-
-
-def materialize(df: DataFrame, keys: Sequence[str] | None = None, partitions: int = TRAIN_PARTITIONS) -> DataFrame:
-    """Deal out by ``keys`` (default: all columns), sort, and cut the lineage
-    of a frame reused by many fits.
+def materialize(df: DataFrame, keys: Sequence[str] | None = None, partitions: int | None = None) -> DataFrame:
+    """Deal out by ``keys`` (default: all columns) and cut the lineage of a frame reused by many fits.
 
-    Rows land in the same partition and order whatever the input's
-    partitioning. The frame is written to the reliable checkpoint folder, so a
-    lost executor re-reads files instead of re-running the scan and filters.
-    Raise ``partitions`` with the size of the training data.
+    The number of partitions follows from the bytes (AQE) unless it is given;
+    no fit depends on it. The frame is written to the reliable checkpoint
+    folder, so a lost executor re-reads files instead of re-running the scan
+    and filters. With ``partitions`` rows land in the same partition and order
+    whatever the input's partitioning.
     """
     checkpoint_dir(df.sparkSession)
     by = [F.col(c) for c in (keys or df.columns)]
+    if partitions is None:
+        return df.repartition(*by).checkpoint(eager=True)
     return df.repartition(partitions, *by).sortWithinPartitions(*by).checkpoint(eager=True)
 
 
+# Fits of one table that run at a time.
+MAX_FITS = 4
+
+
+def side_by_side(tasks: dict[str, Callable], limit: int = MAX_FITS) -> dict:
+    """Run the tasks in ``limit`` threads, each in a scheduler pool of its name.
+
+    A fit is a row of small jobs with the driver's work between them; others use
+    the executors meanwhile. Under the FAIR scheduler the pools share them evenly.
+    """
+    from pyspark.sql import SparkSession
+
+    spark = SparkSession.active()
+
+    def named(name: str) -> Callable:
+        def run():
+            spark.sparkContext.setLocalProperty("spark.scheduler.pool", name)
+            return tasks[name]()
+
+        return inheritable_thread_target(spark)(run)
+
+    if len(tasks) < 2:
+        return {name: task() for name, task in tasks.items()}
+    with ThreadPoolExecutor(max_workers=min(limit, len(tasks))) as pool:
+        started = {name: pool.submit(named(name)) for name in tasks}
+        return {name: f.result() for name, f in started.items()}
+
+
 def _fit_with_features(estimators_by_name: dict, train: DataFrame, spec: FeatureSpec) -> dict:
     """Fit the encoding once, checkpoint the assembled vectors for the fits, and
     return one ``PipelineModel`` per estimator."""
+    from strata.operators import forest as FO
+
     labelled = with_label(train, spec)
-    encoding = Pipeline(stages=feature_stages(spec)).fit(labelled)
-    checkpoint_dir(train.sparkSession)
-    assembled = encoding.transform(labelled).select("features", "label").checkpoint(eager=True)
-    return {name: PipelineModel(stages=[*encoding.stages, est.fit(assembled)]) for name, est in estimators_by_name.items()}
+    forests = {n: e for n, e in estimators_by_name.items() if isinstance(e, BaggedForest)}
+    others = {n: e for n, e in estimators_by_name.items() if n not in forests}
+    uses = {e.getFeaturesCol() for e in others.values()}
+    cuts = FO.quantile_cuts(train, spec.numeric, BINS) if forests or "binned" in uses else None
+    encoding = Pipeline(stages=feature_stages(spec, cuts)).fit(labelled)
+    tasks: dict[str, Callable] = {}
+    if others:
+        checkpoint_dir(train.sparkSession)
+        assembled = encoding.transform(labelled).select(*sorted(uses), "label").checkpoint(eager=True)
+        tasks |= {name: (lambda est=est: est.fit(assembled)) for name, est in others.items()}
+    if forests:
+        # A row's bags follow from all its values.
+        binned = FO.bin_features(train, spec, sorted(train.columns), BINS, cuts)
+        tasks |= {name: (lambda e=e: FO.forest_model(binned, spec, FO.grow(binned, e.trees, e.depth, seed=e.seed))) for name, e in forests.items()}
+    fitted = side_by_side(tasks)
+    return {name: PipelineModel(stages=[*encoding.stages, fitted[name]]) for name in estimators_by_name}
 
 
 def fit(estimator, train: DataFrame, spec: FeatureSpec) -> PipelineModel:
@@ -221,21 +301,31 @@ def feature_importance(model: PipelineModel, sample: DataFrame, spec: FeatureSpe
     always a real input column. Sorted descending.
     """
     tree = model.stages[-1]
+    totals: dict[str, float] = {c: 0.0 for c in spec.columns}
+    if hasattr(tree, "gains"):
+        for c, gain in tree.gains().items():
+            totals[c] += gain
+        return sorted(totals.items(), key=lambda kv: (-kv[1], kv[0]))
     vec = tree.featureImportances
     # Reading the schema runs no job: the assembler's metadata is planned, not computed.
-    meta = model.transform(with_label(sample, spec)).schema["features"].metadata
+    meta = model.transform(with_label(sample, spec)).schema[tree.getFeaturesCol()].metadata
     attrs = []
     for group in meta.get("ml_attr", {}).get("attrs", {}).values():
         attrs.extend(group)
     names = {a["idx"]: a["name"] for a in attrs}
-    totals: dict[str, float] = {c: 0.0 for c in spec.columns}
     for i in range(vec.size):
-        name = names.get(i, str(i))
-        base = name.split("__", 1)[0]
-        totals[base] = totals.get(base, 0.0) + float(vec[i])
+        totals[source_of(names[i], spec)] += float(vec[i])
     return sorted(totals.items(), key=lambda kv: (-kv[1], kv[0]))
 
 
+def source_of(encoded: str, spec: FeatureSpec) -> str:
+    """The column that an encoded column comes from; of nested names the longest."""
+    for c in sorted(spec.columns, key=len, reverse=True):
+        if encoded in (c, f"{c}__bin") or encoded.startswith(f"{c}__ohe"):
+            return c
+    raise ValueError(f"{encoded} comes from no column of the formula")
+
+
 def importance_frame(spark, ranked: list[tuple[str, float]]) -> DataFrame:
     """Importance list (one row per input column) with rank and cumulative share (O-49)."""
     rows = []

@@ -186,3 +186,49 @@ def test_one_class_and_empty_tables(spark, table):
     none = FO.bin_features(table.limit(0), SPEC, ["k"])
     trees = FO.grow(none, 2)
     assert FO.oob_error_curve(none, trees, (2,)).collect() == [] == FO.oob_importance(none, trees).collect()
+
+
+def test_scored_forest_equals_its_trees(table):
+    """The expression gives the same leaves as the grown trees, missing values included."""
+    b = FO.bin_features(table, SPEC, ["k"], bins=8)
+    trees = FO.grow(b, 5, depth=4)
+    model = FO.forest_model(b, SPEC, trees)
+    by_hash = {r.h: list(r)[2:] for r in b.rows.collect()}
+    scored = model.transform(table.filter("y is not null").withColumn("h", key_hash(["k"], table))).collect()
+    for r in scored:
+        x = np.array([by_hash[r.h]])
+        p = sum(float(t.value[t.route(x)][0]) for t in trees) / 5
+        assert abs(r.probability[1] - p) < 1e-12 and r.prediction == float(p > 0.5) and abs(r.probability[0] + p - 1) < 1e-12
+    assert abs(sum(model.gains().values()) - 1) < 1e-9
+
+
+def test_fits_do_not_depend_on_partitions(spark, table):
+    from strata.operators import ml as ML
+
+    whole = table.filter("y is not null").dropna()
+    # Enough rows for Spark's own sampling of split candidates.
+    many = whole.crossJoin(spark.range(20)).select((F.col("k") * 20 + F.col("id")).alias("k"), "a", "b", "c", "y")
+    scores = []
+    for n in (4, 64):
+        models = ML.fit_all(many.repartition(n), SPEC, ["Decision Tree", "Random Forest", "Gradient Boosted Trees"])
+        assert models["Decision Tree"].stages[-1].numNodes > 5
+        scored = ML.score_all(models, whole, SPEC, ["k"]).collect()
+        scores.append(sorted((r.model, r.k, r.prediction, round(r.probability_1, 9)) for r in scored))
+    assert scores[0] == scores[1]
+
+
+def test_source_of_encoded_names():
+    from strata.operators import ml as ML
+
+    spec = FeatureSpec("y", ["a", "a__b"], ["a__c"])
+    assert [ML.source_of(c, spec) for c in ("a", "a__bin", "a__b", "a__b__bin", "a__c__ohe_u__v")] == ["a", "a", "a__b", "a__b", "a__c"]
+
+
+def test_bin_sql_counts_cut_points(spark):
+    from strata.operators.ml import bin_sql
+
+    cuts = [-2.5, 0.0, 1e-300, 7.0, 1e300]
+    values = [-3.0, -2.5, -1.0, 0.0, 1e-301, 1e-300, 6.9, 7.0, 1e300, None, math.nan, math.inf]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    got = [r[0] for r in df.selectExpr(bin_sql("v", cuts)).collect()]
+    assert got == [float(len(cuts) + 1) if v is None or math.isnan(v) else float(sum(c <= v for c in cuts)) for v in values]
