@@ -33,13 +33,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strata.operators.ml import FeatureSpec, bin_sql, key_hash
+from strata.operators.ranks import doubles, order_statistics
 from strata.session import checkpoint_dir, ship
 
 # Fixed values of the bag hash: a prime modulus and two of its primitive roots.
 MODULUS, FIRST_ROOT, SECOND_ROOT = 2147483647, 48271, 16807
 BINS, DEPTH, TREES, SEED = 32, 5, 100, 123
-# Cells that an interval is cut into while quantiles are searched.
-CELLS = 1024
 # Counters that a task holds while it counts one lot of trees.
 COUNTER_BYTES = 64 << 20
 # Rows whose values are permuted among each other.
@@ -92,83 +91,14 @@ def bag_weight_column(h: str, tree: int) -> Column:
 # ---------------------------------------------------------------- binning
 
 
-def _doubles(batch: pa.RecordBatch, name: str) -> np.ndarray:
-    """A column as doubles; null becomes NaN."""
-    return batch.column(name).cast(pa.float64()).to_numpy(zero_copy_only=False)
-
-
-def _count_cells(intervals: dict[str, list[tuple[float, float]]]):
-    """Rows and value range of each cell of each interval of each column."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = list(intervals)
-        sizes = [len(intervals[c]) * CELLS for c in names]
-        n = [np.zeros(s, dtype=np.int64) for s in sizes]
-        low, high = [np.full(s, np.inf) for s in sizes], [np.full(s, -np.inf) for s in sizes]
-        for batch in batches:
-            for i, c in enumerate(names):
-                x = _doubles(batch, c)
-                x = x[~np.isnan(x)]
-                lows, highs = np.array(intervals[c]).T
-                at = np.searchsorted(lows, x, side="right") - 1
-                inside = (at >= 0) & (x <= highs[at])
-                x, at = x[inside], at[inside]
-                # Halves keep the widest ranges finite.
-                wide = highs / 2 - lows / 2
-                cell = np.floor((x / 2 - lows[at] / 2) / np.where(wide > 0, wide, 1.0)[at] * CELLS)
-                cell = at * CELLS + np.clip(cell, 0, CELLS - 1).astype(np.int64)
-                n[i] += np.bincount(cell, minlength=sizes[i])
-                np.minimum.at(low[i], cell, x)
-                np.maximum.at(high[i], cell, x)
-        for i, c in enumerate(names):
-            some = np.flatnonzero(n[i])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([c] * len(some), pa.string()), pa.array(some, pa.int64()), pa.array(n[i][some], pa.int64()), pa.array(low[i][some]), pa.array(high[i][some])],
-                names=["name", "cell", "n", "low", "high"],
-            )
-
-    return run
-
-
 def quantile_cuts(df: DataFrame, columns: Sequence[str], bins: int = BINS) -> dict[str, list[float]]:
     """Exact cut points: the distinct k/bins quantiles of each column above its least value.
 
     The quantile is the least value that at least that share of the values does
-    not exceed; null and NaN don't count. Every pass counts the cells of the
-    intervals that hold a wanted rank and keeps those cells only, until a cell
-    holds a single value. Counts add up in any order, so the cut points do not
-    depend on the partitions, and no pass sorts or moves rows.
+    not exceed; null and NaN don't count.
     """
-    ship(df.sparkSession)
-    data = df.select(*[F.col(c).cast("double").alias(c) for c in columns])
-    finite = [F.when(~F.isnan(F.col(c)), F.col(c)) for c in columns]
-    row = data.agg(
-        *[f(x).alias(f"{i}{name}") for i, x in enumerate(finite) for name, f in (("n", F.count), ("lo", F.min), ("hi", F.max))]
-    ).first()
-    least = {c: row[f"{i}lo"] for i, c in enumerate(columns)}
-    found: dict[str, dict[int, float]] = {c: {} for c in columns}
-    wanted = {c: [max(1, -(-k * row[f"{i}n"] // bins)) for k in range(1, bins)] for i, c in enumerate(columns) if row[f"{i}n"]}
-    # (low, high, rows below) of the intervals still open.
-    open_ = {c: [(row[f"{i}lo"], row[f"{i}hi"], 0)] for i, c in enumerate(columns) if c in wanted}
-    while open_:
-        counted = data.select(*open_).mapInArrow(_count_cells({c: [(lo, hi) for lo, hi, _ in iv] for c, iv in open_.items()}), "name string, cell long, n long, low double, high double")
-        # Intervals x CELLS rows at most.
-        cells = counted.groupBy("name", "cell").agg(F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high")).orderBy("name", "cell").collect()
-        after: dict[str, list[tuple[float, float, int]]] = {}
-        passed: dict[tuple[str, int], int] = {}
-        for r in cells:
-            which = r["cell"] // CELLS
-            below = passed.get((r["name"], which), open_[r["name"]][which][2])
-            passed[r["name"], which] = below + r["n"]
-            ranks = [k for k in wanted[r["name"]] if below < k <= below + r["n"]]
-            if not ranks:
-                continue
-            if r["low"] == r["high"]:
-                found[r["name"]].update(dict.fromkeys(ranks, r["low"]))
-            else:
-                after.setdefault(r["name"], []).append((r["low"], r["high"], below))
-        open_ = after
-    return {c: sorted({v for v in found[c].values() if v > least[c]}) for c in columns}
+    found = order_statistics(df, {c: lambda n: [max(1, -(-k * n // bins)) for k in range(1, bins)] + [1] for c in columns})
+    return {c: sorted({v for v in found[c].values() if v > found[c][1]}) if found[c] else [] for c in columns}
 
 
 @dataclass
@@ -193,7 +123,7 @@ def _bin_rows(numeric: list[str], levels: list[tuple[str, str]], cuts: dict[str,
         for batch in batches:
             out = [batch.column("h"), batch.column("y")]
             for c in numeric:
-                x = _doubles(batch, c)
+                x = doubles(batch, c)
                 at = np.searchsorted(np.array(cuts[c]), x, side="right")
                 out.append(pa.array(np.where(np.isnan(x), len(cuts[c]) + 1, at).astype(np.int16)))
             for c, level in levels:

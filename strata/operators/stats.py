@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strata.functions.scalar import nan_to_null
-from strata.operators.window import bounded_broadcast, join_on_groups, with_row_number
+from strata.operators.ranks import order_statistics
+from strata.operators.window import bounded_broadcast, join_on_groups
 
 
 @dataclass
@@ -122,9 +123,11 @@ def zscore_by(df: DataFrame, columns: Sequence[str], by: Sequence[str], constant
     return joined.select(*out)
 
 
-# Above this many distinct x values the per-grid-point window would hold too
-# many rows in one task; the row-level range-partitioned path is used instead.
+# Above this many distinct x values the window per centre would hold too many
+# rows in one task; the bandwidths are then searched as order statistics.
 MAX_DISTINCT_X_FOR_WINDOW = 1_000_000
+# How far the vertices' box reaches beyond the data, as a share of its width.
+BOX_MARGIN = 0.005
 
 
 def loess_trend(
@@ -135,25 +138,34 @@ def loess_trend(
     points: int = 80,
     xlim: tuple[float, float] | None = None,
     ylim: tuple[float, float] | None = None,
+    surface: str = "direct",
+    cell: float = 0.2,
 ) -> DataFrame:
     """Local quadratic regression of ``y`` on ``x`` evaluated on an even grid (O-57).
 
-    Exact ("direct") loess: for each grid point g, h_g is the q-th smallest
-    |x - g| with q = floor(span * n); weights are tricube (1 - (d/h)^3)^3 for
-    d < h; the weighted least-squares quadratic in (x - g) is solved in closed
-    form from nine weighted moments, and its intercept is the fitted value.
-
-    Distribution: rows outside ``xlim``/``ylim`` are dropped first (O-26).
-    Weights depend on x only, so the data is first reduced to one row per
-    distinct x (count, sum of y) by a partial/final hash aggregate. When the
-    number of distinct x is bounded (checked), each grid point's bandwidth
-    comes from a running count over its <= MAX_DISTINCT_X_FOR_WINDOW rows;
-    otherwise every row is paired with the grid and ranked with the
-    range-partitioned row-number helper. Pairing generates the fixed
-    ``points`` grid values inside each row (linear work, no join); the
-    moments are one aggregate with ``points`` groups.
+    A local fit at a centre g: h_g is the q-th smallest |x - g| with
+    q = floor(span * n); weights are tricube (1 - (d/h)^3)^3 for d < h; the
+    weighted least-squares quadratic in (x - g) is solved in closed form from
+    its weighted moments: intercept and slope at g.
+
+    ``surface="direct"`` fits at every grid point. ``"interpolate"`` fits at the
+    vertices of a tree of cells (``kd_cuts``: cells of more than
+    span * cell * n points are cut in the middle) and blends value and slope of
+    a cell's two ends by cubics, as loess does by default; its work does not
+    grow with the grid.
+
+    Distribution: rows that are null or NaN or outside ``xlim``/``ylim`` are
+    dropped first (O-26). Weights depend on x only, so the data is first reduced
+    to one row per distinct x (count, sum of y) by a partial/final hash
+    aggregate. When the number of distinct x is bounded (checked), each centre's
+    bandwidth comes from a running count over its <= MAX_DISTINCT_X_FOR_WINDOW
+    rows; otherwise all bandwidths are searched together as order statistics of
+    the distances, counting in place. The moments are one aggregate with a group
+    per centre.
     """
-    data = df.select(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
+    if surface not in ("direct", "interpolate"):
+        raise ValueError("surface is 'direct' or 'interpolate'")
+    data = df.select(nan_to_null(F.col(x).cast("double")).alias("x"), nan_to_null(F.col(y).cast("double")).alias("y"))
     data = data.filter(F.col("x").isNotNull() & F.col("y").isNotNull())
     if xlim:
         data = data.filter(F.col("x").between(xlim[0], xlim[1]))
@@ -168,43 +180,94 @@ def loess_trend(
         return df.sparkSession.createDataFrame([], "g int, x double, fit double")
     q = max(int(span * n), 1)
     step = (hi - lo) / (points - 1) if points > 1 else 0.0
-    grid_x = F.lit(lo) + F.col("g").cast("double") * F.lit(step)
+    if surface == "direct":
+        fits = _local_fits(data, by_x, [lo + g * step for g in range(points)], q, m)
+        return fits.select(F.col("g").cast("int").alias("g"), F.col("centre").alias("x"), F.col("value").alias("fit"))
+    margin = BOX_MARGIN * max(hi - lo, max(abs(lo), abs(hi)) * 1e-3 + 1e-30)
+    cuts = kd_cuts(data, n, int(n * span * cell))
+    vertices = [lo - margin, *cuts, hi + margin]
+    # One row per vertex.
+    at = {r["g"]: (r["value"], r["slope"]) for r in _local_fits(data, by_x, vertices, q, m).collect()}
+    ends = [
+        F.struct(*[F.lit(v).cast("double").alias(k) for k, v in zip(("v0", "v1", "f0", "d0", "f1", "d1"), (vertices[i], vertices[i + 1], *at[i], *at[i + 1]), strict=True)])
+        for i in range(len(vertices) - 1)
+    ]
+    z = F.lit(lo) + F.col("g").cast("double") * F.lit(step)
+    which = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c <= F.col("x"))) if cuts else F.lit(0)
+    grid = df.sparkSession.range(points).select(F.col("id").cast("int").alias("g")).withColumn("x", z)
+    grid = grid.withColumn("e", F.get(F.array(*ends), which)).select("g", "x", "e.*")
+    width = F.col("v1") - F.col("v0")
+    h = (F.col("x") - F.col("v0")) / width
+    rest = F.lit(1.0) - h
+    value = rest * rest * (1 + 2 * h) * F.col("f0") + h * h * (3 - 2 * h) * F.col("f1")
+    return grid.select("g", "x", (value + (h * rest * rest * F.col("d0") - h * h * rest * F.col("d1")) * width).alias("fit"))
 
-    def paired(frame: DataFrame) -> DataFrame:
-        return (
-            frame.select(F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("g"), *frame.columns)
-            .withColumn("dx", F.col("x") - grid_x)
-            .withColumn("d", F.abs(F.col("dx")))
-        )
 
-    if m <= MAX_DISTINCT_X_FOR_WINDOW:
-        pairs = paired(by_x)
+def kd_cuts(data: DataFrame, n: int, most: int) -> list[float]:
+    """Where cells of ``x`` are cut until none holds more than ``most`` of the ``n`` rows.
+
+    A cell of rows l..u in order of x is cut halfway between two different
+    neighbouring values: those around row (l + u) // 2, or the nearest that
+    differ (the later ones of two as near). A cell of one value is not cut.
+    Every level of the tree is a few counting passes for all its cells.
+    """
+    cuts: list[float] = []
+    open_ = [(1, n)]
+    while open_ := [(a, b) for a, b in open_ if b - a + 1 > max(most, 1)]:
+        middle = {(a, b): (a + b) // 2 for a, b in open_}
+        value = order_statistics(data, {"x": sorted(set(middle.values()))})["x"]
+        seen = sorted(set(value.values()))
+        x = F.col("x")
+        row = data.agg(
+            *[
+                f.alias(f"{k}{i}")
+                for i, v in enumerate(seen)
+                for k, f in (
+                    ("less", F.count_if(x < v)), ("upto", F.count_if(x <= v)),
+                    ("before", F.max(F.when(x < v, x))), ("after", F.min(F.when(x > v, x))),
+                )
+            ]
+        ).first()
+        after = []
+        for a, b in open_:
+            m = middle[a, b]
+            i = seen.index(value[m])
+            near = [(r, (value[m] + other) / 2) for r, other in ((row[f"upto{i}"], row[f"after{i}"]), (row[f"less{i}"], row[f"before{i}"])) if a <= r < b]
+            if near:
+                r, cut = min(near, key=lambda c: abs(c[0] - m))
+                cuts.append(cut)
+                after += [(a, r), (r + 1, b)]
+        open_ = after
+    return sorted(cuts)
+
+
+def _local_fits(data: DataFrame, by_x: DataFrame, centres: Sequence[float], q: int, distinct: int) -> DataFrame:
+    """(g, centre, value, slope) of the weighted quadratic at each centre."""
+    every = F.array(*[F.lit(float(c)) for c in centres])
+    if distinct <= MAX_DISTINCT_X_FOR_WINDOW:
+        pairs = by_x.select("x", "c", "sy", F.posexplode(every).alias("g", "centre"))
+        pairs = pairs.withColumn("dx", F.col("x") - F.col("centre")).withColumn("d", F.abs(F.col("dx")))
         upto = Window.partitionBy("g").orderBy("d").rowsBetween(Window.unboundedPreceding, 0)
-        bandwidth = (
-            pairs.withColumn("cum", F.sum("c").over(upto))
-            .filter(F.col("cum") >= q)
-            .groupBy("g")
-            .agg(F.min("d").alias("h"))
-        )
+        bandwidth = pairs.withColumn("cum", F.sum("c").over(upto)).filter(F.col("cum") >= q).groupBy("g").agg(F.min("d").alias("h"))
+        # A row per centre: safe to broadcast.
+        pairs = pairs.join(F.broadcast(bandwidth), "g")
     else:
-        pairs = paired(data.select("x", F.lit(1).cast("long").alias("c"), F.col("y").alias("sy")))
-        ranked = with_row_number(pairs.select("g", "d"), ["d"], ["g"], out="rn", split_ties=True)
-        bandwidth = ranked.filter(F.col("rn") == q).select("g", F.col("d").alias("h"))
-    # ``points`` rows by construction: safe to broadcast.
-    w = pairs.join(F.broadcast(bandwidth), "g").withColumn(
+        away = data.select(*[F.abs(F.col("x") - F.lit(float(c))).alias(f"d{i}") for i, c in enumerate(centres)])
+        found = order_statistics(away, {f"d{i}": [q] for i in range(len(centres))})
+        both = F.arrays_zip(every.alias("centre"), F.array(*[F.lit(found[f"d{i}"][q]) for i in range(len(centres))]).alias("h"))
+        pairs = by_x.select("x", "c", "sy", F.posexplode(both).alias("g", "at")).select("x", "c", "sy", "g", "at.centre", "at.h")
+        pairs = pairs.withColumn("dx", F.col("x") - F.col("centre")).withColumn("d", F.abs(F.col("dx")))
+    w = pairs.withColumn(
         "w",
         F.when(F.col("d") < F.col("h"), F.pow(1 - F.pow(F.col("d") / F.col("h"), 3), 3)).otherwise(F.lit(0.0)),
     )
-    mom = w.groupBy("g").agg(
+    mom = w.groupBy("g", "centre").agg(
         *[F.sum(F.col("c") * F.col("w") * F.pow(F.col("dx"), k)).alias(f"s{k}") for k in range(5)],
         *[F.sum(F.col("w") * F.pow(F.col("dx"), k) * F.col("sy")).alias(f"t{k}") for k in range(3)],
     )
     s0, s1, s2, s3, s4 = (F.col(f"s{k}") for k in range(5))
     t0, t1, t2 = (F.col(f"t{k}") for k in range(3))
     det = s0 * (s2 * s4 - s3 * s3) - s1 * (s1 * s4 - s3 * s2) + s2 * (s1 * s3 - s2 * s2)
-    num = t0 * (s2 * s4 - s3 * s3) - s1 * (t1 * s4 - s3 * t2) + s2 * (t1 * s3 - s2 * t2)
-    return mom.select(
-        F.col("g").cast("int").alias("g"),
-        grid_x.alias("x"),
-        F.try_divide(num, det).alias("fit"),
-    )
+    value = t0 * (s2 * s4 - s3 * s3) - s1 * (t1 * s4 - s3 * t2) + s2 * (t1 * s3 - s2 * t2)
+    slope = s0 * (t1 * s4 - s3 * t2) - t0 * (s1 * s4 - s3 * s2) + s2 * (s1 * t2 - t1 * s2)
+    return mom.select("g", "centre", F.try_divide(value, det).alias("value"), F.try_divide(slope, det).alias("slope"))

@@ -392,6 +392,13 @@ def trend_smooth(spark: SparkSession, d: str) -> DataFrame:
     return _round(ST.loess_trend(part, "p_size", "p_retailprice", span=0.75, points=80, xlim=(5, 45)))
 
 
+@query
+def trend_interpolate(spark: SparkSession, d: str) -> DataFrame:
+    """O-57/O-26: the same trend on the interpolated surface, with limits on both axes."""
+    part = read_table(spark, d, "part")
+    return _round(ST.loess_trend(part, "p_size", "p_retailprice", xlim=(5, 45), ylim=(950, 1900), surface="interpolate"))
+
+
 # ---------------------------------------------------------------- windows, ranking, evaluation
 
 

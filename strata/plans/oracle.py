@@ -319,6 +319,43 @@ SELECT CAST(g AS INTEGER) AS g, {r('gx')} AS x,
        {r('(t0 * (s2 * s4 - s3 * s3) - s1 * (t1 * s4 - s3 * t2) + s2 * (t1 * s3 - s2 * t2)) / NULLIF(s0 * (s2 * s4 - s3 * s3) - s1 * (s1 * s4 - s3 * s2) + s2 * (s1 * s3 - s2 * s2), 0)')} AS fit
 FROM m"""
 
+# The same fits at the vertices of the cells, blended by cubics between them.
+_DET = "(s0 * (s2 * s4 - s3 * s3) - s1 * (s1 * s4 - s3 * s2) + s2 * (s1 * s3 - s2 * s2))"
+ORACLE["trend_interpolate"] = f"""
+WITH RECURSIVE pts AS (
+  SELECT CAST(p_size AS DOUBLE) AS x, CAST(p_retailprice AS DOUBLE) AS y FROM part
+  WHERE p_size BETWEEN 5 AND 45 AND p_retailprice BETWEEN 950 AND 1900),
+st AS (SELECT MIN(x) AS lo, MAX(x) AS hi, CAST(COUNT(*) AS BIGINT) AS n FROM pts),
+byx AS (SELECT x, CAST(SUM(COUNT(*)) OVER (ORDER BY x) AS BIGINT) AS upto, LEAD(x) OVER (ORDER BY x) AS after FROM pts GROUP BY x),
+cells AS (
+  SELECT CAST(1 AS BIGINT) AS l, n AS u, n, CAST(NULL AS DOUBLE) AS cut FROM st
+  UNION ALL
+  SELECT CASE WHEN side = 0 THEN l ELSE r + 1 END, CASE WHEN side = 0 THEN r ELSE u END, n, CASE WHEN side = 0 THEN c END
+  FROM (
+    SELECT cells.l, cells.u, cells.n, arg_min(byx.upto, ABS(byx.upto - (cells.l + cells.u) // 2) - byx.upto / 1e12) AS r,
+           arg_min((byx.x + byx.after) / 2, ABS(byx.upto - (cells.l + cells.u) // 2) - byx.upto / 1e12) AS c
+    FROM cells JOIN byx ON byx.upto >= cells.l AND byx.upto < cells.u
+    WHERE cells.u - cells.l + 1 > GREATEST(CAST(FLOOR(cells.n * 0.75::DOUBLE * 0.2::DOUBLE) AS BIGINT), 1)
+    GROUP BY cells.l, cells.u, cells.n) cutting, (SELECT UNNEST([0, 1]) AS side) sides),
+box AS (SELECT 0.005::DOUBLE * GREATEST(hi - lo, GREATEST(ABS(lo), ABS(hi)) * 1e-3 + 1e-30) AS margin, lo, hi FROM st),
+vertices AS (
+  SELECT v, ROW_NUMBER() OVER (ORDER BY v) AS g FROM (
+    SELECT lo - margin AS v FROM box UNION ALL SELECT hi + margin FROM box UNION ALL SELECT cut FROM cells WHERE cut IS NOT NULL)),
+pairs AS (SELECT g, v, pts.x - v AS dx, ABS(pts.x - v) AS d, pts.y FROM vertices, pts),
+bw AS (SELECT g, d AS h FROM (SELECT g, d, ROW_NUMBER() OVER (PARTITION BY g ORDER BY d) AS rn FROM pairs), st
+       WHERE rn = GREATEST(CAST(FLOOR(0.75 * n) AS BIGINT), 1)),
+w AS (SELECT p.*, CASE WHEN p.d < b.h THEN POW(1 - POW(p.d / b.h, 3), 3) ELSE 0.0 END AS w FROM pairs p JOIN bw b ON p.g = b.g),
+m AS (SELECT g, ANY_VALUE(v) AS v, {", ".join(f"SUM(w * POW(dx, {k})) AS s{k}" for k in range(5))},
+             {", ".join(f"SUM(w * POW(dx, {k}) * y) AS t{k}" for k in range(3))} FROM w GROUP BY g),
+fits AS (SELECT g, v, (t0 * (s2 * s4 - s3 * s3) - s1 * (t1 * s4 - s3 * t2) + s2 * (t1 * s3 - s2 * t2)) / {_DET} AS f,
+                (s0 * (t1 * s4 - s3 * t2) - t0 * (s1 * s4 - s3 * s2) + s2 * (s1 * t2 - t1 * s2)) / {_DET} AS slope FROM m),
+ends AS (SELECT v AS v0, LEAD(v) OVER (ORDER BY g) AS v1, f AS f0, slope AS d0, LEAD(f) OVER (ORDER BY g) AS f1, LEAD(slope) OVER (ORDER BY g) AS d1 FROM fits),
+grid AS (SELECT g, lo + CAST(g AS DOUBLE) * ((hi - lo) / 79.0) AS z FROM st, range(0, 80) t(g)),
+placed AS (SELECT g, z, v1 - v0 AS wide, (z - v0) / (v1 - v0) AS h, f0, d0, f1, d1 FROM grid JOIN ends ON z >= v0 AND z < v1)
+SELECT CAST(g AS INTEGER) AS g, {r('z')} AS x,
+       {r('(1 - h) * (1 - h) * (1 + 2 * h) * f0 + h * h * (3 - 2 * h) * f1 + (h * (1 - h) * (1 - h) * d0 - h * h * (1 - h) * d1) * wide')} AS fit
+FROM placed"""
+
 _ORDER = "p1 DESC, l_orderkey, l_partkey, l_suppkey, l_linenumber, l_extendedprice"
 ORACLE["decile_assign"] = with_(SCORE) + f"""
 SELECT model, {LKEY}, CAST(NTILE(10) OVER (PARTITION BY model ORDER BY {_ORDER}) AS INTEGER) AS bin FROM scored"""

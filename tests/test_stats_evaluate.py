@@ -141,3 +141,71 @@ def test_zscore_by_equals_separate_fits(spark):
     assert grouped == separate
     consts = [r.c for r in ST.zscore_by(df, ["c"], ["p"]).collect()]
     assert all(math.isnan(v) for v in consts)
+
+
+def _plain_interpolated(x, y, grid, span=0.75, cell=0.2):
+    """Cells cut in the middle of sorted points, a fit at each end, cubics between."""
+    order = np.argsort(x, kind="stable")
+    x, y = x[order], y[order]
+    cuts, open_ = [], [(0, len(x))]
+    while open_:
+        a, b = open_.pop()
+        if b - a <= max(1, int(len(x) * span * cell)):
+            continue
+        middle = (a + 1 + b) // 2
+        places = [r for r in range(a + 1, b) if x[r - 1] != x[r]]
+        if places:
+            r = min(places, key=lambda r: (abs(r - middle), -r))
+            cuts.append((x[r - 1] + x[r]) / 2)
+            open_ += [(a, r), (r, b)]
+    margin = ST.BOX_MARGIN * max(x[-1] - x[0], max(abs(x[0]), abs(x[-1])) * 1e-3 + 1e-30)
+    v = [x[0] - margin, *sorted(cuts), x[-1] + margin]
+    fits = []
+    for g in v:
+        d = np.abs(x - g)
+        h = np.sort(d)[int(span * len(x)) - 1]
+        w = np.where(d < h, (1 - (d / h) ** 3) ** 3, 0.0)
+        X = np.vstack([np.ones(len(x)), x - g, (x - g) ** 2]).T
+        fits.append(np.linalg.solve(X.T @ (w[:, None] * X), X.T @ (w * y))[:2])
+    out = []
+    for z in grid:
+        i = max(k for k in range(len(v) - 1) if v[k] <= z)
+        (f0, d0), (f1, d1), wide = fits[i], fits[i + 1], v[i + 1] - v[i]
+        t = (z - v[i]) / wide
+        out.append((1 - t) ** 2 * (1 + 2 * t) * f0 + t * t * (3 - 2 * t) * f1 + (t * (1 - t) ** 2 * d0 - t * t * (1 - t) * d1) * wide)
+    return out
+
+
+def test_interpolated_loess_equals_plain_version(spark, monkeypatch):
+    rng = np.random.default_rng(11)
+    for x in (rng.normal(0, 3, 250), rng.integers(0, 12, 250).astype(float), np.where(rng.random(250) < 0.4, 2.0, rng.random(250) * 5)):
+        y = np.sin(x) + rng.normal(0, 0.1, len(x))
+        df = spark.createDataFrame([(float(a), float(b)) for a, b in zip(x, y)], "x double, y double")
+        got = sorted(ST.loess_trend(df.repartition(5), "x", "y", surface="interpolate").collect())
+        assert np.allclose([r.fit for r in got], _plain_interpolated(x, y, [r.x for r in got]), atol=1e-7)
+        with monkeypatch.context() as m:
+            m.setattr(ST, "MAX_DISTINCT_X_FOR_WINDOW", 0)
+            again = sorted(ST.loess_trend(df, "x", "y", surface="interpolate").collect())
+        assert np.allclose([r.fit for r in got], [r.fit for r in again], atol=1e-9)
+
+
+def test_loess_ignores_nan_and_limits_both_axes(spark):
+    rows = [(float(i % 40), float(i % 40) + (i % 3), "a") for i in range(400)]
+    clean = spark.createDataFrame(rows, "x double, y double, g string")
+    odd = clean.unionByName(spark.createDataFrame([(5.0, math.nan, "b"), (math.nan, 5.0, "b"), (None, 1.0, "b"), (3.0, None, "b")], "x double, y double, g string"))
+    far = odd.unionByName(spark.createDataFrame([(7.0, 1e6, "c"), (900.0, 7.0, "c")], "x double, y double, g string"))
+    for surface in ("direct", "interpolate"):
+        want = [(r.x, round(r.fit, 9)) for r in sorted(ST.loess_trend(clean, "x", "y", points=9, surface=surface).collect())]
+        assert [(r.x, round(r.fit, 9)) for r in sorted(ST.loess_trend(odd, "x", "y", points=9, surface=surface).collect())] == want
+        limited = ST.loess_trend(far, "x", "y", points=9, xlim=(0, 100), ylim=(-5, 100), surface=surface)
+        assert [(r.x, round(r.fit, 9)) for r in sorted(limited.collect())] == want
+    assert ST.loess_trend(clean.limit(0), "x", "y", surface="interpolate").collect() == []
+
+
+def test_order_statistics(spark):
+    from strata.operators.ranks import order_statistics
+
+    values = [5.0, 5.0, 1.0, None, math.nan, -math.inf, math.inf, 5.0]
+    df = spark.createDataFrame([(v, 2.0) for v in values], "a double, b double")
+    got = order_statistics(df.repartition(3), {"a": [0, 1, 2, 3, 5, 6, 7], "b": lambda n: [n]})
+    assert got == {"a": {1: -math.inf, 2: 1.0, 3: 5.0, 5: 5.0, 6: math.inf}, "b": {8: 2.0}}
