@@ -71,7 +71,7 @@ def sample_keys(keys: DataFrame, on: str, n: int, salt: str) -> DataFrame:
     order = F.shiftrightunsigned(F.xxhash64(F.col(on).cast("string"), F.lit(salt)), 1)
     known = materialize(keys.select(on).filter(F.col(on).isNotNull()).withColumn("order", order), "keys")
     total = known.count()
-    if total > n:
-        share = (n + 6 * math.sqrt(n) + 10) / total
-        known = known.filter(F.col("order") < F.lit(int(min(1.0, share) * (2**63 - 1))))
+    share = (n + 6 * math.sqrt(n) + 10) / max(total, 1)
+    if share < 1:
+        known = known.filter(F.col("order") < F.lit(int(share * 2**63)))
     return materialize(known.distinct().orderBy("order", on).limit(n), "sample")

@@ -157,6 +157,7 @@ def test_sample_keys(spark):
     got = [r.k for r in sample_keys(keys, "k", 300, "s").collect()]
     every = [r.k for r in keys.filter("k is not null").orderBy(F.shiftrightunsigned(F.xxhash64(F.col("k").cast("string"), F.lit("s")), 1), "k").limit(300).collect()]
     assert sorted(got) == sorted(every) and len(got) == 300
+    assert sample_keys(keys, "k", 4950, "s").count() == 4950
     assert sample_keys(keys, "k", 9000, "s").count() == 5000 and sample_keys(keys.limit(0), "k", 5, "s").count() == 0
 
 
