@@ -7,6 +7,7 @@ rounded to 4 digits at the very end (``_round``), only for comparison.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -26,6 +27,7 @@ from strata.operators import stats as ST
 from strata.operators import window as W
 from strata.plans import frames as FR
 from strata.schema import Roles, numeric_columns
+from strata.sources.keyed import merge_stored, store_keyed, store_spine
 from strata.sources.readers import read_table
 from strata.sources.sinks import with_row_index
 
@@ -347,6 +349,18 @@ def outer_merge_union(spark: SparkSession, d: str) -> DataFrame:
     return _round(J.merge_all_union(FR.indicators(spark, d), ["user_id"]))
 
 
+@query
+def outer_merge_stored(spark: SparkSession, d: str) -> DataFrame:
+    """O-4/O-38: the indicator tables stored by key, merged without moving a row."""
+    mark = uuid.uuid4().hex[:12]
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # Rows without a user are no row of any table.
+    tables = [(t, FR.indicator(spark, d, t).filter("user_id is not null")) for t in FR.EVENT_TYPES]
+    names = [store_keyed(df, f"ind_{t}_{mark}", ["user_id"], buckets) for t, df in tables]
+    spine = store_spine(spark, names, f"ind_{mark}", ["user_id"], buckets)
+    return _round(merge_stored(spark, names, ["user_id"], spine))
+
+
 @query
 def prepare_indicators(spark: SparkSession, d: str) -> DataFrame:
     """O-78: merge -> valid keys -> casts -> fill -> omit -> z-score, one lazy plan."""

@@ -274,6 +274,7 @@ FROM a JOIN b USING (l_orderkey, l_returnflag)"""
 
 _MERGED_SELECT = "SELECT user_id, " + ", ".join(f"{_rcol(c)} AS {c}" for c in _NUM) + ", tier FROM merged"
 ORACLE["outer_merge_n"] = _M + _MERGED_SELECT
+ORACLE["outer_merge_stored"] = ORACLE["outer_merge_n"]
 ORACLE["outer_merge_union"] = _M + _MERGED_SELECT
 
 ORACLE["prepare_indicators"] = (

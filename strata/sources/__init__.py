@@ -1,5 +1,6 @@
 """Scans, label lists, views and sinks (O-1 … O-6)."""
 
+from strata.sources.keyed import merge_stored, store_keyed, store_spine
 from strata.sources.readers import (
     read_csv,
     read_table,
@@ -10,10 +11,13 @@ from strata.sources.readers import (
 from strata.sources.sinks import export_scored, with_row_index
 
 __all__ = [
+    "merge_stored",
     "read_csv",
     "read_table",
     "read_label_list",
     "register_view",
+    "store_keyed",
+    "store_spine",
     "to_parquet_once",
     "export_scored",
     "with_row_index",
