@@ -12,7 +12,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, FloatType
+from pyspark.sql.types import DoubleType, FloatType, IntegerType, LongType, StructField, StructType
 
 from strata.functions import scalar as S
 from strata.operators import clean as CL
@@ -27,9 +27,12 @@ from strata.operators import stats as ST
 from strata.operators import window as W
 from strata.plans import frames as FR
 from strata.schema import Roles, numeric_columns
+from strata.session import checkpoint_dir
+from strata.sources.checked import read_csv_checked
+from strata.sources.export import export_committed, read_export
 from strata.sources.keyed import merge_stored, store_keyed, store_spine
 from strata.sources.readers import read_table
-from strata.sources.sinks import with_row_index
+from strata.sources.scored_schema import SCORED_SCHEMA
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -544,7 +547,44 @@ def scored_export(spark: SparkSession, d: str) -> DataFrame:
     j = s.join(o, s.l_orderkey == o.o_orderkey, "inner").select(
         *FR.LKEY, "o_custkey", "o_orderpriority", "y", "p1", "prediction"
     )
-    return _round(with_row_index(j, FR.LKEY, "F1"))
+    path = f"{checkpoint_dir(spark).rstrip('/')}/export-{uuid.uuid4().hex[:12]}"
+    export_committed(j, path, FR.LKEY)
+    return _round(read_export(spark, path, StructType([StructField("F1", LongType()), *j.schema.fields])))
+
+
+# How often the written characteristics hold a bad income, a short record and a quoted name.
+BAD_INCOME, SHORT_RECORD, QUOTED_NAME = 41, 53, 7
+
+
+@query
+def csv_checked(spark: SparkSession, d: str) -> DataFrame:
+    """O-1/O-2: a 61-column table written as CSV lines, some of them bad, and read back with a reject side."""
+    a = FR.area(spark, d)
+    k = F.col("custkey")
+    known = {
+        "F1": k, "FIPS": k + 1000, "State": F.col("State"),
+        "County": F.when(k % QUOTED_NAME == 0, F.concat(F.lit('"'), "County", F.lit(', Co."'))).otherwise(F.col("County")),
+        "prediction": (F.col("c_acctbal") > 0).cast("int"), "Metro2013": F.col("Metro"),
+        "Med.Income": F.when(k % BAD_INCOME == 0, F.lit("n/a")).otherwise((k * 32 % 1000).cast("string")),
+    }
+    fields = []
+    for i, f in enumerate(SCORED_SCHEMA.fields):
+        number = (k * (i + 1)) % 1000
+        value = known.get(f.name, number if isinstance(f.dataType, IntegerType) else number / F.lit(8.0))
+        fields.append(value.cast("string"))
+    record = F.when(k % SHORT_RECORD == 0, F.concat_ws(",", *fields[:-2])).otherwise(F.concat_ws(",", *fields))
+    path = f"{checkpoint_dir(spark).rstrip('/')}/lines-{uuid.uuid4().hex[:12]}"
+    a.select(record.alias("value")).write.text(path)
+    rows, rejects = read_csv_checked(spark, path, SCORED_SCHEMA, header=False)
+    none = F.lit(0).cast("long")
+    kept = rows.agg(F.count(F.lit(1)).alias("n"), none.alias("places"), F.sum("Med_Income").alias("income"), F.sum("Pov_All").alias("poverty"), F.sum("F1").alias("keys"))
+    thrown = rejects.groupBy("reason").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("file", "line").alias("places"))
+    empty = [F.lit(None).cast(t).alias(c) for c, t in (("income", "long"), ("poverty", "double"), ("keys", "long"))]
+    return _round(
+        kept.select(F.lit("kept").alias("side"), F.lit("").alias("reason"), *kept.columns).unionByName(
+            thrown.select(F.lit("rejected").alias("side"), "reason", "n", "places", *empty)
+        )
+    )
 
 
 # ---------------------------------------------------------------- machine learning

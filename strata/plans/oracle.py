@@ -475,6 +475,16 @@ SELECT ROW_NUMBER() OVER (ORDER BY l_orderkey, l_partkey, l_suppkey, l_linenumbe
        {LKEY}, o.o_custkey, o.o_orderpriority, y, {r('p1')} AS p1, {r('prediction')} AS prediction
 FROM q JOIN orders o ON q.l_orderkey = o.o_orderkey"""
 
+# Bad income every 41 keys, a short record every 53; ordinals 31 and 42 of 61 columns.
+ORACLE["csv_checked"] = """
+WITH judged AS (
+  SELECT c_custkey AS k, CASE WHEN c_custkey % 53 = 0 THEN 'not 61 fields' WHEN c_custkey % 41 = 0 THEN 'does not fit: Med.Income' ELSE '' END AS reason
+  FROM customer JOIN nation ON c_nationkey = n_nationkey)
+SELECT CASE WHEN reason = '' THEN 'kept' ELSE 'rejected' END AS side, reason, COUNT(*) AS n, CASE WHEN reason = '' THEN 0 ELSE COUNT(*) END AS places,
+       CASE WHEN reason = '' THEN CAST(SUM(k * 32 % 1000) AS BIGINT) END AS income,
+       CASE WHEN reason = '' THEN ROUND(SUM((k * 43 % 1000) / 8.0::DOUBLE), 4) END AS poverty, CASE WHEN reason = '' THEN CAST(SUM(k) AS BIGINT) END AS keys
+FROM judged GROUP BY reason"""
+
 # ---------------------------------------------------------------- bagged trees
 
 # Fixed values shared with strata.operators.forest, from their own rule: the
