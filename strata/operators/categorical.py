@@ -9,6 +9,22 @@ from pyspark.sql import functions as F
 
 from strata.operators.window import with_row_number
 
+
+def as_factor(df: DataFrame, column: str, levels: list[str] | None = None) -> DataFrame:
+    """A text column with its list of levels in the metadata (O-16): those found, or the given ones.
+
+    Values outside the given levels become missing, as a factor has no other
+    values. The list is as long as the factor, never as the data.
+    """
+    text = F.col(column).cast("string")
+    if levels is None:
+        levels = sorted(r[0] for r in df.select(text).distinct().collect() if r[0] is not None)
+        value = text
+    else:
+        value = F.when(text.isin(*levels), text) if levels else F.lit(None).cast("string")
+    return df.select(*[value.alias(c, metadata={**(df.schema[c].metadata or {}), "levels": list(levels)}) if c == column else F.col(c) for c in df.columns])
+
+
 def level_codes(df: DataFrame, column: str, out: str = "level", levels: list | None = None) -> DataFrame:
     """1-based level code in sorted level order (O-17); null stays null.
 

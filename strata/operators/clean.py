@@ -38,8 +38,11 @@ def fill_missing(
     df: DataFrame, number: float = 0, text: str | None = "0", keep_null: Sequence[str] = ()
 ) -> DataFrame:
     """Fill every missing value (O-29): numerics (null and NaN) with ``number``,
-    text with ``text``; columns in ``keep_null`` (factors without that level) stay null."""
-    keep = set(keep_null)
+    text with ``text``. Columns in ``keep_null`` stay null, and so do factors
+    (``categorical.as_factor``) that have no level ``text``: a later omission of
+    incomplete rows drops their rows."""
+    levels = {f.name: f.metadata["levels"] for f in df.schema.fields if "levels" in (f.metadata or {})}
+    keep = {*keep_null, *(c for c, known in levels.items() if text not in known)}
     num_cols = [f.name for f in df.schema.fields if isinstance(f.dataType, NumericType) and f.name not in keep]
     txt_cols = [f.name for f in df.schema.fields if isinstance(f.dataType, StringType) and f.name not in keep]
     out = df.fillna(number, subset=num_cols) if num_cols else df

@@ -44,6 +44,7 @@ SEED = 123
 _MOD = 2147483647  # 2^31 - 1
 _MUL = 1000003
 _MIX = 1103515245
+KEY_HASHES = _MOD
 
 
 def key_hash(cols: Sequence[str], df: DataFrame | None = None):

@@ -13,7 +13,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegralType, NumericType
+from pyspark.sql.types import DoubleType, FloatType, IntegralType, NumericType, StructField
 
 from strata.functions.scalar import nan_to_null, paste, strip_prefix, attr
 from strata.schema import Roles, numeric_columns
@@ -155,6 +155,62 @@ def rollup_totals(
     )
 
 
+AGGREGATES = ("sum", "mean", "count", "min", "max", "attr")
+
+
+def default_aggregate(field: StructField) -> str:
+    """How a field is totalled when nothing else is said (O-43c): what its
+    ``aggregate`` metadata names, else the sum of numbers and the count of others."""
+    how = (field.metadata or {}).get("aggregate") or ("sum" if isinstance(field.dataType, NumericType) else "count")
+    if how not in AGGREGATES:
+        raise ValueError(f"{field.name}: no aggregate {how!r}")
+    return how
+
+
+def with_aggregate(df: DataFrame, **how: str) -> DataFrame:
+    """Name the default aggregate of columns in their metadata."""
+    return df.select(
+        *[F.col(f.name).alias(f.name, metadata={**(f.metadata or {}), "aggregate": how[f.name]}) if f.name in how else F.col(f.name) for f in df.schema.fields]
+    )
+
+
+def drill_path(df: DataFrame, levels: Sequence[str], count_name: str = "records") -> DataFrame:
+    """Every field by its default aggregate at each level of a drill path (O-43c, O-43b).
+
+    Means skip missing values; ``attr`` is the value where all are equal, else
+    null. Rows are first reduced to one per full path (sums, counts, least and
+    greatest values), and only those are rolled up: the data is shuffled once,
+    by the path, whatever the number of levels. ``level`` tells subtotals from
+    null members (the grouping id: 0 at the full path).
+    """
+    fields = [f for f in df.schema.fields if f.name not in levels]
+    how = {f.name: default_aggregate(f) for f in fields}
+    parts, merged = [F.count(F.lit(1)).alias(count_name)], [F.sum(count_name).alias(count_name)]
+    for f in fields:
+        x = nan_to_null(F.col(f.name)) if isinstance(f.dataType, (DoubleType, FloatType)) else F.col(f.name)
+        s, n, lo, hi = (f"__{f.name}_{k}" for k in ("sum", "n", "lo", "hi"))
+        kind = how[f.name]
+        if kind in ("sum", "mean"):
+            parts.append(F.sum(x).alias(s))
+        if kind in ("mean", "count"):
+            parts.append(F.count(x).alias(n))
+        if kind in ("min", "attr"):
+            parts.append(F.min(x).alias(lo))
+        if kind in ("max", "attr"):
+            parts.append(F.max(x).alias(hi))
+        merged.append(
+            {
+                "sum": lambda: F.sum(s),
+                "mean": lambda: F.try_divide(F.sum(s).cast("double"), F.sum(n)),
+                "count": lambda: F.sum(n),
+                "min": lambda: F.min(lo),
+                "max": lambda: F.max(hi),
+                "attr": lambda: F.when(F.min(lo) == F.max(hi), F.min(lo)),
+            }[kind]().alias(f.name)
+        )
+    return df.groupBy(*levels).agg(*parts).rollup(*levels).agg(*merged, F.grouping_id().alias("level"))
+
+
 def group_totals(
     df: DataFrame,
     groups: Sequence[str],

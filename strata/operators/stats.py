@@ -94,6 +94,27 @@ def bin2d(
     )
 
 
+def sample_by_class(df: DataFrame, classes: Sequence[str], keys: Sequence[str], k: int) -> DataFrame:
+    """``k`` rows of each class for a scatter chart (O-59, O-82), with the class size and the inclusion rate.
+
+    The rows with the least key hashes are taken, all of a class that has fewer:
+    the same ones for any partitioning, and a larger ``k`` only adds to them.
+    ``class_rows`` is the size of the class and ``rate`` the share taken, so
+    totals can be estimated from the sample. The class counts bound the hash
+    first (``k`` and six standard deviations pass), so about ``k`` rows of a
+    class move, whatever its size. ``keys`` tell rows apart.
+    """
+    # Local import: the hash lives beside the splits that use it.
+    from strata.operators.ml import KEY_HASHES, key_hash
+
+    sizes = df.groupBy(*classes).agg(F.count(F.lit(1)).alias("class_rows"))
+    hashed = join_on_groups(df.withColumn("_h", key_hash(keys, df)), bounded_broadcast(sizes), list(classes))
+    share = (F.lit(k + 6 * k**0.5 + 10) / F.col("class_rows")) * F.lit(KEY_HASHES)
+    order = Window.partitionBy(*classes).orderBy("_h", *keys)
+    few = hashed.filter(F.col("_h") <= share).withColumn("_at", F.row_number().over(order)).filter(F.col("_at") <= k)
+    return few.withColumn("rate", F.least(F.lit(1.0), F.lit(float(k)) / F.col("class_rows"))).drop("_h", "_at")
+
+
 def zscore_by(df: DataFrame, columns: Sequence[str], by: Sequence[str], constant: str = "nan") -> DataFrame:
     """Standardise each group (period, dataset) on its own mean and sample sd (O-58).
 

@@ -148,6 +148,21 @@ def rollup_state(spark: SparkSession, d: str) -> DataFrame:
     return _round(P.rollup_totals(FR.area(spark, d), ["State", "Metro"], ["c_acctbal"]))
 
 
+@query
+def drill_defaults(spark: SparkSession, d: str) -> DataFrame:
+    """O-43c/O-43b: State -> Metro drill path, each field by its own default aggregate."""
+    a = FR.area(spark, d).withColumn("low", F.col("c_acctbal")).withColumn("high", F.col("c_acctbal"))
+    a = P.with_aggregate(a, c_acctbal="mean", segment="attr", custkey="count", low="min", high="max")
+    return _round(P.drill_path(a, ["State", "Metro"]))
+
+
+@query
+def scatter_sample(spark: SparkSession, d: str) -> DataFrame:
+    """O-59/O-82: 100 customers of each segment with the share they stand for."""
+    c = read_table(spark, d, "customer").select("c_custkey", "c_mktsegment", "c_acctbal")
+    return _round(ST.sample_by_class(c, ["c_mktsegment"], ["c_custkey"], 100))
+
+
 @query
 def year_totals(spark: SparkSession, d: str) -> DataFrame:
     """O-79/O-55/O-42/O-19/O-12/O-10: yearly order totals (millions) by Metro."""
@@ -286,6 +301,22 @@ def fill_missing(spark: SparkSession, d: str) -> DataFrame:
     return _round(CL.fill_missing(_merged(spark, d)))
 
 
+@query
+def fill_levels(spark: SparkSession, d: str) -> DataFrame:
+    """O-29/O-30: numbers, text and a factor with level "0" are filled; a factor without it stays missing."""
+    k = F.col("c_custkey")
+    c = read_table(spark, d, "customer").select(
+        "c_custkey",
+        F.when(F.col("c_acctbal") >= 0, F.col("c_acctbal")).alias("balance"),
+        F.when(k % 3 > 0, F.col("c_name")).alias("word"),
+        F.when(k % 4 > 0, (F.col("c_acctbal") < 0).cast("int").cast("string")).alias("flag"),
+        F.when(k % 5 > 0, F.col("c_mktsegment")).alias("segment"),
+    )
+    c = C.as_factor(C.as_factor(c, "flag", ["0", "1"]), "segment")
+    filled = CL.fill_missing(c)
+    return _round(filled.withColumn("complete", F.col("segment").isNotNull().cast("int")))
+
+
 @query
 def drop_incomplete(spark: SparkSession, d: str) -> DataFrame:
     """O-30: ``na.omit``."""

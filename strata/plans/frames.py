@@ -2,13 +2,13 @@
 
 * ``area``   — customer x nation: State, County, custkey, Metro (Urban/Rural),
                segment, c_acctbal, flag (negative balance), flag2 (high balance)
-* ``years``  — orders summed per customer and year into pop1995 … pop2001
-               (null where a customer has no order that year)
+* ``years``  — orders summed per customer and year into a column pop<year> for
+               every year that has orders (null where a customer has none)
 * ``score``  — lineitem with the unique five-column key, label ``y``
                (return flag R) and two rule scores stacked by ``model``
 * ``early`` / ``late`` — lineitem before / from the cut date
-* ``indicator`` — per-user count and total of large events of one type; the
-               five types have unequal key sets, like the study's indicator tables
+* ``indicator`` — per-user count and total of the events of one type; users
+               without a large one have no total, like the gaps of the study's tables
 """
 
 from __future__ import annotations
@@ -23,7 +23,6 @@ from strata.sources.readers import read_table
 LKEY = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_extendedprice"]
 LINE_MEASURES = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 URBAN_SEGMENTS = ["BUILDING", "AUTOMOBILE"]
-FIRST_YEAR, LAST_YEAR = 1995, 2001
 PERIOD_CUT = "1998-07-01"
 EVENT_TYPES = ["click", "view", "purchase", "signup", "error"]
 LARGE_EVENT = 100.0
@@ -47,12 +46,17 @@ def area(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-def years(spark: SparkSession, d: str, first: int = FIRST_YEAR, last: int = LAST_YEAR) -> DataFrame:
-    """Pivot with a fixed year list: one aggregate, no extra job to find pivot values."""
+def years(spark: SparkSession, d: str) -> DataFrame:
+    """Order totals per customer in a column per year; the years are those of the table.
+
+    The list of years is a small aggregate of its own; with it the pivot is one
+    hash aggregate. Orders without a date belong to no year.
+    """
     o = read_table(spark, d, "orders")
     yr = F.year("o_orderdate")
+    found = sorted(r[0] for r in o.select(yr.alias("y")).filter("y is not null").distinct().collect())
     return o.groupBy(F.col("o_custkey").alias("custkey")).agg(
-        *[F.sum(F.when(yr == y, F.col("o_totalprice"))).alias(f"pop{y}") for y in range(first, last + 1)]
+        *[F.sum(F.when(yr == y, F.col("o_totalprice"))).alias(f"pop{y}") for y in found]
     )
 
 
@@ -92,18 +96,19 @@ def lineitem_period(spark: SparkSession, d: str, period: str) -> DataFrame:
 
 
 def indicator(spark: SparkSession, d: str, event_type: str) -> DataFrame:
-    """Per-user count and total of the events of one type, of users with a large one.
+    """Per-user count and total of the events of one type.
 
-    The purchase table also carries a text column ``tier`` that is null below
-    a spending level, so missing-data operators see text nulls as well.
+    Every user with such an event has a row. The total is missing for users
+    without a large event; the purchase table also carries a text column
+    ``tier`` that is missing below a spending level, so missing-data operators
+    see nulls of both kinds.
     """
-    e = read_table(spark, d, "events")
-    e = e.filter(F.col("event_type") == event_type)
-    aggs = [F.count(F.lit(1)).alias(f"n_{event_type}"), F.sum("value").alias(f"v_{event_type}")]
+    e = read_table(spark, d, "events").filter(F.col("event_type") == event_type)
+    total = F.sum("value")
+    aggs = [F.count(F.lit(1)).alias(f"n_{event_type}"), F.when(F.max("value") > LARGE_EVENT, total).alias(f"v_{event_type}")]
     if event_type == "purchase":
-        aggs.append(F.when(F.sum("value") >= 250, F.lit("high")).alias("tier"))
-    # Every event counts; the test on the group gives the types unequal key sets.
-    return e.groupBy("user_id").agg(*aggs, F.max("value").alias("_most")).filter(F.col("_most") > LARGE_EVENT).drop("_most")
+        aggs.append(F.when(total >= 250, F.lit("high")).alias("tier"))
+    return e.groupBy("user_id").agg(*aggs)
 
 
 def indicators(spark: SparkSession, d: str) -> list[DataFrame]:
@@ -114,19 +119,18 @@ def indicators_wide(spark: SparkSession, d: str) -> DataFrame:
     """The merged indicator table built in one pass: one scan of events, one
     shuffle on user_id, conditional aggregates per type.
 
-    Equal to the full outer merge of ``indicators`` (a user appears when it has
-    a large event of any type; a type it lacks gives null count and total),
-    without five scans and five shuffles.
+    Equal to the full outer merge of ``indicators`` (a user appears with an event
+    of any of the types; a type it lacks gives null count and total), without
+    five scans and five shuffles.
     """
     e = read_table(spark, d, "events")
     aggs = []
     for t in EVENT_TYPES:
         is_t = F.col("event_type") == t
-        large = F.max(F.when(is_t, F.col("value"))) > LARGE_EVENT
         total = F.sum(F.when(is_t, F.col("value")))
-        aggs.append(F.when(large, F.count(F.when(is_t, F.lit(1)))).alias(f"n_{t}"))
-        aggs.append(F.when(large, total).alias(f"v_{t}"))
+        aggs.append(F.nullif(F.count_if(is_t), F.lit(0)).alias(f"n_{t}"))
+        aggs.append(F.when(F.max(F.when(is_t, F.col("value"))) > LARGE_EVENT, total).alias(f"v_{t}"))
         if t == "purchase":
-            aggs.append(F.when(large & (total >= 250), F.lit("high")).alias("tier"))
-    most = F.max(F.when(F.col("event_type").isin(*EVENT_TYPES), F.col("value")))
-    return e.groupBy("user_id").agg(*aggs, most.alias("_most")).filter(F.col("_most") > LARGE_EVENT).drop("_most")
+            aggs.append(F.when(total >= 250, F.lit("high")).alias("tier"))
+    some = F.count_if(F.col("event_type").isin(*EVENT_TYPES))
+    return e.groupBy("user_id").agg(*aggs, some.alias("_some")).filter("_some > 0").drop("_some")

@@ -51,8 +51,8 @@ EVENT_TYPES = ["click", "view", "purchase", "signup", "error"]
 def ind(t: str) -> str:
     extra = ", CASE WHEN SUM(value) >= 250 THEN 'high' END AS tier" if t == "purchase" else ""
     return (
-        f"ind_{t} AS (SELECT user_id, COUNT(*) AS n_{t}, SUM(value) AS v_{t}{extra} "
-        f"FROM events WHERE event_type = '{t}' GROUP BY user_id HAVING MAX(value) > 100.0)"
+        f"ind_{t} AS (SELECT user_id, COUNT(*) AS n_{t}, CASE WHEN MAX(value) > 100.0 THEN SUM(value) END AS v_{t}{extra} "
+        f"FROM events WHERE event_type = '{t}' GROUP BY user_id)"
     )
 
 
@@ -142,9 +142,29 @@ SELECT State, Metro, {r('SUM(c_acctbal)')} AS c_acctbal, COUNT(*) AS records,
        CAST(GROUPING(State, Metro) AS BIGINT) AS level
 FROM area GROUP BY ROLLUP (State, Metro)"""
 
-ORACLE["year_totals"] = with_(AREA, YEARS) + ", j AS (SELECT * FROM area JOIN years USING (custkey))\n" + "\nUNION ALL\n".join(
-    f"SELECT Metro, {y} AS year, {r(f'SUM(pop{y}) / 1000000.0')} AS total FROM j GROUP BY Metro" for y in range(1995, 2002)
-)
+ORACLE["drill_defaults"] = with_(AREA) + f"""
+SELECT State, Metro, CAST(COUNT(County) AS BIGINT) AS County, COUNT(custkey) AS custkey, CASE WHEN MIN(segment) = MAX(segment) THEN MIN(segment) END AS segment,
+       {r('AVG(c_acctbal)')} AS c_acctbal, CAST(SUM(flag) AS BIGINT) AS flag, CAST(SUM(flag2) AS BIGINT) AS flag2,
+       {r('MIN(c_acctbal)')} AS low, {r('MAX(c_acctbal)')} AS high, COUNT(*) AS records, CAST(GROUPING(State, Metro) AS BIGINT) AS level
+FROM area GROUP BY ROLLUP (State, Metro)"""
+
+ORACLE["scatter_sample"] = f"""
+SELECT c_custkey, c_mktsegment, {r('c_acctbal')} AS c_acctbal, COUNT(*) OVER (PARTITION BY c_mktsegment) AS class_rows,
+       {r('LEAST(1.0, 100.0::DOUBLE / COUNT(*) OVER (PARTITION BY c_mktsegment))')} AS rate
+FROM customer
+QUALIFY row_number() OVER (PARTITION BY c_mktsegment ORDER BY (c_custkey % 2147483647 + 1) * 1103515245 % 2147483647, c_custkey) <= 100"""
+
+ORACLE["fill_levels"] = f"""
+SELECT c_custkey, {r('CASE WHEN c_acctbal >= 0 THEN c_acctbal ELSE 0.0 END')} AS balance, CASE WHEN c_custkey % 3 > 0 THEN c_name ELSE '0' END AS word,
+       CASE WHEN c_custkey % 4 > 0 THEN CAST(CAST(c_acctbal < 0 AS INTEGER) AS VARCHAR) ELSE '0' END AS flag,
+       CASE WHEN c_custkey % 5 > 0 THEN c_mktsegment END AS segment, CAST(c_custkey % 5 > 0 AS INTEGER) AS complete
+FROM customer"""
+
+ORACLE["year_totals"] = with_(AREA) + f""",
+j AS (SELECT Metro, year(o_orderdate) AS year, o_totalprice FROM area JOIN orders ON custkey = o_custkey),
+every AS (SELECT Metro, year FROM (SELECT DISTINCT Metro FROM j), (SELECT DISTINCT year(o_orderdate) AS year FROM orders WHERE o_orderdate IS NOT NULL))
+SELECT every.Metro, CAST(every.year AS INTEGER) AS year, {r('SUM(o_totalprice) / 1000000.0')} AS total
+FROM every LEFT JOIN j ON every.Metro = j.Metro AND every.year = j.year GROUP BY every.Metro, every.year"""
 
 ORACLE["density_by_group"] = f"""
 SELECT p_brand, p_type, CAST(SUM(p_size) AS BIGINT) AS area, {r('SUM(p_retailprice)')} AS pop,
