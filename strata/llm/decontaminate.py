@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strata.llm import text as T
-from strata.llm.store import materialize, ship
+from strata.llm.store import materialize, ship, unused
 from strata.llm.text import SHINGLE_WORDS, shingle_sequence, word_hashes
 
 PERCENT, K1, B = 75, 1.2, 0.75
@@ -247,7 +247,13 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, percent: int = PERCENT) ->
 
 
 def drop_leaking(docs: DataFrame, benchmark: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """``docs`` without the documents that hold a test item; rows and columns otherwise as they are."""
-    leaks = materialize(find_leaks(docs, benchmark, percent).select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key")).distinct(), "leaks")
-    on = docs["doc_id"].eqNullSafe(F.col("__id")) & (F.xxhash64(docs["text"]) == F.col("__key"))
+    """``docs`` without the documents that hold a test item; rows and columns otherwise as they are.
+
+    Rows that repeat an id and a text go or stay together; null and empty texts
+    and rows with a null id are judged like others and stay unless they hold an
+    item; an empty table stays empty.
+    """
+    own, key = (unused(c, docs) for c in ("leak_id", "leak_key"))
+    leaks = materialize(find_leaks(docs, benchmark, percent).select(F.col("doc_id").alias(own), F.col("text_key").alias(key)).distinct(), "leaks")
+    on = docs["doc_id"].eqNullSafe(F.col(own)) & (F.xxhash64(docs["text"]) == F.col(key))
     return docs.join(leaks, on, "left_anti")

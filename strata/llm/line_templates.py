@@ -27,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strata.llm.store import keep_keys, materialize
+from strata.llm.store import keep_keys, materialize, unused
 
 MIN_DOCS, MIN_TOKENS, LEAD = 10, 3, 3
 MID_TOKENS, MID_DOCS, LONG_TOKENS, LONG_DOCS = 8, 5, 50, 3
@@ -113,10 +113,11 @@ def drop_recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str
     and text get the same result. An empty table stays empty.
     """
     lost = recurring_lines(docs, id_col, text_col, min_docs)
-    lost = lost.groupBy(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key")).agg(F.collect_set("at").alias("__at"))
-    on = docs[id_col].eqNullSafe(F.col("__id")) & (F.xxhash64(docs[text_col]) == F.col("__key"))
+    own, key, at = (unused(c, docs) for c in ("lost_id", "lost_key", "lost_at"))
+    lost = lost.groupBy(F.col("doc_id").alias(own), F.col("text_key").alias(key)).agg(F.collect_set("at").alias(at))
+    on = docs[id_col].eqNullSafe(F.col(own)) & (F.xxhash64(docs[text_col]) == F.col(key))
     lines = F.split(docs[text_col], "\n", -1)
-    stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("__at"))
+    stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(at))
     left = F.array_join(F.transform(stay, lambda i: F.get(lines, i)), "\n")
-    text = F.when(F.col("__at").isNull(), docs[text_col]).otherwise(left)
+    text = F.when(F.col(at).isNull(), docs[text_col]).otherwise(left)
     return docs.join(lost, on, "left").select(*[text.alias(c) if c == text_col else docs[c] for c in docs.columns])

@@ -150,7 +150,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Two documents are linked if 100 * |A & B| >= percent * |A | B| on their
     sets of distinct 5-word shingles (fewer words: the whole sequence).
     Null or wordless texts have an empty set and link with nothing. Rows that
-    share an id are one document. A row with a null id is never linked: its
+    share an id are one document, linked by each of their texts. A row with a null id is never linked: its
     component is null and it is kept. Other columns are ignored, whatever
     their names; an empty table gives no rows.
     """
@@ -176,7 +176,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     scored = with_sig(with_sig(candidates, "a", "ga"), "b", "gb").select("a", "b", estimate("ga", "gb").alias("e")).filter(F.col("e") >= floor)
     first = scored.groupBy("a").agg(F.max_by("b", F.struct("e", "b")).alias("b"))
     sets = materialize(keep_keys(docs, members.select(F.col("node").alias("doc_id")), "doc_id").mapInArrow(_sets, "node long, shingles array<long>"), "sets")
-    links = materialize(_verified(first, sets, percent), "links")
+    links = materialize(_verified(first, sets, percent).unionByName(_own_texts(signed, classes)), "links")
     found = connected_components(links)
     for every in (False, False, True):
         new = materialize(_across(members, found, sigs, sets, percent, every), "links")
@@ -187,8 +187,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     of_class = classes.select("set_key", "node").join(found, "node", "left").select(
         "set_key", F.coalesce("component", "node").alias("c0")
     )
-    # A document with several rows may belong to several classes: they are one node already.
-    joined = signed.select("doc_id", "n_shingles", "set_key").join(of_class, "set_key", "left")
+    full = signed.filter("set_key is not null").select("doc_id", "n_shingles", "set_key").join(of_class, "set_key").select("doc_id", "n_shingles", "c0")
+    # A row without words goes with its document's other texts, if there are any.
+    empty = signed.filter("set_key is null").select("doc_id", "n_shingles")
+    empty = empty.join(found.select(F.col("node").alias("doc_id"), F.col("component").alias("c0")), "doc_id", "left")
+    joined = full.unionByName(empty)
     return joined.select(
         "doc_id",
         "n_shingles",
@@ -197,6 +200,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
 
 
+def _own_texts(signed: DataFrame, classes: DataFrame) -> DataFrame:
+    """(a, b): documents with rows of different sets, linked with the class of each.
+
+    The document itself is the node between them; it is no less than the least
+    document of any of its classes.
+    """
+    key = F.col("set_key")
+    several = signed.filter("doc_id is not null").groupBy("doc_id").agg(F.min(key).alias("lo"), F.max(key).alias("hi"), F.count(key).alias("n"), F.count("*").alias("rows"))
+    several = several.filter((F.col("lo") != F.col("hi")) | ((F.col("n") > 0) & (F.col("n") < F.col("rows")))).select("doc_id")
+    rows = signed.filter("set_key is not null").select("doc_id", "set_key").join(several, "doc_id", "left_semi").distinct()
+    return rows.join(classes.select("set_key", "node"), "set_key").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
+
+
 def _across(members: DataFrame, found: DataFrame, sigs: DataFrame, sets: DataFrame, percent: int, every: bool) -> DataFrame:
     """Confirmed links (a, b) between two components that meet in a bucket.
 
@@ -242,8 +258,11 @@ def _able(rest: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     ``common``: how many of its shingles some other open node has too.
     """
-    own = materialize(sets.join(rest.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"]), "opensets")
+    own = materialize(sets.join(rest.select("node").distinct(), "node", "left_semi").withColumn("set", F.xxhash64("shingles")).dropDuplicates(["node", "set"]), "opensets")
     holders = own.select("node", F.explode("shingles").alias("shingle")).groupBy("shingle").agg(F.min("node").alias("node"), F.max("node").alias("last"))
     alone = holders.filter("node = last").groupBy("node").agg(F.count("*").alias("alone"))
+    # What a document with several sets has for itself is not counted off any of them.
+    single = own.groupBy("node").count().filter(F.col("count") == 1).select("node")
+    alone = alone.join(single, "node", "left_semi")
     common = (F.size("shingles") - F.coalesce("alone", F.lit(0))).alias("common")
     return own.join(alone, "node", "left").select("node", "shingles", common).filter(100 * F.col("common") >= percent * F.size("shingles"))

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strata.llm.store import materialize, ship
+from strata.llm.store import materialize, ship, unused
 from strata.llm.url_reputation import url_parts
 
 SAMPLE_ROWS = 12_000
@@ -105,10 +105,11 @@ def sites_of_pages(docs: DataFrame, pages: DataFrame, host_col: str = "source",
     """
     host, path = url_parts(F.col("url"))
     doc = F.regexp_extract(path, r"^/[a-z]+/([0-9]{1,18})", 1)
-    shown = pages.filter(doc != "").groupBy(doc.cast("long").alias("__doc")).agg(F.min(F.struct(host.alias("host"), path.alias("path"))).alias("__site"))
+    of, at = unused("page_doc", docs), unused("page_site", docs)
+    shown = pages.filter(doc != "").groupBy(doc.cast("long").alias(of)).agg(F.min(F.struct(host.alias("host"), path.alias("path"))).alias(at))
     site = {host_col: "host", path_col: "path"}
-    taken = [F.when(F.col("__site").isNotNull(), F.col(f"__site.{site[c]}")).otherwise(docs[c].cast("string")).alias(c) if c in site else docs[c] for c in docs.columns]
-    return docs.join(shown, docs["doc_id"].cast("long") == F.col("__doc"), "left").select(*taken)
+    taken = [F.when(F.col(at).isNotNull(), F.col(f"{at}.{site[c]}")).otherwise(docs[c].cast("string")).alias(c) if c in site else docs[c] for c in docs.columns]
+    return docs.join(shown, docs["doc_id"].cast("long") == F.col(of), "left").select(*taken)
 
 
 def rate_quality(docs: DataFrame, labels: DataFrame, host_col: str = "source", path_col: str = "lang", sample_rows: int = SAMPLE_ROWS) -> DataFrame:

@@ -75,3 +75,11 @@ def sample_keys(keys: DataFrame, on: str, n: int, salt: str) -> DataFrame:
     if share < 1:
         known = known.filter(F.col("order") < F.lit(int(share * 2**63)))
     return materialize(known.distinct().orderBy("order", on).limit(n), "sample")
+
+
+def unused(name: str, *tables: DataFrame) -> str:
+    """``name``, with as many underscores as no column of the tables has (names differ in more than case)."""
+    taken = {c.lower() for t in tables for c in t.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

@@ -104,3 +104,36 @@ def test_components(spark):
 def test_shingles_agree_with_plain_rule():
     for t in ("a b", "A B c D e f g", "x " * 9, "é b c", ""):
         assert len(shingle_set(t.encode())) == len(shingles(t))
+
+
+def test_one_id_on_different_texts(spark):
+    """Rows of one id are one node: whatever any of its texts is like hangs together."""
+    rng = np.random.default_rng(8)
+    texts = [" ".join(f"t{k}w{i}" for i in range(30)) for k in range(9)]
+
+    def near(k):
+        w = texts[k].split()
+        w[int(rng.integers(0, 30))] = f"e{rng.integers(0, 999)}"
+        return " ".join(w)
+
+    rows = [(3, texts[0]), (5, near(0)), (5, texts[1]), (9, near(1)), (9, texts[2]), (7, near(2)), (7, None), (20, texts[3]), (20, texts[4]), (2, ""), (2, texts[5]), (8, near(5))]
+    rows += [(4, texts[6]), (4, texts[7]), (11, texts[7]), (12, near(6)), (6, texts[8]), (6, texts[8]), (1, None), (1, "")]
+    rows += [(30 + i, near(2)) for i in range(12)] + [(40, near(2)), (40, near(4)), (40, texts[0])]
+    parent = {i: i for i, _ in rows}
+
+    def find(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    sets = [shingles(t) for _, t in rows]
+    for x, (i, _) in enumerate(rows):
+        for y, (j, _) in enumerate(rows[:x]):
+            a, b = sets[x], sets[y]
+            if a and b and 100 * len(a & b) >= 75 * len(a | b):
+                p, q = find(i), find(j)
+                parent[max(p, q)] = min(p, q)
+    want = Counter((i, len(s), find(i), find(i) == i) for (i, _), s in zip(rows, sets, strict=True))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert Counter(tuple(r) for r in ND.near_duplicates(df).collect()) == want
+    assert Counter(tuple(r) for r in ND.near_duplicates(df.repartition(6)).collect()) == want

@@ -67,6 +67,18 @@ def test_pipeline_stages(spark):
     assert {r.doc_id for r in pieces.select("doc_id").collect()} == {r.doc_id for r in before.collect()}
 
 
+def test_stages_with_clashing_names(spark):
+    """Extra columns may have any name."""
+    names = ["lost_id", "lost_key", "LOST_AT", "leak_id", "leak_key", "decided_id", "count", "kept", "component_id", "score"]
+    rows = [(i, f"some words {i % 3} that stand here and there in text {i}", *[str(i)] * len(names)) for i in range(12)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"{n} string" for n in names))
+    for name, stage in CP.STAGES[:-1]:
+        out = stage(spark, df, SF_MID)
+        assert out.columns == df.columns, name
+        assert all(r.count_ == str(r.doc_id) for r in out.withColumnRenamed("count", "count_").collect())
+    assert CP.STAGES[-1][1](spark, df, SF_MID).count() == 12
+
+
 def test_stages_on_odd_tables(spark):
     rows = [(1, "a b c d e f g", None, "s", 3, "k"), (1, "a b c d e f g", None, "s", 3, "k"), (2, None, None, None, None, None), (None, "a b c d e f g", "en", "s", 1, "k"), (3, "", "en", "s", 0, "k"), (4, "a B c D e F g", "en", "s", 9, "k")]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, kept string")
