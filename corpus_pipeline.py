@@ -11,14 +11,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strata.llm import decontaminate, line_templates, near_dedup, packing, toxicity
-from strata.llm.store import materialize
+from strata.llm.store import materialize, unused
 from strata.sources.readers import read_table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects go.
 
-    The same text gets the same score, so rows that repeat an id with the same
+    Null and empty texts score the bias alone; an empty table stays empty. The same text gets the same score, so rows that repeat an id with the same
     text stay or go together.
     """
     model = toxicity.fit_on_labels(docs, read_table(spark, sf_dir, "labels"))
@@ -26,7 +26,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_recurring_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Recurring lines go, documents stay."""
+    """Recurring lines go, documents stay: null texts as null, an empty table as it is."""
     return line_templates.drop_recurring_lines(docs)
 
 
@@ -35,15 +35,16 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
     Rows that repeat an id are one document: one of them stays.
     """
-    decided = near_dedup.near_duplicates(docs)
-    gone = decided.filter("not kept").select(F.col("doc_id").alias("__gone"))
-    kept = docs.join(gone.distinct(), docs["doc_id"] == F.col("__gone"), "left_anti")
-    repeated = decided.groupBy(F.col("doc_id").alias("__twice")).count().filter("count > 1 and __twice is not null").select("__twice")
+    own = unused("decided_id", docs)
+    decided = materialize(near_dedup.near_duplicates(docs), "decided")
+    gone = decided.filter("not kept").select(F.col("doc_id").alias(own))
+    kept = docs.join(gone.distinct(), docs["doc_id"] == F.col(own), "left_anti")
+    repeated = decided.groupBy(F.col("doc_id").alias(own)).count().filter(F.col("count") > 1).filter(F.col(own).isNotNull()).select(own)
     repeated = materialize(repeated, "repeated")
     if repeated.isEmpty():
         return kept
-    many = kept.join(repeated, kept["doc_id"] == F.col("__twice"), "left_semi").dropDuplicates(["doc_id"])
-    return kept.join(repeated, kept["doc_id"] == F.col("__twice"), "left_anti").unionByName(many)
+    many = kept.join(repeated, kept["doc_id"] == F.col(own), "left_semi").dropDuplicates(["doc_id"])
+    return kept.join(repeated, kept["doc_id"] == F.col(own), "left_anti").unionByName(many)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,7 +53,10 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents and their places in the training sequences."""
+    """The pieces of all documents and their places in the training sequences.
+
+    A null or empty text is its end mark alone; repeated rows are packed each.
+    """
     return packing.pack(docs)
 
 
