@@ -1,5 +1,6 @@
 """Vector search against brute force; the pipeline stage by stage."""
 
+import math
 from collections import Counter
 
 import corpus_pipeline as CP
@@ -27,9 +28,11 @@ def test_bounds_hold():
     rng = np.random.default_rng(0)
     q, r = rng.normal(size=(20, 48)), rng.normal(size=(300, 48)) * rng.uniform(0.01, 30, (300, 1))
     r[:20] = q
-    low, high = VS.bounds(VS.encode(q), VS.encode(r))
     d = np.sqrt(((q[:, None] - r[None]) ** 2).sum(axis=2))
-    assert (low <= d).all() and (d <= high).all()
+    for size in (1.0, 1e200, 1e-200):
+        low, high, unit = VS.bounds(VS.encode(q * size), VS.encode(r * size))
+        assert (low * unit / size <= d).all() and (d <= high * unit / size).all()
+        assert np.allclose(VS.distances(r * size, q[0] * size) / size, d[0], rtol=1e-12)
 
 
 def test_equals_brute_force(spark):
@@ -42,6 +45,33 @@ def test_equals_brute_force(spark):
     assert np.allclose([x[3] for x in sorted(got)], [x[3] for x in sorted(want)], rtol=1e-12)
 
 
+def test_large_and_tiny_components(spark, monkeypatch):
+    """Finite components of any size have all their neighbours, whatever shares their block."""
+    rng = np.random.default_rng(4)
+    rows = [(i, (rng.normal(size=6) * s).tolist()) for i, s in enumerate([1e200, 1e-200, 1.0, 1e200, 1e-160, 1e150] * 12)]
+    rows += [(100, [1e200] * 5 + [0.0]), (101, [1e200] * 5 + [1.0]), (102, [1e200] * 5 + [3.0]), (103, [1.7e308] * 6), (104, [-1.7e308] * 6)]
+
+    def far(a, b):
+        d = [x - y for x, y in zip(a, b)]
+        return math.inf if any(map(math.isinf, d)) else math.hypot(*d)
+
+    want = {}
+    for i, v in rows:
+        want[i] = sorted((far(v, w), j) for j, w in rows if j != i)[:5]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    for blocks, kept in ((4096, 65536), (7, 1)):
+        monkeypatch.setattr(VS, "ROW_BLOCK", blocks)
+        monkeypatch.setattr(VS, "QUERY_BLOCK", blocks)
+        monkeypatch.setattr(VS, "HELD_QUERIES", kept)
+        got = {}
+        for r in VS.nearest(df, df, k=5).orderBy("query_id", "rank").collect():
+            got.setdefault(r.query_id, []).append((r.score, r.vec_id))
+        assert set(got) == set(want)
+        for i, best in want.items():
+            assert [j for _, j in got[i]] == [j for _, j in best] or np.allclose([d for d, _ in got[i]], [d for d, _ in best], rtol=1e-12, atol=0)
+            assert np.allclose([d for d, _ in got[i]], [d for d, _ in best], rtol=1e-12, atol=0)
+
+
 def test_odd_vectors_and_ties(spark):
     nan, inf = float("nan"), float("inf")
     data = [(0, [1.0, 0.0]), (1, None), (2, [0.0, 0.0]), (3, [nan, 1.0]), (4, [1.0, None]), (5, [inf, 1.0]), (6, [1.0, 0.0]), (7, [1.0, 0.0]), (8, [2.0, 0.0]), (9, [1.0]), (10, []), (None, [1.0, 1.0])]
