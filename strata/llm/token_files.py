@@ -32,6 +32,7 @@ MAGIC = b"TOKEF1\0\0"
 SAMPLE = 256  # every 256th set bit of the high part has its position stored
 SHARD_BYTES = 24 << 20  # text bytes a shard is meant to hold
 READ_IDS = 1 << 20  # ids read from a file at once
+READ_DOCS = 1 << 12  # document boundaries selected at once
 
 
 class EliasFano:
@@ -76,17 +77,31 @@ class EliasFano:
         chunk = int.from_bytes(self.low[first // 8 : (first + self.low_bits + 7) // 8], "little")
         return (position - i) << self.low_bits | (chunk >> first % 8) & ((1 << self.low_bits) - 1)
 
-    def all(self) -> np.ndarray:
-        if self.n == 0:
+    def block(self, first: int, count: int) -> np.ndarray:
+        """Values ``first`` to ``first + count - 1``: the bits between two stored samples, no others."""
+        count = max(0, min(count, self.n - first))
+        if count == 0:
             return np.empty(0, np.uint64)
-        ones = np.flatnonzero(np.unpackbits(np.frombuffer(self.high, np.uint8), bitorder="little"))[: self.n]
-        out = (ones - np.arange(self.n)).astype(np.uint64) << np.uint64(self.low_bits)
+        sample = first // SAMPLE
+        begin = int(self.samples[sample]) // 8
+        after = (first + count - 1) // SAMPLE + 1
+        end = int(self.samples[after]) // 8 + 1 if after < len(self.samples) else len(self.high)
+        ones = np.flatnonzero(np.unpackbits(np.frombuffer(self.high, np.uint8, end - begin, begin), bitorder="little")) + 8 * begin
+        # Bits of the first byte that belong to values before the sample.
+        ones = ones[np.searchsorted(ones, self.samples[sample]) :]
+        index = np.arange(first, first + count)
+        out = (ones[first - sample * SAMPLE :][:count] - index).astype(np.uint64) << np.uint64(self.low_bits)
         if self.low_bits:
-            bits = np.unpackbits(np.frombuffer(self.low, np.uint8), bitorder="little")[: self.n * self.low_bits]
+            from_bit, bits = first * self.low_bits, count * self.low_bits
+            held = np.frombuffer(self.low, np.uint8, (from_bit + bits + 7) // 8 - from_bit // 8, from_bit // 8)
+            held = np.unpackbits(held, bitorder="little")[from_bit % 8 :][:bits]
             weights = np.uint64(1) << np.arange(self.low_bits, dtype=np.uint64)
-            out += (bits.reshape(self.n, self.low_bits).astype(np.uint64) * weights).sum(axis=1, dtype=np.uint64)
+            out += (held.reshape(count, self.low_bits).astype(np.uint64) * weights).sum(axis=1, dtype=np.uint64)
         return out
 
+    def all(self) -> np.ndarray:
+        return self.block(0, self.n)
+
     def to_bytes(self) -> bytes:
         head = struct.pack("<QQQQQ", self.n, self.low_bits, len(self.low), len(self.high), len(self.samples))
         return head + self.low + self.high + self.samples.astype("<i8").tobytes()
@@ -185,7 +200,10 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str | None = None
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = 1 + int(size) // SHARD_BYTES
-    ordered = docs.repartitionByRange(shards, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first())
+    # Rows of one id (or none) may fill several shards: their place in the table cuts them.
+    order = [F.col("doc_id").asc_nulls_first(), F.col("row")]
+    placed = docs.withColumn("row", F.monotonically_increasing_id())
+    ordered = placed.repartitionByRange(shards, *order).sortWithinPartitions(*order).select("doc_id", "text")
     written = ordered.mapInArrow(_write(folder, tokenizer or default_path(), end_id), "shard int, documents long, ids long")
     manifest = materialize(written, "manifest")
     # One row per file; the running sum is over file counts, not over documents.
@@ -198,20 +216,23 @@ def _read(folder: str):
         for batch in batches:
             for row in batch.to_pylist():
                 f = TokenFile(f"{folder.rstrip('/')}/shard-{row['shard']:06d}.tok")
-                ends = f.ends.all().astype(np.int64)
-                ids = [None] * f.meta["nulls"] + [f.meta["least"] + int(i) for i in f.ids_of_docs.all()]
-                starts = np.r_[0, ends[:-1]] if len(ends) else ends
-                at = 0
-                while at < len(ends):
-                    # As many whole documents as READ_IDS ids hold; a longer one by itself.
-                    to = max(at + 1, int(np.searchsorted(ends, starts[at] + READ_IDS, "right")))
-                    ids32 = f.read(int(starts[at]), int(ends[to - 1])).astype("<u4")
-                    crc = [zlib.crc32(ids32[starts[i] - starts[at] : ends[i] - starts[at]]) for i in range(at, to)]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(ids[at:to], pa.int64()), pa.array(starts[at:to] + row["start"]), pa.array(ends[at:to] - starts[at:to]), pa.array(crc, pa.int64())],
-                        names=["doc_id", "start", "n_tokens", "ids_crc32"],
-                    )
-                    at = to
+                nulls, least = f.meta["nulls"], f.meta["least"]
+                for first in range(0, len(f), READ_DOCS):
+                    ends = f.ends.block(first, READ_DOCS).astype(np.int64)
+                    starts = np.r_[f.ends.select(first - 1) if first else 0, ends[:-1]]
+                    known = max(0, first + len(ends) - max(first, nulls))
+                    ids = [None] * (len(ends) - known) + (f.ids_of_docs.block(max(first - nulls, 0), known).astype(np.int64) + least).tolist()
+                    at = 0
+                    while at < len(ends):
+                        # As many whole documents as READ_IDS ids hold; a longer one by itself.
+                        to = max(at + 1, int(np.searchsorted(ends, starts[at] + READ_IDS, "right")))
+                        ids32 = f.read(int(starts[at]), int(ends[to - 1])).astype("<u4")
+                        crc = [zlib.crc32(ids32[starts[i] - starts[at] : ends[i] - starts[at]]) for i in range(at, to)]
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array(ids[at:to], pa.int64()), pa.array(starts[at:to] + row["start"]), pa.array(ends[at:to] - starts[at:to]), pa.array(crc, pa.int64())],
+                            names=["doc_id", "start", "n_tokens", "ids_crc32"],
+                        )
+                        at = to
                 f.close()
 
     return run

@@ -1,6 +1,7 @@
 """Token files and packing against the plain tokenizer."""
 
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -139,3 +140,27 @@ def test_program_covers_every_length_and_places_most():
 def test_price_uses_the_room_within_the_counts():
     # Unbounded, ten pieces of 10 would win and be cut to two.
     assert PK.price(np.array([10, 40]), np.array([11.0, 40.0]), np.array([2, 2]), 100) == ((40, 2), (10, 2))
+
+
+def test_blocks_equal_single_selects():
+    rng = np.random.default_rng(12)
+    for values in (np.sort(rng.integers(0, 10**6, 3000)), np.arange(900), np.zeros(700, dtype=int), np.cumsum(rng.integers(0, 3, 5000)), np.array([5]), np.sort(rng.integers(0, 2**40, 400))):
+        ef = TF.EliasFano.from_bytes(TF.EliasFano.build(values).to_bytes())
+        for first, count in ((0, len(values)), (0, 1), (len(values) - 1, 5), (255, 3), (256, 256), (511, 700), (len(values), 4)):
+            if first <= len(values):
+                want = values[first : first + count].tolist()
+                assert ef.block(first, count).tolist() == want
+                assert [ef.select(i) for i in range(first, first + len(want))][:20] == want[:20]
+
+
+def test_one_id_fills_several_shards(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(TF, "SHARD_BYTES", 2000)
+    rows = [(7, f"text number {i} of one id") for i in range(400)] + [(None, "no id")] * 300 + [(1, "x"), (9, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    manifest = TF.write_token_files(df, f"file://{tmp_path}/t")
+    assert manifest.filter("documents > 0").count() > 4
+    got = TF.read_token_files(manifest, f"file://{tmp_path}/t").orderBy("start").collect()
+    assert Counter(r.doc_id for r in got) == Counter(i for i, _ in rows)
+    ids = [r.doc_id for r in got]
+    assert ids == sorted(ids, key=lambda i: (i is not None, i or 0))
+    assert [r.start for r in got] == np.concatenate([[0], np.cumsum([r.n_tokens for r in got])[:-1]]).tolist()
