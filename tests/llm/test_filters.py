@@ -197,6 +197,73 @@ def test_quality_held_out(spark):
     assert {r.kept for r in quality.rate_quality(odd, labels.limit(0)).collect()} == {True}
 
 
+def test_site_posteriors_equal_plain_version(spark):
+    """Counts by host and leading segments, each document without its own outcome."""
+    rng = np.random.default_rng(21)
+    rows = []
+    for i in range(500):
+        host = str(rng.choice(["a.org", "b.org", "c.org", "d.org"], p=[0.5, 0.3, 0.15, 0.05])) if i % 40 else None
+        rows.append((i, "same words here", host, f"/{rng.choice(['en', 'fr'])}/{i}" if i % 30 else None))
+    labels = [(i, int(rng.random() < {"a.org": 0.9, "b.org": 0.2}.get(rows[i][2], 0.5))) for i in range(0, 500) if i % 3]
+    rows += [(4, "same words here", "z.org", "/en/4"), (700, "same words here", "b.org", "/de/1"), (701, None, "new.org", "/x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+
+    def level(p):
+        return None if p is None else p[: p.rindex("/") + 1] if "/" in p else p
+
+    used = {i: y for i, y in labels if zlib.crc32(str(i).encode()) % 4 != 2}
+    least = {}
+    for i, _, h, p in rows:
+        site = (h, level(p))
+        if i in used and (i not in least or ((site[0] is not None, site[0] or ""), site[1] or "") < ((least[i][0] is not None, least[i][0] or ""), least[i][1] or "")):
+            least[i] = site
+    paths, hosts = defaultdict(lambda: [0, 0]), defaultdict(lambda: [0, 0])
+    for i, (h, p) in least.items():
+        for c in (paths[h, p], hosts[h]):
+            c[0] += 1
+            c[1] += used[i]
+    n, g = len(used), sum(used.values())
+
+    def strength(groups):
+        total = sum(k for k, _, _ in groups)
+        noise = sum(k * c * (1 - c) for k, _, c in groups) / total
+        spread = sum(k * (s / k - c) ** 2 for k, s, c in groups) / total
+        share = len(groups) / total
+        return min(max((noise - spread) / (spread - noise * share), quality.MIN_STRENGTH), quality.MAX_STRENGTH) if spread > noise * share else quality.MAX_STRENGTH
+
+    kh = strength([(k, s, g / n) for k, s in hosts.values()])
+    mean = {h: (s + kh * g / n) / (k + kh) for h, (k, s) in hosts.items()}
+    kp = strength([(k, s, mean[h]) for (h, _), (k, s) in paths.items()])
+    for r in quality.rate_quality(df, spark.createDataFrame(labels, "doc_id long, quality int")).join(df, "doc_id").select("doc_id", "site_posterior").distinct().collect():
+        sites = {(h, level(p)) for i, _, h, p in rows if i == r.doc_id}
+        allowed = []
+        for h, p in sites:
+            one = int(r.doc_id in used)
+            oh = int(one and least[r.doc_id][0] == h)
+            op = int(oh and least[r.doc_id][1] == p)
+            y = used.get(r.doc_id, 0)
+            rest = (g - y * one) / (n - one)
+            if (h, p) in paths:
+                of_host = (hosts[h][1] - y * oh + kh * rest) / (hosts[h][0] - oh + kh)
+                allowed.append((paths[h, p][1] - y * op + kp * of_host) / (paths[h, p][0] - op + kp))
+            elif h in hosts:
+                allowed.append((hosts[h][1] - y * oh + kh * g / n) / (hosts[h][0] - oh + kh))
+            else:
+                allowed.append(g / n)
+        assert min(abs(r.site_posterior - a) for a in allowed) < 1e-9, r
+
+
+def test_quality_own_label_says_nothing(spark):
+    """Labelled documents of one site and one text score alike, whatever their own labels."""
+    ids = [i for i in range(300) if zlib.crc32(str(i).encode()) % 4 != 2]
+    df = spark.createDataFrame([(i, "same words here", "a.org", f"/en/{i}", "k") for i in ids], "doc_id long, text string, source string, lang string, page_doc string")
+    got = quality.rate_quality(df, spark.createDataFrame([(i, i % 2) for i in ids], "doc_id long, quality int")).toPandas()
+    by = got.groupby(got["doc_id"] % 2)["site_posterior"].mean()
+    assert abs(by[0] - by[1]) < 0.02 and by[1] <= by[0]
+    pages = spark.createDataFrame([(1, "http://a.org/en/7")], "page_id long, url string")
+    assert quality.sites_of_pages(df, pages).columns == df.columns
+
+
 def test_quality_unlabelled_path_takes_its_host(spark):
     good = [i for i in range(400) if zlib.crc32(str(i).encode()) % 4 != 2]
     docs = [(i, "same words here", "a.org" if i % 2 else "b.org", f"/en/{i}") for i in good]
