@@ -9,13 +9,17 @@ whose score reaches the item's threshold:
 * the sum of its words' greatest contributions must reach it (WAND bound);
 * then the sum of their greatest contributions within a block of items must
   reach it for that block (block-max bound);
-* only items of such blocks are scored.
+* only their postings in such blocks are read and scored.
 
 Contributions are divided by the item's threshold, so that all thresholds are
 1. The threshold is the least score that a passage with the overlap asked for
 can have: of n shingles it may miss m, so it misses at most m words, and the
 m heaviest are taken off the item's own score. No hit is lost. Words that are
-in more than STOP_SHARE of the items are neither indexed nor counted.
+in more than STOP_SHARE of the items (and in more than STOP_ITEMS) are neither
+indexed nor counted.
+
+Counts and lengths are those of the whole benchmark, also where its items are
+scanned in several parts, so no result depends on the parts.
 
 Hits are verified on five-word shingles: question (all but the last sentence)
 and answer (the last one; what follows the last question mark, if there is
@@ -27,7 +31,8 @@ from __future__ import annotations
 import re
 import string
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
@@ -40,7 +45,7 @@ from strata.llm.store import materialize, ship, unused
 from strata.llm.text import SHINGLE_WORDS, shingle_sequence, word_hashes
 
 PERCENT, K1, B = 75, 1.2, 0.75
-STOP_SHARE, STOP_ITEMS = 0.25, 20
+STOP_SHARE, STOP_ITEMS = 0.25, 5
 BLOCK = 8
 # Text bytes of test items held by a task at once; more items are scanned in several passes.
 INDEX_BYTES = 8 << 20
@@ -94,28 +99,48 @@ def question_and_answer(text: str) -> tuple[list[bytes], list[bytes]]:
     return words(text[:cut].encode()), words(text[cut:].encode())
 
 
+def _spread(counts: np.ndarray, firsts: np.ndarray) -> np.ndarray:
+    """firsts[i], firsts[i] + 1, ... counts[i] of them, one i after the other."""
+    before = np.cumsum(counts) - counts
+    return np.arange(int(counts.sum())) + np.repeat(firsts - before, counts)
+
+
 def _parts(text: str) -> list[np.ndarray]:
     """Distinct shingles of question and answer; a part without words is left out."""
     return [np.unique(shingle_sequence(word_hashes(p))) for p in question_and_answer(text) if p]
 
 
+@dataclass(frozen=True)
+class Statistics:
+    """Of all items with words: their number, mean and greatest length, and in how many each word is."""
+
+    items: int
+    mean: float
+    longest: int
+    holding: dict[bytes, int]
+
+    @classmethod
+    def of(cls, texts: list[list[bytes]]) -> Statistics:
+        holding: dict[bytes, int] = {}
+        for t in texts:
+            for w in set(t):
+                holding[w] = holding.get(w, 0) + 1
+        return cls(len(texts), sum(map(len, texts)) / max(1, len(texts)), max(map(len, texts), default=1), holding)
+
+
 class Index:
     """BM25 postings with list and block maxima, all divided by the items' thresholds."""
 
-    def __init__(self, items: list[tuple[int, str]], percent: int = PERCENT):
+    def __init__(self, items: list[tuple[int, str]], percent: int = PERCENT, statistics: Statistics | None = None):
         items = [(i, t) for i, t in items if words(t.encode())]
         self.percent = percent
         self.item_ids = [i for i, _ in items]
         self.parts = [_parts(t) for _, t in items]
         texts = [words(t.encode()) for _, t in items]
-        self.longest = max(map(len, texts), default=1)
-        n, mean = len(items), sum(map(len, texts)) / max(1, len(texts))
-        df: dict[bytes, int] = {}
-        for t in texts:
-            for w in set(t):
-                df[w] = df.get(w, 0) + 1
-        stop = STOP_SHARE * n if n >= STOP_ITEMS else n + 1
-        self.terms = {w: k for k, w in enumerate(sorted(w for w, c in df.items() if c <= stop))}
+        known = statistics or Statistics.of(texts)
+        self.longest, n, df = known.longest, known.items, known.holding
+        stop = max(STOP_SHARE * n, STOP_ITEMS)
+        self.terms = {w: k for k, w in enumerate(sorted({w for t in texts for w in t if df[w] <= stop}))}
         self.term_ids = _TermIds(self.terms)
         postings: list[list[tuple[int, float]]] = [[] for _ in self.terms]
         self.always = []  # items that their indexed words cannot rule out
@@ -125,7 +150,7 @@ class Index:
                 if w in self.terms:
                     tf = t.count(w)
                     idf = np.log(1 + (n - df[w] + 0.5) / (df[w] + 0.5))
-                    gains[self.terms[w]] = float(idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(t) / mean)))
+                    gains[self.terms[w]] = float(idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(t) / known.mean)))
             missed = sum(len(p) - -(-percent * len(p) // 100) for p in self.parts[i])
             threshold = sum(sorted(gains.values(), reverse=True)[missed:])
             if threshold <= 0:
@@ -133,28 +158,33 @@ class Index:
                 continue
             for k, g in gains.items():
                 postings[k].append((i, g / threshold))
-        blocks = -(-n // BLOCK) or 1
-        self.block_max = np.zeros((len(self.terms) + 1, blocks), dtype=np.float32)
-        for k, rows in enumerate(postings):
-            for i, g in rows:
-                # Rounded up, so that a bound in single precision stays a bound.
-                self.block_max[k, i // BLOCK] = max(self.block_max[k, i // BLOCK], np.float32(g * (1 + 1e-6)))
-        self.list_max = self.block_max.max(axis=1).astype(np.float64)
-        self.list_max[-1] = 0.0
-        self.begin = np.cumsum([0, *map(len, postings)])
         flat = [x for rows in postings for x in rows]
         self.items = np.array([i for i, _ in flat], dtype=np.int64)
         self.gains = np.array([g for _, g in flat], dtype=np.float64)
+        # A term's postings in one block of items stand together: where they
+        # begin, whose they are and their greatest gain, as sparse as the postings.
+        self.blocks = -(-len(items) // BLOCK) or 1
+        term = np.repeat(np.arange(len(postings)), [len(rows) for rows in postings])
+        run = term * self.blocks + self.items // BLOCK
+        opens = np.flatnonzero(np.concatenate([[True], run[1:] != run[:-1]])) if len(run) else np.empty(0, dtype=np.int64)
+        self.run_begin = np.append(opens, len(run))
+        self.run_block = run[opens] % self.blocks
+        self.run_max = np.maximum.reduceat(self.gains, opens) if len(run) else np.empty(0)
+        self.begin = np.searchsorted(term[opens], np.arange(len(postings) + 1))
+        self.list_max = np.zeros(len(postings) + 1)
+        np.maximum.at(self.list_max, term[opens], self.run_max)
 
     def search(self, u: np.ndarray) -> list[tuple[int, float]]:
         """(item, score over threshold) of all items that the distinct terms ``u`` lift to 1."""
-        alive = self.block_max[u].sum(axis=0, dtype=np.float64) >= 1 - 1e-6
-        if not alive.any():
+        runs = _spread(self.begin[u + 1] - self.begin[u], self.begin[u])
+        alive = np.bincount(self.run_block[runs], self.run_max[runs], self.blocks) >= 1 - 1e-6
+        runs = runs[alive[self.run_block[runs]]]
+        if not len(runs):
             return []
-        at = np.concatenate([np.arange(self.begin[k], self.begin[k + 1]) for k in u])
-        at = at[alive[self.items[at] // BLOCK]]
-        scores = np.bincount(self.items[at], weights=self.gains[at], minlength=len(self.item_ids))
-        return [(int(i), float(scores[i])) for i in np.flatnonzero(scores >= 1 - 1e-6)]
+        at = _spread(self.run_begin[runs + 1] - self.run_begin[runs], self.run_begin[runs])
+        held, which = np.unique(self.items[at], return_inverse=True)
+        scores = np.bincount(which, self.gains[at])
+        return [(int(i), float(x)) for i, x in zip(held, scores, strict=True) if x >= 1 - 1e-6]
 
     def verify(self, i: int, shingles: np.ndarray) -> list[int] | None:
         """Percent of each part's shingles in the passage, if every part has enough."""
@@ -202,12 +232,20 @@ class Index:
 FOUND = "doc_id long, text_key long, item_id long, score double, question_percent int, answer_percent int"
 
 
-def _scan(items: list[tuple[int, str]], percent: int):
+def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        texts = [words(t) for t in batch.column(1).cast(pa.binary()).to_pylist()]
+        yield pa.RecordBatch.from_arrays(
+            [batch.column(0), pa.array([len(t) for t in texts], pa.int64()), pa.array([sorted(set(t)) for t in texts], pa.list_(pa.binary()))], names=["part", "n", "words"]
+        )
+
+
+def _scan(items: list[tuple[int, str]], percent: int, statistics: Statistics | None):
     index: list[Index] = []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not index:
-            index.append(Index(items, percent))
+            index.append(Index(items, percent, statistics))
         for batch in batches:
             rows = []
             for i, key, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).cast(pa.binary()), strict=True):
@@ -223,29 +261,45 @@ def _scan(items: list[tuple[int, str]], percent: int):
     return run
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, percent: int = PERCENT) -> DataFrame:
+def find_leaks(docs: DataFrame, benchmark: DataFrame, percent: int = PERCENT, index_bytes: int = INDEX_BYTES) -> DataFrame:
     """One row per (document, test item) of which a passage has the overlap asked for.
 
     (doc_id, text_key, item_id, score, question_percent, answer_percent);
     text_key is the hash of the text, score the BM25 score over the item's
     threshold. Null or wordless texts and items have no hits; repeated
-    documents and items are each reported. Items beyond INDEX_BYTES of text
-    are scanned in further passes over the documents, so a task never holds
-    more than that.
+    documents and items are each reported. Items beyond ``index_bytes`` of text
+    are scanned in further passes over the documents, so a task (and the driver)
+    never holds more than that; the rows are the same.
     """
     ship(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), F.col("text").cast("string").alias("text"))
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).filter("text is not null")
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    passes = 1 + int(size) // INDEX_BYTES
+    passes = 1 + int(size) // index_bytes
+    dealt = items.withColumn("part", F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)))
+    counted = _statistics(dealt) if passes > 1 else None
     out = None
     for k in range(passes):
-        part = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)) == k).orderBy("item_id", "text")
-        found = docs.mapInArrow(_scan([(r.item_id, r.text) for r in part.collect()], percent), FOUND)
+        part = dealt.filter(F.col("part") == k).orderBy("item_id", "text")
+        found = docs.mapInArrow(_scan([(r.item_id, r.text) for r in part.collect()], percent, counted(k) if counted else None), FOUND)
         out = found if out is None else out.unionByName(found)
     return out
 
 
+def _statistics(dealt: DataFrame) -> Callable[[int], Statistics]:
+    """Statistics of all items, for each part with the counts of its own words."""
+    held = materialize(dealt.select("part", "text").mapInArrow(_count_words, "part long, n long, words array<binary>").filter("n > 0"), "items")
+    row = held.agg(F.count("*").alias("items"), F.sum("n").alias("n"), F.max("n").alias("longest")).first()
+    each = held.select("part", F.explode("words").alias("word"))
+    holding = materialize(each.groupBy("word").agg(F.count("*").alias("holding")), "holding")
+
+    def of(part: int) -> Statistics:
+        own = each.filter(F.col("part") == part).select("word").distinct().join(holding, "word")
+        return Statistics(row["items"], (row["n"] or 0) / max(1, row["items"]), row["longest"] or 1, {bytes(r["word"]): r["holding"] for r in own.collect()})
+
+    return of
+
+
 def drop_leaking(docs: DataFrame, benchmark: DataFrame, percent: int = PERCENT) -> DataFrame:
     """``docs`` without the documents that hold a test item; rows and columns otherwise as they are.
 

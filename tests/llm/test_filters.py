@@ -313,6 +313,31 @@ def test_leaks_equal_brute_force(spark):
     assert len(want) > 10
 
 
+def test_parts_of_the_benchmark_change_nothing(spark):
+    """One pass or many: the same rows with the same scores."""
+    docs, bench = (spark.read.parquet(f"{SF_MID}/{t}.parquet") for t in ("documents", "benchmark"))
+    one = sorted(tuple(r) for r in DC.find_leaks(docs, bench).collect())
+    many = sorted(tuple(r) for r in DC.find_leaks(docs, bench, index_bytes=1500).collect())
+    assert len(one) > 3 and [r[:3] + r[4:] for r in one] == [r[:3] + r[4:] for r in many]
+    assert np.allclose([r[3] for r in one], [r[3] for r in many], rtol=1e-12)
+
+
+def test_search_equals_scoring_everything():
+    rng = np.random.default_rng(17)
+    items = [(i, " ".join(f"w{int(k)}" for k in rng.zipf(1.4, 25) % 400) + ".") for i in range(300)]
+    index = DC.Index(items)
+    for _ in range(200):
+        u = np.unique(rng.integers(0, len(index.terms), rng.integers(1, 60)))
+        want = Counter()
+        for k in u.tolist():
+            for run in range(index.begin[k], index.begin[k + 1]):
+                for at in range(index.run_begin[run], index.run_begin[run + 1]):
+                    want[int(index.items[at])] += float(index.gains[at])
+        want = {i: x for i, x in want.items() if x >= 1 - 1e-6}
+        got = dict(index.search(u))
+        assert got.keys() == want.keys() and all(abs(got[i] - want[i]) < 1e-9 for i in got)
+
+
 def test_leaks_odd_rows(spark):
     bench = spark.createDataFrame([(1, "what is it? blue"), (2, None), (3, ""), (3, "one"), (4, "a b c d e f g")], "item_id long, text string")
     docs = spark.createDataFrame([(1, "well WHAT is it? blue sky", "p"), (1, "well WHAT is it? blue sky", "p"), (2, None, "p"), (None, "one", "p"), (5, "x " * 50_000 + "a b c d e f g", "p")], "doc_id long, text string, item_id string")
