@@ -130,10 +130,15 @@ outcome AS (SELECT page_id, min(good) AS good FROM shown JOIN good USING (doc_id
 counted AS (
   SELECT host, count(*) AS n, sum(good) AS good FROM part JOIN outcome USING (page_id) WHERE good IS NOT NULL GROUP BY host
 ),
+labels AS (
+  SELECT host, site, string_split(site, '.') AS l, coalesce(n, 0) AS n, coalesce(good, 0) AS good
+  FROM (SELECT DISTINCT host, regexp_replace(regexp_replace(host, '^.*@', ''), ':[0-9]*$', '') AS site FROM part) LEFT JOIN counted USING (host)
+),
+wide AS (SELECT *, CASE WHEN len(l) > 1 AND array_to_string(l[-2:], '.') IN ({", ".join(f"'{x}'" for x in url_reputation.TWO_LABELS)}) THEN 2 ELSE 1 END AS w FROM labels),
 tree AS (
-  SELECT host, array_to_string(list_slice(string_split(host, '.'), greatest(len(string_split(host, '.')) - 1, 1), len(string_split(host, '.'))), '.') AS domain,
-         string_split(host, '.')[len(string_split(host, '.'))] AS suffix, coalesce(n, 0) AS n, coalesce(good, 0) AS good
-  FROM (SELECT DISTINCT host FROM part) LEFT JOIN counted USING (host)
+  SELECT host, n, good, CASE WHEN regexp_matches(site, '^[0-9.]+$') THEN site ELSE array_to_string(l[greatest(len(l) - w, 1):], '.') END AS domain,
+         CASE WHEN regexp_matches(site, '^[0-9.]+$') THEN site ELSE array_to_string(l[greatest(len(l) - w + 1, 1):], '.') END AS suffix
+  FROM wide
 ),
 total AS (SELECT coalesce(sum(good) / nullif(sum(n), 0), 0.5) AS overall FROM tree),
 members AS (

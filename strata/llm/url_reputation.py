@@ -19,6 +19,12 @@ from strata.llm.store import materialize
 RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
 Z, FLOOR = 1.64, 0.75
 MIN_STRENGTH, MAX_STRENGTH = 2.0, 1000.0
+# Suffixes of two labels under which names are registered; others have one label.
+TWO_LABELS = (
+    "ac.jp", "ac.uk", "co.id", "co.il", "co.in", "co.jp", "co.kr", "co.nz", "co.th", "co.uk", "co.za", "com.ar", "com.au", "com.br", "com.cn", "com.co", "com.hk",
+    "com.mx", "com.my", "com.pl", "com.sg", "com.tr", "com.tw", "com.ua", "edu.au", "edu.cn", "go.jp", "gov.au", "gov.br", "gov.cn", "gov.in", "gov.uk", "ne.jp",
+    "net.au", "net.br", "net.cn", "or.jp", "or.kr", "org.au", "org.br", "org.cn", "org.nz", "org.uk", "org.za",
+)
 
 
 def _lower(c: Column) -> Column:
@@ -49,10 +55,22 @@ def rule_of(host: Column, path: Column, rules: list[tuple[str, str, str]] = RULE
     return text, verdict
 
 
-def _levels(host: Column) -> list[Column]:
-    labels = F.split(host, r"\.")
-    domain = F.array_join(F.slice(labels, F.greatest(F.size(labels) - 1, F.lit(1)), 2), ".")
-    return [host, domain, F.element_at(labels, -1)]
+def _levels(host: Column, two_labels: tuple[str, ...] = TWO_LABELS) -> list[Column]:
+    """Host, registered domain and suffix; user and port belong to neither of the last two.
+
+    The suffix is the last label, or the last two where ``two_labels`` lists
+    them; the domain has one label more. Numeric addresses are their own domain
+    and suffix.
+    """
+    site = F.regexp_replace(F.regexp_replace(host, "^.*@", ""), ":[0-9]*$", "")
+    labels = F.split(site, r"\.")
+
+    def last(n: Column) -> Column:
+        return F.array_join(F.slice(labels, F.greatest(F.size(labels) - n + 1, F.lit(1)), n), ".")
+
+    wide = F.when((F.size(labels) > 1) & last(F.lit(2)).isin(*two_labels), F.lit(2)).otherwise(F.lit(1))
+    number = site.rlike("^[0-9.]+$")
+    return [host, F.when(number, site).otherwise(last(wide + 1)), F.when(number, site).otherwise(last(wide))]
 
 
 def _strength() -> Column:

@@ -389,6 +389,31 @@ def test_reputation_shrinks(spark):
     assert r["c.y.net"].posterior < 1 and r["new.x.net"].bound < 0.5 and set(r) == {"a.x.net", "b.x.net", "c.y.net", "new.x.net", "new.z.com", ""}
 
 
+def test_registered_domains(spark):
+    hosts = {
+        "news.bbc.co.uk": ("bbc.co.uk", "co.uk"), "bbc.co.uk": ("bbc.co.uk", "co.uk"), "co.uk": ("co.uk", "co.uk"), "uk": ("uk", "uk"), "a.b.example.com": ("example.com", "com"),
+        "example.com:8080": ("example.com", "com"), "me:pw@shop.example.com:1": ("example.com", "com"), "10.0.0.1:80": ("10.0.0.1", "10.0.0.1"), "": ("", ""), "localhost": ("localhost", "localhost"), "x.org.au:": ("x.org.au", "org.au"),
+    }
+    df = spark.createDataFrame([(h,) for h in hosts], "host string")
+    assert {tuple(r) for r in df.select(*UR._levels(F.col("host"))).collect()} == {(h, d, s) for h, (d, s) in hosts.items()}
+
+
+def test_url_oracle_on_odd_hosts(spark, tmp_path):
+    """Ports, users, addresses and two-label suffixes: the query equals its SQL."""
+    rng = np.random.default_rng(3)
+    names = ["a.co.uk", "news.b.co.uk", "b.co.uk:81", "x@b.co.uk", "10.0.0.1", "10.0.0.1:80", "c.com", "d.c.com:8080", "e.net", "f.e.net", "", "g.org.au"]
+    rows = [(i, f"http://{names[int(rng.integers(0, len(names)))]}/en/{i}") for i in range(600)]
+    labels = [(i, int(rng.random() < 0.9), 0) for i in range(600)]
+    spark.createDataFrame(rows, "page_id long, url string").write.parquet(f"{tmp_path}/pages.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    con = duckdb.connect()
+    for t in ("pages", "labels"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{tmp_path}/{t}.parquet/*.parquet')")
+    want = con.execute(LLM_ORACLE["op8_url_reputation"]).df()
+    got = LLM_QUERIES["op8_url_reputation"](spark, str(tmp_path)).toPandas()
+    pd.testing.assert_frame_equal(got.sort_values("page_id").reset_index(drop=True).fillna(""), want[got.columns].sort_values("page_id").reset_index(drop=True).fillna(""), check_dtype=False)
+
+
 @pytest.mark.parametrize("d", [SF_SMALL, SF_MID])
 def test_url_oracle(spark, d):
     con = duckdb.connect()
