@@ -26,7 +26,7 @@ from strata.operators import setops as SO
 from strata.operators import stats as ST
 from strata.operators import window as W
 from strata.plans import frames as FR
-from strata.schema import Roles, numeric_columns
+from strata.schema import Roles, non_numeric_columns, numeric_columns
 from strata.session import checkpoint_dir
 from strata.sources.checked import read_csv_checked
 from strata.sources.export import export_committed, read_export
@@ -253,6 +253,16 @@ def type_split(spark: SparkSession, d: str) -> DataFrame:
     return part.select("p_partkey", *num)
 
 
+@query
+def type_split_text(spark: SparkSession, d: str) -> DataFrame:
+    """O-9: the non-numeric side of the same split: values and distinct values of each column."""
+    li = read_table(spark, d, "lineitem")
+    texts = non_numeric_columns(li)
+    wide = li.agg(*[f(F.col(c)).alias(f"{c}_{k}") for c in texts for k, f in (("n", F.count), ("d", F.count_distinct))])
+    rows = [F.struct(F.lit(c).alias("variable"), F.col(f"{c}_n").alias("n"), F.col(f"{c}_d").alias("values")) for c in texts]
+    return wide.select(F.inline(F.array(*rows)))
+
+
 @query
 def outlier_labels(spark: SparkSession, d: str) -> DataFrame:
     """O-15: label a nation only where its mean balance is above a threshold."""
@@ -774,6 +784,12 @@ def root_gains(spark: SparkSession, d: str) -> DataFrame:
     return _round(FO.root_gains(_binned(spark, d)))
 
 
+@query
+def feature_ranking(spark: SparkSession, d: str) -> DataFrame:
+    """O-49/O-72/O-21: source columns by the gain of their best cut, cumulative share, the first three selected."""
+    return _round(FO.rank_features(_binned(spark, d), 3))
+
+
 @query
 def forest_bags(spark: SparkSession, d: str) -> DataFrame:
     """O-65/O-71: rows inside and outside the bag of each of the forest's 100 trees."""
@@ -815,6 +831,31 @@ def two_period_score(spark: SparkSession, d: str) -> DataFrame:
     return _round(ML.score(model, late, ML_SPEC, FR.LKEY, "Logistic"))
 
 
+@query
+def two_period_checks(spark: SparkSession, d: str) -> DataFrame:
+    """O-77/O-67: what holds for a model fitted on the whole early period, by period.
+
+    Every row of both periods is scored, probabilities sum to 1 and decide the
+    prediction; on the rows it was fitted on, the mean probability is the share
+    of positives.
+    """
+    cols = [*FR.LKEY, *[c for c in ML_SPEC.columns if c not in FR.LKEY]]
+    early = ML.materialize(FR.lineitem_period(spark, d, "early").select(*cols, _costly()), FR.LKEY)
+    late = FR.lineitem_period(spark, d, "late").select(*cols, _costly())
+    model = ML.fit(ML.estimators()["Logistic"], early, ML_SPEC)
+    s = SO.union_all(
+        [ML.score(model, rows, ML_SPEC, FR.LKEY, "Logistic").withColumn("period", F.lit(name)) for name, rows in (("early", early), ("late", late))]
+    )
+    p0, p1 = F.col("probability_0"), F.col("probability_1")
+    found = s.groupBy("period").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.sum("y").cast("long").alias("positives"),
+        F.count_if((F.abs(p0 + p1 - 1.0) > 1e-9) | (F.col("prediction") != (p1 > 0.5).cast("double"))).alias("bad"),
+        F.avg("probability_1").alias("share"),
+    )
+    return _round(found.withColumn("share", F.when(F.col("period") == "early", F.col("share"))))
+
+
 @query
 def predicted_class_profile(spark: SparkSession, d: str) -> DataFrame:
     """O-77 -> O-84/O-85 end to end: fit on the early period, score the late

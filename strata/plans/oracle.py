@@ -529,7 +529,7 @@ ORACLE["feature_cuts"] = _MODEL_ROWS + f""", quantiles AS ({" UNION ALL ".join(
 )})
 SELECT DISTINCT feature, CAST(cut AS DOUBLE) AS cut FROM quantiles WHERE cut > least"""
 
-ORACLE["root_gains"] = _MODEL_ROWS + f""", quantiles AS ({" UNION ALL ".join(
+_GAINS = _MODEL_ROWS + f""", quantiles AS ({" UNION ALL ".join(
     f"SELECT '{c}' AS feature, UNNEST(quantile_disc({c}, [{_SHARES}])) AS cut, min({c}) AS least FROM rows" for c in _FEATURES
 )}),
 cuts AS (SELECT feature, list(DISTINCT cut) AS cuts FROM quantiles WHERE cut > least GROUP BY feature),
@@ -544,10 +544,32 @@ summed AS (
   FROM counted WINDOW w AS (PARTITION BY feature ORDER BY bin ROWS UNBOUNDED PRECEDING)),
 gains AS (
   SELECT *, 2.0 * (s_left::DOUBLE * s_left / n_left + (s - s_left)::DOUBLE * (s - s_left) / (n - n_left) - s::DOUBLE * s / n) AS gain
-  FROM summed WHERE n_left < n)
+  FROM summed WHERE n_left < n)"""
+
+ORACLE["root_gains"] = _GAINS + f"""
 SELECT feature, CAST(bin AS INTEGER) AS bin, {r('gain')} AS gain, n, s, n_left, s_left
 FROM gains WHERE gain > 1e-9 * n QUALIFY row_number() OVER (PARTITION BY feature ORDER BY gain DESC, bin) = 1"""
 
+ORACLE["feature_ranking"] = _GAINS + f""",
+best AS (SELECT split_part(feature, '=', 1) AS feature, MAX(gain) AS gain FROM gains WHERE gain > 1e-9 * n GROUP BY 1),
+shares AS (SELECT feature, CAST(row_number() OVER (ORDER BY gain DESC, feature) AS INTEGER) AS rank, gain / SUM(gain) OVER () AS importance FROM best)
+SELECT rank, feature, {r('importance')} AS importance, {r('SUM(importance) OVER (ORDER BY rank ROWS UNBOUNDED PRECEDING)')} AS cumulative,
+       CAST(rank <= 3 AS INTEGER) AS selected FROM shares"""
+
+ORACLE["two_period_checks"] = """
+WITH rows AS (
+  SELECT CASE WHEN l_shipdate < TIMESTAMP '1998-07-01' THEN 'early' ELSE 'late' END AS period,
+         CASE WHEN l_extendedprice * (1.0::DOUBLE - l_discount) * (1.0::DOUBLE + l_tax)
+                   > CASE WHEN l_returnflag = 'R' THEN 30000.0::DOUBLE ELSE 60000.0::DOUBLE END THEN 1 ELSE 0 END AS y
+  FROM lineitem WHERE l_shipdate IS NOT NULL)
+SELECT period, COUNT(*) AS n, CAST(SUM(y) AS BIGINT) AS positives, CAST(0 AS BIGINT) AS bad,
+       CASE WHEN period = 'early' THEN ROUND(AVG(y), 4) + 0.0 END AS share
+FROM rows GROUP BY period"""
+
+ORACLE["type_split_text"] = "\nUNION ALL\n".join(
+    f"SELECT '{c}' AS variable, COUNT({c}) AS n, COUNT(DISTINCT {c}) AS values FROM lineitem" for c in ("l_returnflag", "l_linestatus", "l_shipdate")
+)
+
 ORACLE["forest_bags"] = f"""
 WITH hashed AS (SELECT {_key_hash_sql()} AS h FROM lineitem),
 trees(tree, a, c) AS (VALUES {", ".join(f"({t}, {pow(48271, t + 1, _MODULUS)}, {pow(16807, t + 1, _MODULUS)})" for t in range(100))}),
