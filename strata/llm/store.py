@@ -1,38 +1,18 @@
-"""Tables in the cluster's shared folder, and code shipped to the executors."""
+"""Tables in the cluster's shared folder."""
 
 from __future__ import annotations
 
 import math
-import os
-import tempfile
 import uuid
-import zipfile
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strata.session import checkpoint_dir
+from strata.session import checkpoint_dir, ship  # noqa: F401 - operators take ship from here
 
 # Rows (of 8-byte keys) up to which a key list is broadcast: 2M x 8 B = 16 MB.
 BROADCAST_KEYS = 2_000_000
 
-_shipped: set[str] = set()
-
-
-def ship(spark: SparkSession) -> None:
-    """Send this package's source to the executors once per application."""
-    sc = spark.sparkContext
-    if sc.applicationId in _shipped:
-        return
-    root = Path(__file__).resolve().parents[1]
-    target = os.path.join(tempfile.mkdtemp(prefix="strata-src-"), f"{root.name}.zip")
-    with zipfile.ZipFile(target, "w") as z:
-        for p in sorted(root.rglob("*.py")):
-            z.write(p, p.relative_to(root.parent))
-    sc.addPyFile(target)
-    _shipped.add(sc.applicationId)
-
 
 def shared_path(spark: SparkSession, name: str) -> str:
     """A new path below the folder that the cluster names in spark.checkpoint.dir."""
