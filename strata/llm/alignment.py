@@ -25,6 +25,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strata.llm import caches
 from strata.llm.store import materialize, ship
 
 # Chunks a worker remembers; it starts anew beyond them. Longer chunks are not kept.
@@ -221,10 +222,19 @@ class Aligner:
 _aligners: dict[tuple[str, str], Aligner] = {}
 
 
+def _forget() -> None:
+    for a in _aligners.values():
+        a.forget()
+
+
+caches.remembers("alignment", _forget)
+
+
 def _index(a_path: str, b_path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
+        caches.enter("alignment")
         if (a_path, b_path) not in _aligners:
             _aligners[a_path, b_path] = Aligner(a_path, b_path)
         aligner = _aligners[a_path, b_path]

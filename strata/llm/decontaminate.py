@@ -40,6 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strata.llm import caches
 from strata.llm import text as T
 from strata.llm.store import materialize, ship, unused
 from strata.llm.text import SHINGLE_WORDS, shingle_sequence, word_hashes
@@ -64,6 +65,9 @@ def _bare(word: bytes) -> bytes:
     return s[inside[0] : inside[-1] + 1].encode() if inside else b""
 
 
+caches.remembers("decontaminate", _bare.cache_clear)
+
+
 def bare(word: bytes) -> bytes:
     """``word`` (A-Z lower-cased) without the marks at its edges; empty if it is marks only."""
     w = word.strip(_MARKS)
@@ -244,6 +248,7 @@ def _scan(items: list[tuple[int, str]], percent: int, statistics: Statistics | N
     index: list[Index] = []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        caches.enter("decontaminate")
         if not index:
             index.append(Index(items, percent, statistics))
         for batch in batches:

@@ -30,6 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strata.llm import caches
 from strata.llm.components import connected_components
 from strata.llm.store import keep_keys, materialize, ship
 from strata.llm.text import mix, shingle_set
@@ -69,6 +70,7 @@ def pack(low: np.ndarray) -> np.ndarray:
 
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    caches.enter("near_dedup")
     for batch in batches:
         for at in range(0, batch.num_rows, 2000):
             part = batch.slice(at, 2000)

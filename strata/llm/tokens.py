@@ -15,6 +15,8 @@ from itertools import filterfalse, pairwise
 
 import numpy as np
 
+from strata.llm import caches
+
 # Chunks kept in a worker's memo; the older half of the traffic is forgotten beyond it.
 MEMO_CHUNKS = 700_000
 # Longer chunks are encoded each time, so that the memo stays small.
@@ -128,8 +130,17 @@ class Encoder:
 _encoders: dict[str, Encoder] = {}
 
 
+def _forget() -> None:
+    for e in _encoders.values():
+        e.new, e.old = {}, {}
+
+
+caches.remembers("tokens", _forget)
+
+
 def encoder(path: str) -> Encoder:
     """The worker's encoder for this vocabulary file, kept between tasks."""
+    caches.enter("tokens")
     if path not in _encoders:
         _encoders[path] = Encoder(path)
     return _encoders[path]

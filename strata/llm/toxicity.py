@@ -23,6 +23,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strata.llm import caches
 from strata.llm.store import materialize, sample_keys, ship
 from strata.llm.text import mix, word_hashes
 
@@ -84,8 +85,10 @@ def train(examples: list[tuple[np.ndarray, int]], epochs: int = EPOCHS) -> tuple
 def _fit(pdf):
     import pandas as pd
 
+    caches.enter("toxicity")
     pdf = pdf.sort_values(["order", "doc_id"])
-    examples = [(np.unique(feature_indices(t.encode() if t else b"")), int(y)) for t, y in zip(pdf["text"], pdf["label"], strict=True)]
+    # Indices are below DIMENSIONS: half the memory of the whole sample.
+    examples = [(np.unique(feature_indices(t.encode() if t else b"")).astype(np.int32), int(y)) for t, y in zip(pdf["text"], pdf["label"], strict=True)]
     w, bias = train(examples)
     at = np.flatnonzero(w)
     return pd.DataFrame({"feature": np.r_[at, -1], "weight": np.r_[w[at], bias]})
@@ -124,6 +127,7 @@ def _arrays(model: list[tuple[int, float]]) -> tuple[np.ndarray, np.ndarray, flo
 
 def _score(at: np.ndarray, w: np.ndarray, bias: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        caches.enter("toxicity")
         dense = np.zeros(DIMENSIONS)
         dense[at] = w
         for batch in batches:
