@@ -20,13 +20,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strata.llm.store import materialize, ship
 
 K = 10
 QUERY_BLOCK, ROW_BLOCK = 512, 4096
+# Query blocks that a task joins its rows with at a time.
+PART_BLOCKS = 512
 # Queries whose heaps a task keeps; those longest unseen are emitted beyond it.
 HELD_QUERIES = 65_536
 BLOCK = "block long, dim int, ids binary, codes binary, scales binary, missed binary, vectors binary"
@@ -188,15 +190,22 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int = K, id_col: str = "vec_
     asked = materialize(asked.withColumn("name", F.monotonically_increasing_id()), "queries").select("dim", "name", *[F.col(c).alias(f"q{c}") for c in _PARTS])
     stored = materialize(rows.select(*of).filter(valid).mapInArrow(_blocks(ROW_BLOCK, 2**31, kind), BLOCK), "rows")
     groups = max(1, min(stored.count(), spread(rows)))
-    # Each query block goes to every group of row blocks: a group reads all queries once.
-    stored = stored.withColumn("group", F.pmod("block", F.lit(groups)))
-    asked = asked.withColumn("group", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))))
-    tiles = stored.join(asked, ["group", "dim"]).select("dim", "name", *_PARTS, *[f"q{c}" for c in _PARTS])
+    parts = max(1, -(-asked.count() // PART_BLOCKS))
+    # Each query block goes to every group of row blocks: a group reads all queries once, a part of
+    # them at a time. Both sides are shuffled: as many copies of the queries as there are groups are
+    # far beyond the file size that a broadcast is planned by, and would pass through the driver.
+    stored = stored.withColumn("group", F.pmod("block", F.lit(groups))).withColumn("part", F.explode(_numbers(parts)))
+    asked = asked.withColumn("part", F.pmod(F.xxhash64("name"), F.lit(parts))).withColumn("group", F.explode(_numbers(groups)))
+    tiles = stored.join(asked.hint("merge"), ["group", "part", "dim"]).select("dim", "name", *_PARTS, *[f"q{c}" for c in _PARTS])
     found = tiles.mapInArrow(_tiles(k, kind), "query_id long, vec_id long, score double")
     # Ranking keeps k rows of a query in each task before the exchange.
     order = Window.partitionBy("query_id").orderBy("score", "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
+def _numbers(n: int) -> Column:
+    return F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))
+
+
 def spread(rows: DataFrame) -> int:
     return int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))

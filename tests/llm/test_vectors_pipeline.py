@@ -119,3 +119,16 @@ def test_stages_on_odd_tables(spark):
         assert stage(spark, df.limit(0), SF_MID).collect() == []
     for _, stage in CP.STAGES[:-1]:
         assert set(stage(spark, df, SF_MID).columns) == set(df.columns)
+
+
+def test_copies_of_queries_are_not_broadcast(spark, monkeypatch):
+    """The queries' copies, one for each group of rows, are shuffled; all parts of them meet all rows."""
+    monkeypatch.setattr(VS, "QUERY_BLOCK", 8)
+    monkeypatch.setattr(VS, "ROW_BLOCK", 64)
+    monkeypatch.setattr(VS, "PART_BLOCKS", 2, raising=False)
+    rows = spark.read.parquet(f"{SF_MID}/embeddings.parquet")
+    found = VS.nearest(rows, rows.filter("vec_id % 10 = 0"))
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+    data = [(r.vec_id, r.embedding) for r in rows.collect()]
+    want = brute(data, {i for i, _ in data if i % 10 == 0}, 10)
+    assert sorted((r.query_id, r.rank, r.vec_id) for r in found.collect()) == sorted(x[:3] for x in want)
