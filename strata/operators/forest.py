@@ -21,11 +21,13 @@ node. A pass counts trees in lots whose counters fit ``COUNTER_BYTES``.
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.ml import Model
 from pyspark.ml.functions import array_to_vector
@@ -41,10 +43,13 @@ MODULUS, FIRST_ROOT, SECOND_ROOT = 2147483647, 48271, 16807
 BINS, DEPTH, TREES, SEED = 32, 5, 100, 123
 # Counters that a task holds while it counts one lot of trees.
 COUNTER_BYTES = 64 << 20
+# Rows that a task gathers before it looks for equal ones among them.
+CHUNK_ROWS = 1 << 16
 # Rows whose values are permuted among each other.
 PERMUTED_ROWS = 10_000
 
 
+@functools.cache
 def poisson_steps() -> list[int]:
     """Hash values from which a draw is at least 1, 2, ...: Poisson(1) over the modulus."""
     steps, total, k = [], 0.0, 0
@@ -64,7 +69,15 @@ def tree_multipliers(tree: int) -> tuple[int, int]:
 def bag_weights(h: np.ndarray, tree: int) -> np.ndarray:
     """How often the rows with key hashes ``h`` are in the tree's bag."""
     a, c = tree_multipliers(tree)
-    return np.searchsorted(np.array(poisson_steps()), (h * a + c) % MODULUS, side="right")
+    u = h * a + c
+    # The remainder by a power of two less one: its digits' sum, twice, for a sum may pass it once.
+    u = (u & MODULUS) + (u >> 31)
+    u = ((u & MODULUS) + (u >> 31)).astype(np.int32)
+    u[u == MODULUS] = 0
+    w = np.zeros(len(u), dtype=np.uint8)
+    for step in poisson_steps():
+        w += u >= step
+    return w
 
 
 def bags(rows: DataFrame, trees: int = TREES) -> DataFrame:
@@ -154,8 +167,10 @@ def bin_features(df: DataFrame, spec: FeatureSpec, keys: Sequence[str], bins: in
     ship(df.sparkSession)
     checkpoint_dir(df.sparkSession)
     binned = given.mapInArrow(_bin_rows(list(spec.numeric), pairs, cuts), schema)
-    # Dealt out evenly, by bytes: the rows are read once per level.
-    rows = binned.repartition("h").checkpoint(eager=True)
+    # Rows of equal bins and label stand together, so that trees are walked once for all of them; the
+    # hash deals the rows of a frequent cell to several partitions. They are read once per level.
+    order = [*names, "y", "h"]
+    rows = binned.checkpoint(eager=True).repartitionByRange(*order).sortWithinPartitions(*order).checkpoint(eager=True)
     source = [*spec.numeric, *(c for c, _ in pairs)]
     encoded = [*spec.numeric, *(f"{c}={v}" for c, v in pairs)]
     return Binned(rows, encoded, source, cuts, pairs)
@@ -206,6 +221,25 @@ def _matrix(batch: pa.RecordBatch | pa.Table, n: int) -> tuple[np.ndarray, np.nd
     return batch.column("h").to_numpy(), batch.column("y").to_numpy().astype(np.int64), x
 
 
+def _cells(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(key hashes of the rows, first row, label and bins of each run of equal rows), CHUNK_ROWS or more at a time."""
+    held: list[pa.RecordBatch] = []
+
+    def runs() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        h, y, x = _matrix(pa.Table.from_batches(held), n)
+        held.clear()
+        first = np.flatnonzero(np.r_[True, (y[1:] != y[:-1]) | (x[1:] != x[:-1]).any(axis=1)])
+        return h, first, y[first], x[first]
+
+    for batch in batches:
+        if batch.num_rows:
+            held.append(batch)
+        if sum(b.num_rows for b in held) >= CHUNK_ROWS:
+            yield runs()
+    if held:
+        yield runs()
+
+
 def _count_bins(trees: dict[int, Tree], open_: dict[int, list[int]], features: int, tried: int, width: int, bagged: bool, seed: int):
     """Weights and positive weights by (tree, node, feature, bin) of the open nodes."""
 
@@ -216,10 +250,10 @@ def _count_bins(trees: dict[int, Tree], open_: dict[int, list[int]], features: i
             place[t][nodes] = np.arange(len(nodes))
             asked[t] = np.array([candidates(t, node, features, tried, seed) for node in nodes])
             n[t], s[t] = (np.zeros(asked[t].size * width, dtype=np.int64) for _ in range(2))
-        for batch in batches:
-            h, y, x = _matrix(batch, features)
+        for h, first, y, x in _cells(batches, features):
+            size = np.diff(np.r_[first, len(h)])
             for t in open_:
-                w = bag_weights(h, t) if bagged else np.ones(len(h), dtype=np.int64)
+                w = np.add.reduceat(bag_weights(h, t), first, dtype=np.int64) if bagged else size
                 at = place[t][trees[t].route(x)]
                 use = np.flatnonzero((at >= 0) & (w > 0))
                 at, weight, label = at[use], w[use], y[use]
@@ -340,8 +374,8 @@ class ForestModel(Model):
     """A grown forest as the last stage of a pipeline model.
 
     Adds the mean share of the leaves as ``probability`` and the class it is
-    over a half for as ``prediction``. The trees are a constant of the
-    expression; nothing leaves the JVM.
+    over a half for as ``prediction``. Bins are found in the JVM; batches of
+    them go through the trees together.
     """
 
     def __init__(self, spec: FeatureSpec, cuts: dict[str, list[float]], levels: list[tuple[str, str]], source: list[str], trees: list[Tree]):
@@ -369,22 +403,21 @@ class ForestModel(Model):
 
     def share(self) -> Column:
         """Mean share of the leaves that a row falls into."""
-        bins = [F.expr(bin_sql(c, self.cuts[c])).cast("int") for c in self.spec.numeric]
-        marks = [F.coalesce((F.col(c).cast("string") == F.lit(v)).cast("int"), F.lit(0)) for c, v in self.levels]
-        x = F.array(*bins, *marks)
-        depth = len(self.trees[0].feature).bit_length() - 2
-        trees = F.array(*[F.struct(F.lit(t.feature.tolist()).alias("f"), F.lit(t.cut.tolist()).alias("c"), F.lit(t.value.tolist()).alias("v")) for t in self.trees])
+        bins = [F.expr(bin_sql(c, self.cuts[c])).cast("short") for c in self.spec.numeric]
+        marks = [F.coalesce((F.col(c).cast("string") == F.lit(v)).cast("short"), F.lit(0).cast("short")) for c, v in self.levels]
+        trees = self.trees
 
-        def leaf(t: Column) -> Column:
-            def down(node: Column, _: Column) -> Column:
-                f = F.get(t["f"], node)
-                return F.when(f < 0, node).otherwise(node * 2 + (F.get(x, f) > F.get(t["c"], node)).cast("int"))
+        def mean(*columns: pd.Series) -> pd.Series:
+            x = np.column_stack([c.to_numpy() for c in columns]).astype(np.int64)
+            total = np.zeros(len(x))
+            for tree in trees:
+                total += tree.value[tree.route(x)]
+            return pd.Series(total / len(trees))
 
-            return F.get(t["v"], F.aggregate(F.sequence(F.lit(1), F.lit(max(depth, 1))), F.lit(1), down) if depth else F.lit(1))
-
-        return F.aggregate(trees, F.lit(0.0), lambda sum_, t: sum_ + leaf(t)) / F.lit(float(len(self.trees)))
+        return F.pandas_udf(mean, "double")(*bins, *marks)
 
     def _transform(self, df: DataFrame) -> DataFrame:
+        ship(df.sparkSession)
         out = df.withColumn("_share", self.share())
         p = F.col("_share")
         pair = F.array(F.lit(1.0) - p, p)
@@ -414,23 +447,84 @@ def forest_model(binned: Binned, spec: FeatureSpec, trees: list[Tree]) -> Forest
 # ---------------------------------------------------------------- out of bag
 
 
-def _oob_counts(trees: list[Tree], grid: Sequence[int], features: int):
+@dataclass
+class Ballot:
+    """A tree's votes without walking it.
+
+    A bit stands for each place of the last level. ``masks[f][v]`` are the
+    places that a row with bin v of feature f can still reach; all features'
+    masks together leave the places below the row's leaf. ``voted`` are the
+    places that vote for class 1. Only features that the tree uses have masks.
+    """
+
+    masks: dict[int, np.ndarray]
+    voted: np.ndarray
+
+    @classmethod
+    def of(cls, tree: Tree, width: int) -> Ballot:
+        size = len(tree.feature) // 2
+        open_ = {int(f): np.ones((width, size), dtype=bool) for f in np.unique(tree.feature[tree.feature >= 0])}
+        voted = np.zeros(size, dtype=bool)
+
+        def walk(node: int, begin: int, end: int) -> None:
+            f, mid = int(tree.feature[node]), (begin + end) // 2
+            if f < 0:
+                voted[begin:end] = tree.value[node] > 0.5
+                return
+            cut = int(tree.cut[node]) + 1
+            open_[f][:cut, mid:end] = False
+            open_[f][cut:, begin:mid] = False
+            walk(2 * node, begin, mid)
+            walk(2 * node + 1, mid, end)
+
+        walk(1, 0, size)
+        return cls({f: cls._words(m) for f, m in open_.items()}, cls._words(voted[None, :])[0])
+
+    @staticmethod
+    def _words(bits: np.ndarray) -> np.ndarray:
+        filled = np.zeros((len(bits), -(-bits.shape[1] // 64) * 64), dtype=bool)
+        filled[:, : bits.shape[1]] = bits
+        return np.packbits(filled, axis=1, bitorder="little").view("<u8")
+
+    def reach(self, f: int, x: np.ndarray) -> np.ndarray:
+        return self.masks[f][x]
+
+    def count(self, reached: list[np.ndarray], rows: int) -> np.ndarray:
+        """Class of each row from its masks of the used features."""
+        if not reached:
+            return np.full(rows, bool(self.voted.any()))
+        left = functools.reduce(np.bitwise_and, reached) & self.voted
+        return left[:, 0] != 0 if left.shape[1] == 1 else (left != 0).any(axis=1)
+
+    def votes(self, x: np.ndarray) -> np.ndarray:
+        return self.count([self.reach(f, x[:, f]) for f in self.masks], len(x))
+
+
+def _oob_counts(trees: list[Tree], grid: Sequence[int], features: int, width: int):
+    ballots = [Ballot.of(tree, width) for tree in trees[: max(grid, default=0)]]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n, wrong = np.zeros((len(grid), 2), dtype=np.int64), np.zeros((len(grid), 2), dtype=np.int64)
-        for batch in batches:
-            h, y, x = _matrix(batch, features)
-            votes = np.zeros((len(h), 2), dtype=np.int64)
-            for t, tree in enumerate(trees):
-                out = np.flatnonzero(bag_weights(h, t) == 0)
-                votes[out, tree.votes(x[out])] += 1
+        seen = False
+        for h, first, label, x in _cells(batches, features):
+            seen = True
+            size = np.diff(np.r_[first, len(h)])
+            y = np.repeat(label, size)
+            votes, margin = (np.zeros(len(h), dtype=np.int32) for _ in range(2))
+            for t, ballot in enumerate(ballots):
+                out = bag_weights(h, t) == 0
+                for_one = np.repeat(ballot.votes(x), size)
+                votes += out
+                margin += np.where(for_one, out, -out.astype(np.int8))
                 if t + 1 in grid:
                     k = grid.index(t + 1)
-                    voted = votes.sum(axis=1) > 0
+                    voted = votes > 0
                     n[k] += np.bincount(y[voted], minlength=2)[:2]
-                    missed = voted & ((votes[:, 1] > votes[:, 0]) != (y == 1))
+                    missed = voted & ((margin > 0) != (y == 1))
                     wrong[k] += np.bincount(y[missed], minlength=2)[:2]
-        columns = [pa.array(c, pa.int64()) for c in (grid, n[:, 0], n[:, 1], wrong[:, 0], wrong[:, 1])]
-        yield pa.RecordBatch.from_arrays(columns, names=["trees", "n_0", "n_1", "wrong_0", "wrong_1"])
+        if seen:  # a task without rows says nothing
+            columns = [pa.array(c, pa.int64()) for c in (grid, n[:, 0], n[:, 1], wrong[:, 0], wrong[:, 1])]
+            yield pa.RecordBatch.from_arrays(columns, names=["trees", "n_0", "n_1", "wrong_0", "wrong_1"])
 
     return run
 
@@ -443,7 +537,7 @@ def oob_error_curve(binned: Binned, trees: list[Tree], grid: Sequence[int] = (1,
     class 0. The two classes' own errors stand beside the overall one.
     """
     grid = sorted({k for k in grid if k <= len(trees)})
-    counted = binned.rows.mapInArrow(_oob_counts(trees, grid, len(binned.encoded)), "trees long, n_0 long, n_1 long, wrong_0 long, wrong_1 long")
+    counted = binned.rows.mapInArrow(_oob_counts(trees, grid, len(binned.encoded), binned.width), "trees long, n_0 long, n_1 long, wrong_0 long, wrong_1 long")
     s = counted.groupBy("trees").agg(*[F.sum(c).alias(c) for c in ("n_0", "n_1", "wrong_0", "wrong_1")])
     return s.select(
         F.col("trees").cast("int").alias("trees"),
@@ -454,24 +548,27 @@ def oob_error_curve(binned: Binned, trees: list[Tree], grid: Sequence[int] = (1,
     )
 
 
-def _permuted_hits(trees: list[Tree], columns: dict[str, list[int]], features: int, seed: int):
+def _permuted_hits(trees: list[Tree], columns: dict[str, list[int]], features: int, width: int, seed: int):
+    ballots = [Ballot.of(tree, width) for tree in trees]
+
     def run(key: tuple[pa.Scalar], rows: pa.Table) -> pa.Table:
         # The order follows from the rows; equal rows may stand either way.
         rows = rows.drop_columns("bucket")
         rows = rows.sort_by([(c, "ascending") for c in rows.column_names])
         h, y, x = _matrix(rows, features)
+        positive = y == 1
         out: list[tuple[int, str, int, int]] = []
-        for t, tree in enumerate(trees):
+        for t, ballot in enumerate(ballots):
             own = np.flatnonzero(bag_weights(h, t) == 0)
-            right = int((tree.votes(x[own]) == y[own]).sum())
-            used = set(tree.feature[tree.feature >= 0].tolist())
+            reached = {f: ballot.reach(f, x[own, f]) for f in ballot.masks}
+            label = positive[own]
+            right = int((ballot.count(list(reached.values()), len(own)) == label).sum())
             for i, (name, at) in enumerate(columns.items()):
                 hits = right
-                if used & set(at):
-                    mixed = x[own].copy()
+                if reached.keys() & set(at):
                     order = np.random.default_rng([seed, key[0].as_py(), t, i]).permutation(len(own))
-                    mixed[:, at] = mixed[order][:, at]
-                    hits = int((tree.votes(mixed) == y[own]).sum())
+                    mixed = [m[order] if f in at else m for f, m in reached.items()]
+                    hits = int((ballot.count(mixed, len(own)) == label).sum())
                 out.append((t, name, len(own), right - hits))
         return pa.table(dict(zip(("tree", "feature", "n", "lost"), map(list, zip(*out, strict=True)), strict=True)))
 
@@ -496,7 +593,7 @@ def oob_importance(binned: Binned, trees: list[Tree], seed: int = SEED) -> DataF
     for i, c in enumerate(binned.source):
         columns.setdefault(c, []).append(i)
     dealt = binned.rows.withColumn("bucket", F.pmod("h", F.lit(buckets)))
-    permuted = _permuted_hits(trees, columns, len(binned.encoded), seed)
+    permuted = _permuted_hits(trees, columns, len(binned.encoded), binned.width, seed)
     hits = dealt.groupBy("bucket").applyInArrow(permuted, "tree long, feature string, n long, lost long")
     per_tree = hits.groupBy("feature", "tree").agg(F.try_divide(F.sum("lost"), F.sum("n")).alias("d"))
     mean, square = F.avg("d"), F.avg(F.col("d") * F.col("d"))

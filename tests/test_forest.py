@@ -232,3 +232,63 @@ def test_bin_sql_counts_cut_points(spark):
     df = spark.createDataFrame([(v,) for v in values], "v double")
     got = [r[0] for r in df.selectExpr(bin_sql("v", cuts)).collect()]
     assert got == [float(len(cuts) + 1) if v is None or math.isnan(v) else float(sum(c <= v for c in cuts)) for v in values]
+
+
+def test_equal_rows_walk_a_tree_once(monkeypatch):
+    """Rows of the same bins and label are one row to a tree; each keeps its own draw."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(2)
+    kinds = rng.integers(0, 6, (9, 3))
+    x = np.repeat(kinds, 200, axis=0)
+    h, y = rng.integers(0, FO.MODULUS, len(x)), np.repeat(rng.integers(0, 2, 9), 200)
+    batch = pa.RecordBatch.from_arrays([pa.array(h), pa.array(y), *(pa.array(x[:, i]) for i in range(3))], names=["h", "y", "x0", "x1", "x2"])
+    walked = []
+    route = FO.Tree.route
+    monkeypatch.setattr(FO.Tree, "route", lambda tree, rows: walked.append(len(rows)) or route(tree, rows))
+    trees = {t: FO.Tree.empty(2) for t in range(4)}
+    got = {}
+    for out in FO._count_bins(trees, {t: [1] for t in trees}, 3, 3, 8, True, 7)(iter([batch])):
+        for r in out.to_pylist():
+            got[r["tree"], r["feature"], r["bin"]] = (r["n"], r["s"])
+    for t in trees:
+        w = FO.bag_weights(h, t).astype(int)
+        for f in range(3):
+            for b in np.unique(x[:, f]):
+                at = x[:, f] == b
+                assert got.get((t, f, b), (0, 0)) == (w[at].sum(), (w * y)[at].sum())
+    assert max(walked) <= 9
+
+
+def test_ballots_vote_as_the_trees_do():
+    rng = np.random.default_rng(3)
+    for depth in (0, 1, 3, 5, 7):
+        tree = FO.Tree.empty(depth)
+        tree.value[:] = rng.random(len(tree.value))
+        tree.feature[1 : 1 << depth] = rng.integers(-1, 4, (1 << depth) - 1)
+        for node in range(2, 1 << depth):
+            tree.feature[node] = tree.feature[node] if tree.feature[node // 2] >= 0 else -1
+        tree.cut[:] = rng.integers(0, 9, len(tree.cut))
+        x = rng.integers(0, 10, (500, 4))
+        assert FO.Ballot.of(tree, 10).votes(x).tolist() == (tree.votes(x) == 1).tolist()
+
+
+def test_trees_are_fitted_on_weighted_combinations(spark, table):
+    """As many rows as bins, levels and labels combine, however often the rows are repeated; the same trees."""
+    from strata.operators import ml as ML
+
+    whole = table.filter("y is not null").dropna()
+    many = whole.crossJoin(spark.range(7)).drop("id")
+    sizes, scores = [], []
+    for df in (whole, many):
+        cuts = FO.quantile_cuts(df, SPEC.numeric, 6)
+        labelled = ML.with_label(df, SPEC)
+        encoding = ML.Pipeline(stages=ML.feature_stages(SPEC, cuts)).fit(labelled)
+        cells = ML.binned_cells(labelled, encoding, SPEC, cuts).cache()
+        sizes.append((cells.count(), cells.agg(F.sum("weight")).first()[0]))
+        tree = ML.estimators()["Decision Tree"]
+        alone = tree.fit(encoding.transform(labelled).select("binned", "label"))
+        both = [m.toDebugString.split("\n")[1:] for m in (alone, tree.copy({tree.weightCol: "weight"}).fit(cells))]
+        assert both[0] == both[1] and len(both[0]) > 5
+    n = whole.count()
+    assert sizes == [(sizes[0][0], n), (sizes[0][0], 7 * n)] and sizes[0][0] < n
