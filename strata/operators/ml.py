@@ -21,6 +21,7 @@ scan, join and encoding.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
@@ -210,6 +211,26 @@ def side_by_side(tasks: dict[str, Callable], limit: int = MAX_FITS) -> dict:
         return {name: f.result() for name, f in started.items()}
 
 
+# Partitions of the binned rows that trees are grown on; a fit may depend on it in the last digits.
+CELL_PARTITIONS = 16
+
+
+def binned_cells(labelled: DataFrame, encoding: PipelineModel, spec: FeatureSpec, cuts: dict[str, list[float]]) -> DataFrame:
+    """(binned, label, weight): a row per combination of bins, levels and label, weighing as many rows as it stands for.
+
+    Trees tell rows apart by nothing else, so they grow the same; there are at
+    most as many combinations as bins and levels allow, however many rows.
+    """
+    bins = [F.expr(bin_sql(c, cuts[c])).alias(f"{c}__bin") for c in spec.numeric]
+    counted = labelled.groupBy(*bins, *spec.categorical, "label").agg(F.count(F.lit(1)).cast("double").alias("weight"))
+    # The order of the rows is that of the sums in the fits.
+    cells = materialize(counted, partitions=CELL_PARTITIONS)
+    for stage in encoding.stages[:-1]:
+        if not isinstance(stage, SQLTransformer):
+            cells = stage.transform(cells)
+    return cells.select("binned", "label", "weight").checkpoint(eager=True)
+
+
 def _fit_with_features(estimators_by_name: dict, train: DataFrame, spec: FeatureSpec) -> dict:
     """Fit the encoding once, checkpoint the assembled vectors for the fits, and
     return one ``PipelineModel`` per estimator."""
@@ -222,10 +243,19 @@ def _fit_with_features(estimators_by_name: dict, train: DataFrame, spec: Feature
     cuts = FO.quantile_cuts(train, spec.numeric, BINS) if forests or "binned" in uses else None
     encoding = Pipeline(stages=feature_stages(spec, cuts)).fit(labelled)
     tasks: dict[str, Callable] = {}
-    if others:
+    values = {n: e for n, e in others.items() if e.getFeaturesCol() == "features"}
+    if values:
         checkpoint_dir(train.sparkSession)
-        assembled = encoding.transform(labelled).select(*sorted(uses), "label").checkpoint(eager=True)
-        tasks |= {name: (lambda est=est: est.fit(assembled)) for name, est in others.items()}
+        assembled = encoding.transform(labelled).select("features", "label").checkpoint(eager=True)
+        tasks |= {name: (lambda est=est: est.fit(assembled)) for name, est in values.items()}
+    if others.keys() - values.keys():
+        cells = binned_cells(labelled, encoding, spec, cuts)
+        # Spark chooses candidate cuts from maxBins ** 2 rows; with this many, no bin is overlooked.
+        bins = max(BINS + 1, math.isqrt(cells.count()) + 1)
+        for name in others.keys() - values.keys():
+            est = others[name]
+            tree = est.copy({est.maxBins: max(bins, est.getMaxBins()), est.weightCol: "weight"})
+            tasks[name] = lambda tree=tree: tree.fit(cells)
     if forests:
         # A row's bags follow from all its values.
         binned = FO.bin_features(train, spec, sorted(train.columns), BINS, cuts)
