@@ -4,9 +4,10 @@ Base spans follow fixed patterns and checks and always stay. Generators with
 high recall propose more, overlapping, spans: loosely written addresses,
 numbers without their usual prefix or with other separators. Boosted trees
 score each proposal by its format and its context. They learn from the base
-spans of a bounded sample of documents: a proposal that is a base span of its
+spans of all documents: a proposal that is a base span of its
 kind is a positive (once as written, once in a looser form), one whose checks
-fail is a negative. On the other half of the sample a threshold per kind is
+fail is a negative. Equal examples are one, weighing as many as they are. On
+the half of them that the trees did not see a threshold per kind is
 set to the least score at which PRECISION of the proposals are right. Spans
 over it are added unless they touch a span already taken.
 """
@@ -14,6 +15,7 @@ over it are added unless they touch a span already taken.
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 from bisect import bisect_left
 from collections.abc import Iterator
@@ -26,7 +28,9 @@ from pyspark.sql import functions as F
 from strata.llm.store import materialize, sample_keys, ship
 
 KINDS = ("email", "ip", "card", "phone")
-SAMPLE_DOCS, TREES, DEPTH, PRECISION = 4000, 8, 3, 0.98
+TREES, DEPTH, PRECISION = 8, 3, 0.98
+# Partitions of the counted examples; the order of their sums is the same for any input's.
+EXAMPLE_PARTITIONS = 16
 # Characters before a span that its features see.
 CONTEXT = 30
 MIN_EXAMPLES = 20  # of each class, else only base spans are reported
@@ -227,40 +231,55 @@ def _flatten(node, out: list[tuple]) -> int:
     return at
 
 
-def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Trees | None:
-    """Trees and thresholds from at most ``sample_docs`` documents that hold a digit or ``@``.
+def _rated(model: Trees):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            scores = [model.score(x) for x in batch.column("x").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("kind"), batch.column("label"), batch.column("n"), pa.array(scores, pa.float64())], names=["kind", "label", "n", "score"])
+
+    return run
+
+
+def fit(docs: DataFrame, sample_docs: int | None = None) -> Trees | None:
+    """Trees and thresholds from all documents that hold a digit or ``@``, or from at most ``sample_docs``, if given.
 
-    Ids are chosen first, the least by a hash; only the chosen texts move. None if the sample has fewer than
-    MIN_EXAMPLES positives or negatives: then only base spans are found.
+    Of a sample, ids are chosen first, the least by a hash, and only the chosen texts move. None if there are fewer
+    than MIN_EXAMPLES positives or negatives: then only base spans are found.
     """
     from pyspark.ml.classification import GBTClassifier
     from pyspark.ml.functions import array_to_vector
 
-    chosen = sample_keys(docs.filter(F.col("text").rlike("[0-9@]")), "doc_id", sample_docs, "pii")
-    # At most ``sample_docs`` rows of two numbers; of texts under one id the least is taken.
-    texts = docs.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "order").agg(F.min("text").alias("text"))
-    found = materialize(texts, "sample").repartition(4, "order").mapInArrow(lambda it: _examples(b.select(["order", "text"]) for b in it), "kind int, label double, x array<double>")
-    found = materialize(found.withColumn("fold", F.pmod(F.xxhash64("x"), F.lit(2))), "examples")
-    counts = {r.label: r["count"] for r in found.filter("fold = 0").groupBy("label").count().collect()}
-    if min(counts.get(0.0, 0), counts.get(1.0, 0)) < MIN_EXAMPLES:
+    texts = docs.select("doc_id", "text").filter(F.col("text").rlike("[0-9@]"))
+    if sample_docs is not None:
+        chosen = sample_keys(texts, "doc_id", sample_docs, "pii").select("doc_id")
+        # At most ``sample_docs`` rows of a number; of texts under one id the least is taken.
+        texts = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"))
+    found = texts.mapInArrow(_examples, "kind int, label double, x array<double>")
+    counted = found.groupBy("kind", "label", "x").agg(F.count(F.lit(1)).cast("double").alias("n"))
+    counted = counted.repartition(EXAMPLE_PARTITIONS, "x").sortWithinPartitions("kind", "label", "x")
+    examples = materialize(counted.withColumn("fold", F.pmod(F.xxhash64("x"), F.lit(2))), "examples")
+    classes = {r.label: r for r in examples.filter("fold = 0").groupBy("label").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("rows")).collect()}
+    if min(classes[label].n if label in classes else 0 for label in (0.0, 1.0)) < MIN_EXAMPLES:
         return None
-    ready = found.withColumn("features", array_to_vector("x"))
-    model = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, maxBins=32, seed=7).fit(ready.filter("fold = 0").select("features", "label"))
+    # Spark chooses candidate cuts from maxBins ** 2 rows: with this many, from all of them.
+    bins = max(32, math.isqrt(sum(r.rows for r in classes.values())) + 1)
+    ready = examples.filter("fold = 0").select(array_to_vector("x").alias("features"), "label", "n")
+    model = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, maxBins=bins, seed=7, weightCol="n").fit(ready)
     trees = []
     for tree in model.trees:
         out: list[tuple] = []
         _flatten(tree._call_java("rootNode"), out)
         trees.append(out)
-    scored = Trees(trees, list(model.treeWeights), {})
-    held = found.filter("fold = 1").select("kind", "label", "x").collect()  # from sample_docs documents
+    scored = Trees(trees, list(model.treeWeights), dict.fromkeys(range(len(KINDS)), 2.0))  # above every score: nothing is added
+    held = examples.filter("fold = 1").select("kind", "label", "n", "x").mapInArrow(_rated(scored), "kind int, label double, n double, score double")
+    # A row per kind and score; scores are sums of one leaf per tree.
+    marked = held.groupBy("kind", "score").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("label")).alias("right")).filter("score >= 0.5").collect()
     for kind in range(len(KINDS)):
-        marked = sorted(((scored.score(r.x), r.label) for r in held if r.kind == kind), reverse=True)
-        right, best = 0.0, 2.0  # above every score: nothing is added
-        for k, (p, label) in enumerate(marked, 1):
-            right += label
-            if right >= PRECISION * k and p >= 0.5:
-                best = p
-        scored.thresholds[kind] = best
+        n = right = 0.0
+        for r in sorted((r for r in marked if r.kind == kind), key=lambda r: -r.score):
+            n, right = n + r.n, right + r.right
+            if right >= PRECISION * n:
+                scored.thresholds[kind] = r.score
     return scored
 
 
@@ -313,7 +332,7 @@ def _find(model: Trees | None):
     return run
 
 
-def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_docs: int = SAMPLE_DOCS) -> DataFrame:
+def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_docs: int | None = None) -> DataFrame:
     """One row per input row: counts and digest of base spans, and all spans.
 
     Positions count code points, ends are exclusive; null texts are empty.

@@ -509,3 +509,15 @@ def test_count_depends_on_line_length(spark):
     rows = [(i, "\n".join([_words_of(rng, 20), "Read more" if i < 200 else _words_of(rng, 2), "", str(i), *([passage] if i in (5, 50, 250) else [])])) for i in range(300)]
     got = {(r.doc_id, r.at) for r in LT.recurring_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {(i, 1) for i in range(1, 200)} | {(50, 4), (250, 4)}
+
+
+def test_personal_data_is_learned_from_all_documents(spark, monkeypatch):
+    """No choice of documents comes before the examples: other ids, the same trees and thresholds."""
+    rng = np.random.default_rng(4)
+    texts = []
+    for i in range(400):
+        n = "".join(rng.choice(list("0123456789"), 10))
+        texts.append(f"call me +1 ({n[:3]}) {n[3:6]}-{n[6:]} from {n[0]}{n[1]}.{n[2]}{n[3]}.7.9 mail joe{i}@mail.example.com order {n}{n[:4]}")
+    monkeypatch.setattr(pii, "sample_keys", None)
+    models = [pii.fit(spark.createDataFrame([(i * k, t) for i, t in enumerate(texts, 1)], "doc_id long, text string")) for k in (1, 1009)]
+    assert models[0].trees == models[1].trees and models[0].thresholds == models[1].thresholds
