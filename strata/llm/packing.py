@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strata.llm.store import materialize, ship
+from strata.llm.store import materialize, ship, text_batches
 from strata.llm.tokens import default_path, encoder
 
 CAPACITY, END_ID = 1024, 2
@@ -263,7 +263,8 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, end_id: int = END_ID, tokeni
     """
     ship(docs.sparkSession)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    pieces = materialize(docs.mapInArrow(_cut(tokenizer or default_path(), capacity, end_id), PIECES), "pieces")
+    with text_batches(docs.sparkSession):
+        pieces = materialize(docs.mapInArrow(_cut(tokenizer or default_path(), capacity, end_id), PIECES), "pieces")
     # Ranks without a sort: a place within the writing task, and each task's first rank.
     tasks = pieces.groupBy("length", "task").agg(F.count("*").alias("n"))
     before = Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)

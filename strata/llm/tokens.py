@@ -18,7 +18,8 @@ import numpy as np
 from strata.llm import caches
 
 # Chunks kept in a worker's memo; the older half of the traffic is forgotten beyond it.
-MEMO_CHUNKS = 700_000
+# A dict of 699,051 or more takes twice the room.
+MEMO_CHUNKS = 680_000
 # Longer chunks are encoded each time, so that the memo stays small.
 MEMO_CHUNK_CHARS = 40
 # How byte-level vocabularies write a space.
@@ -95,12 +96,12 @@ class Encoder:
             missing, marked, marks = {}, [], self.marks
             for c in absent:
                 if c in old:
-                    new[c] = old[c]
+                    new[c] = old.pop(c)
                 elif c[-1] in marks and len(c) <= MEMO_CHUNK_CHARS and c[-2:-1].isalpha():
                     marked.append(c)
                     word = c[:-1]
                     if word in old:
-                        new[word] = old[word]
+                        new[word] = old.pop(word)
                     elif word not in new:
                         missing[word] = None
                 else:

@@ -4,13 +4,15 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from conftest import SF_SMALL
+from pyspark import TaskContext
 from tokenizers import Tokenizer
 
 from strata.llm import packing as PK
 from strata.llm import token_files as TF
-from strata.llm.store import shared_path
+from strata.llm.store import ARROW_ROWS, TEXT_ROWS, shared_path
 from strata.llm.tokens import Encoder, default_path
 
 ODD = ["", None, " ", "a  b", " a b ", "a\n\n b c", "it's o'clock 'll x", "<|endoftext|> a <|endoftext|>b", "a\x1c b c", "é ü  \t x ", "a\u0085 b", "x " * 40_000, "y" * 3000]
@@ -50,6 +52,33 @@ def test_memo_with_odd_white_space(plain):
         assert np.frombuffer(e.encode(t), "<u4").tolist() == ids_of(plain, t, 0)[:-1], t
 
 
+def test_a_chunk_is_remembered_once(plain):
+    e = Encoder(default_path())
+    e.encode("some words here, again")
+    e.old, e.new = e.new, {}
+    for t in ("the words here, again", "the words again, here"):
+        assert np.frombuffer(e.encode(t), "<u4").tolist() == ids_of(plain, t, 0)[:-1]
+    assert e.new and not e.new.keys() & e.old.keys()
+
+
+def test_packing_takes_few_texts_at_a_time(spark, monkeypatch):
+    def cut(tokenizer, capacity, end_id):
+        def run(batches):
+            for batch in batches:
+                n = batch.num_rows
+                columns = [batch.column(0), *[pa.array([v] * n, t) for v, t in ((0, pa.int32()), (n, pa.int64()), (capacity, pa.int64()), (0, pa.int64()), (TaskContext.get().partitionId(), pa.int32()))]]
+                yield pa.RecordBatch.from_arrays([*columns, batch.column(0)], names=["doc_id", "piece", "start", "length", "ids_crc32", "task", "place"])
+
+        return run
+
+    monkeypatch.setattr(PK, "_cut", cut)
+    before = spark.conf.get(ARROW_ROWS)
+    got = PK.pack(spark.range(2 * TEXT_ROWS + 1, numPartitions=1).selectExpr("id AS doc_id", "'a' AS text")).collect()
+    assert sorted(r.doc_id for r in got) == list(range(2 * TEXT_ROWS + 1))
+    assert {r.start for r in got} == {TEXT_ROWS, 1}
+    assert spark.conf.get(ARROW_ROWS) == before
+
+
 def test_elias_fano():
     rng = np.random.default_rng(0)
     for v in ([], [0], [5, 5, 5, 9], np.cumsum(rng.integers(0, 5000, 3000)).tolist(), [0] * 1000, [2**60]):
