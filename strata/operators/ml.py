@@ -22,6 +22,7 @@ scan, join and encoding.
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Callable, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
@@ -421,6 +422,31 @@ def permutation_importance(
     return per.select("feature", (F.lit(base) - F.col("acc_perm")).alias("importance"))
 
 
+def forest_cuts(forest, spec: FeatureSpec) -> dict[str, list[float]]:
+    """The values that the trees of one of Spark's forests cut each numeric column at; ``x <= cut`` goes left."""
+    found: dict[str, set[float]] = {c: set() for c in spec.numeric}
+    for feature, test in re.findall(r"If \(feature (\d+) ([^)]*)\)", forest.toDebugString):
+        if int(feature) < len(spec.numeric):
+            if not test.startswith("<= "):
+                raise ValueError(f"{spec.numeric[int(feature)]} is not cut like a number: {test}")
+            found[spec.numeric[int(feature)]].add(float(test[3:]))
+    return {c: sorted(v) for c, v in found.items()}
+
+
+def alike_rows(df: DataFrame, spec: FeatureSpec, cuts: dict[str, list[float]]) -> DataFrame:
+    """(numeric and categorical columns, label, _rows): one row for all that lie between the same cuts, with the same levels and label.
+
+    Trees with these cuts send all ``_rows`` of them to the leaf of that one. There are at
+    most as many as cuts, levels and labels combine. Rows without a label are left out.
+    """
+    x = {c: F.col(c).cast("double") for c in spec.numeric}
+    above = [sum(((x[c] > F.lit(v)).cast("int") for v in cuts[c]), F.when(x[c].isNotNull(), 0)).alias(f"{c}__above") for c in spec.numeric]
+    label = F.col(spec.label).cast("double").alias("label")
+    alike = df.filter(F.col(spec.label).isNotNull()).groupBy(*above, *spec.categorical, label)
+    one = [F.min(x[c]).alias(c) for c in spec.numeric]
+    return alike.agg(*one, F.count(F.lit(1)).alias("_rows")).select(*spec.columns, "label", "_rows")
+
+
 def forest_error_curve(
     train: DataFrame,
     test: DataFrame,
@@ -432,28 +458,31 @@ def forest_error_curve(
 
     The reference plots the error of one 100-tree forest as trees are added
     (out-of-bag; Spark does not expose OOB, so the hold-out rows are used).
-    One forest of ``max(grid)`` trees is fitted; each tree scores the
-    hold-out rows in the same pass, and a prefix of k trees votes the way the
+    One forest of ``max(grid)`` trees is fitted; hold-out rows that no tree can
+    tell apart are scored once and count as many as they are. Each tree scores
+    them in the same pass, and a prefix of k trees votes the way the
     forest does (sum of per-tree class probabilities, ties to class 0). All
     grid points come from one aggregate.
     """
     ntree = max(grid)
     model = fit(RandomForestClassifier(numTrees=ntree, seed=seed, featuresCol="features", labelCol="label"), train, spec)
     encoding = PipelineModel(stages=model.stages[:-1])
-    df = encoding.transform(with_label(test, spec)).select("features", "label")
-    trees = model.stages[-1].trees
+    forest = model.stages[-1]
+    checkpoint_dir(test.sparkSession)
+    df = encoding.transform(alike_rows(test, spec, forest_cuts(forest, spec))).select("features", "label", "_rows").checkpoint(eager=True)
+    trees = forest.trees
     # Each tree adds only its probability column (raw score and prediction
     # outputs switched off), and one final projection reads them all: the plan
     # grows by one node per tree instead of three, which keeps planning cheap.
     for i, tree in enumerate(trees):
         tree.setProbabilityCol(f"_prob{i}").setRawPredictionCol("").setPredictionCol("")
         df = tree.transform(df)
-    df = df.select("label", *[vector_to_array(f"_prob{i}")[1].alias(f"_q{i}") for i in range(len(trees))])
+    df = df.select("label", "_rows", *[vector_to_array(f"_prob{i}")[1].alias(f"_q{i}") for i in range(len(trees))])
     aggs = []
     for k in grid:
         votes = sum((F.col(f"_q{i}") for i in range(k)), F.lit(0.0))
-        wrong = ((votes > F.lit(k / 2.0)).cast("double") != F.col("label")).cast("double")
-        aggs.append(F.avg(wrong).alias(f"e{k}"))
+        wrong = (votes > F.lit(k / 2.0)).cast("double") != F.col("label")
+        aggs.append(F.try_divide(F.sum(F.when(wrong, F.col("_rows")).otherwise(0)), F.sum("_rows")).alias(f"e{k}"))
     wide = df.agg(*aggs)
     rows = [F.struct(F.lit(k).alias("trees"), F.col(f"e{k}").alias("error")) for k in grid]
     return wide.select(F.inline(F.array(*rows)))

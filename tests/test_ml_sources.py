@@ -143,6 +143,37 @@ def test_error_curve_last_point_equals_forest_error(spark):
     assert abs(curve[7] - err) < 1e-12
 
 
+def test_error_curve_scores_rows_alike_once(spark, monkeypatch):
+    """Hold-out rows that no cut tells apart go through the trees once; the errors are those of all rows."""
+    from pyspark.ml.classification import DecisionTreeClassificationModel, RandomForestClassifier
+
+    df = ML.hash_split(_planted(spark, 1500), ["k"])
+    train = df.filter("part = 'training'").drop("part")
+    once = df.filter("part = 'test'").drop("part")
+    odd = once.select("k", F.when(F.col("k") % 2 == 0, F.lit(float("nan"))).alias("x1"), "x2", F.when(F.col("k") % 3 > 0, "zzz").alias("cat"), "y")
+    blank = once.select("k", "x1", "x2", "cat", F.lit(None).cast("int").alias("y"))
+    # Close to each row stand others: on the same side of every cut, but not equal.
+    near = F.col("x2") + F.col("id") * 1e-9
+    test = once.union(odd).union(blank).filter("k % 5 = 0").crossJoin(spark.range(9)).withColumn("x2", near).drop("id").localCheckpoint()
+
+    grid = (1, 3, 7)
+    forest = ML.fit(RandomForestClassifier(numTrees=7, seed=ML.SEED, featuresCol="features", labelCol="label"), train, SPEC)
+    rows = ML.PipelineModel(stages=forest.stages[:-1]).transform(ML.with_label(test, SPEC)).filter("label is not null").collect()
+    wrong = dict.fromkeys(grid, 0)
+    for r in rows:
+        votes = [float(t.predictProbability(r.features)[1]) for t in forest.stages[-1].trees]
+        for k in grid:
+            wrong[k] += float(sum(votes[:k], 0.0) > k / 2) != r.label
+
+    scored = []
+    transform = DecisionTreeClassificationModel.transform
+    monkeypatch.setattr(DecisionTreeClassificationModel, "transform", lambda tree, rows: scored.append(rows) or transform(tree, rows))
+    curve = {r.trees: r.error for r in ML.forest_error_curve(train, test, SPEC, grid=grid).collect()}
+    assert all(abs(curve[k] - wrong[k] / len(rows)) < 1e-12 for k in grid) and wrong[7] > 0
+    assert scored[0].count() <= len(rows) / 9
+    assert [r.error for r in ML.forest_error_curve(train, test.limit(0), SPEC, grid=grid).collect()] == [None] * 3
+
+
 def test_register_view_and_parquet_copy(spark):
     from strata.sources import register_view, to_parquet_once
 
